@@ -44,7 +44,7 @@ class PerfectHash:
 
     @staticmethod
     def _cell(keys: np.ndarray, level: int, cells: int) -> np.ndarray:
-        return (mix(keys + np.uint64(level + 1) * ODD) % np.uint64(cells)).astype(np.int64)
+        return (mix(keys + np.uint64((level + 1) * int(ODD) & 0xFFFFFFFFFFFFFFFF)) % np.uint64(cells)).astype(np.int64)
 
     def slot(self, keys: np.ndarray) -> np.ndarray:
         """Slot of each key; for a key outside the built set any slot, or -1."""

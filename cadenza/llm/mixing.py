@@ -48,9 +48,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
         .withColumn("goal", F.least(F.lit(share), F.lit(float(cap))) * F.sum("source_size").over(one))
         .withColumn("before", F.sum("most").over(full) - F.col("most"))
         .withColumn("open", F.sum("weight").over(one) - F.sum("weight").over(full) + F.col("weight"))
-        # the level if all sources before this one are full and this one is not
+        # the level if all sources before this one are full and this one is not; levels fall from the first that holds on
         .withColumn("level", (F.col("goal") - F.col("before")) / F.col("open"))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(one))
+        .withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(one))
         .select("source", "source_size", F.least("most", F.coalesce(F.col("weight") * F.col("level"), F.col("most"))).alias("target"))
     )
 

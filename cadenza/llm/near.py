@@ -124,8 +124,10 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
 
 def _links(unit: dict, similarity: float) -> tuple[list, list, list]:
     """Documents of a unit with links, the documents linked to each, and the root of each in a spanning forest."""
-    rep, block, bands, members = unit["rep"], unit["block"], unit["bands"], unit["members"]
-    sets = [np.frombuffer(s, np.uint64) for s in unit["shingles"]]
+    # a row of documents that repeats brings its set again
+    once = sorted({(int(r), s): i for i, (r, s) in enumerate(zip(unit["rep"], unit["shingles"], strict=True))}.values())
+    rep, block, bands, members = (unit[k][once] for k in ("rep", "block", "bands", "members"))
+    sets = [np.frombuffer(unit["shingles"][i], np.uint64) for i in once]
     n, band = len(rep), unit["band"]
     size = np.array([len(s) for s in sets])
     if n <= 6:

@@ -46,7 +46,7 @@ levels AS (
     SELECT *, most / weight AS ratio, (1.5 * sum(source_size) OVER () - (sum(most) OVER o - most)) / (sum(weight) OVER () - sum(weight) OVER o + weight) AS level
     FROM sources WINDOW o AS (ORDER BY most / weight, encode(source) NULLS LAST)
 ),
-level AS (SELECT min(level) FILTER (WHERE level <= ratio) AS level FROM levels),
+level AS (SELECT max(level) FILTER (WHERE level <= ratio) AS level FROM levels),
 goals AS (
     SELECT source, source_size, CAST(least(most, coalesce(weight * level.level, most)) AS DOUBLE) AS target,
         CASE WHEN source_size > 0 THEN CAST(least(most, coalesce(weight * level.level, most)) AS DOUBLE) / source_size ELSE 0.0 END AS expected
