@@ -69,3 +69,14 @@ def band_gaps(spark: SparkSession) -> DataFrame:
     """Neighbouring bands that leave tempos between them: empty if the bands are whole."""
     order = Window.orderBy("lo")  # six rows
     return bands(spark).withColumn("next", F.lead("lo").over(order)).filter("next - 0.5 > hi + 0.5").select("band", "hi", "next")
+
+
+def grid_coverage_of(tracks: DataFrame, spacing: int = D.GRID_SPACING) -> DataFrame:
+    """:func:`grid_coverage` counts over the native tempos that the catalogue holds: pairs of distinct tempos of a band."""
+    tempos = with_grid(tracks).filter("band IS NOT NULL").select("band", F.col("native_bpm").alias("bpm")).distinct()
+    spark = tracks.sparkSession
+    table = spark.createDataFrame([(n, D.grid_of(a, b, spacing), D.grid_of(a, b, 1)) for n, (a, b) in D.BANDS.items()], "band string, coarse array<int>, fine array<int>")
+    near = lambda grid: F.filter(grid, lambda g: F.abs(g / F.col("bpm") - 1) <= D.MOST_STRETCH)
+    rows = tempos.join(F.broadcast(table), "band").select("band", "bpm", near("coarse").alias("coarse"), near("fine").alias("fine"))
+    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.bpm") <= F.col("b.bpm")))
+    return pairs.groupBy(F.col("a.band").alias("band")).agg(F.count("*").alias("pairs"), F.count_if(F.arrays_overlap("a.coarse", "b.coarse")).alias("coarse_pairs"), F.count_if(F.arrays_overlap("a.fine", "b.fine")).alias("fine_pairs"))

@@ -1,9 +1,14 @@
-"""Registered queries and their SQL."""
+"""Registered queries and the SQL that checks them."""
+
+from . import catalog
+from .registry import QUERIES, SQL
+
+__all__ = ["catalog", "oracle_sql", "queries"]
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)

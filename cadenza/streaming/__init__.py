@@ -1,0 +1,55 @@
+"""Structured Streaming jobs (ST-01 to ST-04); the aggregations work on batch tables too."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from ..functions import dimensions as D
+from ..operators import merge
+
+
+def start_incremental_ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Merge arriving track rows into the snapshots below ``path``; a batch that is replayed changes nothing.
+
+    Snapshots are numbered by batch, so a run that dies while writing leaves the last whole one."""
+    spark = stream.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+
+    def snapshot(n: int) -> DataFrame | None:
+        at = hadoop(f"{path}/tracks-{n}/_SUCCESS")
+        return spark.read.parquet(f"{path}/tracks-{n}") if n >= 0 and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
+
+    def apply(batch: DataFrame, n: int) -> None:
+        last = batch.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("status"), "name"))).filter("__n = 1").drop("__n")
+        before = snapshot(n - 1)
+        (last if before is None else merge.upsert_tracks(before, last)).write.mode("overwrite").parquet(f"{path}/tracks-{n}")
+
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latency_windows(events: DataFrame, size: str, slide: str | None = None, lateness: str = "10 minutes") -> DataFrame:
+    """``stage, start, end, n, avg_ms, max_ms`` of ``events (stage, ms, at)`` per event-time window; rows later than ``lateness`` are dropped by a stream."""
+    rows = events.withColumn("at", F.col("at").cast("timestamp"))
+    if rows.isStreaming:
+        rows = rows.withWatermark("at", lateness)
+    w = F.window("at", size, slide) if slide else F.window("at", size)
+    out = rows.groupBy(w.alias("w"), "stage").agg(F.count("*").alias("n"), F.avg("ms").alias("avg_ms"), F.max("ms").alias("max_ms"))
+    return out.select("stage", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "avg_ms", "max_ms")
+
+
+def coalesce_edits(edits: DataFrame, size: str, lateness: str = "10 minutes") -> DataFrame:
+    """``id, start, delta_beats``: the last value of each node in each window of ``edits (id, delta_beats, at, seq)``."""
+    rows = edits.withColumn("at", F.col("at").cast("timestamp"))
+    if rows.isStreaming:
+        rows = rows.withWatermark("at", lateness)
+    out = rows.groupBy(F.window("at", size).alias("w"), "id").agg(F.max_by("delta_beats", F.struct("at", "seq")).alias("delta_beats"))
+    return out.select("id", F.col("w.start").alias("start"), "delta_beats")
+
+
+def status_high_water(events: DataFrame) -> DataFrame:
+    """``id, status, failed``: the furthest status of each track, whatever order ``events (id, kind)`` come in."""
+    order = F.array_position(F.array(*map(F.lit, D.STATUSES)), F.col("kind"))
+    out = events.groupBy("id").agg(F.max(order).alias("o"), F.max((F.col("kind") == "failed").cast("int")).alias("f"))
+    return out.select("id", F.element_at(F.array(*map(F.lit, D.STATUSES)), F.greatest("o", F.lit(1)).cast("int")).alias("status"), (F.col("f") == 1).alias("failed"))
