@@ -245,13 +245,16 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
       another of them lose words, each is judged by its own text
     * an empty table gives an empty result; other columns are ignored
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if dict(docs.dtypes)["doc_id"] != "bigint":  # an alias would keep Spark from sharing the exchange
+        docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.select("doc_id", "text")
     whole = stage(docs.mapInArrow(_fingerprints, "doc_id long, n_words long, whole_a long, whole_b long"), "fingerprints").filter(f"n_words >= {WINDOW} AND doc_id IS NOT NULL")
-    first = whole.groupBy("whole_a", "whole_b", "n_words").agg(F.min("doc_id").alias("first"))
+    # written, so that the join below can split a word sequence that very many documents share
+    first = stage(whole.groupBy("whole_a", "whole_b", "n_words").agg(F.min("doc_id").alias("first")), "firsts")
     # an id with several texts is never treated as a copy
     info = whole.join(first, ["whole_a", "whole_b", "n_words"]).groupBy("doc_id").agg((F.max("first") < F.col("doc_id")).alias("copy"))
     info = stage(info, "copies")
-    dealt = docs.repartition("doc_id")
+    dealt = docs.filter("doc_id IS NOT NULL").repartition("doc_id")  # one exchange of texts, which the three steps share
     fresh = dealt.join(info.filter("NOT copy").select("doc_id"), "doc_id")
     hints = (
         fresh.mapInArrow(_anchor_rows, "route long, key long, doc_id long, state byte")
@@ -271,8 +274,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("key", "first")).alias("w"))
     )
     known = info.join(windows, "doc_id", "left").select(F.col("doc_id").alias("id"), "copy", "w.key", "w.first")
-    return (
-        dealt.join(known, dealt["doc_id"] == known["id"], "left")
-        .select("doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.expr("coalesce(key, array())").alias("keys"), F.expr("coalesce(first, array())").alias("firsts"))
-        .mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    found = dealt.join(known, dealt["doc_id"] == known["id"], "left").select(
+        "doc_id", "text", F.coalesce("copy", F.lit(False)).alias("copy"), F.expr("coalesce(key, array())").alias("keys"), F.expr("coalesce(first, array())").alias("firsts")
     )
+    no_id = docs.filter("doc_id IS NULL").selectExpr("doc_id", "text", "false AS copy", "cast(array() AS array<bigint>) AS keys", "cast(array() AS array<bigint>) AS firsts")
+    return found.union(no_id).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_sha256 string")
