@@ -1,9 +1,9 @@
 """Registered queries and the SQL that checks them."""
 
-from . import catalog
+from . import catalog, series
 from .registry import QUERIES, SQL
 
-__all__ = ["catalog", "oracle_sql", "queries"]
+__all__ = ["catalog", "oracle_sql", "queries", "series"]
 
 
 def queries():

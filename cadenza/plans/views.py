@@ -99,7 +99,13 @@ def sql(body: str, recursive: bool = False) -> str:
                     needed.append(name)
 
     visit(body)
-    return f"WITH {'RECURSIVE ' if recursive else ''}" + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed) + ("\n" if not body.lstrip().startswith(",") else "") + body
+    views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed)
+    body = body.lstrip()
+    if body.startswith(","):
+        return f"WITH {'RECURSIVE ' * recursive}{views}{body}"
+    if body.startswith("WITH"):
+        return f"WITH {views}, {body[4:]}" if views else body
+    return f"WITH {views}\n{body}" if views else body
 
 
 R4 = lambda x, d=4: f"(floor(({x}) * 1e{d} + 0.5) / 1e{d})"
