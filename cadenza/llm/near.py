@@ -216,9 +216,9 @@ def near_duplicates(docs: DataFrame, n: int = N_WORDS, similarity: float = SIMIL
     bands = bands_for(similarity, recall)
     sig = stage(docs.mapInArrow(_signatures(n, bands, ROWS), "doc_id long, n_shingles int, set_a long, set_b long, bands array<long>"), "signatures")
     known = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("members"))
-    members = known.join(same, ["set_a", "set_b"])
-    reps = members.filter("doc_id = rep").select("rep", "members", "set_a", "set_b", "n_shingles", "bands").dropDuplicates(["rep", "set_a", "set_b"])
+    # written, so that joins on a set that very many documents share can split it
+    same = stage(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("members")), "set-classes")
+    reps = known.withColumnRenamed("doc_id", "rep").join(same, ["set_a", "set_b", "rep"]).select("rep", "members", "set_a", "set_b", "n_shingles", "bands").dropDuplicates(["rep", "set_a", "set_b"])
     reps = stage(reps, "representatives")
     places = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     buckets = (
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, n: int = N_WORDS, similarity: float = SIMIL
     )
     found = stage(dealt.mapInArrow(_verify(similarity), "rep long, links long, root long"), "links")
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per_rep = found.groupBy("rep").agg(F.sum("links").alias("links")).join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    per_rep = stage(found.groupBy("rep").agg(F.sum("links").alias("links")).join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left"), "per-representative")
     rows = sig.select("doc_id", "set_a", "set_b", "n_shingles").join(same, ["set_a", "set_b"], "left")
     return rows.join(per_rep, "rep", "left").select(
         "doc_id",
