@@ -1,9 +1,9 @@
 """Registered queries and the SQL that checks them."""
 
-from . import catalog, series
+from . import catalog, mixes, series
 from .registry import QUERIES, SQL
 
-__all__ = ["catalog", "oracle_sql", "queries", "series"]
+__all__ = ["catalog", "mixes", "oracle_sql", "queries", "series"]
 
 
 def queries():
