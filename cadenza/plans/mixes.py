@@ -319,8 +319,8 @@ def _wavs(s, d):
 
 # streaming twins
 
-query("st02_latency_windows", lambda s, d: r(ST.latency_windows(A.latency(s, d), "1 hour"), "avg_ms").select("stage", F.unix_seconds("start").alias("start_s"), "n", "avg_ms", "max_ms"), f"SELECT stage, CAST(epoch(time_bucket(INTERVAL 1 HOUR, "at")) AS BIGINT) AS start_s, count(*) AS n, {R4('avg(ms)', 6)} AS avg_ms, max(ms) AS max_ms FROM latency GROUP BY ALL")
-query("st02_sliding_windows", lambda s, d: ST.latency_windows(A.latency(s, d), "2 hours", "1 hour").select("stage", F.unix_seconds("start").alias("start_s"), "n", "max_ms"), "SELECT stage, CAST(epoch(time_bucket(INTERVAL 1 HOUR, "at")) AS BIGINT) - 3600 * k AS start_s, count(*) AS n, max(ms) AS max_ms FROM latency, (VALUES (0), (1)) x(k) GROUP BY ALL")
+query("st02_latency_windows", lambda s, d: r(ST.latency_windows(A.latency(s, d), "1 hour"), "avg_ms").select("stage", F.unix_seconds("start").alias("start_s"), "n", "avg_ms", "max_ms"), f"SELECT stage, CAST(epoch(time_bucket(INTERVAL 1 HOUR, latency.at)) AS BIGINT) AS start_s, count(*) AS n, {R4('avg(ms)', 6)} AS avg_ms, max(ms) AS max_ms FROM latency GROUP BY ALL")
+query("st02_sliding_windows", lambda s, d: ST.latency_windows(A.latency(s, d), "2 hours", "1 hour").select("stage", F.unix_seconds("start").alias("start_s"), "n", "max_ms"), "SELECT stage, CAST(epoch(time_bucket(INTERVAL 1 HOUR, latency.at)) AS BIGINT) - 3600 * k AS start_s, count(*) AS n, max(ms) AS max_ms FROM latency, (VALUES (0), (1)) x(k) GROUP BY ALL")
 query("st03_coalesce_edits", lambda s, d: ST.coalesce_edits(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("id"), F.col("value").cast("int").alias("delta_beats"), F.col("ts").alias("at"), F.col("event_id").alias("seq")), "1 day").select("id", F.unix_seconds("start").alias("start_s"), "delta_beats"), "SELECT CAST(user_id AS VARCHAR) AS id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start_s, CAST(trunc(arg_max(value, (ts, event_id))) AS INTEGER) AS delta_beats FROM events GROUP BY ALL")
 query("st04_status_high_water", lambda s, d: ST.status_high_water(status_events(s, d)), f"SELECT id, (['pending', 'fetched', 'analyzed', 'ready'])[greatest(1, coalesce(max(list_position(['pending', 'fetched', 'analyzed', 'ready'], kind)), 1))] AS status, bool_or(kind = 'failed') AS failed FROM ({EVENTS}) GROUP BY id")
 
