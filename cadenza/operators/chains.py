@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from .. import functions as X
 
-ORDER = Window.partitionBy("mix_id").orderBy("pos")
 MOST_NODES, RADIUS_S, OVERLAP_S, SLACK = 100, 1.25, 16.0, 1e-6
 
 
+def by_position() -> Window:
+    return Window.partitionBy("mix_id").orderBy("pos")
+
+
 def order_chains(mixes: DataFrame, mix_tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ordered nodes with ``pos`` from 0, problems ``mix_id, problem``).
 
@@ -41,7 +44,7 @@ def flatten_chains(ordered: DataFrame, variants: DataFrame, tracks: DataFrame) -
     v = variants.select("track_id", "grid_bpm", F.nullif("duration_s", F.lit(0.0)).alias("v"))
     t = tracks.select(F.col("id").alias("track_id"), F.nullif("duration_s", F.lit(0.0)).alias("t"))
     rows = ordered.join(v, ["track_id", "grid_bpm"], "left").join(t, "track_id", "left").withColumn("delta_s", X.beats_to_seconds("delta_beats", "grid_bpm"))
-    return rows.select("mix_id", "pos", "id", "track_id", "delta_beats", "delta_s", F.sum("delta_s").over(ORDER).alias("offset_s"), "grid_bpm", F.coalesce("v", "t", F.lit(0.0)).alias("duration_s"))
+    return rows.select("mix_id", "pos", "id", "track_id", "delta_beats", "delta_s", F.sum("delta_s").over(by_position()).alias("offset_s"), "grid_bpm", F.coalesce("v", "t", F.lit(0.0)).alias("duration_s"))
 
 
 def end() -> Column:
@@ -50,15 +53,15 @@ def end() -> Column:
 
 def overlap_violations(entries: DataFrame) -> DataFrame:
     """Nodes that the second next one reaches into: ``mix_id, pos, id, far_id``."""
-    far, far_id = F.lead("offset_s", 2).over(ORDER), F.lead("id", 2).over(ORDER)
+    far, far_id = F.lead("offset_s", 2).over(by_position()), F.lead("id", 2).over(by_position())
     return entries.withColumn("far", far).withColumn("far_id", far_id).filter(F.col("far") < end() - SLACK).select("mix_id", "pos", "id", "far_id")
 
 
 def min_delta_seconds() -> Column:
     """Least start of a node after its predecessor's, over entries."""
-    prev_start, prev_end = F.lag("offset_s").over(ORDER), F.lag(end()).over(ORDER)
-    before_end = F.lag(end(), 2).over(ORDER)
-    next_delta = F.lead("delta_s").over(ORDER)
+    prev_start, prev_end = F.lag("offset_s").over(by_position()), F.lag(end()).over(by_position())
+    before_end = F.lag(end(), 2).over(by_position())
+    next_delta = F.lead("delta_s").over(by_position())
     floor = F.greatest(prev_start, before_end, F.when(next_delta.isNotNull(), prev_end - next_delta))
     return F.greatest(F.lit(0.0), F.coalesce(floor - prev_start, F.lit(0.0)))
 
@@ -74,7 +77,7 @@ def apply_gap_edits(entries: DataFrame, edits: DataFrame) -> tuple[DataFrame, Da
     A mix whose edits break the overlap rule stays as it was; unknown nodes are rejected."""
     new = edits.select("id", F.col("delta_beats").alias("new"))
     edited = entries.join(new, "id", "left").withColumn("delta_beats", F.coalesce("new", "delta_beats")).withColumn("delta_s", X.beats_to_seconds("delta_beats", "grid_bpm"))
-    edited = edited.withColumn("offset_s", F.sum("delta_s").over(ORDER))
+    edited = edited.withColumn("offset_s", F.sum("delta_s").over(by_position()))
     broken = overlap_violations(edited).select("mix_id").distinct()
     touched = edited.filter("new IS NOT NULL").select("mix_id").distinct()
     accepted = edited.join(touched, "mix_id", "left_semi").join(broken, "mix_id", "left_anti").select(entries.columns)
@@ -110,13 +113,13 @@ def set_gap(chain: DataFrame, edits: DataFrame) -> DataFrame:
 
 def set_start(chain: DataFrame, edits: DataFrame) -> DataFrame:
     """Absolute starts of ``edits (id, start_s)``, one per mix, as gaps from the node before."""
-    before = F.coalesce(F.lag("o").over(ORDER), F.lit(0.0))
-    at = chain.withColumn("o", F.sum("delta_s").over(ORDER)).withColumn("before", before).join(edits.select("id", "start_s"), "id")
+    before = F.coalesce(F.lag("o").over(by_position()), F.lit(0.0))
+    at = chain.withColumn("o", F.sum("delta_s").over(by_position())).withColumn("before", before).join(edits.select("id", "start_s"), "id")
     return set_gap(chain, at.select("id", (F.greatest(F.lit(0.0), F.col("start_s")) - F.col("before")).alias("delta_s")))
 
 
 def offsets(chain: DataFrame) -> DataFrame:
-    return chain.withColumn("offset_s", F.sum("delta_s").over(ORDER))
+    return chain.withColumn("offset_s", F.sum("delta_s").over(by_position()))
 
 
 def total_duration(mixes: DataFrame, entries: DataFrame) -> DataFrame:
@@ -127,11 +130,11 @@ def total_duration(mixes: DataFrame, entries: DataFrame) -> DataFrame:
 
 def overlap_zones(entries: DataFrame) -> DataFrame:
     """Adds the zone each node fades in over (``in_start, in_end``) and out over; null where there is none."""
-    next_start, next_end = F.lead("offset_s").over(ORDER), F.lead(end()).over(ORDER)
+    next_start, next_end = F.lead("offset_s").over(by_position()), F.lead(end()).over(by_position())
     a, b = F.greatest("offset_s", next_start), F.least(end(), next_end)
     some = next_start.isNotNull() & (b > a)
     rows = entries.withColumn("out_start", F.when(some, a)).withColumn("out_end", F.when(some, b))
-    return rows.withColumn("in_start", F.lag("out_start").over(ORDER)).withColumn("in_end", F.lag("out_end").over(ORDER))
+    return rows.withColumn("in_start", F.lag("out_start").over(by_position())).withColumn("in_end", F.lag("out_end").over(by_position()))
 
 
 def gain_curves(zones: DataFrame, points: int = 256) -> DataFrame:
@@ -202,9 +205,9 @@ def mix_beat_grid(entries: DataFrame, features: DataFrame, totals: DataFrame) ->
 def delete_and_heal(chain: DataFrame, deletes: DataFrame, markers: DataFrame) -> DataFrame:
     """``chain`` without ``deletes (id)``; the successor of a removed node is put at the best legal marker with its
     new predecessor (or at its floor), everyone else keeps the gap."""
-    neighbours = chain.join(deletes.select("id", F.lit(True).alias("gone")), "id", "left").withColumn("after_gone", F.coalesce(F.lag("gone").over(ORDER), F.lit(False)))
+    neighbours = chain.join(deletes.select("id", F.lit(True).alias("gone")), "id", "left").withColumn("after_gone", F.coalesce(F.lag("gone").over(by_position()), F.lit(False)))
     healed = neighbours.filter("gone IS NULL AND after_gone AND pos > 0").select("id")
-    left = offsets(remove_nodes(chain, deletes)).withColumn("floor_s", min_delta_seconds()).withColumn("a_id", F.lag("track_id").over(ORDER)).withColumn("prev_duration", F.lag("duration_s").over(ORDER))
+    left = offsets(remove_nodes(chain, deletes)).withColumn("floor_s", min_delta_seconds()).withColumn("a_id", F.lag("track_id").over(by_position())).withColumn("prev_duration", F.lag("duration_s").over(by_position()))
     drops = left.join(healed, "id", "left_semi").filter("a_id IS NOT NULL").select("id", "a_id", F.col("track_id").alias("b_id"), "prev_duration", "floor_s")
     return set_gap(remove_nodes(chain, deletes), place_legal_by_node(drops, markers))
 
@@ -219,5 +222,5 @@ def place_legal_by_node(drops: DataFrame, markers: DataFrame) -> DataFrame:
 
 def markers_on_mix(markers: DataFrame, entries: DataFrame) -> DataFrame:
     """``mix_id, pos, rank, t, score``: markers of every junction on the time axis of its mix."""
-    rows = entries.withColumn("b_id", F.lead("track_id").over(ORDER)).withColumnRenamed("track_id", "a_id").select("mix_id", "pos", "a_id", "b_id", "offset_s")
+    rows = entries.withColumn("b_id", F.lead("track_id").over(by_position())).withColumnRenamed("track_id", "a_id").select("mix_id", "pos", "a_id", "b_id", "offset_s")
     return rows.join(markers, ["a_id", "b_id"]).select("mix_id", "pos", "rank", (F.col("offset_s") + F.col("a_start_s")).alias("t"), "score")

@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from .. import functions as X
 from ..functions import dimensions as D
 
-TRACK = Window.partitionBy("track_id").orderBy("frame_idx")
 SERIES = ("rms", "flux", "bass_ratio")
 
 
+def by_frame() -> Window:
+    return Window.partitionBy("track_id").orderBy("frame_idx")
+
+
 def n_windows(n: Column, frame: int, hop: int) -> Column:
     """Whole windows of ``frame`` samples, one each ``hop``; at least none."""
     return F.greatest(F.lit(0), 1 + F.floor((n - frame) / hop)).cast("int")
@@ -72,7 +75,7 @@ def bass_ratio(spectrum: DataFrame, low: float = 20.0, high: float = 150.0) -> D
 
 def prefix_sums(frames: DataFrame, columns: tuple[str, ...] = SERIES) -> DataFrame:
     """``track_id, k, p_…``: sums of the first k frames, k from 0 to n."""
-    upto = TRACK.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = by_frame().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = frames.select("track_id", (F.col("frame_idx") + 1).alias("k"), *(F.sum(c).over(upto).alias(f"p_{c}") for c in columns))
     zero = frames.select("track_id").distinct().select("track_id", F.lit(0).alias("k"), *(F.lit(0.0).alias(f"p_{c}") for c in columns))
     return rows.unionByName(zero)

@@ -6,30 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
-from .features import TRACK
+from .features import by_frame
 
-WHOLE = Window.partitionBy("track_id")
 LEAST_FRAMES, LEAST_SEGMENTS = 16, 4
 
 
+def per_track() -> Window:
+    return Window.partitionBy("track_id")
+
+
 def smoothing(hop_dur: float) -> int:
     return max(1, int(0.5 / hop_dur))
 
 
 def moving_average(column: str | Column, k: int) -> Column:
     """Centred over ``k`` frames, zeros beyond the ends (always divided by ``k``)."""
-    return F.sum(X.col(column)).over(TRACK.rowsBetween(-(k // 2), (k - 1) // 2)) / k
+    return F.sum(X.col(column)).over(by_frame().rowsBetween(-(k // 2), (k - 1) // 2)) / k
 
 
 def blended_feature(frames: DataFrame, k: int) -> DataFrame:
     """Adds ``feature``: smoothed loudness over its peak and half of the smoothed flux over its own."""
-    share = frames.withColumn("r", F.col("rms") / (F.max("rms").over(WHOLE) + 1e-12)).withColumn("f", F.col("flux") / (F.max("flux").over(WHOLE) + 1e-12))
+    share = frames.withColumn("r", F.col("rms") / (F.max("rms").over(per_track()) + 1e-12)).withColumn("f", F.col("flux") / (F.max("flux").over(per_track()) + 1e-12))
     return share.withColumn("feature", moving_average("r", k) + 0.5 * moving_average("f", k)).drop("r", "f")
 
 
 def novelty(frames: DataFrame, k: int) -> DataFrame:
     """Adds ``novelty``: the smoothed size of the slope of ``feature``, rounded to 9 digits."""
-    before, after = F.lag("feature").over(TRACK), F.lead("feature").over(TRACK)
+    before, after = F.lag("feature").over(by_frame()), F.lead("feature").over(by_frame())
     slope = F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after - F.col("feature")).when(after.isNull(), F.col("feature") - before).otherwise((after - before) / 2)
     rows = frames.withColumn("slope", F.abs(slope))
     return rows.withColumn("novelty", X.round_up_half(moving_average("slope", k), 9)).drop("slope")
@@ -37,18 +40,14 @@ def novelty(frames: DataFrame, k: int) -> DataFrame:
 
 def local_maxima(frames: DataFrame, column: str = "novelty") -> DataFrame:
     """``track_id, frame_idx, height``: frames above both neighbours; of a level run the middle one, rounded down. Ends never count."""
-    change = F.coalesce((F.col(column) != F.lag(column).over(TRACK)).cast("int"), F.lit(0))
-    runs = frames.withColumn("run", F.sum(change).over(_upto(frames, change)))
+    change = F.coalesce((F.col(column) != F.lag(column).over(by_frame())).cast("int"), F.lit(0))
+    runs = frames.withColumn("run", F.sum(change).over(by_frame().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = runs.groupBy("track_id", "run").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"), F.first(column).alias("height"))
     order = Window.partitionBy("track_id").orderBy("run")
     runs = runs.withColumn("before", F.lag("height").over(order)).withColumn("after", F.lead("height").over(order))
     return runs.filter("before < height AND after < height").select("track_id", F.floor((F.col("a") + F.col("b")) / 2).cast("int").alias("frame_idx"), "height")
 
 
-def _upto(frames: DataFrame, change: Column) -> Window:
-    return TRACK.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-
-
 def suppress_close(peaks: DataFrame, min_gap: int) -> DataFrame:
     """Highest first (later frames first on ties), peaks nearer than ``min_gap`` frames to a kept one go.
 
@@ -86,8 +85,8 @@ def segment_energy(segments: DataFrame, frames: DataFrame) -> DataFrame:
 
 def label_segments(segments: DataFrame, hop_dur: float) -> DataFrame:
     """Labels in the order intro, outro, breakdown, drop, verse; tracks under 16 frames are one ``full`` segment."""
-    n = F.count("*").over(WHOLE)
-    length = F.max("end_frame").over(WHOLE)
+    n = F.count("*").over(per_track())
+    length = F.max("end_frame").over(per_track())
     label = (
         F.when(length < LEAST_FRAMES, "full").when(F.col("seg_idx") == 0, "intro").when(F.col("seg_idx") == n - 1, "outro")
         .when(F.col("energy") <= F.col("lo"), "breakdown").when(F.col("energy") >= F.col("hi"), "drop").otherwise("verse")

@@ -135,7 +135,7 @@ def drops(s, d):
 DROPS = f"SELECT * FROM ({PAIRS}) ANTI JOIN ({BEST}) USING (a_id, b_id) UNION ALL SELECT a_id, b_id, 90.0, CAST(CAST(b_id AS BIGINT) % 30 AS DOUBLE) FROM ({BEST})"
 query("c13_drop_offset", lambda s, d: r(C.drop_offset(drops(s, d), markers(s, d)), "offset_s"), f"SELECT a_id, b_id, prev_duration, floor_s, {R4('CASE WHEN m IS NULL THEN greatest(0.0, prev_duration - 16) ELSE greatest(0.0, m.a - m.b) END', 6)} AS offset_s FROM ({DROPS}) LEFT JOIN ({BEST}) USING (a_id, b_id)")
 query("c14_place_legal", lambda s, d: r(C.place_legal(drops(s, d), markers(s, d)), "offset_s"), f"""
-SELECT x.a_id, x.b_id, prev_duration, floor_s, {R4('coalesce(arg_max(greatest(0.0, a_start_s - b_start_s), (score, -a_start_s, -b_start_s)) FILTER (WHERE greatest(0.0, a_start_s - b_start_s) >= floor_s - 1e-9), greatest(floor_s, greatest(0.0, prev_duration - 16)))', 6)} AS offset_s
+SELECT x.a_id, x.b_id, prev_duration, floor_s, {R4('coalesce(arg_max(greatest(0.0, a_start_s - b_start_s), (score, -a_start_s, -b_start_s)) FILTER (WHERE m.rank IS NOT NULL AND greatest(0.0, a_start_s - b_start_s) >= floor_s - 1e-9), greatest(floor_s, greatest(0.0, prev_duration - 16)))', 6)} AS offset_s
 FROM ({DROPS}) x LEFT JOIN ({MARKERS}) m ON m.a_id = x.a_id AND m.b_id = x.b_id GROUP BY x.a_id, x.b_id, prev_duration, floor_s
 """)
 query("c15_snap", lambda s, d: r(C.snap(_proposals(s, d), markers(s, d), _beats(s, d)), "snapped"), f"""
@@ -178,7 +178,7 @@ def _beat_grid(s, d):
 
 def _mix_markers(s, d):
     e = entries(s, d)
-    pairs = e.withColumn("b_id", F.lead("track_id").over(C.ORDER)).filter("b_id IS NOT NULL").select(F.col("track_id").alias("a_id"), "b_id").distinct()
+    pairs = e.withColumn("b_id", F.lead("track_id").over(C.by_position())).filter("b_id IS NOT NULL").select(F.col("track_id").alias("a_id"), "b_id").distinct()
     return pairs.select("a_id", "b_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("rank")).select("a_id", "b_id", "rank", (F.col("rank") * 10.0).alias("a_start_s"), F.lit(0.0).alias("b_start_s"), F.lit(0.5).alias("score"))
 
 
