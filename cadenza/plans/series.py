@@ -131,13 +131,7 @@ query("n01_moving_average", lambda s, d: r(A.frames(s, d).select("track_id", "fr
 query("n02_blended_feature", lambda s, d: r(N.blended_feature(A.frames(s, d), 2).select("track_id", "frame_idx", "feature"), "feature"), f"SELECT track_id, frame_idx, {R4('feature', 6)} AS feature FROM blended")
 query("n03_novelty", lambda s, d: r(N.novelty(N.blended_feature(A.frames(s, d), 2), 2).select("track_id", "frame_idx", "novelty"), "novelty"), f"SELECT track_id, frame_idx, {R4('novelty', 6)} AS novelty FROM novel")
 query("n04_local_maxima", lambda s, d: N.peaks_of(A.frames(s, d), H).select("track_id", "frame_idx"), "SELECT track_id, frame_idx FROM peaks")
-query("n05_suppress_close", lambda s, d: N.suppress_close(N.peaks_of(A.frames(s, d), H), 12).select("track_id", "frame_idx"), """
-, ranked AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY height DESC, frame_idx DESC) AS k FROM (SELECT * FROM peaks)),
-walk AS (
-    SELECT track_id, k, frame_idx, [frame_idx] AS kept FROM ranked WHERE k = 1
-    UNION ALL SELECT p.track_id, p.k, p.frame_idx, CASE WHEN len(list_filter(kept, lambda y: abs(y - p.frame_idx) < 12)) > 0 THEN kept ELSE list_append(kept, p.frame_idx) END FROM walk w JOIN ranked p ON p.track_id = w.track_id AND p.k = w.k + 1)
-SELECT track_id, unnest(arg_max(kept, k)) AS frame_idx FROM walk GROUP BY track_id
-""", True)
+query("n05_suppress_close", lambda s, d: N.suppress_close(N.peaks_of(A.frames(s, d), H), 12).select("track_id", "frame_idx"), "SELECT track_id, unnest(arg_max(kept, k)) AS frame_idx FROM walk GROUP BY track_id", True)
 query("n06_strongest_peaks", lambda s, d: N.strongest_peaks(N.peaks_of(A.frames(s, d), H), 7).select("track_id", "frame_idx"), "SELECT track_id, frame_idx FROM (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY height DESC, frame_idx DESC) AS k FROM peaks) WHERE k <= 7")
 query("n07_boundaries", lambda s, d: N.boundaries_to_segments(N.peaks_of(A.frames(s, d), H), A.frames(s, d).groupBy("track_id").agg(F.count("*").alias("n_frames"))), """
 SELECT track_id, CAST(row_number() OVER w - 1 AS INTEGER) AS seg_idx, b AS start_frame, e AS end_frame FROM (
@@ -159,7 +153,11 @@ SELECT track_id, seg_idx, CASE WHEN max(end_frame) OVER p < 16 THEN 'full' WHEN
     start_frame, end_frame, start_frame * 0.25::DOUBLE AS start_s, end_frame * 0.25::DOUBLE AS end_s FROM ({ENERGY}) WINDOW p AS (PARTITION BY track_id)
 """)
 query("n10_role_weights", lambda s, d: slices(s, d).select("track_id", "seg_idx", X.role_weight("label", "exit").alias("leave"), X.role_weight("label", "entry").alias("enter")), f"SELECT track_id, seg_idx, CAST(x.w AS DOUBLE) AS leave, CAST(e.w AS DOUBLE) AS enter FROM ({SLICES}) s JOIN exits x USING (label) JOIN entries_roles e USING (label)")
-query("n00_segments", segments)
+query("n00_segments", segments, f"""
+SELECT track_id, seg_idx, CASE WHEN max(end_frame) OVER p < 16 THEN 'full' WHEN seg_idx = 0 THEN 'intro' WHEN seg_idx = count(*) OVER p - 1 THEN 'outro' WHEN e <= quantile_cont(e, 0.33) OVER p THEN 'breakdown' WHEN e >= quantile_cont(e, 0.66) OVER p THEN 'drop' ELSE 'verse' END AS label,
+    start_frame, end_frame, start_frame * 0.25::DOUBLE AS start_s, end_frame * 0.25::DOUBLE AS end_s, {R4('e', 6)} AS energy
+FROM (SELECT c.track_id, seg_idx, start_frame, end_frame, {R4('avg(rms)', 9)} AS e FROM cuts c JOIN frames f ON f.track_id = c.track_id AND f.frame_idx >= start_frame AND f.frame_idx < end_frame GROUP BY ALL) WINDOW p AS (PARTITION BY track_id)
+""", True)
 
 # matching
 
@@ -225,17 +223,57 @@ def native(s, d):
     return T.at_tempo(wide(s, d), wide(s, d).select("track_id", F.lit(None).cast("int").alias("tempo")))
 
 
+def side_sql(name: str, side: str, wanted: str) -> str:
+    """CTEs ``{name}_starts`` and ``{name}_sides``: the windows of one side for tracks at the tempos of ``wanted (track_id, tempo)``; a null tempo is the native one."""
+    roles = "exits" if side == "exit" else "entries_roles"
+    place = "start / greatest(1, n)" if side == "exit" else "1.0 - start / greatest(1, n)"
+    return f"""
+{name}_f AS (
+    SELECT w.track_id, w.tempo, n, floor(bpm * q * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS bpm, 0.25::DOUBLE / q AS hop, [floor(b / q * 100000.0::DOUBLE + 0.5) / 100000.0::DOUBLE FOR b, i IN beats IF (i - 1) % 4 = 0] AS bars
+    FROM (SELECT x.track_id, tempo, n, bpm, beats, coalesce(tempo / bpm, 1.0::DOUBLE) AS q FROM ({FEATURES}) x JOIN (SELECT DISTINCT * FROM ({wanted})) v ON v.track_id = x.track_id) w),
+{name}_w AS (SELECT *, CAST(floor(32 * (60.0::DOUBLE / bpm / hop)) AS INTEGER) AS win FROM {name}_f),
+{name}_starts AS (
+    SELECT DISTINCT track_id, tempo, CAST(round_even(f, 0) AS INTEGER) AS start FROM (
+        SELECT w.track_id, w.tempo, unnest([b / hop FOR b IN bars]) AS f, greatest(0, start_frame - win // 2) AS lo, least(n - win // 2, end_frame) AS hi
+        FROM {name}_w w JOIN (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY track_id ORDER BY w DESC, seg_idx) AS k FROM ({SLICES}) s JOIN {roles} USING (label)) WHERE k <= 3) g ON g.track_id = w.track_id) WHERE f >= lo AND f <= hi),
+{name}_sides AS (
+    SELECT s.track_id, s.tempo, s.start, {R4('s.start * any_value(hop)')} AS start_s, {R4('avg(rms)', 9)} AS energy, {R4('avg(bass_ratio)', 9)} AS bass,
+        greatest(0.0, 1.0 - list_min([abs(s.start * any_value(hop) - b) FOR b IN any_value(bars)]) / (240.0::DOUBLE / any_value(bpm)) * 2.0) AS phase, 0.6::DOUBLE * any_value(r.w) + 0.4::DOUBLE * any_value({place}) AS fit
+    FROM {name}_starts s JOIN {name}_w w ON w.track_id = s.track_id AND w.tempo IS NOT DISTINCT FROM s.tempo JOIN ({SLICES}) g ON g.track_id = s.track_id AND s.start >= start_frame AND s.start < end_frame JOIN {roles} r USING (label)
+    JOIN frames f ON f.track_id = s.track_id AND f.frame_idx >= s.start AND f.frame_idx < greatest(s.start + 1, least(s.start + win, n)) GROUP BY s.track_id, s.tempo, s.start)"""
+
+
+CHOSEN = f"SELECT a_id, b_id, best_grid_bpm AS tempo FROM ({RECOMMEND}) WHERE rank <= 3"
+CURVES = f"""
+WITH chosen AS ({CHOSEN}), {side_sql('x', 'exit', 'SELECT a_id AS track_id, tempo FROM chosen')}, {side_sql('y', 'entry', 'SELECT b_id AS track_id, tempo FROM chosen')},
+parts AS (
+    SELECT a_id, b_id, a.start_s AS a_start_s, b.start_s AS b_start_s, 1.0 - least(1.0, abs(a.energy - b.energy) / greatest(a.energy, b.energy, 1e-9)) AS e, 0.5 * (a.phase + b.phase) AS p, 1.0 - least(1.0, a.bass + b.bass) AS s, 0.5 * (a.fit + b.fit) AS o
+    FROM chosen c JOIN x_sides a ON a.track_id = a_id AND a.tempo = c.tempo JOIN y_sides b ON b.track_id = b_id AND b.tempo = c.tempo),
+curves AS (SELECT a_id, b_id, a_start_s, b_start_s, {R4('0.35::DOUBLE * e + 0.30::DOUBLE * p + 0.20::DOUBLE * s + 0.15::DOUBLE * o')} AS score, {R4('e')} AS energy, {R4('p')} AS phase, {R4('s')} AS spectral, {R4('o')} AS role FROM parts)
+"""
+
+
 query("t01_candidate_regions", lambda s, d: T.candidate_regions(slices(s, d), "entry").select("track_id", "seg_idx"), f"SELECT track_id, seg_idx FROM (SELECT s.*, row_number() OVER (PARTITION BY track_id ORDER BY w DESC, seg_idx) AS k FROM ({SLICES}) s JOIN entries_roles USING (label)) WHERE k <= 3")
-query("t02_window_starts", lambda s, d: T.window_starts(native(s, d), T.candidate_regions(slices(s, d), "exit")).select("track_id", "start"))
+query("t02_window_starts", lambda s, d: T.window_starts(native(s, d), T.candidate_regions(slices(s, d), "exit")).select("track_id", "start"), f"WITH {side_sql('x', 'exit', 'SELECT track_id, CAST(NULL AS INTEGER) AS tempo FROM frames')} SELECT track_id, start FROM x_starts")
 query("t03_phase_alignment", lambda s, d: r(native(s, d).withColumn("start", F.explode(F.array(F.lit(0), F.lit(7), F.lit(20)))).select("track_id", "start", T.phase_alignment(F.col("start")).alias("phase")), "phase"), f"""
 SELECT track_id, CAST(start AS INTEGER) AS start, {R4("greatest(0.0, 1.0 - list_min([abs(start * 0.25::DOUBLE - b) FOR b, i IN rounded IF (i - 1) % 4 = 0]) / (240.0::DOUBLE / bpm2) * 2.0)", 6)} AS phase
 FROM (SELECT *, {R4('bpm', 2)} AS bpm2, [floor(b * 100000.0::DOUBLE + 0.5) / 100000.0::DOUBLE FOR b IN beats] AS rounded FROM ({FEATURES})), (VALUES (0), (7), (20)) x(start)
 """)
-query("t06_curves", lambda s, d: curves(s, d))
-query("t07_markers", lambda s, d: T.markers(curves(s, d)))
+query("t05_sides", lambda s, d: r(_sides(s, d), "energy", "bass", "phase", "fit"), f"WITH {side_sql('x', 'entry', 'SELECT track_id, CAST(NULL AS INTEGER) AS tempo FROM frames')} SELECT track_id, start, start_s, {R4('energy', 6)} AS energy, {R4('bass', 6)} AS bass, {R4('phase', 6)} AS phase, {R4('fit', 6)} AS fit FROM x_sides")
+query("t06_curves", lambda s, d: curves(s, d), CURVES + "SELECT * FROM curves")
+query("t07_markers", lambda s, d: T.markers(curves(s, d)), CURVES + """
+SELECT * EXCLUDE (place, k, rank), CAST(rank AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY score DESC, a_start_s, b_start_s) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY a_id, b_id, place ORDER BY score DESC, a_start_s, b_start_s) AS k FROM (SELECT *, round_even(a_start_s * 10, 0) AS place FROM curves)) WHERE k = 1) WHERE rank <= 5
+""")
 query("t09_mix_junctions", lambda s, d: T.mix_junctions(ordered_small(s, d), scalars(s, d), wide(s, d), slices(s, d)))
 
 
+def _sides(s, d):
+    f, seg = native(s, d), slices(s, d)
+    return T.score_sides(f, seg, T.window_starts(f, T.candidate_regions(seg, "entry")), "entry").drop("tempo")
+
+
 def curves(s, d):
     """Curves of the three best recommendations of every track."""
     return T.transition_curves(R.recommend(scalars(s, d), k=3), wide(s, d), slices(s, d))

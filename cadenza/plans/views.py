@@ -84,28 +84,40 @@ VIEWS = {
     "peaks": """
         SELECT track_id, CAST((a + b) // 2 AS INTEGER) AS frame_idx, height
         FROM (SELECT *, lag(height) OVER w AS p, lead(height) OVER w AS q FROM runs WINDOW w AS (PARTITION BY track_id ORDER BY run)) WHERE p < height AND q < height""",
+    "ranked_peaks": "SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY height DESC, frame_idx DESC) AS k FROM peaks",
+    "walk": """
+        SELECT track_id, k, frame_idx, [frame_idx] AS kept, [height] AS heights FROM ranked_peaks WHERE k = 1
+        UNION ALL SELECT p.track_id, p.k, p.frame_idx, CASE WHEN len(list_filter(kept, lambda y: abs(y - p.frame_idx) < 12)) > 0 THEN kept ELSE list_append(kept, p.frame_idx) END, heights
+        FROM walk w JOIN ranked_peaks p ON p.track_id = w.track_id AND p.k = w.k + 1""",
+    "lengths": "SELECT track_id, CAST(count(*) AS INTEGER) AS n FROM frames GROUP BY track_id",
+    "bounds": """
+        SELECT track_id, 0 AS b FROM lengths UNION SELECT track_id, n FROM lengths
+        UNION SELECT track_id, f FROM (SELECT track_id, unnest(arg_max(kept, k)[1:7]) AS f FROM walk GROUP BY track_id) JOIN lengths USING (track_id) WHERE n >= 16 AND f > 0 AND f < n - 1""",
+    "cuts": """
+        SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY b) - 1 AS INTEGER) AS seg_idx, b AS start_frame, e AS end_frame
+        FROM (SELECT track_id, b, lead(b) OVER (PARTITION BY track_id ORDER BY b) AS e FROM bounds) WHERE e IS NOT NULL""",
 }
 
 
 def sql(body: str, recursive: bool = False) -> str:
     """``body`` after the views that it and they need, in order."""
     needed: list[str] = []
+    begun: set[str] = set()  # a view may name itself
 
     def visit(text: str) -> None:
         for name in VIEWS:
-            if re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text) and name not in needed:
+            if re.search(rf"\b(?:FROM|JOIN)\s+{name}\b", text) and name not in begun:
+                begun.add(name)
                 visit(VIEWS[name])
-                if name not in needed:
-                    needed.append(name)
+                needed.append(name)
 
     visit(body)
     views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed)
+    start = "WITH RECURSIVE" if recursive else "WITH"
     body = body.lstrip()
-    if body.startswith(","):
-        return f"WITH {'RECURSIVE ' * recursive}{views}{body}"
     if body.startswith("WITH"):
-        return f"WITH {views}, {body[4:]}" if views else body
-    return f"WITH {views}\n{body}" if views else body
+        return f"{start} {views}, {body[4:]}" if views else body
+    return f"{start} {views}\n{body}" if views else body
 
 
 R4 = lambda x, d=4: f"(floor(({x}) * 1e{d} + 0.5) / 1e{d})"
