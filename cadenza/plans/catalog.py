@@ -44,7 +44,7 @@ query("q05_count_mixes", lambda s, d: C.count_rows(A.mixes(s, d)), "SELECT count
 query("q07_track_statuses", lambda s, d: C.track_statuses(A.tracks(s, d), A.seed(s, d)), "SELECT s.id, coalesce(status, 'pending') AS status, status_error FROM seed s LEFT JOIN tracks t ON s.id = t.id")
 query("q08_list_variants", lambda s, d: C.list_variants(A.variants(s, d)), "SELECT * FROM variants")
 query("q08_variants_of_track", lambda s, d: C.list_variants(A.variants(s, d), "40"), "SELECT * FROM variants WHERE track_id = '40'")
-query("q09_grid_map", lambda s, d: C.grid_map(A.variants(s, d)), "SELECT id AS track_id, grid FROM grids")
+query("q09_grid_map", lambda s, d: C.grid_map(A.variants(s, d)), "SELECT id AS track_id, grid FROM grids", lists=("grid",))
 query("q10_list_mixes", lambda s, d: C.list_mixes(A.mixes(s, d)), "SELECT * FROM mixes")
 query("q10_mix_nodes", lambda s, d: C.mix_nodes(A.mix_tracks(s, d), "7"), "SELECT id, mix_id, track_id, next_id, delta_beats, grid_bpm FROM mix_tracks WHERE mix_id = '7'")
 query("q10_get_node", lambda s, d: C.get_node(A.mix_tracks(s, d), "7-2"), "SELECT id, mix_id, track_id, next_id, delta_beats, grid_bpm FROM mix_tracks WHERE id = '7-2'")
@@ -53,7 +53,7 @@ query("q12_catalog_listing", lambda s, d: C.catalog_listing(A.tracks(s, d), A.va
 SELECT {', '.join('t.' + c for c in T13.split(', '))}, coalesce(grid, []) AS grid, list_filter([CASE WHEN license_nd THEN 'ND' END, CASE WHEN license_sa THEN 'SA' END, CASE WHEN license_nc THEN 'NC' END], lambda x: x IS NOT NULL) AS badges,
     'https://creativecommons.org/licenses/' || lower(variant) || '/' || version || '/' || coalesce(lower(jurisdiction) || '/', '') AS url, '“' || t.name || '” by ' || t.artist || ' — ' || t.license AS line
 FROM tracks t JOIN parsed p USING (id) LEFT JOIN grids g ON g.id = t.id WHERE t.status = 'ready'
-""")
+""", lists=("grid", "badges"))
 query("q14_resolve_audio", lambda s, d: C.resolve_audio(_requests(s, d), A.tracks(s, d), A.variants(s, d)), """
 SELECT r.track_id, r.grid_bpm, CASE WHEN r.grid_bpm IS NULL THEN audio_key ELSE object_key END AS object_key
 FROM (SELECT id AS track_id, g AS grid_bpm FROM raw_tracks, (SELECT unnest([NULL, 80, 120, 163]) AS g)) r
@@ -82,7 +82,7 @@ query("l02_quarantined", lambda s, d: L.split_licenses(A.raw_tracks(s, d))[1], "
 query("l03_license_url", lambda s, d: A.raw_tracks(s, d).select("id", X.license_url().alias("url")), "SELECT id, CASE WHEN variant IS NOT NULL THEN 'https://creativecommons.org/licenses/' || lower(variant) || '/' || version || '/' || coalesce(lower(jurisdiction) || '/', '') END AS url FROM parsed")
 query("l04_license_from_url", lambda s, d: A.raw_tracks(s, d).select("id", X.license_url().alias("url")).select("id", X.license_from_url("url").alias("license")), "SELECT id, CASE WHEN variant IS NOT NULL THEN license END AS license FROM parsed")
 query("l05_attribution", lambda s, d: L.attribution(A.tracks(s, d)).select("id", "attribution.text", "attribution.title", "attribution.artist", "attribution.line"), "SELECT id, '“' || name || '” by ' || artist AS text, name AS title, artist, '“' || name || '” by ' || artist || ' — ' || license AS line FROM tracks")
-query("l06_badges", lambda s, d: L.license_badges(A.tracks(s, d)).select("id", "badges"), "SELECT id, list_filter([CASE WHEN license_nd THEN 'ND' END, CASE WHEN license_sa THEN 'SA' END, CASE WHEN license_nc THEN 'NC' END], lambda x: x IS NOT NULL) AS badges FROM tracks")
+query("l06_badges", lambda s, d: L.license_badges(A.tracks(s, d)).select("id", "badges"), "SELECT id, list_filter([CASE WHEN license_nd THEN 'ND' END, CASE WHEN license_sa THEN 'SA' END, CASE WHEN license_nc THEN 'NC' END], lambda x: x IS NOT NULL) AS badges FROM tracks", lists=("badges",))
 query("l07_refused", lambda s, d: L.gate_mixable(A.tracks(s, d))[1], "SELECT * REPLACE (false AS mixable, CAST(NULL AS VARCHAR) AS audio_key, 'ready' AS status) FROM tracks WHERE license_nd")
 query("l08_download_gate", lambda s, d: L.gate_download(A.raw_tracks(s, d).select("id", F.when(F.col("id").cast("long") % 3 > 0, F.col("id").cast("long") % 3 == 1).alias("audiodownload_allowed")))[1], "SELECT id, CASE WHEN CAST(id AS BIGINT) % 3 > 0 THEN CAST(id AS BIGINT) % 3 = 1 END AS audiodownload_allowed, 'download not allowed' AS reason FROM raw_tracks WHERE CAST(id AS BIGINT) % 3 <> 1")
 
@@ -90,8 +90,8 @@ query("l08_download_gate", lambda s, d: L.gate_download(A.raw_tracks(s, d).selec
 
 query("g01_band_of", lambda s, d: A.raw_tracks(s, d).select("id", X.band_of("native_bpm").alias("band")), "SELECT id, band FROM raw_tracks LEFT JOIN bands ON native_bpm >= lo - 0.5 AND native_bpm < hi + 0.5")
 query("g02_resolve_band", lambda s, d: A.tracks(s, d).select("id", X.resolve_band("genre", "native_bpm").alias("band")), "SELECT id, band FROM banded")
-query("g03_grid_points", lambda s, d: G.with_grid(A.tracks(s, d)).select("id", "grid"), "SELECT id, coalesce(list(g ORDER BY g) FILTER (WHERE abs(g / native_bpm - 1) <= 0.10), []) AS grid FROM banded LEFT JOIN points USING (band) GROUP BY id")
-query("g04_shared_grid", lambda s, d: _grid_pairs(s, d).select("a_id", "b_id", X.shared_grid("ga", "gb").alias("shared")), "SELECT a_id, b_id, list_sort(list_intersect(a.grid, b.grid)) AS shared FROM (SELECT id AS a_id, CAST(CAST(id AS BIGINT) * 7 % 1999 AS VARCHAR) AS b_id FROM raw_tracks) JOIN grids a ON a.id = a_id JOIN grids b ON b.id = b_id")
+query("g03_grid_points", lambda s, d: G.with_grid(A.tracks(s, d)).select("id", "grid"), "SELECT id, coalesce(list(g ORDER BY g) FILTER (WHERE abs(g / native_bpm - 1) <= 0.10), []) AS grid FROM banded LEFT JOIN points USING (band) GROUP BY id", lists=("grid",))
+query("g04_shared_grid", lambda s, d: _grid_pairs(s, d).select("a_id", "b_id", X.shared_grid("ga", "gb").alias("shared")), "SELECT a_id, b_id, list_sort(list_intersect(a.grid, b.grid)) AS shared FROM (SELECT id AS a_id, CAST(CAST(id AS BIGINT) * 7 % 1999 AS VARCHAR) AS b_id FROM raw_tracks) JOIN grids a ON a.id = a_id JOIN grids b ON b.id = b_id", lists=("shared",))
 query("g05_stretch_penalty", lambda s, d: A.variants(s, d).join(A.tracks(s, d), F.col("track_id") == F.col("id")).select("track_id", "grid_bpm", X.stretch_penalty("native_bpm", "grid_bpm").alias("penalty")), "SELECT track_id, grid_bpm, least(1.0, abs(grid_bpm / native_bpm - 1) / 0.10::DOUBLE) AS penalty FROM variants JOIN tracks ON id = track_id")
 query("g06_variant_plan", lambda s, d: A.variant_plan(s, d), "SELECT * FROM variant_plan")
 query("g07_missing_variants", lambda s, d: G.missing_variants(A.variant_plan(s, d), A.variants(s, d)), "SELECT * FROM variant_plan WHERE (CAST(track_id AS BIGINT) + grid_bpm) % 17 = 0")

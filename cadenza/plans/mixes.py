@@ -117,6 +117,7 @@ SELECT *, lag(out_start) OVER w AS in_start, lag(out_end) OVER w AS in_end FROM
 ZONES = ZONES.replace("CASE WHEN least", "CASE WHEN nxt IS NOT NULL AND least")
 query("c09_overlap_zones", lambda s, d: r(C.overlap_zones(entries(s, d)).select("id", "in_start", "in_end", "out_start", "out_end"), "in_start", "in_end", "out_start", "out_end"), "SELECT id, " + ", ".join(f"{R4(c, 6)} AS {c}" for c in ("in_start", "in_end", "out_start", "out_end")) + f" FROM ({ZONES})")
 GAIN = "coalesce(sin(CASE WHEN in_end > in_start THEN greatest(0.0, least(1.0, (t - in_start) / (in_end - in_start))) END * pi() / 2), 1.0) * coalesce(cos(CASE WHEN out_end > out_start THEN greatest(0.0, least(1.0, (t - out_start) / (out_end - out_start))) END * pi() / 2), 1.0)"
+query("c10_gain_at_end", lambda s, d: r(C.overlap_zones(entries(s, d)).select("id", X.gain_at(C.end() - 5.0, F.col("in_start"), F.col("in_end"), F.col("out_start"), F.col("out_end")).alias("gain")), "gain", digits=5), f"SELECT id, {R4(GAIN, 5)} AS gain FROM (SELECT *, offset_s + duration_s - 5.0::DOUBLE AS t FROM ({ZONES}))")
 query("c11_gain_curves", lambda s, d: r(C.gain_curves(C.overlap_zones(entries(s, d)), 8), "t", "gain", digits=5), f"SELECT mix_id, pos, k, {R4('t', 5)} AS t, {R4(GAIN, 5)} AS gain FROM (SELECT *, offset_s + duration_s * k / 7 AS t FROM ({ZONES}), (SELECT CAST(unnest(range(8)) AS INTEGER) AS k))")
 query("c12_active_nodes", lambda s, d: C.active_nodes(entries(s, d), 30.0, 120.0).select("id"), "SELECT id FROM chains WHERE offset_s <= 120 AND offset_s + duration_s > 30")
 query("c12_max_concurrency", lambda s, d: C.max_concurrency(entries(s, d)), """

@@ -159,6 +159,32 @@ SELECT track_id, seg_idx, CASE WHEN max(end_frame) OVER p < 16 THEN 'full' WHEN
 FROM (SELECT c.track_id, seg_idx, start_frame, end_frame, {R4('avg(rms)', 9)} AS e FROM cuts c JOIN frames f ON f.track_id = c.track_id AND f.frame_idx >= start_frame AND f.frame_idx < end_frame GROUP BY ALL) WINDOW p AS (PARTITION BY track_id)
 """, True)
 
+query("q06_track_segments", lambda s, d: _segments_of(s, d), f"SELECT * FROM ({SLICES}) WHERE track_id = '5'")
+query("q06_track_analysis", lambda s, d: _analysis_of(s, d), "SELECT '5' AS track_id, native_bpm AS bpm, n AS n_frames, n * 0.25::DOUBLE AS duration_s FROM lengths JOIN raw_tracks ON id = track_id WHERE track_id = '5'")
+query("q13_track_detail", lambda s, d: _detail(s, d), f"""
+SELECT t.id, name, status, coalesce(k, 0) AS n_segments, coalesce(CAST(ceil(n * 0.25::DOUBLE * native_bpm / 60.0::DOUBLE) AS INTEGER), 0) AS n_beats
+FROM tracks t LEFT JOIN (SELECT track_id, CAST(count(*) AS INTEGER) AS k FROM ({SLICES}) GROUP BY track_id) s ON s.track_id = t.id LEFT JOIN lengths l ON l.track_id = t.id
+""")
+
+
+def _segments_of(s, d):
+    from ..operators.catalog import track_segments
+
+    return track_segments(slices(s, d), "5")
+
+
+def _analysis_of(s, d):
+    from ..operators.catalog import track_analysis
+
+    return track_analysis(wide(s, d), "5").select("track_id", "bpm", "n_frames", "duration_s")
+
+
+def _detail(s, d):
+    from ..operators.catalog import track_detail
+
+    return track_detail(A.tracks(s, d), wide(s, d), slices(s, d)).select("id", "name", "status", F.size("segments").alias("n_segments"), F.size("beat_grid").alias("n_beats"))
+
+
 # matching
 
 
@@ -187,9 +213,11 @@ RECOMMEND = f"SELECT *, CAST(row_number() OVER (PARTITION BY a_id ORDER BY score
 query("r01_camelot", lambda s, d: _keys(s, d).select("a", "b", X.round_up_half(X.camelot_score("a", "b"), 4).alias("score")), f"""
 SELECT a, b, {R4(CAMELOT.format(a='a', b='b', d='(' + DIST.format(a='a', b='b') + ')'))} AS score FROM (SELECT DISTINCT x.camelot AS a, y.camelot AS b FROM (SELECT DISTINCT camelot FROM raw_tracks) x, (SELECT DISTINCT camelot FROM raw_tracks) y)
 """)
-query("r04_match_pairs", lambda s, d: R.match_pairs(R.candidate_pairs(scalars(s, d))), MATCHED)
-query("recommend_all", lambda s, d: R.recommend(scalars(s, d)), f"SELECT * FROM ({RECOMMEND}) WHERE rank <= 20")
-query("r05_recommend_some", lambda s, d: R.recommend(scalars(s, d), A.raw_tracks(s, d).filter("id IN ('4', '16', '40')").select("id"), 0), f"SELECT * FROM ({RECOMMEND}) WHERE a_id IN ('4', '16', '40')")
+query("r02_bpm_score", lambda s, d: _scored(s, d).select("a_id", "b_id", "s.grid", X.round_up_half(F.col("s.score"), 6).alias("score")), f"SELECT a_id, b_id, CAST(-m.g AS INTEGER) AS grid, {R4('m.s', 6)} AS score FROM ({PAIRS})")
+query("r03_energy_continuity", lambda s, d: R.candidate_pairs(scalars(s, d)).select("a_id", "b_id", X.round_up_half(X.energy_continuity("a_outro_rms", "b_intro_rms"), 6).alias("energy")), f"SELECT a_id, b_id, {R4('e', 6)} AS energy FROM ({PAIRS})")
+query("r04_match_pairs", lambda s, d: R.match_pairs(R.candidate_pairs(scalars(s, d))), MATCHED, lists=("shared_grid",))
+query("recommend_all", lambda s, d: R.recommend(scalars(s, d)), f"SELECT * FROM ({RECOMMEND}) WHERE rank <= 20", lists=("shared_grid",))
+query("r05_recommend_some", lambda s, d: R.recommend(scalars(s, d), A.raw_tracks(s, d).filter("id IN ('4', '16', '40')").select("id"), 0), f"SELECT * FROM ({RECOMMEND}) WHERE a_id IN ('4', '16', '40')", lists=("shared_grid",))
 query("r06_recommend_enriched", lambda s, d: _enriched(s, d), f"SELECT x.a_id, x.b_id, x.rank, t.name, t.artist, '“' || t.name || '” by ' || t.artist || ' — ' || t.license AS attribution, CASE WHEN t.id IS NULL THEN 120 ELSE 120 END AS n_points FROM ({RECOMMEND}) x LEFT JOIN (SELECT * FROM tracks WHERE status = 'ready') t ON t.id = x.b_id WHERE rank <= 5")
 query("r07_compatible_counts", lambda s, d: R.compatible_counts(A.tracks(s, d), A.variants(s, d)), "SELECT a.band, a.id, count(*) AS partners FROM banded a JOIN grids g ON g.id = a.id JOIN banded b ON b.band = a.band AND b.id <> a.id JOIN grids h ON h.id = b.id AND list_has_any(g.grid, h.grid) WHERE a.mixable AND b.mixable GROUP BY ALL")
 query("r08_scale_scores", lambda s, d: R.scale_scores(R.recommend(scalars(s, d)), ["a_id"]).select("a_id", "b_id", "percent", "scaled"), f"""
@@ -198,6 +226,10 @@ FROM (SELECT a_id, b_id, score, count(*) OVER p AS n, min(score) OVER p AS lo, m
 """)
 
 
+def _scored(s, d):
+    return R.candidate_pairs(scalars(s, d)).withColumn("g", X.shared_grid("a_grid", "b_grid")).withColumn("s", X.bpm_score("a_bpm", "b_bpm", "g"))
+
+
 def _keys(s, d):
     k = A.raw_tracks(s, d).select("camelot").distinct()
     return k.withColumnRenamed("camelot", "a").join(F.broadcast(k.withColumnRenamed("camelot", "b")))  # 24 x 24 keys
@@ -266,6 +298,8 @@ SELECT * EXCLUDE (place, k, rank), CAST(rank AS INTEGER) AS rank FROM (
     SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY score DESC, a_start_s, b_start_s) AS rank FROM (
         SELECT *, row_number() OVER (PARTITION BY a_id, b_id, place ORDER BY score DESC, a_start_s, b_start_s) AS k FROM (SELECT *, round_even(a_start_s * 10, 0) AS place FROM curves)) WHERE k = 1) WHERE rank <= 5
 """)
+query("t04_roles", lambda s, d: _roles(s, d), f"SELECT track_id, CAST(start AS INTEGER) AS start, CAST(coalesce(any_value(x.w), 1.0) AS DOUBLE) AS role FROM lengths JOIN (VALUES (0), (30), (1000)) v(start) ON n >= 5 LEFT JOIN ({SLICES}) g USING (track_id) LEFT JOIN exits x ON x.label = g.label AND start >= start_frame AND start < end_frame GROUP BY track_id, start")
+query("t08_windows", lambda s, d: _windows(s, d), f"SELECT a_id, b_id, best_grid_bpm, 8 AS window_bars, {R4('1920.0::DOUBLE / best_grid_bpm')} AS window_s FROM ({RECOMMEND}) WHERE rank <= 3")
 query("t09_mix_junctions", lambda s, d: T.mix_junctions(ordered_small(s, d), scalars(s, d), wide(s, d), slices(s, d)))
 
 
@@ -279,6 +313,16 @@ def curves(s, d):
     return T.transition_curves(R.recommend(scalars(s, d), k=3), wide(s, d), slices(s, d))
 
 
+def _roles(s, d):
+    """Roles at three frames; past the end the last segment (an outro) counts."""
+    lists = slices(s, d).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "label", "start_frame", "end_frame"))).alias("segs"))
+    return lists.withColumn("start", F.explode(F.array(F.lit(0), F.lit(30), F.lit(1000)))).select("track_id", "start", T.role_at(F.col("start"), "exit").alias("role"))
+
+
+def _windows(s, d):
+    return R.recommend(scalars(s, d), k=3).select("a_id", "b_id", "best_grid_bpm", F.lit(D.WINDOW_BARS).alias("window_bars"), T.window_seconds(F.col("best_grid_bpm")).alias("window_s"))
+
+
 def ordered_small(s, d):
     """Mixes whose tracks all have frames: every saved mix, its track ids brought into the range of the users."""
     from ..operators.chains import order_chains
