@@ -90,4 +90,27 @@ FROM u LEFT JOIN s ON u.page_id = s.page_id AND u.url = s.url LEFT JOIN m ON u.u
 """
 
 
-SQL = {"op4_passages": OP4, "op5_mixing": OP5, "op7_exact": OP7, "op8_urls": op8()}
+def op9() -> str:
+    from .quality import LIMITS, LINE_LIMIT
+
+    lengths = ", ".join(f"({n})" for n in (3, *LIMITS))
+    limits = " AND ".join(f"coalesce(c{n}, 0) / CAST(greatest(word_chars, 1) AS DOUBLE) <= {most}" for n, most in LIMITS.items())
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') AS s FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p FROM d, (VALUES {lengths}) AS x(n))),
+often AS (SELECT doc_id, n, p FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, n, s) > 1),
+inside AS (SELECT DISTINCT doc_id, n, unnest(range(p, p + n)) AS p FROM often),
+covered AS (SELECT doc_id, count(*) FILTER (WHERE n = 3) AS n_repeat, {", ".join(f"sum(length(w[p])) FILTER (WHERE n = {n}) AS c{n}" for n in LIMITS)} FROM inside JOIN d USING (doc_id) GROUP BY doc_id),
+lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS i FROM d),
+again AS (SELECT doc_id, line FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY i) > 1),
+repeats AS (SELECT doc_id, count(*) AS n_dup_lines, sum(length(line)) AS dup_chars FROM again GROUP BY doc_id),
+base AS (
+    SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+        CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words, coalesce(dup_chars, 0) / CAST(greatest(length(text), 1) AS DOUBLE) AS line_share, covered.* EXCLUDE (doc_id, n_repeat)
+    FROM d LEFT JOIN repeats USING (doc_id) LEFT JOIN covered USING (doc_id)),
+judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND line_share <= {LINE_LIMIT} AND {limits} AS kept FROM judged
+"""
+
+
+SQL = {"op9_quality": op9(), "op4_passages": OP4, "op5_mixing": OP5, "op7_exact": OP7, "op8_urls": op8()}
