@@ -1,7 +1,8 @@
 """Toxicity: averaged subword embeddings under a linear softmax, trained jointly in numpy.
 
 A word is its character n-grams between boundary marks, hashed to a fixed number of
-embedding rows; a text is the mean of the rows of all its n-grams. Embeddings and softmax
+embedding rows; a text is the mean of the rows of the n-grams of its words, each word weighing the
+root of its count. Embeddings and softmax
 are fitted together on a bounded sample of labelled rows. Misspelt and inflected forms share
 most n-grams with forms seen in training. Rows of n-grams never seen are zero, so unknown
 vocabulary moves no score.
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from .textarrays import BASE, Words, chunks, mix, sums
 
 ROWS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
+#: Zero rows that join every mean, so that a handful of words does not decide alone.
+NEUTRAL = 100
 #: Bounds of the training sample: labelled rows of class 1 and of class 0.
-SAMPLE_ROWS = (1500, 4500)
-EPOCHS, BATCH, RATE, SEED = 10, 32, 0.5, 7
+SAMPLE_ROWS = (1000, 3000)
+EPOCHS, BATCH, RATE, SEED = 10, 32, 3.0, 7
 
 
 def ngram_rows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,8 +68,10 @@ class Model:
         which, rows, first = ngram_rows(words)
         part = sums(self.value[rows].astype(np.float64), first)
         n = np.diff(first)
-        total, count = sums(part[which], words.first), sums(n[which], words.first)
-        return 1 / (1 + np.exp(-np.clip(total / np.maximum(count, 1) + self.bias, -60, 60)))
+        distinct, times = np.unique(words.doc * max(len(n), 1) + which, return_counts=True)
+        doc, word = np.divmod(distinct, max(len(n), 1))
+        total, count = (np.bincount(doc, weights=x[word] * np.sqrt(times), minlength=len(words.first) - 1) for x in (part, n))
+        return 1 / (1 + np.exp(-np.clip(total / (count + NEUTRAL) + self.bias, -60, 60)))
 
 
 def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float = RATE) -> Model:
@@ -81,8 +86,8 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
             n = first[own + 1] - first[own]
             at = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
             ids, place = np.unique(rows[at], return_inverse=True)
-            share = np.bincount(place, weights=np.repeat(times, n).astype(float)) if len(ids) else np.zeros(0)
-            docs.append((ids, (share / max(share.sum(), 1)).astype(np.float32)))
+            share = np.bincount(place, weights=np.repeat(np.sqrt(times), n)) if len(ids) else np.zeros(0)
+            docs.append((ids, (share / (share.sum() + NEUTRAL)).astype(np.float32)))
     y = labels.astype(int)
     vectors = np.zeros((ROWS, DIM), np.float32)
     softmax = rng.normal(0, 1 / np.sqrt(DIM), (DIM, 2)).astype(np.float32)
