@@ -113,4 +113,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 """
 
 
-SQL = {"op9_quality": op9(), "op4_passages": OP4, "op5_mixing": OP5, "op7_exact": OP7, "op8_urls": op8()}
+def op2() -> str:
+    from .licences import CUES, FILE_WORDS, LEAST_COSINE, LONGEST_LINE, TEMPLATES, TERM
+
+    wordings = ", ".join(f"({i}, '{licence}', '{wording}')" for i, (licence, wording) in enumerate(TEMPLATES))
+    terms = lambda x: f"unnest(regexp_extract_all(lower({x}), '{TERM}'))"
+    return f"""
+WITH d AS (SELECT doc_id, concat_ws('/', source, lang) AS directory, coalesce(text, '') AS text FROM documents),
+wordings(template, licence, wording) AS (VALUES {wordings}),
+terms AS (SELECT template, licence, term, count(*) AS n FROM (SELECT template, licence, {terms('wording')} AS term FROM wordings) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, {terms('text')} AS term FROM d) WHERE term IN (SELECT term FROM terms) GROUP BY term),
+idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / (1.0::DOUBLE + coalesce(df, 0))) + 1.0::DOUBLE AS idf FROM (SELECT DISTINCT term FROM terms) LEFT JOIN df USING (term)),
+cues AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{CUES}') AND length(line) <= {LONGEST_LINE}),
+vectors AS (SELECT template, licence, term, n * idf AS t FROM terms JOIN idf USING (term)),
+own AS (SELECT line, term, n * coalesce(idf, ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / 2.0::DOUBLE) + 1.0::DOUBLE) AS w FROM (SELECT line, term, count(*) AS n FROM (SELECT line, {terms('line')} AS term FROM (SELECT DISTINCT line FROM cues)) GROUP BY ALL) LEFT JOIN idf USING (term)),
+scored AS (
+    SELECT line, licence, round(sum(w * t) / (any_value(a.size) * any_value(b.size)), 9) AS cosine
+    FROM own JOIN vectors USING (term) JOIN (SELECT line, sqrt(sum(w * w)) AS size FROM own GROUP BY line) a USING (line) JOIN (SELECT template, sqrt(sum(t * t)) AS size FROM vectors GROUP BY template) b USING (template) GROUP BY line, template, licence),
+judged AS (
+    SELECT d.doc_id, directory, b.licence AS own, -b.c AS cosine, len(regexp_split_to_array(trim(text), '\\s+')) <= {FILE_WORDS} AS short
+    FROM d LEFT JOIN (SELECT doc_id, min(struct_pack(c := -cosine, licence := licence)) AS b FROM cues JOIN scored USING (line) WHERE cosine >= {LEAST_COSINE} GROUP BY doc_id) USING (doc_id)),
+granted AS (SELECT directory AS g, min(struct_pack(c := -cosine, i := doc_id, own := own)).own AS given FROM judged WHERE own IS NOT NULL AND short GROUP BY directory),
+nearest AS (SELECT directory, arg_max(struct_pack(g := g, given := given), length(g)) AS n FROM (SELECT DISTINCT directory FROM d) JOIN granted ON directory = g OR starts_with(directory, g || '/') OR g = '' GROUP BY directory)
+SELECT doc_id, directory, coalesce(own, n.given) AS licence, cosine, CASE WHEN own IS NOT NULL THEN CASE WHEN short THEN 'file' ELSE 'header' END WHEN n IS NOT NULL THEN 'inherited' ELSE 'none' END AS how, CASE WHEN own IS NULL THEN n.g END AS from_directory
+FROM judged LEFT JOIN nearest USING (directory)
+"""
+
+
+SQL = {"op2_licences": op2(), "op9_quality": op9(), "op4_passages": OP4, "op5_mixing": OP5, "op7_exact": OP7, "op8_urls": op8()}
