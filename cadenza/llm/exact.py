@@ -128,6 +128,7 @@ def exact_duplicates(digests: DataFrame, history: DataFrame | None = None) -> Da
         untouched = old.join(new, "digest", "left_anti").select("digest", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"))
         groups = found.union(untouched)
         rows = digests.union(history)
+    groups = stage(groups, "groups")  # so that the join can split a digest that very many documents have
     return rows.join(groups, "digest").select(
         "doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
