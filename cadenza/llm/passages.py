@@ -87,39 +87,45 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([signed(route), signed(key), pa.array(doc), pa.array(state)], ["route", "key", "doc_id", "state"])
 
 
-def _grouped(batches: Iterable[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of consecutive rows, cut only between rows that differ in a key. Rows come sorted by the keys."""
-    rest: dict[str, np.ndarray] | None = None
+def _columns(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        cols = {n: batch.column(n).to_numpy() for n in batch.schema.names}
-        if rest is not None:
-            cols = {n: np.concatenate([rest[n], v]) for n, v in cols.items()}
-        change = np.zeros(len(cols[keys[0]]) - 1, bool)
-        for k in keys:
-            change |= cols[k][1:] != cols[k][:-1]
-        cuts = np.flatnonzero(change)
-        cut = cuts[-1] + 1 if len(cuts) else 0
-        if cut:
-            yield {n: v[:cut] for n, v in cols.items()}
-        rest = {n: v[cut:] for n, v in cols.items()}
-    if rest is not None:
-        yield rest
+        if batch.num_rows:
+            yield {n: batch.column(n).to_numpy() for n in batch.schema.names}
+
+
+def _after(rest: dict[str, np.ndarray] | None, cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return cols if rest is None else {n: np.concatenate([rest[n], v]) for n, v in cols.items()}
+
+
+def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of runs of equal keys, and the run of each row."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = False
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    return np.flatnonzero(new), np.cumsum(new) - 1
 
 
 def _recurring_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key) of every anchor that another document has too."""
-    for c in _grouped(batches, ("route",)):
-        route, doc, state = c["route"], c["doc_id"], c["state"]
-        start = np.flatnonzero(np.r_[True, route[1:] != route[:-1]])
-        group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(route)]))
-        alone = state == ALONE
-        low = np.minimum.reduceat(np.where(alone, doc, np.iinfo(np.int64).max), start)
-        high = np.maximum.reduceat(np.where(alone, doc, -1), start)
-        told = np.maximum.reduceat((state == SHARED).astype(np.int8), start) > 0
-        take = (state == KNOWN) | (alone & ((low != high) | told)[group])
-        yield pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(c["key"][take])], ["doc_id", "key"])
+    """(doc_id, key) of every anchor that another document has too, of rows sorted by route.
+
+    Of an anchor whose rows go on in the next batch only what decides them is kept."""
+    rest = None
+    for cols in _columns(batches):
+        c = _after(rest, cols)
+        start, group = _groups(c["route"])
+        alone = c["state"] == ALONE
+        low = np.minimum.reduceat(np.where(alone, c["doc_id"], np.iinfo(np.int64).max), start)
+        high = np.maximum.reduceat(np.where(alone, c["doc_id"], -1), start)
+        recurs = ((low != high) & (high >= 0)) | (np.maximum.reduceat((c["state"] == SHARED).astype(np.int8), start) > 0)
+        take = (c["state"] == KNOWN) | (alone & recurs[group])
+        last = np.flatnonzero(group == group[-1])
+        if recurs[-1]:
+            rest = {n: v[last[:1]].copy() for n, v in c.items()}
+            rest["doc_id"][:], rest["state"][:] = -1, SHARED
+        else:
+            rest = {n: v[last[alone[last]]] for n, v in c.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(c["doc_id"][take]), pa.array(c["key"][take])], ["doc_id", "key"])
 
 
 def _hints(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -151,15 +157,18 @@ def _window_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _recurring_windows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, key, first) of every window that starts in a document with a smaller id too."""
-    for c in _grouped(batches, ("route", "more")):
-        route, more, doc, first, state = (c[k] for k in ("route", "more", "doc_id", "first", "state"))
-        start = np.flatnonzero(np.r_[True, (route[1:] != route[:-1]) | (more[1:] != more[:-1])])
-        group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(route)]))
-        alone = state == ALONE
-        low = np.minimum.reduceat(np.where(alone, doc, np.iinfo(np.int64).max), start)[group]
-        take = ~alone | (low < doc)
-        yield pa.RecordBatch.from_arrays([pa.array(doc[take]), pa.array(c["key"][take]), pa.array(np.where(alone, low, first)[take])], ["doc_id", "key", "first"])
+    """(doc_id, key, first) of every window that starts in a document with a smaller id too, of rows
+    sorted by route, more and doc_id: a window's first row has its first document, and is all that is kept of it."""
+    rest = None
+    for cols in _columns(batches):
+        c = _after(rest, cols)
+        start, group = _groups(c["route"], c["more"])
+        alone = c["state"] == ALONE
+        low = np.minimum.reduceat(np.where(alone, c["doc_id"], np.iinfo(np.int64).max), start)[group]
+        take = ~alone | (low < c["doc_id"])
+        last = np.flatnonzero((group == group[-1]) & alone)[:1]
+        rest = {n: v[last] for n, v in c.items()}
+        yield pa.RecordBatch.from_arrays([pa.array(c["doc_id"][take]), pa.array(c["key"][take]), pa.array(np.where(alone, low, c["first"])[take])], ["doc_id", "key", "first"])
 
 
 def block_automaton(passages: dict[str, int]):
@@ -268,7 +277,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
         dealt.join(hints, "doc_id")
         .mapInArrow(_window_rows, "route long, key long, more long, doc_id long, first long, state byte")
         .repartition("route")
-        .sortWithinPartitions("route", "more")
+        .sortWithinPartitions("route", "more", "doc_id")
         .mapInArrow(_recurring_windows, "doc_id long, key long, first long")
         .groupBy("doc_id")
         .agg(F.collect_list(F.struct("key", "first")).alias("w"))

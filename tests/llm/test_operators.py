@@ -517,3 +517,20 @@ def test_pipeline_stages_are_the_brute_force_ones(spark):
         else:
             assert Counter(r.doc_id for r in has if r.piece == 0) == Counter(r.doc_id for r in had)
         before = after
+
+
+def test_passages_are_found_whatever_the_batches(spark):
+    rng = np.random.default_rng(2)
+    n = 400
+    route = np.sort(rng.integers(0, 12, n))
+    doc, state = rng.integers(0, 6, n), rng.choice([passages.ALONE, passages.SHARED], n, p=[0.95, 0.05]).astype(np.int8)
+    doc[state == passages.SHARED] = -1
+    more = rng.integers(0, 2, n)
+    order = np.lexsort((doc, more, route))
+    plain = {"route": route, "key": route * 7, "doc_id": doc, "state": state}
+    windows = {"route": route[order], "key": route[order], "more": more[order], "doc_id": np.abs(doc[order]), "first": np.zeros(n, np.int64), "state": np.zeros(n, np.int8)}
+    windows = {k: v[np.lexsort((windows["doc_id"], windows["more"], windows["route"]))] for k, v in windows.items()}
+    for f, c in ((passages._recurring_anchors, plain), (passages._recurring_windows, windows)):
+        whole = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in c.items()})
+        found = [sorted(map(tuple, (r.values() for b in f([whole.slice(i, k) for i in range(0, n, k)]) for r in b.to_pylist()))) for k in (n, 1, 3, 50)]
+        assert found[0] and all(x == found[0] for x in found)
