@@ -92,8 +92,10 @@ def _with_sets(n: int):
             size = np.diff(units.offsets.to_numpy())
             row = np.repeat(np.arange(len(good)), size)
             flat = units.flatten()
-            for at in range(0, len(row), 64):
-                part, where = pa.array(row[at : at + 64]), flat.slice(at, 64)
+            heavy = np.cumsum(8 * np.diff(first)[good][row]) // 4_000_000  # bytes of sets in one batch
+            cuts = np.r_[0, np.flatnonzero(np.diff(heavy)) + 1, len(row)]
+            for at, to in zip(cuts[:-1], cuts[1:], strict=True):
+                part, where = pa.array(row[at:to]), flat.slice(int(at), int(to - at))
                 yield pa.RecordBatch.from_arrays(
                     [*(where.field(k) for k in ("band", "bucket", "lo", "hi", "block")), *(kept.column(k).take(part) for k in ("rep", "members", "bands")), sets.take(part)],
                     ["band", "bucket", "lo", "hi", "block", "rep", "members", "bands", "shingles"],
