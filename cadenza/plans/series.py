@@ -189,7 +189,8 @@ def _detail(s, d):
 
 
 def scalars(s, d):
-    return R.track_scalars(A.tracks(s, d), A.variants(s, d), slices(s, d), A.frames(s, d))
+    """One narrow row per track; kept while the session lasts, as both sides of every pair join read it."""
+    return R.track_scalars(A.tracks(s, d), A.variants(s, d), slices(s, d), A.frames(s, d)).persist()
 
 
 SCALARS = f"""
@@ -310,7 +311,8 @@ def _sides(s, d):
 
 def curves(s, d):
     """Curves of the three best recommendations of every track."""
-    return T.transition_curves(R.recommend(scalars(s, d), k=3), wide(s, d), slices(s, d))
+    recs = R.recommend(scalars(s, d), k=3).select("a_id", "b_id", "best_grid_bpm").persist()  # read for either side and for the pairs
+    return T.transition_curves(recs, wide(s, d), slices(s, d))
 
 
 def _roles(s, d):
