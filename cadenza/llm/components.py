@@ -13,7 +13,7 @@ MOST_ROUNDS = 60
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every node hands its smallest neighbour (or itself) to its larger neighbours."""
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
+    low = stage(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low")), "lows")  # so that a join on a node with very many edges can be split
     return both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b").distinct()
 
 
