@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import stage
+
 #: (host, path, verdict): holds for the host and its subdomains where the path starts so. Fixed by the task.
 SITE_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 #: (rule, pattern, literal tokens of every match, verdict, priority). Patterns see the URL in lower case.
@@ -60,8 +62,7 @@ def tokens_of(url: Column) -> Column:
 def rarest_token_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """``rules`` with ``token``, the literal token that the fewest of ``urls (url)`` hold; ties by name."""
     named = rules.select("pattern_rule", F.explode("tokens").alias("token"))
-    wanted = named.select("token").distinct()
-    seen = urls.select(F.explode(tokens_of(F.col("url"))).alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    seen = urls.select(F.explode(tokens_of(F.col("url"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))  # combined before any shuffle
     rarest = named.join(seen, "token", "left").groupBy("pattern_rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("r"))
     return rules.join(rarest.select("pattern_rule", F.col("r.token").alias("token")), "pattern_rule")
 
@@ -78,7 +79,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, site_rules: list[tuple[str,
     empty table gives an empty result; other columns are ignored.
     """
     pages = pages.select("page_id", "url")
-    index = rarest_token_index(pages, rules)
+    index = stage(rarest_token_index(pages, rules), "rule-index")  # written, so that its size is known before it is joined
     # equal URLs are judged once; rules fetched by their tokens are the only ones that run
     texts = pages.select("url").filter("url IS NOT NULL").distinct()
     fetched = texts.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(index, "token")
