@@ -78,7 +78,7 @@ def fit(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float
     """Jointly fitted embeddings and softmax (adaptive gradient steps on the mean log loss)."""
     rng = np.random.default_rng(SEED)
     docs: list[tuple[np.ndarray, np.ndarray]] = []
-    for batch in chunks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])]):
+    for batch in chunks([pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])], most=200_000):
         words = Words(batch.column("text"), lower=True)
         which, rows, first = ngram_rows(words)
         for i in range(batch.num_rows):
