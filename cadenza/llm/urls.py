@@ -1,8 +1,10 @@
 """URL filters: pattern rules indexed by their rarest literal token. DataFrame operations only.
 
-Every pattern rule names the literal tokens that a matching URL must hold. The tokens of all
-URLs are counted, each rule is filed under its rarest one, and a URL fetches the rules filed
-under its own tokens; only those run their regular expression.
+Every pattern rule names literals that a matching URL must hold, as a token or inside one
+(``sessid`` is in ``phpsessid``). The tokens of all URLs are counted and the distinct ones
+searched for the literals, each rule is filed under its rarest literal, and a URL fetches the
+rules filed under what its own tokens hold; only those run their regular expression. Rules
+without a literal run on every distinct URL.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from .scratch import stage
 
 #: (host, path, verdict): holds for the host and its subdomains where the path starts so. Fixed by the task.
 SITE_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: (rule, pattern, literal tokens of every match, verdict, priority). Patterns see the URL in lower case.
+#: (rule, pattern, literals that every match holds in its tokens, verdict, priority). Patterns see the URL in lower case.
 PATTERN_RULES = [
     ("casino hosts", r"://([^/?#]*\.)?casino-[a-z0-9-]+\.", ["casino"], "block", 3),
     ("pills hosts", r"://([^/?#]*\.)?[a-z0-9-]*cheap-pills\.", ["cheap", "pills"], "block", 3),
@@ -59,12 +61,28 @@ def tokens_of(url: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(F.coalesce(url, F.lit(""))), "[^a-z0-9]+"), lambda x: x != ""))
 
 
-def rarest_token_index(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """``rules`` with ``token``, the literal token that the fewest of ``urls (url)`` hold; ties by name."""
-    named = rules.select("pattern_rule", F.explode("tokens").alias("token"))
+def _literals(rules: DataFrame) -> DataFrame:
+    """``pattern_rule, literal``: what a token can hold; other literals say nothing about tokens."""
+    return rules.select("pattern_rule", F.explode("tokens").alias("literal")).filter(F.col("literal").rlike("^[a-z0-9]+$"))
+
+
+def held_literals(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """``token, literal, n``: the tokens of ``urls (url)`` in which a literal of ``rules`` lies, and how many rows hold the token."""
+    literals = _literals(rules).select("literal").distinct()
+    sizes = sorted(r[0] for r in literals.select(F.length("literal")).distinct().collect())  # at most as many as the longest literal has letters
     seen = urls.select(F.explode(tokens_of(F.col("url"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))  # combined before any shuffle
-    rarest = named.join(seen, "token", "left").groupBy("pattern_rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("r"))
-    return rules.join(rarest.select("pattern_rule", F.col("r.token").alias("token")), "pattern_rule")
+    cuts = [F.expr(f"CASE WHEN length(token) >= {k} THEN transform(sequence(1, length(token) - {k - 1}), i -> substring(token, i, {k})) ELSE array() END") for k in sizes]
+    parts = F.array_distinct(F.concat(*cuts)) if cuts else F.array().cast("array<string>")
+    return seen.select("token", "n", F.explode(parts).alias("literal")).join(literals, "literal").select("token", "literal", "n")
+
+
+def rarest_token_index(urls: DataFrame, rules: DataFrame, held: DataFrame | None = None) -> DataFrame:
+    """``rules`` with ``token``, the literal that the fewest tokens of ``urls (url)`` hold; ties by name, null for a rule without one.
+
+    ``held`` is the table of :func:`held_literals`, if it is there already."""
+    seen = (held_literals(urls, rules) if held is None else held).groupBy("literal").agg(F.sum("n").alias("n"))
+    rarest = _literals(rules).join(seen, "literal", "left").groupBy("pattern_rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "literal")).alias("r"))
+    return rules.join(rarest.select("pattern_rule", F.col("r.literal").alias("token")), "pattern_rule", "left")
 
 
 def filter_urls(pages: DataFrame, rules: DataFrame, site_rules: list[tuple[str, str, str]] = SITE_RULES, default: str = DEFAULT) -> DataFrame:
@@ -79,11 +97,15 @@ def filter_urls(pages: DataFrame, rules: DataFrame, site_rules: list[tuple[str,
     empty table gives an empty result; other columns are ignored.
     """
     pages = pages.select("page_id", "url")
-    index = stage(rarest_token_index(pages, rules), "rule-index")  # written, so that its size is known before it is joined
+    held = stage(held_literals(pages, rules), "held-literals")
+    # written, so that their sizes are known before they are joined
+    index = stage(rarest_token_index(pages, rules, held), "rule-index")
+    filed = stage(held.select("token", "literal").join(index.withColumnRenamed("token", "literal"), "literal").drop("literal", "tokens"), "rules-by-token")
     # equal URLs are judged once; rules fetched by their tokens are the only ones that run
     texts = pages.select("url").filter("url IS NOT NULL").distinct()
-    fetched = texts.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(index, "token")
-    matched = fetched.filter(F.expr("lower(url) RLIKE pattern"))
+    fetched = texts.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(filed, "token").drop("token")
+    always = texts.crossJoin(index.filter("token IS NULL").drop("token", "tokens"))
+    matched = fetched.unionByName(always).filter(F.expr("lower(url) RLIKE pattern"))
     best = matched.groupBy("url").agg(F.max_by(F.struct("pattern_rule", "pattern_verdict"), F.struct("priority", "pattern_rule")).alias("p"))
     judged = pages.join(best, "url", "left").withColumn("host", host_of()).withColumn("path", path_of())
     site = site_rule(F.col("host"), F.col("path"), site_rules)

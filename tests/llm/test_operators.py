@@ -421,6 +421,21 @@ def test_urls(spark):
     assert urls.filter_urls(table.limit(0), urls.rule_table(spark)).count() == 0
 
 
+def test_urls_with_literals_inside_tokens(spark):
+    rows = ["http://a.com/?PHPSESSID=1", "http://a.com/?sessid=1", "http://x-pokerstars.com/", "http://bestcheap-pills.com/", "http://cheap.a/", "http://cheap.b/", "http://a.com/pokerstars", "http://a.com/zzz"]
+    table = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    # rules without a literal that tokens can hold run on all URLs
+    rules = [*urls.PATTERN_RULES, ("no literal", "z{3}$", [], "block", 1), ("odd literal", "/[?]phps", ["/?"], "block", 9)]
+    got = {r["page_id"]: (r["pattern_rule"], r["verdict"]) for r in as_rows(urls.filter_urls(table, urls.rule_table(spark, rules)))}
+    for i, u in enumerate(rows):
+        hits = [(k, n, v) for n, p, _, v, k in rules if re.search(p, u.lower())]
+        assert got[i] == (max(hits)[1:] if hits else (None, "allow"))
+    plain = as_rows(urls.filter_urls(table, urls.rule_table(spark)))
+    assert {r["pattern_rule"] for r in plain if r["verdict"] == "block"} == {"session ids", "poker hosts", "pills hosts"}
+    assert sum(r["verdict"] == "block" for r in plain) == 4
+    assert {r["page_id"] for r in as_rows(urls.filter_urls(table, urls.rule_table(spark, []))) if r["verdict"] == "allow"} == set(range(len(rows)))
+
+
 # 9
 
 
