@@ -29,7 +29,9 @@ HEX = re.compile("[0-9a-f]+")
 LEAST = {"assign": 12, "access": 18, "hex": 16}
 KINDS = ("assign", "access", "hex", "owned")
 
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=.-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=.-])")
+#: Dots inside belong to a candidate (header.payload.signature); dots around it, and marks after these, are punctuation.
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=.-]{20})[A-Za-z0-9+/_=-]+(?:\.+[+/_=-]*[A-Za-z0-9][A-Za-z0-9+/_=-]*)*")
+LEAST_CANDIDATE = 20
 #: A live-looking string: characters of three classes (two for the first 40 or more), and bits per character at least so.
 LEAST_ENTROPY = 3.5
 #: At most so many owners and repositories hold an owner-specific string.
@@ -58,7 +60,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def other_candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Random-looking strings that no pattern span touches."""
-    found = [(3, *m.span(), m[0]) for m in CANDIDATE.finditer(text) if looks_random(m[0])]
+    found = [(3, *m.span(), m[0]) for m in CANDIDATE.finditer(text) if m.end() - m.start() >= LEAST_CANDIDATE and looks_random(m[0])]
     return [c for c in found if all(c[2] <= s[1] or c[1] >= s[2] for s in taken)]
 
 

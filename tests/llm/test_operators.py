@@ -101,6 +101,20 @@ def test_secrets(spark, edge, empty):
     assert secrets.find_secrets(empty, empty["source"], empty["lang"]).count() == 0
 
 
+def test_secrets_at_full_stops(spark, edge):
+    key = "aB3dE5fG7hI9kL1mN3pQ"
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0In0.dBjftJeZ4CVP-mB92K27uhbUJU1p1r_wW1gFWFOEjXk"
+    rows = [
+        (1, f"the key is {key}. Next", "en", "a"), (2, f"({jwt}).", "en", "a"), (3, f"...{key[::-1]}... and x.{key[:12]}.", "en", "a"),
+        (4, "copied Zx9Qw8Er7Ty6Ui5Op4As3", "en", "b"), (5, "Zx9Qw8Er7Ty6Ui5Op4As3.-- see", "en", "c"), (6, "an end. " * 9 + "." * 40, "en", "c"),
+    ]
+    table = spark.createDataFrame([(*r, 0, 0.0, 0) for r in rows], edge.schema)
+    got = {r["doc_id"]: r for r in as_rows(secrets.find_secrets(table, table["source"], table["lang"]))}
+    assert got[1]["spans"] == f"owned:11:{11 + len(key)}" and got[2]["spans"] == f"owned:1:{1 + len(jwt)}" and got[3]["spans"] == f"owned:3:{3 + len(key)}"
+    # the same string with and without a full stop is one string of two owners
+    assert all((got[i]["n_owned"], got[i]["n_example"]) == (0, 1) for i in (4, 5)) and got[6]["spans"] == ""
+
+
 # 2
 
 
