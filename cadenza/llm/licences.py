@@ -5,12 +5,15 @@ Lines that hold a licence cue are compared with templates; equal lines are compa
 Inverse document frequencies of template terms are counted over all documents; a term
 outside the templates weighs as one that a single document holds. A document with such a
 line has that licence. A short document with such a line is a licence file and speaks for
-its directory; documents without a licence of their own inherit that of the nearest
-directory above them that has a licence file.
+its directory, and so is a document of any length whose whole text is close to that of a
+licence; documents without a licence of their own inherit that of the nearest directory
+above them that has a licence file.
 """
 
 from __future__ import annotations
 
+import pkgutil
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +43,13 @@ TEMPLATES = [
 CUES = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|permission to use|public domain|redistribution and use|all rights reserved"
 TERM = "[a-z]+|[0-9]+(?:[.][0-9]+)*"
 LEAST_COSINE, FILE_WORDS, LONGEST_LINE = 0.5, 150, 2_000
+#: Licences whose full text is in ``licence_texts``, and the cosine from which on a document is that text.
+FULL_TEXTS = ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MIT", "MPL-2.0")
+LEAST_FULL_COSINE = 0.8
+
+
+def full_texts() -> list[tuple[str, str]]:
+    return [(name, pkgutil.get_data(__package__, f"licence_texts/{name}.txt").decode()) for name in FULL_TEXTS]
 
 
 def terms(text: Column) -> Column:
@@ -52,15 +62,16 @@ def template_terms(spark, templates: list[tuple[str, str]] = TEMPLATES) -> DataF
     return table.select("template", "licence", F.explode(terms(F.col("wording"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("n"))
 
 
-def cosines(lines: DataFrame, templates: DataFrame, weights: DataFrame, unknown: Column) -> DataFrame:
+def cosines(lines: DataFrame, templates: DataFrame, weights: DataFrame, unknown: Column, text: str = "line") -> DataFrame:
     """``line, licence, cosine`` of the best template for each of the distinct ``lines (line)``.
 
+    ``text`` is the column with what is compared, if ``line`` is only a key of it.
     ``weights (term, idf)`` covers the terms of ``templates``; other terms weigh ``unknown``.
     Ties go to the licence that comes first by name.
     """
     vectors = templates.join(weights, "term").select("template", "licence", "term", (F.col("n") * F.col("idf")).alias("t"))
     lengths = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("t_length"))
-    own = lines.select("line", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("n"))
+    own = lines.select("line", F.explode(terms(F.col(text))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("n"))
     own = own.join(weights, "term", "left").select("line", "term", (F.col("n") * F.coalesce("idf", unknown)).alias("w"))
     size = own.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = own.join(vectors, "term").groupBy("line", "template", "licence").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
@@ -90,7 +101,7 @@ def scan_licences(docs: DataFrame, directory: Column, templates: list[tuple[str,
 
     ``directory`` is a column over ``docs``, parts joined by ``/``. ``how`` is ``file`` or
     ``header`` (an own line reaches ``least``), ``inherited`` or ``none``. The best line of a
-    document counts; of the licence files of a directory the best one does, ties to the
+    document counts, or the licence whose full text the document is; of the licence files of a directory the best one does, ties to the
     smallest id.
 
     * null and empty texts have no lines and can inherit; a null directory is the root
@@ -99,13 +110,17 @@ def scan_licences(docs: DataFrame, directory: Column, templates: list[tuple[str,
     * rows that repeat id and text get the same answer each; an empty table gives an empty result
     """
     spark = docs.sparkSession
-    table = template_terms(spark, templates)
-    known = F.array(*(F.lit(r["term"]) for r in table.select("term").distinct().orderBy("term").collect()))  # bounded by the templates
+    table, full = template_terms(spark, templates), template_terms(spark, full_texts())
+    both = table.select("term").union(full.select("term")).distinct()
+    known = [r["term"] for r in both.orderBy("term").collect()]  # bounded by the templates
     text = F.coalesce(docs["text"], F.lit(""))
+    words = F.size(F.split(F.trim(text), r"\s+"))
+    long = text.rlike(CUES) & (words > FILE_WORDS)  # every full text holds a cue
     rows = stage(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(directory.cast("string"), F.lit("")).alias("directory"),
-            F.array_intersect(terms(text), known).alias("found"), F.size(F.split(F.trim(text), r"\s+")).alias("words"),
+            F.filter(F.array_distinct(terms(text)), lambda x: x.isin(known)).alias("found"), words.alias("words"),
+            F.when(long, text).alias("whole"), F.when(long, F.sha2(text, 256)).alias("key"),
             F.when(text.rlike(CUES), F.array_distinct(F.filter(F.split(text, "\n"), lambda x: x.rlike(CUES) & (F.length(x) <= LONGEST_LINE)))).otherwise(F.array().cast("array<string>")).alias("lines"),
         ),
         "lines",
@@ -113,23 +128,35 @@ def scan_licences(docs: DataFrame, directory: Column, templates: list[tuple[str,
     n = rows.count()
     idf = lambda df: F.log((1.0 + F.lit(n)) / (1.0 + df)) + 1.0
     counted = rows.select(F.explode("found").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    weights = table.select("term").distinct().join(counted, "term", "left").select("term", idf(F.coalesce("df", F.lit(0))).alias("idf"))
+    weights_of = lambda table: table.select("term").distinct().join(counted, "term", "left").select("term", idf(F.coalesce("df", F.lit(0))).alias("idf"))
+    weights = weights_of(table)
     each = rows.filter("size(lines) > 0").withColumn("line", F.explode("lines")).select("doc_id", "directory", "words", "lines", "line")
     scored = stage(cosines(each.select("line").distinct(), table, weights, idf(F.lit(1))).filter(F.col("cosine") >= least), "cosines")
     # documents with the same lines have the same best line; most have none and take no part in the join
     best = each.select("lines", "line").distinct().join(scored, "line").groupBy("lines").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
     best = stage(best.withColumnRenamed("lines", "__lines"), "best-lines")
+    # distinct texts of more than FILE_WORDS words that are a licence
+    whole = rows.filter("key IS NOT NULL").groupBy(F.col("key").alias("line")).agg(F.first("whole").alias("whole"))
+    whole = cosines(whole, full, weights_of(full), idf(F.lit(1)), "whole").filter(F.col("cosine") >= LEAST_FULL_COSINE)
+    whole = stage(whole.select(F.col("line").alias("__key"), F.col("licence").alias("full"), F.col("cosine").alias("full_cosine")), "full-texts")
     short = (F.col("words") <= FILE_WORDS).alias("short")
-    own = (
+    noticed = (
         rows.filter("size(lines) > 0")
         .join(best, F.col("lines") == F.col("__lines"), "left")
-        .select("doc_id", "directory", F.col("b.licence").alias("own"), (-F.col("b.c")).alias("cosine"), short)
-        .union(rows.filter("size(lines) = 0").select("doc_id", "directory", F.lit(None).cast("string"), F.lit(None).cast("double"), short))
+        .select("doc_id", "directory", F.col("b.licence").alias("own"), (-F.col("b.c")).alias("cosine"), short, "key")
+        .union(rows.filter("size(lines) = 0").select("doc_id", "directory", F.lit(None).cast("string"), F.lit(None).cast("double"), short, "key"))
+    )
+    own = (
+        noticed.filter("key IS NOT NULL")
+        .join(whole, F.col("key") == F.col("__key"), "left")
+        .select("doc_id", "directory", F.coalesce("full", "own").alias("own"), F.coalesce("full_cosine", "cosine").alias("cosine"), F.col("full").isNotNull().alias("short"))
+        .union(noticed.filter("key IS NULL").select("doc_id", "directory", "own", "cosine", "short"))
+        .withColumnRenamed("short", "is_file")
     )
-    files = own.filter("own IS NOT NULL AND short").groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "own")).alias("f"))
+    files = own.filter("own IS NOT NULL AND is_file").groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "own")).alias("f"))
     granted = files.select("directory", F.col("f.own").alias("licence"))
     given = stage(inherit(rows.select("directory").distinct(), granted).withColumnsRenamed({"directory": "__directory", "licence": "given"}), "inherited")
-    how = F.when(F.col("own").isNotNull(), F.when(F.col("short"), "file").otherwise("header")).when(F.col("given").isNotNull(), "inherited").otherwise("none")
+    how = F.when(F.col("own").isNotNull(), F.when(F.col("is_file"), "file").otherwise("header")).when(F.col("given").isNotNull(), "inherited").otherwise("none")
     return own.join(given, F.col("directory") == F.col("__directory"), "left").select(
         "doc_id", "directory", F.coalesce("own", "given").alias("licence"), "cosine", how.alias("how"), F.when(how == "inherited", F.col("from_directory")).alias("from_directory")
     )

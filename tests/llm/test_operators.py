@@ -140,6 +140,23 @@ def test_licences(spark, edge, empty):
     assert licences.scan_licences(empty, F.col("source")).count() == 0
 
 
+def test_full_licence_texts_are_files_at_any_length(spark):
+    full = dict(licences.full_texts())
+    holder = "Copyright (c) 2011 Some Body and other authors\n"
+    rows = [(i, holder + text, f"d/{name}") for i, (name, text) in enumerate(full.items())] + [(100 + i, "nothing", f"d/{name}/src") for i, name in enumerate(full)]
+    code = "\n".join(f"def f{i}(x{i}): return g{i}(x{i})" for i in range(400))
+    rows += [(200, full["MIT"] + code, "h"), (201, "nothing", "h/x"), (202, " ".join(full["MIT"].split()), "one"), (203, "nothing", "one/x"), (204, " ".join(full["Apache-2.0"].split()), "two"), (None, full["MIT"], "three"), (205, None, "three/x")]
+    # prose with a notice is no licence file
+    rows += [(206, "the and of in to is on a for any or by with " * 40 + "\nReleased under the MIT License.", "p")] + [(1000 + i, f"the and of in to is on a for any or by with w{i}", "q") for i in range(100)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, dir string")
+    got = {r["doc_id"]: (r["licence"], r["how"], r["from_directory"]) for r in as_rows(licences.scan_licences(table, F.col("dir")))}
+    for i, name in enumerate(full):
+        assert len(full[name].split()) > 150 and got[i] == (name, "file", None) and got[100 + i] == (name, "inherited", f"d/{name}")
+    assert got[200][:2] == ("MIT", "header") and got[201][1] == "none" and got[206][:2] == ("MIT", "header")
+    assert got[202] == ("MIT", "file", None) and got[203] == ("MIT", "inherited", "one") and got[204] == ("Apache-2.0", "file", None)
+    assert got[None] == ("MIT", "file", None) and got[205] == ("MIT", "inherited", "three")
+
+
 def test_licence_cosine_is_tf_idf(spark, docs):
     got = as_rows(licences.scan_licences(docs, F.col("source")))
     rows = docs.collect()
