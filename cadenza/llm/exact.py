@@ -149,5 +149,5 @@ def split_by_age(digests: DataFrame) -> tuple[DataFrame, DataFrame]:
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """``docs`` without the documents whose text has a smaller ``doc_id`` elsewhere; all columns stay."""
     digests = stage(text_digests(docs), "digests")
-    losers = exact_duplicates(*split_by_age(digests)).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__loser")).distinct()
-    return docs.join(losers, docs["doc_id"] == losers["__loser"], "left_anti")
+    losers = exact_duplicates(*split_by_age(digests)).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__loser"), F.col("text_sha256").alias("__sha")).distinct()
+    return docs.join(losers, (docs["doc_id"] == losers["__loser"]) & (F.sha2(normalised(docs["text"]), 256) == losers["__sha"]), "left_anti")

@@ -73,12 +73,20 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     * documents of size 0 take nothing; a source of such documents has target 0
     * an empty table gives an empty result; other columns are ignored
     """
+    return mix_sizes(_sizes(docs), weights, share, cap, seed)
+
+
+def _sizes(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(docs["text"]).alias("size"))
-    return mix_sizes(stage(rows, "sizes"), weights, share, cap, seed)
+    return stage(rows, "sizes")
 
 
 def mix_sizes(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
     """:func:`mix_sources` for ``rows (doc_id, source, size)``."""
+    return _mixed(rows, weights, share, cap, seed).drop("source")
+
+
+def _mixed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
     goals = targets(rows, weights, share, cap).withColumn("expected", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     counts = rows.groupBy("source").agg(F.count("*").alias("n"))
     goals = goals.join(counts, goals["source"].eqNullSafe(counts["source"])).drop(counts["source"])
@@ -110,7 +118,7 @@ def mix_sizes(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
     clear = edge.filter("NOT crossing").withColumn("extra", F.when((F.col("p") > 0) & (F.col("b").isNull() | (F.col("bucket") < F.col("b"))), 1).otherwise(0))
     copies = F.when(F.col("size") > 0, F.col("whole") + F.col("extra")).otherwise(0)
     return taken.unionByName(clear).select(
-        "doc_id", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
+        "doc_id", "source", "size", "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("size")).cast("long").alias("taken")
     )
 
 
@@ -121,5 +129,8 @@ def _with_source(rows: DataFrame, goals: DataFrame) -> DataFrame:
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with each row as often as :func:`mix_sources` takes its document; all columns stay."""
-    taken = mix_sources(docs, **options).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    return docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"])).withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop("__id", "__copies", "__again")
+    # rows equal in id, source and size are taken together
+    keys = [F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")]
+    taken = _mixed(_sizes(docs), **options).filter("copies > 0").groupBy(*keys).agg(F.max("copies").alias("__copies"))
+    same = docs["doc_id"].eqNullSafe(taken["__id"]) & docs["source"].cast("string").eqNullSafe(taken["__source"]) & (n_words(docs["text"]) == taken["__size"])
+    return docs.join(taken, same).withColumn("__again", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).drop(*(c for c in taken.columns), "__again")

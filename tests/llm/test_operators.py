@@ -330,6 +330,15 @@ def test_mixing(spark, edge, empty, docs):
     assert mixed.columns == edge.columns and mixing.apply_mix(empty).count() == 0
 
 
+def test_rows_that_repeat_an_id_are_mixed_each_by_its_own(spark):
+    rows = [(i % 20 if i % 3 else None, "w " * (1 + i % 7), "abc"[i % 3 - (i > 40)]) for i in range(80)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    wanted = Counter()
+    for r in as_rows(mixing.mix_sources(table)):
+        wanted[r["doc_id"], r["size"]] += r["copies"]
+    assert Counter((r.doc_id, len(words(r.text))) for r in mixing.apply_mix(table).collect()) == +wanted
+
+
 def test_mixing_targets_of_uneven_sources(spark):
     for sizes in ({"a": 10, "b": 1000, "c": 5, None: 70}, {"x": 0, "y": 3}, {"Z": 1, "a": 1, "é": 1, "😀": 10**6}, {None: 0}):
         table = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
@@ -417,6 +426,13 @@ def test_exact_duplicates(edge, empty, docs):
     assert exact.drop_exact_duplicates(edge).columns == edge.columns
 
 
+def test_a_loser_s_other_text_stays(spark):
+    rows = [(1, "one"), (2, "one"), (2, "only here"), (2, None), (3, "one"), (3, "only  here"), (None, "one")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r.doc_id, r.text) for r in exact.drop_exact_duplicates(table).collect()]
+    assert sorted(got, key=repr) == sorted([(1, "one"), (2, "only here"), (2, None), (None, "one")], key=repr)
+
+
 def test_perfect_hash_is_minimal_and_rejects_others():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     table = exact.PerfectHash(keys[:4000])
