@@ -1,53 +1,101 @@
 """Packing of tokenised documents into sequences by the sum-of-squares rule.
 
 A document longer than the sequence is cut into full pieces, the first of which may be
-shorter. Pieces that fill a sequence need no packing; the others are dealt at random to
-shards of bounded size, and each shard places its pieces, longest first, where the sum over
-residual gaps of the squared number of open bins with that gap becomes smallest. Only
-(id, piece, length) rows are shuffled, never tokens.
+shorter. Pieces that fill a sequence are sequences of their own; the others are dealt at
+random to shards of bounded size, and each shard places its pieces, longest first, where the
+sum over residual gaps of the squared number of open bins with that gap becomes smallest.
+Only (id, piece, length) rows are written and shuffled, never tokens.
 """
 
 from __future__ import annotations
 
-import base64
+import os
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import stage
+from .textarrays import chunks
+
 CAPACITY, SHARD_PIECES = 1024, 8_000
 END_ID = 2
 NEVER = np.iinfo(np.int64).max
 
 
-def load_encoder(path: str, special: dict[str, int]):
-    """Encoder of the byte-level vocabulary in the rank file at ``path``.
+class Encoder:
+    """Ids of the byte-level vocabulary in the JSON file at ``path``, with a memo of short units.
 
-    It gives the ids of the JSON form of the same vocabulary, several times as fast; the
-    tests compare the two."""
-    import public_tokenizers
-    import tiktoken
+    A unit is a run of white space and what follows it up to the next white space. The
+    vocabulary's pattern never joins a character that is not white space to white space after
+    it, so the ids of a text are those of its units. Units that the memo lacks are encoded
+    together, as one text; the byte lengths of the tokens tell where each of them ends. Texts
+    with white space outside ASCII, and controls that count as such elsewhere, are one unit.
+    """
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    UNIT = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
+    OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+    LONGEST_UNIT, MOST_UNITS = 64, 1_000_000
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, i in vocabulary.items():  # each character of a token stands for one byte
+            self.bytes_of[i] = len(token)
+        self.memo: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, units: set[str], odd: set[str]) -> None:
+        plain = [u for u in units if u[0] <= " " < u[-1] and u not in odd]
+        if plain:
+            ids = np.array(self._ids(["".join(plain)])[0], "<u4")
+            ends = np.cumsum(self.bytes_of[ids])
+            sizes = np.fromiter((len(u) if u.isascii() else len(u.encode()) for u in plain), np.int64, len(plain))
+            cuts = (4 * np.searchsorted(ends, np.cumsum(sizes)) + 4).tolist()
+            data, at = ids.tobytes(), 0
+            for u, to in zip(plain, cuts, strict=True):
+                self.memo[u] = data[at:to]
+                at = to
+        other = list(units.difference(plain))
+        self.memo.update(zip(other, (np.array(ids, "<u4").tobytes() for ids in self._ids(other)), strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, 32 bits each."""
+        odd = {t for t in texts if self.OTHER_SPACE.search(t)}
+        units = [[t] if t in odd else self.UNIT.findall(t) for t in texts]
+        new = set().union(*units).difference(self.memo)
+        self._learn(new, odd)
+        known = self.memo.__getitem__
+        out = [np.frombuffer(b"".join(map(known, own)), "<u4") for own in units]
+        if len(self.memo) > self.MOST_UNITS:
+            self.memo.clear()
+        else:
+            for u in new:
+                if len(u) > self.LONGEST_UNIT:
+                    del self.memo[u]
+        return out
 
 
-SPECIAL = {"<|endoftext|>": 50256}
-_encoders: dict[str, object] = {}
+_encoders: dict[str, Encoder] = {}
 
 
-def token_ids(texts: Iterable[str | None], path: str, end: int = END_ID) -> Iterator[np.ndarray]:
+def token_ids(texts: list[str | None], path: str, end: int = END_ID) -> list[np.ndarray]:
     """Ids of each text and the closing id, 32 bits each."""
     if path not in _encoders:
-        _encoders[path] = load_encoder(path, SPECIAL)
-    encoder = _encoders[path]
-    for text in texts:
-        yield np.array([*encoder.encode(text or "", allowed_special="all"), end], np.dtype("<u4"))
+        _encoders[path] = Encoder(path)
+    return [np.append(ids, np.array([end], "<u4")) for ids in _encoders[path].encode([t or "" for t in texts])]
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -58,17 +106,16 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                rows = []
-                for doc_id, copy, text in zip(part.column("doc_id"), part.column("copy"), part.column("text"), strict=True):
-                    ids = next(token_ids([text.as_py()], path))
-                    rows += [(doc_id.as_py(), copy.as_py(), k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), capacity))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
-                    ["doc_id", "copy", "piece", "start", "length", "ids_crc32"],
-                )
+        seen = TaskContext.get().partitionId() << 40
+        for part in chunks(batches):
+            rows = []
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), token_ids(part.column("text").to_pylist(), path), strict=True):
+                rows += [(doc_id, seen, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cut(len(ids), capacity))]
+                seen += 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)],
+                ["doc_id", "copy", "piece", "start", "length", "ids_crc32"],
+            )
 
     return run
 
@@ -118,20 +165,25 @@ def _pack(capacity: int):
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """``doc_id, copy, piece, start, length, ids_crc32, sequence_id, offset``: one row per piece.
 
-    ``tokenizer`` is the path of a rank file. Sequences hold at most ``capacity`` tokens
-    without gaps. ``copy`` tells rows apart that repeat a ``doc_id`` (0 if none do): a column
-    ``copy`` of ``docs``, if there is one of integers, is used, else it is 0.
+    ``tokenizer`` is the path of the JSON file of a byte-level vocabulary. Sequences hold at
+    most ``capacity`` tokens without gaps. ``copy`` is one number per row of ``docs``, the same
+    for all its pieces, so rows that repeat a ``doc_id`` are told apart.
 
-    Null and empty texts are one piece of the closing id. Null ids are packed as they come.
-    An empty table gives an empty result; other columns are ignored.
+    * null and empty texts are one piece of the closing id; texts of any length are encoded whole
+    * null ids are packed as they come; rows that repeat are packed each, and are dealt to
+      shards one by one, so no id makes a shard large
+    * an empty table gives an empty result; other columns are ignored
     """
-    copy = F.col("copy").cast("long") if dict(docs.dtypes).get("copy") in ("int", "bigint") else F.lit(0).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), copy.alias("copy"), "text")
-    shards = max(1, -(-rows.count() // shard_pieces))
     names = "doc_id long, copy long, piece int, start long, length long, ids_crc32 long"
-    pieces = rows.mapInArrow(_pieces(tokenizer, capacity), names)
-    return (
-        pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "copy", "piece"), F.lit(shards)))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    pieces = stage(rows.mapInArrow(_pieces(tokenizer, capacity), names), "pieces")
+    part = pieces.filter(F.col("length") < capacity)
+    shards = max(1, -(-part.count() // shard_pieces))
+    # the written table's rows keep their numbers when a task runs again
+    placed = (
+        part.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
         .groupBy("shard")
         .applyInArrow(_pack(capacity), names + ", sequence_id long, offset long")
     )
+    full = pieces.filter(F.col("length") == capacity)
+    return placed.union(full.select("*", (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset")))

@@ -14,7 +14,7 @@ from .scratch import stage
 def tokenizer_path() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -379,6 +379,33 @@ def test_packing(spark, edge, empty, docs):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+def test_units_have_the_ids_of_whole_texts():
+    from tokenizers import Tokenizer
+
+    slow, quick = Tokenizer.from_file(tokenizer_path()), packing.Encoder(tokenizer_path())
+    rng = np.random.default_rng(4)
+    parts = [" ", "  ", "\n", "\t", "\x0b", "\x0c", "\r", "\x1c", "\x85", "\u00a0", "\u3000", "\u200b", "a", "B", "é", "ß", "1", "²", "Ⅷ", "'", "'s", "'ll", ".", "!", "😀", "中", "<|endoftext|>", "\u0301", "\ufeff", "\u2028", "_", "-", "\x00"]
+    texts = ["".join(rng.choice(parts, int(rng.integers(0, 14)))) for _ in range(6000)]
+    texts += [" " * 2_000_000, "\n" * 2_000_000, " x" * 300_000, "ab1" * 100_000, "x" * 70 + " y"]
+    for at in range(0, len(texts), 700):
+        for text, ids in zip(texts[at : at + 700], quick.encode(texts[at : at + 700]), strict=True):
+            assert ids.tolist() == slow.encode(text, add_special_tokens=False).ids
+    assert max(map(len, quick.memo)) <= quick.LONGEST_UNIT
+
+
+def test_packing_of_rows_that_repeat(spark):
+    long = " ".join(f"w{i}" for i in range(3000))
+    rows = [(None, "same")] * 50 + [(1, long), (1, long), (2, " " * 2_000_000)]
+    got = as_rows(packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer_path()))
+    assert len({(r["doc_id"], r["copy"], r["piece"]) for r in got}) == len(got) and len({r["copy"] for r in got}) == len(rows)
+    level = defaultdict(int)
+    for r in got:
+        level[r["sequence_id"]] += r["length"]
+    assert max(level.values()) == 1024
+    # full pieces stand alone
+    assert all(r["offset"] == 0 and level[r["sequence_id"]] == 1024 for r in got if r["length"] == 1024)
+
+
 def test_sum_of_squares_is_the_smallest_each_time():
     rng = np.random.default_rng(0)
     lengths = rng.integers(1, 21, 300)
