@@ -1,20 +1,25 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then
 nearest-ancestor inheritance. DataFrame operations only.
 
-Lines that hold a licence cue are compared with templates; equal lines are compared once.
-Inverse document frequencies of template terms are counted over all documents; a term
-outside the templates weighs as one that a single document holds. A document with such a
-line has that licence. A short document with such a line is a licence file and speaks for
-its directory, and so is a document of any length whose whole text is close to that of a
-licence; documents without a licence of their own inherit that of the nearest directory
-above them that has a licence file.
+A text is compared as a whole, and line by line. Its whole vector is held against wordings of
+notices and full licence texts: a document that is close to one of them is a licence file and
+speaks for its directory. Its lines are held against the wordings: a document with a line (or
+a window of a long line) that is close to one has that licence as a header. Documents without
+a licence of their own inherit that of the nearest directory above them that has a licence
+file.
+
+Inverse document frequencies of template terms are counted over all documents; a term outside
+the templates weighs as one that a single document holds. A vector reaches a cosine of c with
+a template only if it holds one of the template's heaviest terms, as many of them as leave
+less than c squared of the squared weights to the rest. Texts and lines without such a term
+are left out before any vector is built; that loses none.
 """
 
 from __future__ import annotations
 
 import pkgutil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .scratch import stage
@@ -40,12 +45,14 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
 ]
-CUES = r"(?i)licen[cs]e|copyright|spdx|permission is hereby|permission to use|public domain|redistribution and use|all rights reserved"
 TERM = "[a-z]+|[0-9]+(?:[.][0-9]+)*"
-LEAST_COSINE, FILE_WORDS, LONGEST_LINE = 0.5, 150, 2_000
-#: Licences whose full text is in ``licence_texts``, and the cosine from which on a document is that text.
+#: Cosines from which on a line is a notice, and a document is a licence file.
+LEAST_COSINE, LEAST_FILE_COSINE = 0.5, 0.7
+#: Licences whose full text is in ``licence_texts``.
 FULL_TEXTS = ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MIT", "MPL-2.0")
-LEAST_FULL_COSINE = 0.8
+#: The ``window`` of a whole text; lines have the number of terms that are compared at once.
+WHOLE = 0
+LEAST_WINDOW = 16
 
 
 def full_texts() -> list[tuple[str, str]]:
@@ -56,28 +63,67 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
 
 
-def template_terms(spark, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """``template, licence, term, n`` of every wording."""
-    table = spark.createDataFrame([(i, *t) for i, t in enumerate(templates)], "template int, licence string, wording string")
-    return table.select("template", "licence", F.explode(terms(F.col("wording"))).alias("term")).groupBy("template", "licence", "term").agg(F.count("*").alias("n"))
+def _one_of(some) -> str:
+    """SQL that tells whether ``x`` is one of some terms; one expression, however many they are."""
+    return "x IN (" + ", ".join(f"'{t}'" for t in sorted(some)) + ")"
 
 
-def cosines(lines: DataFrame, templates: DataFrame, weights: DataFrame, unknown: Column, text: str = "line") -> DataFrame:
-    """``line, licence, cosine`` of the best template for each of the distinct ``lines (line)``.
+def template_terms(spark, notices: list[tuple[str, str]], full: list[tuple[str, str]]) -> DataFrame:
+    """``template, licence, window, term, n``: all wordings for whole texts, and the notices for lines
+    with the window that holds any two of their kind, a power of two."""
+    wordings = spark.createDataFrame([(i, *t, i < len(notices)) for i, t in enumerate([*notices, *full])], "template int, licence string, wording string, notice boolean")
+    each = wordings.withColumn("terms", terms(F.col("wording")))
+    window = F.greatest(F.lit(LEAST_WINDOW), F.pow(F.lit(2.0), F.ceil(F.log2(2.0 * F.size("terms"))))).cast("int")
+    each = each.withColumn("window", F.explode(F.when(F.col("notice"), F.array(F.lit(WHOLE), window)).otherwise(F.array(F.lit(WHOLE)))))
+    return each.select("template", "licence", "window", F.explode("terms").alias("term")).groupBy("template", "licence", "window", "term").agg(F.count("*").alias("n"))
 
-    ``text`` is the column with what is compared, if ``line`` is only a key of it.
-    ``weights (term, idf)`` covers the terms of ``templates``; other terms weigh ``unknown``.
-    Ties go to the licence that comes first by name.
+
+def _weight(n: Column, idf: Column) -> Column:
+    return (1.0 + F.log(n.cast("double"))) * idf
+
+
+def heaviest_terms(vectors: list[Row], least: dict[int, float]) -> dict[int, list[str]]:
+    """By window: terms of which a vector holds one at least, if its cosine to one of the templates is ``least`` or more.
+
+    ``vectors`` has rows ``template, window, term, t``."""
+    out: dict[int, set[str]] = {}
+    by_template: dict[tuple[int, int], list[tuple[float, str]]] = {}
+    for v in vectors:
+        by_template.setdefault((v["template"], v["window"]), []).append((v["t"], v["term"]))
+    for (_, window), weights in by_template.items():
+        left = sum(t * t for t, _ in weights)
+        # a little less, as cosines are rounded
+        bound = (least[window] ** 2 - 0.01) * left
+        for t, term in sorted(weights, reverse=True):
+            if left <= bound:
+                break
+            out.setdefault(window, set()).add(term)
+            left -= t * t
+    return {window: sorted(found) for window, found in out.items()}
+
+
+def windows_of(found: Column, window: int) -> Column:
+    """``found`` alone if it has at most ``window`` terms, else slices of so many that start every half of it."""
+    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(found) - window // 2, F.lit(1)), F.lit(window // 2)), lambda at: F.slice(found, at, window))
+    return F.when(F.size(found) <= window, F.array(found)).otherwise(many)
+
+
+def cosines(units: DataFrame, vectors: DataFrame, weights: DataFrame, unknown: Column) -> DataFrame:
+    """``unit, window, licence, cosine`` of the best template for each of ``units (unit, window, terms)``.
+
+    ``vectors (template, licence, window, term, t)`` has the templates; a unit is compared with
+    those of its window. ``weights (term, idf)`` covers their terms; other terms weigh
+    ``unknown``. Ties go to the licence that comes first by name.
     """
-    vectors = templates.join(weights, "term").select("template", "licence", "term", (F.col("n") * F.col("idf")).alias("t"))
-    lengths = vectors.groupBy("template").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("t_length"))
-    own = lines.select("line", F.explode(terms(F.col(text))).alias("term")).groupBy("line", "term").agg(F.count("*").alias("n"))
-    own = own.join(weights, "term", "left").select("line", "term", (F.col("n") * F.coalesce("idf", unknown)).alias("w"))
-    size = own.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = own.join(vectors, "term").groupBy("line", "template", "licence").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
-    scored = dots.join(size, "line").join(lengths, "template").select("line", "licence", F.round(F.col("dot") / (F.col("length") * F.col("t_length")), 9).alias("cosine"))
-    best = scored.groupBy("line").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
-    return best.select("line", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
+    lengths = vectors.groupBy("template", "window").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("t_length"))
+    own = units.select("unit", "window", F.explode("terms").alias("term")).groupBy("unit", "window", "term").agg(F.count("*").alias("n"))
+    own = own.join(weights, "term", "left").select("unit", "window", "term", _weight(F.col("n"), F.coalesce("idf", unknown)).alias("w"))
+    size = own.groupBy("unit", "window").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    dots = own.join(vectors, ["window", "term"]).groupBy("unit", "window", "template", "licence").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
+    scored = dots.join(size, ["unit", "window"]).join(lengths, ["template", "window"])
+    scored = scored.select("unit", "window", "licence", F.round(F.col("dot") / (F.col("length") * F.col("t_length")), 9).alias("cosine"))
+    best = scored.groupBy("unit", "window").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
+    return best.select("unit", "window", F.col("b.licence").alias("licence"), (-F.col("b.c")).alias("cosine"))
 
 
 def ancestors(directory: str = "directory") -> Column:
@@ -96,62 +142,61 @@ def inherit(directories: DataFrame, granted: DataFrame) -> DataFrame:
     return near.select("directory", "g.licence", F.col("g.above").alias("from_directory"))
 
 
-def scan_licences(docs: DataFrame, directory: Column, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_COSINE) -> DataFrame:
+def scan_licences(docs: DataFrame, directory: Column, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST_COSINE, least_file: float = LEAST_FILE_COSINE) -> DataFrame:
     """One row per row of ``docs (doc_id, text)``: ``doc_id, directory, licence, cosine, how, from_directory``.
 
-    ``directory`` is a column over ``docs``, parts joined by ``/``. ``how`` is ``file`` or
-    ``header`` (an own line reaches ``least``), ``inherited`` or ``none``. The best line of a
-    document counts, or the licence whose full text the document is; of the licence files of a directory the best one does, ties to the
-    smallest id.
+    ``directory`` is a column over ``docs``, parts joined by ``/``. ``how`` is ``file`` (the
+    whole text reaches ``least_file`` with a wording or a full licence text, at any length),
+    ``header`` (else: a line reaches ``least`` with a wording), ``inherited`` or ``none``.
+    The best template counts; of the licence files of a directory the best one does, ties to
+    the smallest id. Lines with more terms than a wording's window are compared in overlapping
+    windows, so a notice inside a long line counts like one of its own.
 
-    * null and empty texts have no lines and can inherit; a null directory is the root
-    * lines over ``LONGEST_LINE`` characters are prose, not notices, and are not compared
+    * null and empty texts have no terms and can inherit; a null directory is the root
     * null ids are judged like others, but speak for a directory only where no file has an id
-    * rows that repeat id and text get the same answer each; an empty table gives an empty result
+    * rows that repeat id and text get the same answer each; equal texts are judged once
+    * an empty table gives an empty result; other columns are ignored
     """
     spark = docs.sparkSession
-    table, full = template_terms(spark, templates), template_terms(spark, full_texts())
-    both = table.select("term").union(full.select("term")).distinct()
-    known = [r["term"] for r in both.orderBy("term").collect()]  # bounded by the templates
+    table = template_terms(spark, templates, full_texts())
+    known = [r["term"] for r in table.select("term").distinct().orderBy("term").collect()]  # bounded by the templates, as the next two lists
     text = F.coalesce(docs["text"], F.lit(""))
-    words = F.size(F.split(F.trim(text), r"\s+"))
-    long = text.rlike(CUES) & (words > FILE_WORDS)  # every full text holds a cue
-    rows = stage(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(directory.cast("string"), F.lit("")).alias("directory"),
-            F.filter(F.array_distinct(terms(text)), lambda x: x.isin(known)).alias("found"), words.alias("words"),
-            F.when(long, text).alias("whole"), F.when(long, F.sha2(text, 256)).alias("key"),
-            F.when(text.rlike(CUES), F.array_distinct(F.filter(F.split(text, "\n"), lambda x: x.rlike(CUES) & (F.length(x) <= LONGEST_LINE)))).otherwise(F.array().cast("array<string>")).alias("lines"),
-        ),
-        "lines",
-    )
-    n = rows.count()
+    n = docs.count()
     idf = lambda df: F.log((1.0 + F.lit(n)) / (1.0 + df)) + 1.0
-    counted = rows.select(F.explode("found").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    weights_of = lambda table: table.select("term").distinct().join(counted, "term", "left").select("term", idf(F.coalesce("df", F.lit(0))).alias("idf"))
-    weights = weights_of(table)
-    each = rows.filter("size(lines) > 0").withColumn("line", F.explode("lines")).select("doc_id", "directory", "words", "lines", "line")
-    scored = stage(cosines(each.select("line").distinct(), table, weights, idf(F.lit(1))).filter(F.col("cosine") >= least), "cosines")
-    # documents with the same lines have the same best line; most have none and take no part in the join
-    best = each.select("lines", "line").distinct().join(scored, "line").groupBy("lines").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
-    best = stage(best.withColumnRenamed("lines", "__lines"), "best-lines")
-    # distinct texts of more than FILE_WORDS words that are a licence
-    whole = rows.filter("key IS NOT NULL").groupBy(F.col("key").alias("line")).agg(F.first("whole").alias("whole"))
-    whole = cosines(whole, full, weights_of(full), idf(F.lit(1)), "whole").filter(F.col("cosine") >= LEAST_FULL_COSINE)
-    whole = stage(whole.select(F.col("line").alias("__key"), F.col("licence").alias("full"), F.col("cosine").alias("full_cosine")), "full-texts")
-    short = (F.col("words") <= FILE_WORDS).alias("short")
-    noticed = (
-        rows.filter("size(lines) > 0")
-        .join(best, F.col("lines") == F.col("__lines"), "left")
-        .select("doc_id", "directory", F.col("b.licence").alias("own"), (-F.col("b.c")).alias("cosine"), short, "key")
-        .union(rows.filter("size(lines) = 0").select("doc_id", "directory", F.lit(None).cast("string"), F.lit(None).cast("double"), short, "key"))
-    )
+    seen = docs.select(F.array_distinct(terms(text)).alias("seen"))
+    counted = seen.select(F.explode(F.expr(f"filter(seen, x -> {_one_of(known)})")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    weights = stage(table.select("term").distinct().join(counted, "term", "left").select("term", idf(F.coalesce("df", F.lit(0))).alias("idf")), "weights")
+    vectors = stage(table.join(weights, "term").select("template", "licence", "window", "term", _weight(F.col("n"), F.col("idf")).alias("t")), "vectors")
+    collected = vectors.collect()
+    bounds = {v["window"]: least_file if v["window"] == WHOLE else least for v in collected}
+    heavy = heaviest_terms(collected, bounds)
+    holds_any = F.expr(f"exists(found, x -> {_one_of(set().union(*heavy.values()))})")
+
+    kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(directory.cast("string"), F.lit("")).alias("directory"), text.alias("text"), terms(text).alias("found"))
+    kept = kept.select("doc_id", "directory", F.when(holds_any, F.col("text")).alias("text"))
+    rows = stage(kept.withColumn("key", F.sha2("text", 256)), "rows")
+    texts = rows.filter("key IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"))
+    whole = texts.select("key", F.unhex(F.md5("key")).alias("unit"), F.lit(WHOLE).alias("window"), terms(F.col("text")).alias("terms"))
+    lines = texts.select("key", F.explode(F.split("text", "\n")).alias("line")).select("key", terms(F.col("line")).alias("found"))
+    in_window = lambda w: F.transform(windows_of(F.col("found"), w), lambda x: F.struct(F.lit(w).alias("window"), x.alias("terms")))
+    parts = [in_window(w) for w in heavy if w != WHOLE]
+    windows = lines.filter(holds_any).select("key", F.explode(F.concat(*parts)).alias("u")).select("key", F.unhex(F.md5(F.array_join("u.terms", " "))).alias("unit"), "u.window", "u.terms") if parts else whole.limit(0)
+    wanted = F.lit(False)
+    for w, found in heavy.items():
+        wanted = wanted | ((F.col("window") == w) & F.expr(f"exists(terms, x -> {_one_of(found)})"))
+    asked = stage(whole.unionByName(windows).filter(wanted), "units")
+    units = asked.groupBy("unit", "window").agg(F.first("terms").alias("terms"))
+    enough = F.col("cosine") >= F.when(F.col("window") == WHOLE, least_file).otherwise(least)
+    scored = stage(cosines(units, vectors, weights, idf(F.lit(1))).filter(enough), "cosines")
+    best = F.struct((-F.col("cosine")).alias("c"), "licence")
+    per_text = asked.select("key", "unit", "window").distinct().join(scored, ["unit", "window"]).groupBy("key").agg(F.min(F.when(F.col("window") == WHOLE, best)).alias("file"), F.min(F.when(F.col("window") != WHOLE, best)).alias("header"))
+    # written, so that the join can split a text that very many documents have
+    per_text = stage(per_text.select(F.col("key").alias("__key"), F.coalesce("file", "header").alias("b"), F.col("file").isNotNull().alias("is_file")), "judged-texts")
     own = (
-        noticed.filter("key IS NOT NULL")
-        .join(whole, F.col("key") == F.col("__key"), "left")
-        .select("doc_id", "directory", F.coalesce("full", "own").alias("own"), F.coalesce("full_cosine", "cosine").alias("cosine"), F.col("full").isNotNull().alias("short"))
-        .union(noticed.filter("key IS NULL").select("doc_id", "directory", "own", "cosine", "short"))
-        .withColumnRenamed("short", "is_file")
+        rows.filter("key IS NOT NULL")
+        .join(per_text, F.col("key") == F.col("__key"), "left")
+        .select("doc_id", "directory", F.col("b.licence").alias("own"), (-F.col("b.c")).alias("cosine"), "is_file")
+        .union(rows.filter("key IS NULL").select("doc_id", "directory", F.lit(None).cast("string"), F.lit(None).cast("double"), F.lit(False)))
     )
     files = own.filter("own IS NOT NULL AND is_file").groupBy("directory").agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "own")).alias("f"))
     granted = files.select("directory", F.col("f.own").alias("licence"))

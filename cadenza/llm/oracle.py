@@ -17,20 +17,32 @@ FROM d LEFT JOIN lists USING (doc_id)
 """
 
 _MIX = r"""
-ranked AS (
-    SELECT d.*, g.source_size, g.target, g.expected, floor(least(g.expected, 2)) AS whole,
+classed AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) ELSE 0 END AS class FROM sized),
+classes AS (
+    SELECT c.source, class, source_size, target, words, sqrt(sqrt(pow(2.0, greatest(class - 1, 0)))) AS growth, sqrt(sqrt(pow(2.0, greatest(class - 1, 0)))) * words AS mass
+    FROM (SELECT source, class, CAST(sum(size) AS BIGINT) AS words FROM classed GROUP BY source, class) c JOIN goals g ON c.source IS NOT DISTINCT FROM g.source
+),
+level_of AS (
+    SELECT *, (target - 2 * (sum(words) OVER (PARTITION BY source ORDER BY class DESC) - words)) / nullif(sum(mass) OVER (PARTITION BY source ORDER BY class), 0) AS level
+    FROM classes
+),
+common AS (SELECT *, max(level) FILTER (WHERE level * growth <= 2) OVER (PARTITION BY source) AS common FROM level_of),
+expects AS (SELECT *, CASE WHEN target >= 2 * source_size THEN 2.0 ELSE least(2.0, growth * coalesce(common, 2.0)) END AS e FROM common),
+snapped AS (SELECT *, CASE WHEN abs(e - round(e)) < 1e-9 THEN round(e) ELSE e END AS expected FROM expects),
+odds AS (SELECT *, floor(expected) AS whole, expected - floor(expected) AS p, target - sum(floor(expected) * words) OVER (PARTITION BY source) AS wanted FROM snapped),
+drawn AS (
+    SELECT d.*, o.source_size, o.target, o.whole, o.p, o.wanted,
         (CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 AS u
-    FROM sized d JOIN goals g ON d.source IS NOT DISTINCT FROM g.source
+    FROM classed d JOIN odds o ON d.source IS NOT DISTINCT FROM o.source AND d.class = o.class
 ),
-odds AS (SELECT *, expected - whole AS p FROM ranked),
-placed AS (SELECT *, CASE WHEN p > 0 THEN u * (1 - p) / (u * (1 - p) + p * (1 - u)) ELSE 1.0 END AS r FROM odds),
-summed AS (
-    SELECT *, target - whole * source_size AS wanted,
-        sum(size) OVER (PARTITION BY source ORDER BY r, doc_id, size RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-    FROM placed
+placed AS (SELECT *, CASE WHEN p > 0 AND size > 0 THEN u * (1 - p) / (u * (1 - p) + p * (1 - u)) END AS r FROM drawn),
+together AS (
+    SELECT source, wanted, r, doc_id, size, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY r, doc_id, size) AS upto
+    FROM placed WHERE r IS NOT NULL GROUP BY source, wanted, r, doc_id, size
 ),
 mixed AS (
-    SELECT *, CAST(CASE WHEN size = 0 THEN 0 ELSE whole + CASE WHEN p > 0 AND upto - size / 2.0 <= wanted THEN 1 ELSE 0 END END AS BIGINT) AS copies FROM summed
+    SELECT p.doc_id, p.size, source_size, target, CAST(CASE WHEN p.size = 0 THEN 0 ELSE whole + CASE WHEN t.upto - t.words / 2.0 <= t.wanted THEN 1 ELSE 0 END END AS BIGINT) AS copies
+    FROM placed p LEFT JOIN together t ON p.source IS NOT DISTINCT FROM t.source AND p.doc_id IS NOT DISTINCT FROM t.doc_id AND p.size = t.size AND p.r = t.r
 )
 """
 
@@ -48,8 +60,7 @@ levels AS (
 ),
 level AS (SELECT max(level) FILTER (WHERE level <= ratio) AS level FROM levels),
 goals AS (
-    SELECT source, source_size, CAST(least(most, coalesce(weight * level.level, most)) AS DOUBLE) AS target,
-        CASE WHEN source_size > 0 THEN CAST(least(most, coalesce(weight * level.level, most)) AS DOUBLE) / source_size ELSE 0.0 END AS expected
+    SELECT source, source_size, CAST(least(most, coalesce(weight * level.level, most)) AS DOUBLE) AS target
     FROM levels, level
 )
 """
@@ -114,28 +125,42 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def op2() -> str:
-    from .licences import CUES, FILE_WORDS, LEAST_COSINE, LONGEST_LINE, TEMPLATES, TERM
+    from .licences import LEAST_COSINE, LEAST_FILE_COSINE, LEAST_WINDOW, TEMPLATES, TERM, WHOLE, full_texts
 
-    wordings = ", ".join(f"({i}, '{licence}', '{wording}')" for i, (licence, wording) in enumerate(TEMPLATES))
-    terms = lambda x: f"unnest(regexp_extract_all(lower({x}), '{TERM}'))"
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    wordings = ", ".join(f"({i}, {quote(licence)}, {quote(wording)}, {i < len(TEMPLATES)})" for i, (licence, wording) in enumerate([*TEMPLATES, *full_texts()]))
+    terms = lambda x: f"regexp_extract_all(lower({x}), '{TERM}')"
+    unknown = "(ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / 2.0::DOUBLE) + 1.0::DOUBLE)"
     return f"""
 WITH d AS (SELECT doc_id, concat_ws('/', source, lang) AS directory, coalesce(text, '') AS text FROM documents),
-wordings(template, licence, wording) AS (VALUES {wordings}),
-terms AS (SELECT template, licence, term, count(*) AS n FROM (SELECT template, licence, {terms('wording')} AS term FROM wordings) GROUP BY ALL),
-df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, {terms('text')} AS term FROM d) WHERE term IN (SELECT term FROM terms) GROUP BY term),
-idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / (1.0::DOUBLE + coalesce(df, 0))) + 1.0::DOUBLE AS idf FROM (SELECT DISTINCT term FROM terms) LEFT JOIN df USING (term)),
-cues AS (SELECT DISTINCT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{CUES}') AND length(line) <= {LONGEST_LINE}),
-vectors AS (SELECT template, licence, term, n * idf AS t FROM terms JOIN idf USING (term)),
-own AS (SELECT line, term, n * coalesce(idf, ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / 2.0::DOUBLE) + 1.0::DOUBLE) AS w FROM (SELECT line, term, count(*) AS n FROM (SELECT line, {terms('line')} AS term FROM (SELECT DISTINCT line FROM cues)) GROUP BY ALL) LEFT JOIN idf USING (term)),
+wordings AS (SELECT i AS template, licence, {terms('wording')} AS terms, notice FROM (VALUES {wordings}) AS x(i, licence, wording, notice)),
+templates AS (
+    SELECT template, licence, unnest(CASE WHEN notice THEN [{WHOLE}, greatest({LEAST_WINDOW}, CAST(pow(2, ceil(log2(2.0 * len(terms)))) AS INTEGER))] ELSE [{WHOLE}] END) AS win, terms FROM wordings),
+tf AS (SELECT template, licence, win, term, count(*) AS n FROM (SELECT template, licence, win, unnest(terms) AS term FROM templates) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({terms('text')}) AS term FROM d) WHERE term IN (SELECT term FROM tf) GROUP BY term),
+idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / (1.0::DOUBLE + coalesce(df, 0))) + 1.0::DOUBLE AS idf FROM (SELECT DISTINCT term FROM tf) LEFT JOIN df USING (term)),
+vectors AS (SELECT template, licence, win, term, (1 + ln(n)) * idf AS t FROM tf JOIN idf USING (term)),
+lines AS (SELECT DISTINCT doc_id, {terms('line')} AS terms FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+units AS (
+    SELECT doc_id, {WHOLE} AS win, {terms('text')} AS terms FROM d
+    UNION ALL
+    SELECT doc_id, win, CASE WHEN len(terms) <= win THEN terms ELSE terms[s:s + win - 1] END
+    FROM (SELECT doc_id, win, terms, unnest(CASE WHEN len(terms) <= win THEN [1] ELSE range(1, len(terms) - win // 2 + 1, win // 2) END) AS s FROM lines, (SELECT DISTINCT win FROM templates WHERE win <> {WHOLE}))),
+different AS (SELECT row_number() OVER () AS unit, win, terms FROM (SELECT DISTINCT win, terms FROM units)),
+own AS (SELECT unit, win, term, (1 + ln(n)) * coalesce(idf, {unknown}) AS w FROM (SELECT unit, win, term, count(*) AS n FROM (SELECT unit, win, unnest(terms) AS term FROM different) GROUP BY ALL) LEFT JOIN idf USING (term)),
 scored AS (
-    SELECT line, licence, round(sum(w * t) / (any_value(a.size) * any_value(b.size)), 9) AS cosine
-    FROM own JOIN vectors USING (term) JOIN (SELECT line, sqrt(sum(w * w)) AS size FROM own GROUP BY line) a USING (line) JOIN (SELECT template, sqrt(sum(t * t)) AS size FROM vectors GROUP BY template) b USING (template) GROUP BY line, template, licence),
+    SELECT unit, win, licence, round(sum(w * t) / (any_value(a.size) * any_value(b.size)), 9) AS cosine
+    FROM own JOIN vectors USING (win, term) JOIN (SELECT unit, sqrt(sum(w * w)) AS size FROM own GROUP BY unit) a USING (unit) JOIN (SELECT template, win, sqrt(sum(t * t)) AS size FROM vectors GROUP BY template, win) b USING (template, win)
+    GROUP BY unit, win, template, licence),
+best AS (SELECT unit, win, min(struct_pack(c := -cosine, licence := licence)) AS b FROM scored WHERE cosine >= CASE WHEN win = {WHOLE} THEN {LEAST_FILE_COSINE} ELSE {LEAST_COSINE} END GROUP BY unit, win),
+per_doc AS (
+    SELECT doc_id, min(b) FILTER (WHERE u.win = {WHOLE}) AS file, min(b) FILTER (WHERE u.win <> {WHOLE}) AS header
+    FROM units u JOIN different x ON u.win = x.win AND u.terms = x.terms JOIN best ON x.unit = best.unit GROUP BY doc_id),
 judged AS (
-    SELECT d.doc_id, directory, b.licence AS own, -b.c AS cosine, len(regexp_split_to_array(trim(text), '\\s+')) <= {FILE_WORDS} AS short
-    FROM d LEFT JOIN (SELECT doc_id, min(struct_pack(c := -cosine, licence := licence)) AS b FROM cues JOIN scored USING (line) WHERE cosine >= {LEAST_COSINE} GROUP BY doc_id) USING (doc_id)),
-granted AS (SELECT directory AS g, min(struct_pack(c := -cosine, i := doc_id, own := own)).own AS given FROM judged WHERE own IS NOT NULL AND short GROUP BY directory),
+    SELECT d.doc_id, directory, coalesce(file, header).licence AS own, -coalesce(file, header).c AS cosine, file IS NOT NULL AS is_file FROM d LEFT JOIN per_doc USING (doc_id)),
+granted AS (SELECT directory AS g, min(struct_pack(c := -cosine, i := doc_id, own := own)).own AS given FROM judged WHERE is_file GROUP BY directory),
 nearest AS (SELECT directory, arg_max(struct_pack(g := g, given := given), length(g)) AS n FROM (SELECT DISTINCT directory FROM d) JOIN granted ON directory = g OR starts_with(directory, g || '/') OR g = '' GROUP BY directory)
-SELECT doc_id, directory, coalesce(own, n.given) AS licence, cosine, CASE WHEN own IS NOT NULL THEN CASE WHEN short THEN 'file' ELSE 'header' END WHEN n IS NOT NULL THEN 'inherited' ELSE 'none' END AS how, CASE WHEN own IS NULL THEN n.g END AS from_directory
+SELECT doc_id, directory, coalesce(own, n.given) AS licence, cosine, CASE WHEN own IS NOT NULL THEN CASE WHEN is_file THEN 'file' ELSE 'header' END WHEN n IS NOT NULL THEN 'inherited' ELSE 'none' END AS how, CASE WHEN own IS NULL THEN n.g END AS from_directory
 FROM judged LEFT JOIN nearest USING (directory)
 """
 

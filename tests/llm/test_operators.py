@@ -157,27 +157,50 @@ def test_full_licence_texts_are_files_at_any_length(spark):
     assert got[None] == ("MIT", "file", None) and got[205] == ("MIT", "inherited", "three")
 
 
-def test_licence_cosine_is_tf_idf(spark, docs):
-    got = as_rows(licences.scan_licences(docs, F.col("source")))
-    rows = docs.collect()
+def brute_licences(rows):
+    """Best (licence, cosine) of each text as a whole and among its lines."""
     term = lambda t: re.findall(licences.TERM, t.lower())
-    vocabulary = {t for _, w in licences.TEMPLATES for t in term(w)}
-    df = Counter(t for r in rows for t in set(term(r.text)) & vocabulary)
+    full = licences.full_texts()
+    vocabulary = {t for _, w in [*licences.TEMPLATES, *full] for t in term(w)}
+    df = Counter(t for text in rows for t in set(term(text)) & vocabulary)
     idf = lambda t: math.log((1 + len(rows)) / (1 + (df[t] if t in vocabulary else 1))) + 1
-    vec = lambda text: {t: n * idf(t) for t, n in Counter(term(text)).items()}
+    vec = lambda found: {t: (1 + math.log(n)) * idf(t) for t, n in Counter(found).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
-    best = {}
-    for r in rows:
-        for line in r.text.split("\n"):
-            if re.search(licences.CUES, line) and len(line) <= licences.LONGEST_LINE:
-                v = vec(line)
-                for _, wording in licences.TEMPLATES:
-                    t = vec(wording)
-                    c = sum(v.get(k, 0) * x for k, x in t.items()) / (norm(v) * norm(t))
-                    best[r.doc_id] = max(best.get(r.doc_id, 0), c)
-    found = {r["doc_id"]: r["cosine"] for r in got if r["cosine"] is not None}
-    assert found.keys() == {k for k, c in best.items() if c >= licences.LEAST_COSINE}
-    assert all(abs(found[k] - best[k]) < 1e-8 for k in found)
+    cosine = lambda v, t: sum(v.get(k, 0) * x for k, x in t.items()) / (norm(v) * norm(t) or 1)
+    whole = [(licence, vec(term(w))) for licence, w in [*licences.TEMPLATES, *full]]
+    notices = [(licence, vec(term(w)), max(16, 2 ** math.ceil(math.log2(2 * len(term(w)))))) for licence, w in licences.TEMPLATES]
+    out = []
+    for text in rows:
+        v = vec(term(text))
+        file = min(((-round(cosine(v, t), 9), licence) for licence, t in whole), default=None)
+        header = (0, "")
+        for line in set(text.split("\n")):
+            found = term(line)
+            for licence, t, n in notices:
+                parts = [found] if len(found) <= n else [found[i : i + n] for i in range(0, len(found) - n // 2, n // 2)]
+                header = min([header, *((-round(cosine(vec(p), t), 9), licence) for p in parts)])
+        out.append((file, header))
+    return out
+
+
+def test_licence_cosine_is_tf_idf(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    prose = "the and of in to is on a for any or by with under this work " * 60
+    odd = [
+        "Released under CC BY 4.0.", "Creative Commons Attribution-ShareAlike 4.0 International", prose + "Licensed under the Apache License, Version 2.0. " + prose, dict(licences.full_texts())["MIT"].replace("\n", " ") * 20,
+        "MIT License " + dict(licences.full_texts())["MIT"][:700], prose, "license", "Permission is hereby granted, free of charge",
+    ]
+    rows += [(10_000 + i, t) for i, t in enumerate(odd)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in as_rows(licences.scan_licences(table, F.lit("d").substr(0, 0)))}
+    for (i, _), (file, header) in zip(rows, brute_licences([t or "" for _, t in rows]), strict=True):
+        best, how = (file, "file") if -file[0] >= licences.LEAST_FILE_COSINE else (header, "header") if -header[0] >= licences.LEAST_COSINE else (None, None)
+        if best:
+            assert (got[i]["licence"], got[i]["how"]) == (best[1], how) and abs(got[i]["cosine"] + best[0]) < 2e-9
+        else:
+            assert got[i]["how"] in ("inherited", "none")
+    # a notice on a long line of prose, a text on one line, and short names of licences
+    assert [got[10_000 + k]["licence"] for k in (0, 1, 2, 3)] == ["CC-BY-4.0", "CC-BY-SA-4.0", "Apache-2.0", "MIT"] and got[10_003]["how"] == got[10_004]["how"] == "file"
 
 
 # 3
@@ -307,6 +330,66 @@ def brute_targets(sizes):
         full |= over
 
 
+def brute_mix(rows):
+    """Copies of each of ``rows (doc_id, text, source)``."""
+    sizes, by_class = Counter(), defaultdict(Counter)
+    for _, t, s in rows:
+        n = len(words(t))
+        sizes[s] += n
+        by_class[s][n.bit_length()] += n
+    goal = brute_targets(sizes)
+    out = {}
+    for s, classes in by_class.items():
+        growth = lambda c: 2.0 ** ((max(c, 1) - 1) / 4)
+        if goal[s] >= 2 * sizes[s]:
+            expected = dict.fromkeys(classes, 2.0)
+        else:  # the level by bisection
+            low, high = 0.0, 2.0
+            for _ in range(200):
+                mid = (low + high) / 2
+                low, high = (mid, high) if sum(min(2, mid * growth(c)) * n for c, n in classes.items()) < goal[s] else (low, mid)
+            expected = {c: min(2, low * growth(c)) for c in classes}
+        expected = {c: round(e) if abs(e - round(e)) < 1e-9 else e for c, e in expected.items()}
+        wanted = goal[s] - sum(math.floor(expected[c]) * n for c, n in classes.items())
+        rank = {}
+        for i, t, source in rows:
+            n = len(words(t))
+            p = expected[n.bit_length()] % 1 if source == s and n else 0
+            if p:
+                u = (int(hashlib.md5(f"mix-1:{'null' if i is None else i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+                key = (u / (1 - u) * (1 - p) / p, i is not None, i or 0, n)
+                rank[key] = rank.get(key, 0) + n
+        upto, taken = 0, set()
+        for key in sorted(rank):
+            upto += rank[key]
+            if upto - rank[key] / 2 <= wanted:
+                taken.add(key[1:])
+        for i, t, source in rows:
+            n = len(words(t))
+            if source == s:
+                out[i, n, s] = math.floor(expected[n.bit_length()]) + ((i is not None, i or 0, n) in taken) if n else 0
+    return out
+
+
+def test_mixing_is_pareto_sampling(spark, edge, docs):
+    rng = np.random.default_rng(6)
+    made = [(int(rng.integers(0, 300)) if i % 9 else None, "w " * int(rng.pareto(1) * 20), rng.choice(["a", "b", "c"], p=[0.7, 0.2, 0.1])) for i in range(600)]
+    for table in (edge, docs, spark.createDataFrame(made, "doc_id long, text string, source string")):
+        rows = [(r.doc_id, r.text, r.source) for r in table.collect()]
+        sized = mixing._sizes(table)
+        got = {(r["doc_id"], r["size"], r["source"]): r["copies"] for r in as_rows(mixing._mixed(sized))}
+        assert got == brute_mix(rows)
+    # longer documents are likelier inside a source
+    odds = as_rows(mixing.expected_copies(sized))
+    assert len({r["whole"] + r["p"] for r in odds if r["source"] == "a"}) > 2
+
+
+def test_mixing_of_names_that_clash(spark):
+    table = spark.createDataFrame([(1, "a b", "s", 5, 6, 7, 8), (1, "a b", None, 1, 1, 1, 1)], "doc_id int, text string, source string, copies int, __copies int, size int, copy int")
+    got = mixing.apply_mix(table)
+    assert got.schema == table.schema and {tuple(r) for r in got.collect()} <= {tuple(r) for r in table.collect()}
+
+
 def test_mixing(spark, edge, empty, docs):
     for table in (edge, docs):
         rows = [(r.doc_id, r.text, r.source) for r in table.collect()]
@@ -617,9 +700,67 @@ def test_passages_are_found_whatever_the_batches(spark):
     more = rng.integers(0, 2, n)
     order = np.lexsort((doc, more, route))
     plain = {"route": route, "key": route * 7, "doc_id": doc, "state": state}
-    windows = {"route": route[order], "key": route[order], "more": more[order], "doc_id": np.abs(doc[order]), "first": np.zeros(n, np.int64), "state": np.zeros(n, np.int8)}
-    windows = {k: v[np.lexsort((windows["doc_id"], windows["more"], windows["route"]))] for k, v in windows.items()}
-    for f, c in ((passages._recurring_anchors, plain), (passages._recurring_windows, windows)):
+    windows = {"route": route[order], "more": more[order], "doc_id": np.abs(doc[order]), "part": (doc[order] % 2).astype(np.int32), "first": np.full(n, -5), "first_part": np.zeros(n, np.int32), "state": np.where(doc[order] == 3, passages.KNOWN, passages.ALONE).astype(np.int8)}
+    windows = {k: v[np.lexsort((windows["part"], windows["doc_id"], windows["state"], windows["more"], windows["route"]))] for k, v in windows.items()}
+    for f, c in ((passages._recurring_anchors, plain), (passages._recurring_parts, windows)):
         whole = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in c.items()})
-        found = [sorted(map(tuple, (r.values() for b in f([whole.slice(i, k) for i in range(0, n, k)]) for r in b.to_pylist()))) for k in (n, 1, 3, 50)]
+        found = [[tuple(r.values()) for b in f([whole.slice(i, k) for i in range(0, n, k)]) for r in b.to_pylist()] for k in (n, 1, 3, 50)]
+        found = [sorted(x if f is passages._recurring_anchors else set(x)) for x in found]
         assert found[0] and all(x == found[0] for x in found)
+
+
+def test_only_what_the_automaton_finds_is_removed(spark, monkeypatch):
+    shared = " ".join(f"s{i}" for i in range(60))
+    rows = [(1, "a b c " + shared), (2, shared + " d"), (3, "x " + " ".join(shared.split()[20:45]) + " y"), (4, "e f " * 10)]
+    docs = pa.RecordBatch.from_pydict({"first": [1] * 4, "first_part": [0] * 4, "salt": [0] * 4, "member": [False, True, True, True], "doc_id": [1, 2, 3, 4], "whole": [b""] * 4, "part": [0, 0, 0, 1], "words": [t.encode() for _, t in rows]})
+    found = [r for b in passages._locate([docs]) for r in b.to_pylist()]
+    assert [(r["doc_id"], r["starts"], r["ends"]) for r in found] == [(2, [0], [60]), (3, [1], [26])]
+    monkeypatch.setattr(passages, "compile_automaton", lambda phrases: ahocorasick_of_nothing())
+    assert not [r for b in passages._locate([docs]) for r in b.to_pylist()]
+    # in a hash collision the words decide
+    monkeypatch.undo()
+    monkeypatch.setattr(passages, "mix", lambda x: x * np.uint64(0))
+    assert passages.occurrences([rows[0][1].encode()], [" ".join(f"t{i}" for i in range(60)).encode()]) == [[]]
+
+
+def ahocorasick_of_nothing():
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    automaton.add_word("\x00", 1)
+    automaton.make_automaton()
+    return automaton
+
+
+def test_passages_across_parts_and_groups(spark, monkeypatch):
+    monkeypatch.setattr(passages, "PART", 32)
+    monkeypatch.setattr(passages, "MEMBERS", 3)
+    rng = np.random.default_rng(8)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for j in rng.choice(200, int(rng.integers(0, 5)), replace=False):
+            w[j] = f"edit{rng.integers(5)}"
+        rows.append((i, " ".join(w[int(rng.integers(0, 30)) :])))
+    batches = lambda rows: [pa.RecordBatch.from_pydict({"doc_id": [r[0] for r in rows], "text": [r[1] for r in rows]})]
+    # parts and groups are of module constants that workers do not see, so the tasks are called here
+    words = {i: t.encode().split() for i, t in rows}
+    everything = pa.ListArray.from_arrays(pa.array([0, *np.cumsum([len(np.unique(x)) for x in _anchor_lists(rows)])], pa.int32()), pa.array(np.concatenate([np.unique(x) for x in _anchor_lists(rows)]).view(np.int64)))
+    hinted = [b.append_column("hints", everything) for b in batches(rows)]
+    asked = pa.Table.from_batches(list(passages._window_rows(hinted))).sort_by([(k, "ascending") for k in ("route", "more", "state", "doc_id", "part")])
+    pairs = {tuple(r.values()) for b in passages._recurring_parts(asked.combine_chunks().to_batches()) for r in b.to_pylist()}
+    gone = defaultdict(set)
+    for first, first_part in {p[2:] for p in pairs}:
+        members = [p[:2] for p in pairs if p[2:] == (first, first_part)]
+        for at in range(0, len(members), 3):
+            part = lambda d, k: b" ".join(words[d][k * 32 : k * 32 + 44])
+            for (d, k), spans in zip(members[at : at + 3], passages.occurrences([part(first, first_part)], [part(*m) for m in members[at : at + 3]]), strict=True):
+                gone[d].update(i + 32 * k for a, b in spans for i in range(a, b))
+    assert {r["doc_id"]: r["n_removed"] for r in brute_passages(rows)} == {i: len(gone[i]) for i, _ in rows}
+
+
+def _anchor_lists(rows):
+    w = Words(pa.array([t for _, t in rows]))
+    at, low = passages.anchors(w)
+    return [low[w.doc[at] == i] for i in range(len(rows))]
