@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}
-_written: list[str] = []
+_open: ContextVar[list[str] | None] = ContextVar("staged", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,13 +32,25 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _written.append(path)
+    if (paths := _open.get()) is not None:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(spark: SparkSession) -> None:
-    """Delete every staged table of this process; call it once the results that read them are written."""
+@contextmanager
+def staged_tables() -> Iterator[list[str]]:
+    """The list that paths of tables staged inside the block go to, oldest first, for :func:`drop_staged`."""
+    paths: list[str] = []
+    token = _open.set(paths)
+    try:
+        yield paths
+    finally:
+        _open.reset(token)
+
+
+def drop_staged(spark: SparkSession, paths: list[str], keep: int = 0) -> None:
+    """Delete all but the ``keep`` newest of the tables in ``paths``; call it once what reads them is written."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    while _written:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while len(paths) > keep:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(paths.pop(0))
         path.getFileSystem(hadoop).delete(path, True)
