@@ -97,15 +97,27 @@ def stretch_penalty(bpm: str | Column, grid: str | Column) -> Column:
 # keys
 
 
+def camelot_number(code: str | Column) -> Column:
+    """Place of a key on the wheel of twelve."""
+    return F.regexp_extract(col(code), r"^(\d+)", 1).cast("int")
+
+
+def camelot_mode(code: str | Column) -> Column:
+    return F.right(col(code), F.lit(1))
+
+
 def camelot_score(a: str | Column, b: str | Column) -> Column:
     """Compatibility of two keys on the wheel of twelve."""
-    a, b = col(a), col(b)
-    number = lambda x: F.regexp_extract(x, r"^(\d+)", 1).cast("int")
-    gap = F.abs(number(a) - number(b))
+    return wheel_score(camelot_number(a), camelot_mode(a), camelot_number(b), camelot_mode(b))
+
+
+def wheel_score(a_number: Column, a_mode: Column, b_number: Column, b_mode: Column) -> Column:
+    """:func:`camelot_score` of keys taken apart already."""
+    gap = F.abs(a_number - b_number)
     d = F.least(gap, 12 - gap)
     same_mode = F.when(d == 0, 1.0).when(d == 1, 0.8).when(d == 2, 0.4).otherwise(F.greatest(F.lit(0.0), 0.25 - 0.05 * (d - 3)))
     cross = F.when(d == 0, 0.8).when(d == 1, 0.35).otherwise(0.1)
-    return F.when(F.right(a, F.lit(1)) == F.right(b, F.lit(1)), same_mode).otherwise(cross)
+    return F.when(a_mode == b_mode, same_mode).otherwise(cross)
 
 
 def bpm_score(bpm_a: str | Column, bpm_b: str | Column, shared: str | Column) -> Column:

@@ -178,6 +178,17 @@ def storage_totals(inventory: DataFrame) -> DataFrame:
     return inventory.groupBy(kind.alias("kind")).agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))
 
 
+def storage_by_policy(inventory: DataFrame, policies: tuple[int, ...] = (9, 3, 1, 0)) -> DataFrame:
+    """``codec, variants_kept, objects, bytes``: what each policy of keeping masters and the first variants of a track
+    by tempo would store, by codec (the ending of the key)."""
+    name = F.regexp_extract("key", r"^(audio|variants)/(.+?)(?:_([0-9]+))?[.]([a-z0-9]+)$", 2)
+    part = lambda i: F.regexp_extract("key", r"^(audio|variants)/(.+?)(?:_([0-9]+))?[.]([a-z0-9]+)$", i)
+    rows = inventory.select(part(1).alias("kind"), name.alias("id"), part(3).try_cast("int").alias("bpm"), part(4).alias("codec"), "size").filter("kind <> ''")
+    rank = F.when(F.col("kind") == "audio", 0).otherwise(F.row_number().over(Window.partitionBy("kind", "codec", "id").orderBy("bpm")))
+    kept = rows.withColumn("rank", rank).withColumn("variants_kept", F.explode(F.array(*map(F.lit, policies)))).filter("rank <= variants_kept")
+    return kept.groupBy("codec", "variants_kept").agg(F.count("*").alias("objects"), F.sum("size").alias("bytes"))
+
+
 def catalog_rollup(tracks: DataFrame) -> DataFrame:
     """Counts by band, licence and status at every level of detail."""
     band = X.resolve_band("genre", "native_bpm").alias("band")

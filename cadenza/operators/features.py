@@ -19,29 +19,57 @@ def by_frame() -> Window:
     return Window.partitionBy("track_id").orderBy("frame_idx")
 
 
-def n_windows(n: Column, frame: int, hop: int) -> Column:
-    """Whole windows of ``frame`` samples, one each ``hop``; at least none."""
-    return F.greatest(F.lit(0), 1 + F.floor((n - frame) / hop)).cast("int")
+def _spectrum(x: np.ndarray, frame: int, hop: int, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of some frames of ``x`` and their magnitudes, ``step`` frames at a time: Hann windows, no padding."""
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / frame)
+    n = 0 if len(x) < frame else 1 + (len(x) - frame) // hop
+    for at in range(0, n, step):
+        numbers = np.arange(at, min(n, at + step))
+        yield numbers, np.abs(np.fft.rfft(x[numbers[:, None] * hop + np.arange(frame)] * window, axis=1)) / window.sum()
 
 
 def spectra(audio: DataFrame, frame: int = 2048, hop: int = 512) -> DataFrame:
-    """``track_id, frame_idx, bin, freq, mag`` from ``audio (track_id, sr, samples)``: Hann windows, no padding."""
+    """``track_id, frame_idx, bin, freq, mag`` from ``audio (track_id, sr, samples)``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(frame) / frame)
+        bins = frame // 2 + 1
         for batch in batches:
             for track, sr, samples in zip(batch["track_id"], batch["sr"], batch["samples"], strict=True):
-                x = np.asarray(samples if samples is not None else [], float)
-                n = 0 if len(x) < frame else 1 + (len(x) - frame) // hop
-                bins = frame // 2 + 1
-                for at in range(0, n, 512):
-                    starts = np.arange(at, min(n, at + 512))
-                    mag = np.abs(np.fft.rfft(x[starts[:, None] * hop + np.arange(frame)] * window, axis=1)) / window.sum()
-                    yield pd.DataFrame({"track_id": track, "frame_idx": np.repeat(starts, bins), "bin": np.tile(np.arange(bins), len(starts)), "freq": np.tile(np.arange(bins) * sr / frame, len(starts)), "mag": mag.ravel()})
+                for numbers, mag in _spectrum(np.asarray(samples if samples is not None else [], float), frame, hop):
+                    yield pd.DataFrame({"track_id": track, "frame_idx": np.repeat(numbers, bins), "bin": np.tile(np.arange(bins), len(numbers)), "freq": np.tile(np.arange(bins) * sr / frame, len(numbers)), "mag": mag.ravel()})
 
     return audio.select("track_id", "sr", "samples").mapInPandas(run, "track_id string, frame_idx int, bin int, freq double, mag double")
 
 
+def frame_features(audio: DataFrame, frame: int = 2048, hop: int = 512, low: float = 20.0, high: float = 150.0, keep_errors: bool = False) -> DataFrame:
+    """``track_id, frame_idx, rms, flux, bass_ratio`` from ``audio (track_id, sr, samples)``, one pass per track.
+
+    Each frame is transformed once, some hundred at a time, so memory is that of the samples
+    whatever the track's length. ``flux`` sums the rises of magnitude since the frame before
+    (first frame 0), ``bass_ratio`` is the share of the bins from ``low`` to ``high`` Hz.
+    Tracks without a whole frame have no rows; with ``keep_errors`` those with an ``error`` have one row, with it.
+    """
+    columns = ["track_id", "sr", "samples", *(["error"] if keep_errors else [])]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if keep_errors and batch["error"].notna().any():
+                yield batch.loc[batch["error"].notna(), ["track_id", "error"]].assign(frame_idx=pd.array([pd.NA] * int(batch["error"].notna().sum()), "Int32"), rms=None, flux=None, bass_ratio=None)
+            for track, sr, samples in zip(batch["track_id"], batch["sr"], batch["samples"], strict=True):
+                x = np.asarray(samples if samples is not None else [], float)
+                before = None
+                for numbers, mag in _spectrum(x, frame, hop):
+                    squares = np.cumsum(np.r_[0.0, x[numbers[0] * hop : numbers[-1] * hop + frame] ** 2])
+                    start = (numbers - numbers[0]) * hop
+                    freq = np.arange(mag.shape[1]) * sr / frame
+                    rises = np.maximum(np.diff(mag, axis=0, prepend=mag[:1] if before is None else before[None]), 0.0)
+                    bass = mag[:, (freq >= low) & (freq <= high)].sum(axis=1)
+                    before = mag[-1]
+                    yield pd.DataFrame({"track_id": track, "frame_idx": numbers, "rms": np.sqrt((squares[start + frame] - squares[start]).clip(min=0) / frame), "flux": rises.sum(axis=1), "bass_ratio": bass / (mag.sum(axis=1) + 1e-12)} | ({"error": None} if keep_errors else {}))
+
+    return audio.select(*columns).mapInPandas(run, "track_id string, frame_idx int, rms double, flux double, bass_ratio double" + (", error string" if keep_errors else ""))
+
+
 def feature_job(audio: DataFrame, job: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A caller's own feature function over batches of audio rows (filter ``audio`` first: nothing is pushed below it)."""
 
@@ -54,11 +82,7 @@ def feature_job(audio: DataFrame, job: Callable[[pd.DataFrame], pd.DataFrame], s
 
 def frame_rms(audio: DataFrame, frame: int = 2048, hop: int = 512) -> DataFrame:
     """``track_id, frame_idx, rms`` of the same windows."""
-    squares = F.transform("samples", lambda x: x.cast("double") * x.cast("double"))
-    rows = audio.select("track_id", squares.alias("sq"), n_windows(F.size("samples"), frame, hop).alias("n")).filter("n > 0")
-    each = rows.select("track_id", "sq", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("frame_idx"))
-    total = F.aggregate(F.slice("sq", F.col("frame_idx") * hop + 1, frame), F.lit(0.0), lambda a, x: a + x)
-    return each.select("track_id", "frame_idx", F.sqrt(total / frame).alias("rms"))
+    return frame_features(audio, frame, hop).select("track_id", "frame_idx", "rms")
 
 
 def onset_strength(spectrum: DataFrame) -> DataFrame:
@@ -81,11 +105,18 @@ def prefix_sums(frames: DataFrame, columns: tuple[str, ...] = SERIES) -> DataFra
     return rows.unionByName(zero)
 
 
+def prefix_arrays(frames: DataFrame) -> DataFrame:
+    """``track_id, p``: the prefix sums of a track as one array, in order."""
+    return prefix_sums(frames).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("k", *(f"p_{c}" for c in SERIES)))).alias("p"))
+
+
 def wide_features(frames: DataFrame, tracks: DataFrame, hop_dur: float) -> DataFrame:
     """One row per track with frames: tempo, hop, counts, evenly spaced beats and prefix-sum arrays."""
-    p = prefix_sums(frames)
-    arrays = p.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("k", *(f"p_{c}" for c in SERIES)))).alias("p"))
-    rows = arrays.join(tracks.select(F.col("id").alias("track_id"), F.col("native_bpm").alias("bpm")), "track_id")
+    return features_of(prefix_arrays(frames).join(tracks.select(F.col("id").alias("track_id"), F.col("native_bpm").alias("bpm")), "track_id"), hop_dur)
+
+
+def features_of(rows: DataFrame, hop_dur: float) -> DataFrame:
+    """:func:`wide_features` of ``rows (track_id, bpm, p)``."""
     n = F.size("p") - 1
     beats = F.expr(f"transform(sequence(0, cast(ceil(n_frames * {hop_dur} * bpm / 60.0) AS int)), k -> k * 60.0D / bpm)")
     rows = rows.select("track_id", "bpm", F.lit(hop_dur).alias("hop_dur"), n.alias("n_frames"), (n * hop_dur).alias("duration_s"), *(F.col(f"p.p_{c}").alias(f"p_{c}") for c in SERIES))
@@ -99,14 +130,17 @@ def window_mean(prefix: str | Column, start: Column, end: Column) -> Column:
 
 
 def autocorrelation(frames: DataFrame, most_lag: int, column: str = "flux") -> DataFrame:
-    """``track_id, lag, ac`` of the mean-free series, lags 0 to ``most_lag``, divided by lag 0."""
-    mean = F.avg(column).over(Window.partitionBy("track_id"))
-    x = frames.select("track_id", "frame_idx", (F.col(column) - mean).alias("x"))
-    lagged = x.select("track_id", "x", "frame_idx", F.explode(F.sequence(F.lit(0), F.lit(most_lag))).alias("lag")).withColumn("other", F.col("frame_idx") + F.col("lag"))
-    y = x.select("track_id", F.col("frame_idx").alias("other"), F.col("x").alias("y"))
-    sums = lagged.join(y, ["track_id", "other"]).groupBy("track_id", "lag").agg(F.sum(F.col("x") * F.col("y")).alias("s"))
-    zero = F.first_value(F.col("s")).over(Window.partitionBy("track_id").orderBy("lag"))
-    return sums.withColumn("z", zero).select("track_id", "lag", F.when(F.col("z") > 0, F.col("s") / F.col("z")).otherwise(F.col("s")).alias("ac"))
+    """``track_id, lag, ac`` of the mean-free series, lags 0 to ``most_lag`` or the track's last, divided by lag 0.
+
+    A task has the series of one track at a time; lags are not exploded into rows of frames."""
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        x = part.sort_values("frame_idx")["x"].to_numpy(float)
+        x = x - x.mean()
+        ac = np.array([x[: len(x) - lag] @ x[lag:] for lag in range(min(most_lag + 1, len(x)))])
+        return pd.DataFrame({"track_id": key[0], "lag": np.arange(len(ac)), "ac": ac / ac[0] if ac[0] > 0 else ac})
+
+    return frames.select("track_id", "frame_idx", F.col(column).alias("x")).groupBy("track_id").applyInPandas(run, "track_id string, lag int, ac double")
 
 
 def estimate_tempo(frames: DataFrame, hop_dur: float, low: float = 70.0, high: float = 180.0) -> DataFrame:

@@ -113,30 +113,41 @@ def orphan_objects(inventory: DataFrame, tracks: DataFrame, variants: DataFrame)
 
 
 def publish(spark: SparkSession, seed: DataFrame, audio: DataFrame, path: str, gate: Column | None = None) -> DataFrame:
-    """One batch run over ``seed (id, name, artist, genre, license, bpm)`` and ``audio (track_id, sr, samples, error)``:
-    licence gate, then features and segments of what passes, variant plan, and the tables written below ``path``.
+    """One batch run over ``seed (id, genre, license, bpm, …)`` and ``audio (track_id, sr, samples, error)``: what is
+    published already is skipped, then licence gate, features and segments of what passes, variant plan, and the
+    tables written below ``path`` (frames and segments in ``analysis``, tracks and variants in ``catalog``, as snapshots).
 
     Returns ``id, outcome``. A track that can't be read gets its error; the run goes on.
     """
-    from ..functions import camelot_score  # noqa: F401  (column forms stay in one place)
+    from ..sources import snapshots
     from . import features, licensing, merge, segments, tempo
 
-    known, quarantined = licensing.split_licenses(seed)
+    before = merge.read_published(spark, f"{path}/catalog")
+    done = seed.limit(0).select("id") if before is None else before[0].filter("status = 'ready'").select("id")
+    skipped = seed.join(done, "id", "left_semi")
+    known, quarantined = licensing.split_licenses(seed.join(done, "id", "left_anti"))
     mixable, refused = licensing.gate_mixable(licensing.parse_license(known).withColumns({"audio_key": F.lit(None).cast("string"), "status": F.lit("pending")}))
     if gate is not None:
         mixable = licensing.accept(mixable, gate)
     wanted = audio.join(mixable.select(F.col("id").alias("track_id")), "track_id", "left_semi")  # before any audio is framed
-    good = wanted.filter("error IS NULL")
-    spectrum = features.spectra(good)
-    frames = features.frame_rms(good).join(features.onset_strength(spectrum), ["track_id", "frame_idx"]).join(features.bass_ratio(spectrum), ["track_id", "frame_idx"])
-    frames.write.mode("overwrite").parquet(f"{path}/frames")
-    frames = spark.read.parquet(f"{path}/frames")
+    analysis = f"{path}/analysis"
+    n = max(snapshots.numbers(spark, analysis), default=-1) + 1
+    # audio is decoded and transformed once, here; the rest reads the tables written
+    features.frame_features(wanted, keep_errors=True).write.mode("overwrite").parquet(f"{analysis}/v={n}/frames")
+    rows = spark.read.parquet(f"{analysis}/v={n}/frames")
+    frames = rows.filter("error IS NULL").drop("error")
     hop = 512 / 22_050
-    segments.segment(frames, hop).write.mode("overwrite").parquet(f"{path}/segments")
+    snapshots.write_snapshot(spark, analysis, {"segments": segments.segment(frames, hop)}, number=n)
     lengths = frames.groupBy(F.col("track_id").alias("id")).agg((F.count("*") * hop).alias("duration_s"))
     ready = mixable.join(lengths, "id").withColumns({"status": F.lit("ready"), "native_bpm": F.col("bpm").cast("double"), "audio_key": F.concat(F.lit("audio/"), "id", F.lit(".m4a"))})
-    merge.publish_tracks(ready, tempo.variant_plan(ready), path)
-    errors = wanted.select(F.col("track_id").alias("id"), "error")
+    plan = tempo.variant_plan(ready)
+    tracks = ready if before is None else merge.upsert_tracks(before[0], ready)
+    merge.publish_tracks(tracks, plan if before is None else merge.upsert_variants(before[1], plan), f"{path}/catalog")
+    errors = rows.filter("error IS NOT NULL").select(F.col("track_id").alias("id"), "error")
     outcome = F.when(F.col("error").isNotNull(), F.concat(F.lit("failed: "), "error")).when(F.col("duration_s").isNull(), "failed: no frames").otherwise("ready")
-    done = mixable.select("id").join(errors, "id", "left").join(lengths, "id", "left").select("id", outcome.alias("outcome"))
-    return done.union(refused.select("id", F.lit("refused: no derivatives"))).union(quarantined.select("id", F.lit("quarantined: unknown licence")))
+    made = mixable.select("id").join(errors, "id", "left").join(lengths, "id", "left").select("id", outcome.alias("outcome"))
+    others = ((skipped, "skipped: published already"), (refused, "refused: no derivatives"), (quarantined, "quarantined: unknown licence"))
+    for rows, why in others:
+        made = made.union(rows.select("id", F.lit(why)))
+    return made
+

@@ -8,17 +8,25 @@ from pyspark.sql import functions as F
 from .. import functions as X
 from ..functions import dimensions as D
 
-BROADCAST_ROWS = 100_000
+#: Rows of a band that one task pairs with as many others.
+BLOCK_ROWS = 1024
+#: No band has more grid points.
+SLOTS = max(len(D.grid_of(*extent)) for extent in D.BANDS.values())
 
 
-def track_scalars(tracks: DataFrame, variants: DataFrame, segments: DataFrame, frames: DataFrame) -> DataFrame:
-    """``id, band, bpm, camelot, grid, intro_rms, outro_rms`` of mixable tracks with variants and segments.
-
-    The pair join needs no more of a track than this."""
+def track_energies(segments: DataFrame, frames: DataFrame) -> DataFrame:
+    """``track_id, intro_rms, outro_rms``: mean rms of the first and of the last segment."""
     from .segments import segment_energy
 
-    energy = segment_energy(segments.select("track_id", "seg_idx", "start_frame", "end_frame"), frames).groupBy(F.col("track_id").alias("id")).agg(F.min_by("energy", "seg_idx").alias("intro_rms"), F.max_by("energy", "seg_idx").alias("outro_rms"))
-    return _scalars(tracks, variants).join(energy, "id")
+    energy = segment_energy(segments.select("track_id", "seg_idx", "start_frame", "end_frame"), frames)
+    return energy.groupBy("track_id").agg(F.min_by("energy", "seg_idx").alias("intro_rms"), F.max_by("energy", "seg_idx").alias("outro_rms"))
+
+
+def track_scalars(tracks: DataFrame, variants: DataFrame, energies: DataFrame) -> DataFrame:
+    """``id, band, bpm, camelot, grid, intro_rms, outro_rms`` of mixable tracks with variants and ``energies`` (of :func:`track_energies`).
+
+    The pair join needs no more of a track than this."""
+    return _scalars(tracks, variants).join(energies.withColumnRenamed("track_id", "id"), "id")
 
 
 def _scalars(tracks: DataFrame, variants: DataFrame) -> DataFrame:
@@ -28,28 +36,78 @@ def _scalars(tracks: DataFrame, variants: DataFrame) -> DataFrame:
     return own.join(grid_map(variants).withColumnRenamed("track_id", "id"), "id")
 
 
+def _slots() -> Column:
+    """Grid points of a row's band, in order."""
+    out = F.array().cast("array<int>")
+    for name, extent in D.BANDS.items():
+        out = F.when(F.col("band") == name, F.array(*map(F.lit, D.grid_of(*extent)))).otherwise(out)
+    return out
+
+
+def _ready_to_pair(scalars: DataFrame) -> DataFrame:
+    """Scalars with what a pair needs of one track alone: ``mask`` (a bit per grid point of the band), ``pen`` (stretch
+    penalty at each), ``key_number`` and ``key_mode``. Pairs then are plain arithmetic."""
+    rows = scalars.withColumn("slots", _slots())
+    mask = F.expr("aggregate(grid, 0, (m, g) -> m | if(array_contains(slots, g), shiftleft(1, cast(array_position(slots, g) AS int) - 1), 0))")
+    pen = F.transform("slots", lambda g: X.stretch_penalty("bpm", g)) if "bpm" in scalars.columns else F.array().cast("array<double>")
+    return rows.withColumn("mask", mask).withColumn("pen", pen).withColumn("key_number", X.camelot_number("camelot")).withColumn("key_mode", X.camelot_mode("camelot"))
+
+
 def candidate_pairs(scalars: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """Ordered pairs of different tracks that share a tempo, columns ``a_…`` and ``b_…``.
 
     Grid points of different bands differ, so sharing one implies the same band: an
-    equi-join on band finds each pair once. The hot bands are split over sub-keys: ``a`` rows
-    are dealt by id, ``b`` rows go to every sub-key.
+    equi-join on band finds each pair once. A band's rows are dealt into blocks by its counts on either
+    side, and a task pairs two blocks; a bit test tells whether two grids meet.
     """
-    a_side = scalars if anchors is None else scalars.join(anchors.select("id"), "id", "left_semi")
-    a = a_side.select(*(F.col(c).alias(f"a_{c}") for c in scalars.columns)).withColumn("part", F.pmod(F.xxhash64("a_id"), F.lit(16)))
-    b = scalars.select(*(F.col(c).alias(f"b_{c}") for c in scalars.columns)).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
-    pairs = a.join(b, (F.col("a_band") == F.col("b_band")) & (a["part"] == b["part"]) & (F.col("a_id") != F.col("b_id"))).drop("part")
-    return pairs.filter(F.arrays_overlap("a_grid", "b_grid"))
+    rows = _ready_to_pair(scalars)
+    a_side = rows if anchors is None else rows.join(anchors.select("id"), "id", "left_semi")
+    blocks = lambda df, name: df.groupBy("band").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias(name))
+    counts = blocks(a_side, "a_blocks").join(blocks(rows, "b_blocks"), "band")  # a row per band
+    dealt = lambda df, x: df.join(counts, "band").select(*(F.col(c).alias(f"{x}_{c}") for c in rows.columns if c != "slots"), "a_blocks", "b_blocks")
+    every = lambda n: F.explode(F.expr(f"sequence(0, {n} - 1)"))
+    a = dealt(a_side, "a").withColumn("i", F.expr("cast(pmod(xxhash64(a_id), a_blocks) AS int)")).withColumn("j", every("b_blocks")).drop("a_blocks", "b_blocks")
+    b = dealt(rows, "b").withColumn("j", F.expr("cast(pmod(xxhash64(b_id), b_blocks) AS int)")).withColumn("i", every("a_blocks")).drop("a_blocks", "b_blocks")
+    shares = a["a_mask"].bitwiseAND(b["b_mask"]) != 0
+    return a.join(b, (a["a_band"] == b["b_band"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & shares & (a["a_id"] != b["b_id"])).drop("i", "j")
+
+
+def _scored(pairs: DataFrame) -> DataFrame:
+    """Pairs with ``score``, ``bpm``, ``key``, ``energy`` (not rounded) and ``slot``, the best shared grid point's place in the band."""
+    both = F.col("a_mask").bitwiseAND(F.col("b_mask"))
+    at = lambda x, j: F.get(f"{x}_pen", F.lit(j))
+    each = {f"s{j}": F.when(both.bitwiseAND(F.lit(1 << j)) != 0, 1.0 - D.BPM_PENALTY * (0.5 * (at("a", j) + at("b", j)))) for j in range(SLOTS)}
+    rows = pairs.withColumns(each).withColumn("bpm", F.greatest(*each))
+    slot = F.lit(None).cast("int")
+    for j in reversed(range(SLOTS)):
+        slot = F.when(F.col(f"s{j}") == F.col("bpm"), j).otherwise(slot)
+    key = X.wheel_score(F.col("a_key_number"), F.col("a_key_mode"), F.col("b_key_number"), F.col("b_key_mode"))
+    rows = rows.withColumn("slot", slot).withColumns({"key": key, "energy": X.energy_continuity("a_outro_rms", "b_intro_rms")})
+    return rows.withColumn("score", D.W_BPM * F.col("bpm") + D.W_KEY * F.col("key") + D.W_ENERGY * F.col("energy"))
 
 
 def match_pairs(pairs: DataFrame) -> DataFrame:
-    """``a_id, b_id, score, bpm, key, energy, shared_grid, best_grid_bpm``; scores to 4 digits."""
-    shared = X.shared_grid("a_grid", "b_grid")
-    rows = pairs.withColumn("shared_grid", shared).withColumn("s", X.bpm_score("a_bpm", "b_bpm", "shared_grid"))
-    rows = rows.withColumn("k", X.camelot_score("a_camelot", "b_camelot")).withColumn("e", X.energy_continuity("a_outro_rms", "b_intro_rms"))
-    total = D.W_BPM * F.col("s.score") + D.W_KEY * F.col("k") + D.W_ENERGY * F.col("e")
-    r4 = lambda c: X.round_up_half(c, 4)
-    return rows.select("a_id", "b_id", r4(total).alias("score"), r4(F.col("s.score")).alias("bpm"), r4(F.col("k")).alias("key"), r4(F.col("e")).alias("energy"), "shared_grid", F.col("s.grid").alias("best_grid_bpm"))
+    """``a_id, b_id, score, bpm, key, energy, shared_grid, best_grid_bpm`` of :func:`candidate_pairs`; scores to 4 digits."""
+    return _named(_narrow(_scored(pairs)))
+
+
+def _narrow(scored: DataFrame) -> DataFrame:
+    """What ranking needs of a scored pair; the grid points wait in a mask."""
+    r4 = lambda c: X.round_up_half(F.col(c), 4).alias(c)
+    return scored.select("a_id", "b_id", *map(r4, ("score", "bpm", "key", "energy")), F.col("a_band").alias("band"), F.col("a_mask").bitwiseAND(F.col("b_mask")).alias("mask"), "slot")
+
+
+def _named(narrow: DataFrame) -> DataFrame:
+    rows = narrow.withColumn("slots", _slots())
+    rows = rows.withColumn("shared_grid", F.expr("filter(slots, (g, i) -> (mask & shiftleft(1, i)) <> 0)")).withColumn("best_grid_bpm", F.get("slots", F.col("slot")))
+    return rows.select("a_id", "b_id", "score", "bpm", "key", "energy", "shared_grid", "best_grid_bpm", *(["rank"] if "rank" in narrow.columns else []))
+
+
+def pairs_of(edges: DataFrame, scalars: DataFrame) -> DataFrame:
+    """:func:`candidate_pairs` for given ``edges (a_id, b_id)``: those of them that share a tempo."""
+    rows = _ready_to_pair(scalars).drop("slots")
+    a, b = (rows.select(*(F.col(c).alias(f"{x}_{c}") for c in rows.columns)) for x in "ab")
+    return edges.join(a, "a_id").join(b, "b_id").filter((F.col("a_band") == F.col("b_band")) & (F.col("a_mask").bitwiseAND(F.col("b_mask")) != 0))
 
 
 def recommend(scalars: DataFrame, anchors: DataFrame | None = None, k: int = D.TOP, cutoff: float = D.CUTOFF) -> DataFrame:
@@ -57,10 +115,10 @@ def recommend(scalars: DataFrame, anchors: DataFrame | None = None, k: int = D.T
 
     Ranks are by rounded score, ties by id as text. The pairs below the cutoff go before ranking.
     """
-    scored = match_pairs(candidate_pairs(scalars, anchors)).filter(F.col("score") >= cutoff)
+    scored = _narrow(_scored(candidate_pairs(scalars, anchors))).filter(F.col("score") >= cutoff)
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))
     ranked = scored.withColumn("rank", rank)
-    return ranked.filter(F.col("rank") <= k) if k and k > 0 else ranked
+    return _named(ranked.filter(F.col("rank") <= k) if k and k > 0 else ranked)
 
 
 def recommend_enriched(recs: DataFrame, listing: DataFrame, envelopes: DataFrame) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import dimensions as D
+from ..sources import snapshots
 
 ALWAYS = ["name", "artist", "genre", "license", "license_nd", "license_sa", "license_nc", "mixable", "status", "status_error"]
 
@@ -113,10 +114,18 @@ def replace_chains(mixes: DataFrame, mix_tracks: DataFrame, new: DataFrame, vari
     return rows, kept, bad
 
 
-def publish_tracks(tracks: DataFrame, variants: DataFrame, path: str) -> None:
-    """Variants first, then tracks: a reader that joins ready tracks never sees one without its variants."""
-    variants.write.mode("overwrite").partitionBy("grid_bpm").parquet(f"{path}/variants")
-    tracks.write.mode("overwrite").parquet(f"{path}/tracks")
+def publish_tracks(tracks: DataFrame, variants: DataFrame, path: str) -> int:
+    """A new snapshot of both tables: variants first, and it counts once the tracks are whole.
+
+    A reader has the old tables or the new ones, never a track without its variants; ``tracks``
+    and ``variants`` may be made of the old ones. Returns the number of the snapshot."""
+    return snapshots.write_snapshot(tracks.sparkSession, path, {"variants": variants, "tracks": tracks}, {"variants": ["grid_bpm"]})
+
+
+def read_published(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
+    """(tracks, variants) as last published, or None."""
+    found = snapshots.read_snapshot(spark, path, ["variants", "tracks"])
+    return None if found is None else (found["tracks"], found["variants"])
 
 
 def check_schema(df: DataFrame, expected: T.StructType | list[str]) -> DataFrame:

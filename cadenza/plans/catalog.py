@@ -137,6 +137,11 @@ SELECT stage, n_tracks, cores, {R4('h', 6)} AS hours, CASE WHEN h < 1 THEN CAST(
 FROM (SELECT stage, n_tracks, cores, {R4('avg(ms)', 6)} / 1000.0::DOUBLE * n_tracks * 4.0::DOUBLE * 3.0::DOUBLE / cores / 3600.0::DOUBLE AS h FROM latency, (VALUES (500, 1), (500, 8), (10000, 1), (10000, 8)) AS x(n_tracks, cores) GROUP BY stage, n_tracks, cores)
 """)
 query("a07_storage_totals", lambda s, d: C.storage_totals(A.inventory(s, d)), "SELECT CASE WHEN key LIKE 'audio/%' THEN 'masters' WHEN key LIKE 'variants/%' THEN 'variants' ELSE 'other' END AS kind, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM inventory GROUP BY kind")
+query("a07_storage_by_policy", lambda s, d: C.storage_by_policy(A.inventory(s, d)), r"""
+SELECT codec, CAST(p AS INTEGER) AS variants_kept, count(*) AS objects, CAST(sum(size) AS BIGINT) AS bytes FROM (
+    SELECT regexp_extract(key, '[.]([a-z0-9]+)$', 1) AS codec, size, CASE WHEN key LIKE 'audio/%' THEN 0 ELSE row_number() OVER (PARTITION BY regexp_extract(key, '^(variants/[0-9]+|audio/)', 1) ORDER BY TRY_CAST(regexp_extract(key, '_([0-9]+)[.]', 1) AS INTEGER)) END AS k
+    FROM inventory WHERE key LIKE 'audio/%' OR key LIKE 'variants/%'), (VALUES (9), (3), (1), (0)) t(p) WHERE k <= p GROUP BY codec, p
+""")
 query("a08_catalog_rollup", lambda s, d: C.catalog_rollup(A.tracks(s, d)), "SELECT band, license, status, count(*) AS n, CAST(grouping_id(band, license, status) AS BIGINT) AS level FROM banded GROUP BY ROLLUP (band, license, status)")
 query("a09_top_k", lambda s, d: C.top_k(A.tracks(s, d).select("artist", "id", "duration_s"), ["artist"], [F.desc("duration_s"), F.col("id")], 3), "SELECT artist, id, duration_s, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY artist ORDER BY duration_s DESC, id) AS r FROM tracks) WHERE r <= 3")
 query("a10_ids_union", lambda s, d: C.ids_union(A.seed(s, d), A.tracks(s, d)), "SELECT id FROM seed UNION SELECT id FROM tracks")

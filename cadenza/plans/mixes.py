@@ -344,8 +344,9 @@ FROM (SELECT *, least(abs(CAST(left(camelot, -1) AS INTEGER) - 8), 12 - abs(CAST
 def table_function(s, d):
     from ..operators.matching import recommend
 
-    sqlfuncs.register_recommend(recommend(scalars(s, d)))
-    ids = scalars(s, d).select("id")
+    narrow = scalars(s, d)
+    sqlfuncs.register_recommend(recommend(narrow))
+    ids = narrow.select("id")
     ids.createOrReplaceTempView("cadenza_ids")
     return s.sql("SELECT i.id, r.b_id, r.score, r.rank FROM cadenza_ids i, LATERAL recommend(i.id, 3) r")
 

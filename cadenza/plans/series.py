@@ -11,6 +11,7 @@ from ..operators import matching as R
 from ..operators import segments as N
 from ..operators import transitions as T
 from ..sources import adapters as A
+from ..sources.staging import stage
 from .registry import query
 from .views import R4
 
@@ -39,6 +40,19 @@ def segments(s, d):
     return N.segment(A.frames(s, d), H)
 
 
+def all_wide(s, d):
+    """Features of every track, by the series that stand for it; written, as several steps read them."""
+    own = A.series_owners(s, d).join(A.raw_tracks(s, d).select("id", "native_bpm"), "id")
+    arrays = E.prefix_arrays(A.frames(s, d)).withColumnRenamed("track_id", "owner")
+    return stage(E.features_of(own.join(arrays, "owner").select(F.col("id").alias("track_id"), F.col("native_bpm").alias("bpm"), "p"), H), "features")
+
+
+def all_segments(s, d):
+    """Segments of every track, as the segmentation finds them."""
+    own = A.series_owners(s, d).select(F.col("id").alias("track_id"), "owner")
+    return stage(segments(s, d).withColumnRenamed("track_id", "owner").join(own, "owner").drop("owner"), "segments")
+
+
 def slices(s, d):
     """Five even segments per track, for checks of transitions alone."""
     n = A.frames(s, d).groupBy("track_id").agg(F.count("*").cast("int").alias("n")).filter("n >= 5")
@@ -52,7 +66,6 @@ PREFIX = ", ".join(f"sum({c}) OVER w AS p_{c}" for c in E.SERIES)
 
 # features
 
-query("f01_spectra", lambda s, d: r(spectrum(s, d).drop("freq"), "mag", digits=5))
 query("f02_frame_rms", lambda s, d: r(E.frame_rms(audio(s, d), 16, 4), "rms"), f"""
 SELECT track_id, frame_idx, {R4('sqrt(list_sum(list_transform(x[frame_idx * 4 + 1:frame_idx * 4 + 16], lambda v: CAST(v AS DOUBLE) * CAST(v AS DOUBLE))) / 16)', 6)} AS rms
 FROM (SELECT CAST(vec_id AS VARCHAR) AS track_id, embedding AS x, CAST(unnest(range(0, 1 + (len(embedding) - 16) // 4)) AS INTEGER) AS frame_idx FROM embeddings)
@@ -65,10 +78,11 @@ spectrum AS (
         sqrt(pow(sum((0.5 - 0.5 * cos(2 * pi() * k / 16)) * CAST(embedding[frame_idx * 4 + k + 1] AS DOUBLE) * cos(2 * pi() * bin * k / 16)), 2) + pow(sum((0.5 - 0.5 * cos(2 * pi() * k / 16)) * CAST(embedding[frame_idx * 4 + k + 1] AS DOUBLE) * sin(2 * pi() * bin * k / 16)), 2)) / 8.0::DOUBLE AS mag
     FROM x, k, b GROUP BY ALL)
 """
-query("f03_onset_strength", lambda s, d: r(E.onset_strength(spectrum(s, d)), "flux", digits=5), f"""
+query("f01_spectra", lambda s, d: r(spectrum(s, d).drop("freq"), "mag", digits=5), f"WITH {DFT} SELECT track_id, frame_idx, bin, {R4('mag', 5)} AS mag FROM spectrum")
+query("f03_onset_strength", lambda s, d: r(E.frame_features(audio(s, d), 16, 4).select("track_id", "frame_idx", "flux"), "flux", digits=5), f"""
 WITH {DFT} SELECT track_id, frame_idx, {R4('sum(rise)', 5)} AS flux FROM (SELECT track_id, frame_idx, coalesce(greatest(mag - lag(mag) OVER (PARTITION BY track_id, bin ORDER BY frame_idx), 0), 0) AS rise FROM spectrum) GROUP BY ALL
 """)
-query("f04_bass_ratio", lambda s, d: r(E.bass_ratio(spectrum(s, d), 4.0, 12.0), "bass_ratio", digits=5), f"""
+query("f04_bass_ratio", lambda s, d: r(E.frame_features(audio(s, d), 16, 4, 4.0, 12.0).select("track_id", "frame_idx", "bass_ratio"), "bass_ratio", digits=5), f"""
 WITH {DFT} SELECT track_id, frame_idx, {R4('sum(CASE WHEN freq BETWEEN 4 AND 12 THEN mag ELSE 0 END) / (sum(mag) + 1e-12)', 5)} AS bass_ratio FROM spectrum GROUP BY ALL
 """)
 query("f05_prefix_sums", lambda s, d: r(E.prefix_sums(A.frames(s, d)), "p_rms", "p_flux", "p_bass_ratio"), f"""
@@ -93,8 +107,18 @@ SELECT track_id, {R4('p * phase / 24.0::DOUBLE', 6)} AS "offset", CAST(ceil((n -
                     SELECT track_id, 60.0::DOUBLE / native_bpm / 0.02::DOUBLE AS p, n, unnest(range(0, 24)) AS phase FROM (SELECT track_id, count(*) AS n FROM frames GROUP BY track_id) JOIN raw_tracks ON id = track_id))) c
         JOIN frames x ON x.track_id = c.track_id AND x.frame_idx = c.f GROUP BY ALL) GROUP BY ALL)
 """)
-query("f09_chroma", lambda s, d: r(E.chroma(spectrum(s, d).withColumn("freq", F.col("freq") * 40)), "energy", digits=5))
-query("f09_key", lambda s, d: E.estimate_key(r(E.chroma(spectrum(s, d).withColumn("freq", F.col("freq") * 40)), "energy", digits=5)))
+CHROMA = f"""
+WITH {DFT}, folded AS (SELECT track_id, CAST(round_even(69 + 12 * log2(freq * 40 / 440.0::DOUBLE), 0) AS INTEGER) % 12 AS pc, sum(mag) AS m FROM spectrum WHERE freq * 40 > 80 AND freq * 40 < 2500 GROUP BY ALL),
+twelve AS (SELECT t.track_id, CAST(p AS INTEGER) AS pc, ln(1 + coalesce(m, 0)) AS e FROM (SELECT DISTINCT track_id FROM folded) t CROSS JOIN range(12) x(p) LEFT JOIN folded f ON f.track_id = t.track_id AND f.pc = p),
+chroma AS (SELECT track_id, pc, {R4('CASE WHEN sum(e) OVER w > 0 THEN e / sum(e) OVER w ELSE 0 END', 5)} AS energy FROM twelve WINDOW w AS (PARTITION BY track_id))
+"""
+_profiles = ", ".join(f"({s}, '{m}', {(k + s) % 12}, {p[k]}, '{t}', '{c[s]}')" for s, t in enumerate(D.TONICS) for m, p, c in (("major", D.MAJOR, D.CAMELOT_MAJOR), ("minor", D.MINOR, D.CAMELOT_MINOR)) for k in range(12))
+query("f09_chroma", lambda s, d: r(E.chroma(spectrum(s, d).withColumn("freq", F.col("freq") * 40)), "energy", digits=5), CHROMA + "SELECT * FROM chroma")
+query("f09_key", lambda s, d: E.estimate_key(r(E.chroma(spectrum(s, d).withColumn("freq", F.col("freq") * 40)), "energy", digits=5)), CHROMA + f"""
+SELECT track_id, tonic, mode, camelot, {R4('r')} AS confidence FROM (
+    SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY r DESC, shift, mode) AS n FROM (
+        SELECT track_id, shift, mode, tonic, camelot, {R4('coalesce(corr(energy, weight), -2.0)', 9)} AS r FROM chroma JOIN (VALUES {_profiles}) p(shift, mode, pc, weight, tonic, camelot) USING (pc) GROUP BY ALL)) WHERE n = 1
+""")
 query("f10_normalize_tonic", lambda s, d: E.normalize_tonic(_tonics(s, d))[0], f"""
 SELECT id, coalesce(m.sharp, t) AS tonic, mode, CASE mode WHEN 'major' THEN ({D.CAMELOT_MAJOR})[list_position({D.TONICS}, coalesce(m.sharp, t))] ELSE ({D.CAMELOT_MINOR})[list_position({D.TONICS}, coalesce(m.sharp, t))] END AS camelot
 FROM (SELECT id, (['Db', 'C', 'Eb', 'F#', 'H', 'Bb', 'A'])[CAST(id AS BIGINT) % 7 + 1] AS t, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN 'major' ELSE 'minor' END AS mode FROM raw_tracks)
@@ -111,7 +135,11 @@ SELECT track_id, 24 AS points, k, {R4(R4('rms / CASE WHEN top = 0 THEN 1 ELSE to
     JOIN frames f ON f.track_id = c.track_id AND f.frame_idx = c.i)
 """)
 query("f13_native_envelopes", lambda s, d: E.native_envelopes(wide(s, d), _deck(s, d)).groupBy("points").agg(F.count("*").alias("n"), F.sum(F.size("env")).alias("values")), "SELECT CAST(p AS INTEGER) AS points, count(*) AS n, CAST(sum(p) AS BIGINT) AS \"values\" FROM (SELECT DISTINCT track_id FROM frames), (VALUES (120), (480)) t(p) WHERE track_id IN (SELECT id FROM tracks WHERE mixable AND status = 'ready') GROUP BY p")
-query("f14_analysis_audit", lambda s, d: E.analysis_audit(wide(s, d), segments(s, d)))
+query("f14_analysis_audit", lambda s, d: E.analysis_audit(wide(s, d), segments(s, d)), """
+SELECT l.track_id, coalesce(k >= 2, false) AS beats_fit_tempo, k > 10 AS enough_beats, contiguous, first_label IN ('intro', 'full') AS starts_with_intro, last_label IN ('outro', 'full', 'intro') AS ends_with_outro
+FROM (SELECT track_id, CAST(ceil(n * 0.25::DOUBLE * native_bpm / 60.0::DOUBLE) AS INTEGER) AS k FROM lengths JOIN raw_tracks ON id = track_id) l
+LEFT JOIN (SELECT track_id, bool_and(start_frame = p) AS contiguous, arg_min(label, seg_idx) AS first_label, arg_max(label, seg_idx) AS last_label FROM (SELECT *, coalesce(lag(end_frame) OVER (PARTITION BY track_id ORDER BY seg_idx), 0) AS p FROM segs) GROUP BY track_id) s ON s.track_id = l.track_id
+""")
 
 
 def _deck(s, d):
@@ -189,14 +217,18 @@ def _detail(s, d):
 
 
 def scalars(s, d):
-    """One narrow row per track; kept while the session lasts, as both sides of every pair join read it."""
-    return R.track_scalars(A.tracks(s, d), A.variants(s, d), slices(s, d), A.frames(s, d)).persist()
+    """One narrow row per mixable track; written, as both sides of every pair join read it."""
+    energies = R.track_energies(segments(s, d), A.frames(s, d)).withColumnRenamed("track_id", "owner")
+    own = A.series_owners(s, d).join(energies, "owner").select(F.col("id").alias("track_id"), "intro_rms", "outro_rms")
+    return stage(R.track_scalars(A.tracks(s, d), A.variants(s, d), own), "scalars")
 
 
-SCALARS = f"""
-SELECT t.id, b.band, t.native_bpm AS bpm, t.camelot, g.grid, i.energy AS intro_rms, o.energy AS outro_rms
-FROM tracks t JOIN banded b USING (id) JOIN grids g USING (id) JOIN ({ENERGY}) i ON i.track_id = t.id AND i.seg_idx = 0 JOIN ({ENERGY}) o ON o.track_id = t.id AND o.seg_idx = 4 WHERE t.mixable
+SCALARS = """
+SELECT t.id, b.band, t.native_bpm AS bpm, t.camelot, g.grid, e.intro_rms, e.outro_rms
+FROM tracks t JOIN banded b USING (id) JOIN grids g USING (id) JOIN owned o ON o.track_id = t.id
+JOIN (SELECT track_id, arg_min(energy, seg_idx) AS intro_rms, arg_max(energy, seg_idx) AS outro_rms FROM segs GROUP BY track_id) e ON e.track_id = o.owner WHERE t.mixable
 """
+SEGMENTS = "SELECT o.track_id, seg_idx, label, start_frame, end_frame FROM segs g JOIN owned o ON o.owner = g.track_id"
 CAMELOT = """
 CASE WHEN right({a}, 1) = right({b}, 1) THEN CASE {d} WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.4 ELSE greatest(0.0, 0.25 - 0.05 * ({d} - 3)) END ELSE CASE {d} WHEN 0 THEN 0.8 WHEN 1 THEN 0.35 ELSE 0.1 END END::DOUBLE
 """
@@ -240,7 +272,7 @@ def _enriched(s, d):
     from ..operators.catalog import catalog_listing
 
     recs = R.recommend(scalars(s, d), k=5)
-    out = R.recommend_enriched(recs, catalog_listing(A.tracks(s, d), A.variants(s, d)), E.envelope(wide(s, d), 120))
+    out = R.recommend_enriched(recs, catalog_listing(A.tracks(s, d), A.variants(s, d)), E.envelope(all_wide(s, d), 120))
     return out.select("a_id", "b_id", "rank", "name", "artist", "attribution", F.size("env").alias("n_points"))
 
 
@@ -256,29 +288,39 @@ def native(s, d):
     return T.at_tempo(wide(s, d), wide(s, d).select("track_id", F.lit(None).cast("int").alias("tempo")))
 
 
-def side_sql(name: str, side: str, wanted: str) -> str:
+ALL_FEATURES = """
+SELECT o.track_id, native_bpm AS bpm, 0.25::DOUBLE AS hop, n, [k * 60.0::DOUBLE / native_bpm FOR k IN range(0, CAST(ceil(n * 0.25::DOUBLE * native_bpm / 60.0::DOUBLE) AS INTEGER))] AS beats
+FROM owned o JOIN lengths f ON f.track_id = o.owner JOIN raw_tracks t ON t.id = o.track_id
+"""
+
+
+def side_sql(name: str, side: str, wanted: str, features: str = FEATURES, segments: str = SLICES, owner: str = "SELECT DISTINCT track_id, track_id AS owner FROM frames") -> str:
     """CTEs ``{name}_starts`` and ``{name}_sides``: the windows of one side for tracks at the tempos of ``wanted (track_id, tempo)``; a null tempo is the native one."""
     roles = "exits" if side == "exit" else "entries_roles"
     place = "start / greatest(1, n)" if side == "exit" else "1.0 - start / greatest(1, n)"
     return f"""
 {name}_f AS (
     SELECT w.track_id, w.tempo, n, floor(bpm * q * 100.0::DOUBLE + 0.5) / 100.0::DOUBLE AS bpm, 0.25::DOUBLE / q AS hop, [floor(b / q * 100000.0::DOUBLE + 0.5) / 100000.0::DOUBLE FOR b, i IN beats IF (i - 1) % 4 = 0] AS bars
-    FROM (SELECT x.track_id, tempo, n, bpm, beats, coalesce(tempo / bpm, 1.0::DOUBLE) AS q FROM ({FEATURES}) x JOIN (SELECT DISTINCT * FROM ({wanted})) v ON v.track_id = x.track_id) w),
+    FROM (SELECT x.track_id, tempo, n, bpm, beats, coalesce(tempo / bpm, 1.0::DOUBLE) AS q FROM ({features}) x JOIN (SELECT DISTINCT * FROM ({wanted})) v ON v.track_id = x.track_id) w),
 {name}_w AS (SELECT *, CAST(floor(32 * (60.0::DOUBLE / bpm / hop)) AS INTEGER) AS win FROM {name}_f),
 {name}_starts AS (
     SELECT DISTINCT track_id, tempo, CAST(round_even(f, 0) AS INTEGER) AS start FROM (
         SELECT w.track_id, w.tempo, unnest([b / hop FOR b IN bars]) AS f, greatest(0, start_frame - win // 2) AS lo, least(n - win // 2, end_frame) AS hi
-        FROM {name}_w w JOIN (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY track_id ORDER BY w DESC, seg_idx) AS k FROM ({SLICES}) s JOIN {roles} USING (label)) WHERE k <= 3) g ON g.track_id = w.track_id) WHERE f >= lo AND f <= hi),
+        FROM {name}_w w JOIN (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY track_id ORDER BY coalesce(w, 0) DESC, seg_idx) AS k FROM ({segments}) s LEFT JOIN {roles} USING (label)) WHERE k <= 3) g ON g.track_id = w.track_id) WHERE f >= lo AND f <= hi),
 {name}_sides AS (
     SELECT s.track_id, s.tempo, s.start, {R4('s.start * any_value(hop)')} AS start_s, {R4('avg(rms)', 9)} AS energy, {R4('avg(bass_ratio)', 9)} AS bass,
-        greatest(0.0, 1.0 - list_min([abs(s.start * any_value(hop) - b) FOR b IN any_value(bars)]) / (240.0::DOUBLE / any_value(bpm)) * 2.0) AS phase, 0.6::DOUBLE * any_value(r.w) + 0.4::DOUBLE * any_value({place}) AS fit
-    FROM {name}_starts s JOIN {name}_w w ON w.track_id = s.track_id AND w.tempo IS NOT DISTINCT FROM s.tempo JOIN ({SLICES}) g ON g.track_id = s.track_id AND s.start >= start_frame AND s.start < end_frame JOIN {roles} r USING (label)
-    JOIN frames f ON f.track_id = s.track_id AND f.frame_idx >= s.start AND f.frame_idx < greatest(s.start + 1, least(s.start + win, n)) GROUP BY s.track_id, s.tempo, s.start)"""
+        greatest(0.0, 1.0 - list_min([abs(s.start * any_value(hop) - b) FOR b IN any_value(bars)]) / (240.0::DOUBLE / any_value(bpm)) * 2.0) AS phase, 0.6::DOUBLE * any_value(coalesce(CAST(r.w AS DOUBLE), 0.4::DOUBLE)) + 0.4::DOUBLE * any_value({place}) AS fit
+    FROM {name}_starts s JOIN {name}_w w ON w.track_id = s.track_id AND w.tempo IS NOT DISTINCT FROM s.tempo JOIN ({segments}) g ON g.track_id = s.track_id AND s.start >= start_frame AND s.start < end_frame LEFT JOIN {roles} r USING (label)
+    JOIN ({owner}) own ON own.track_id = s.track_id JOIN frames f ON f.track_id = own.owner AND f.frame_idx >= s.start AND f.frame_idx < greatest(s.start + 1, least(s.start + win, n)) GROUP BY s.track_id, s.tempo, s.start)"""
+
+
+REAL = {"features": ALL_FEATURES, "segments": SEGMENTS, "owner": "SELECT track_id, owner FROM owned"}
 
 
-CHOSEN = f"SELECT a_id, b_id, best_grid_bpm AS tempo FROM ({RECOMMEND}) WHERE rank <= 3"
-CURVES = f"""
-WITH chosen AS ({CHOSEN}), {side_sql('x', 'exit', 'SELECT a_id AS track_id, tempo FROM chosen')}, {side_sql('y', 'entry', 'SELECT b_id AS track_id, tempo FROM chosen')},
+def curves_sql(chosen: str) -> str:
+    """CTE ``curves`` for the pairs of ``chosen (a_id, b_id, tempo)``."""
+    return f"""
+WITH chosen AS ({chosen}), {side_sql('x', 'exit', 'SELECT a_id AS track_id, tempo FROM chosen', **REAL)}, {side_sql('y', 'entry', 'SELECT b_id AS track_id, tempo FROM chosen', **REAL)},
 parts AS (
     SELECT a_id, b_id, a.start_s AS a_start_s, b.start_s AS b_start_s, 1.0 - least(1.0, abs(a.energy - b.energy) / greatest(a.energy, b.energy, 1e-9)) AS e, 0.5 * (a.phase + b.phase) AS p, 1.0 - least(1.0, a.bass + b.bass) AS s, 0.5 * (a.fit + b.fit) AS o
     FROM chosen c JOIN x_sides a ON a.track_id = a_id AND a.tempo = c.tempo JOIN y_sides b ON b.track_id = b_id AND b.tempo = c.tempo),
@@ -286,6 +328,16 @@ curves AS (SELECT a_id, b_id, a_start_s, b_start_s, {R4('0.35::DOUBLE * e + 0.30
 """
 
 
+CURVES = curves_sql(f"SELECT a_id, b_id, best_grid_bpm AS tempo FROM ({RECOMMEND}) WHERE rank <= 3")
+RANKED = """
+SELECT * EXCLUDE (place, k, rank), CAST(rank AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY score DESC, a_start_s, b_start_s) AS rank FROM (
+        SELECT *, row_number() OVER (PARTITION BY a_id, b_id, place ORDER BY score DESC, a_start_s, b_start_s) AS k FROM (SELECT *, round_even(a_start_s * 10, 0) AS place FROM curves)) WHERE k = 1) WHERE rank <= 5
+"""
+
+#: Neighbours in the saved mixes.
+JUNCTIONS = "SELECT m.mix_id, CAST(m.pos AS INTEGER) AS pos, m.track_id AS a_id, n.track_id AS b_id FROM mix_tracks m JOIN mix_tracks n ON n.mix_id = m.mix_id AND n.pos = m.pos + 1 WHERE m.track_id <> n.track_id"
+
 query("t01_candidate_regions", lambda s, d: T.candidate_regions(slices(s, d), "entry").select("track_id", "seg_idx"), f"SELECT track_id, seg_idx FROM (SELECT s.*, row_number() OVER (PARTITION BY track_id ORDER BY w DESC, seg_idx) AS k FROM ({SLICES}) s JOIN entries_roles USING (label)) WHERE k <= 3")
 query("t02_window_starts", lambda s, d: T.window_starts(native(s, d), T.candidate_regions(slices(s, d), "exit")).select("track_id", "start"), f"WITH {side_sql('x', 'exit', 'SELECT track_id, CAST(NULL AS INTEGER) AS tempo FROM frames')} SELECT track_id, start FROM x_starts")
 query("t03_phase_alignment", lambda s, d: r(native(s, d).withColumn("start", F.explode(F.array(F.lit(0), F.lit(7), F.lit(20)))).select("track_id", "start", T.phase_alignment(F.col("start")).alias("phase")), "phase"), f"""
@@ -294,14 +346,12 @@ FROM (SELECT *, {R4('bpm', 2)} AS bpm2, [floor(b * 100000.0::DOUBLE + 0.5) / 100
 """)
 query("t05_sides", lambda s, d: r(_sides(s, d), "energy", "bass", "phase", "fit"), f"WITH {side_sql('x', 'entry', 'SELECT track_id, CAST(NULL AS INTEGER) AS tempo FROM frames')} SELECT track_id, start, start_s, {R4('energy', 6)} AS energy, {R4('bass', 6)} AS bass, {R4('phase', 6)} AS phase, {R4('fit', 6)} AS fit FROM x_sides")
 query("t06_curves", lambda s, d: curves(s, d), CURVES + "SELECT * FROM curves")
-query("t07_markers", lambda s, d: T.markers(curves(s, d)), CURVES + """
-SELECT * EXCLUDE (place, k, rank), CAST(rank AS INTEGER) AS rank FROM (
-    SELECT *, row_number() OVER (PARTITION BY a_id, b_id ORDER BY score DESC, a_start_s, b_start_s) AS rank FROM (
-        SELECT *, row_number() OVER (PARTITION BY a_id, b_id, place ORDER BY score DESC, a_start_s, b_start_s) AS k FROM (SELECT *, round_even(a_start_s * 10, 0) AS place FROM curves)) WHERE k = 1) WHERE rank <= 5
-""")
+query("t07_markers", lambda s, d: T.markers(curves(s, d)), CURVES + RANKED)
 query("t04_roles", lambda s, d: _roles(s, d), f"SELECT track_id, CAST(start AS INTEGER) AS start, CAST(coalesce(any_value(x.w), 1.0) AS DOUBLE) AS role FROM lengths JOIN (VALUES (0), (30), (1000)) v(start) ON n >= 5 LEFT JOIN ({SLICES}) g USING (track_id) LEFT JOIN exits x ON x.label = g.label AND start >= start_frame AND start < end_frame GROUP BY track_id, start")
 query("t08_windows", lambda s, d: _windows(s, d), f"SELECT a_id, b_id, best_grid_bpm, 8 AS window_bars, {R4('1920.0::DOUBLE / best_grid_bpm')} AS window_s FROM ({RECOMMEND}) WHERE rank <= 3")
-query("t09_mix_junctions", lambda s, d: T.mix_junctions(ordered_small(s, d), scalars(s, d), wide(s, d), slices(s, d)))
+query("t09_mix_junctions", lambda s, d: T.mix_junctions(_ordered(s, d), scalars(s, d), all_wide(s, d), all_segments(s, d)), curves_sql(f"""
+SELECT DISTINCT m.a_id, m.b_id, best_grid_bpm AS tempo FROM ({MATCHED}) m JOIN ({JUNCTIONS}) j ON j.a_id = m.a_id AND j.b_id = m.b_id
+""") + f"SELECT mix_id, pos, j.a_id, j.b_id, tempo AS best_grid_bpm, rank, a_start_s, b_start_s, score FROM ({JUNCTIONS}) j JOIN chosen c ON c.a_id = j.a_id AND c.b_id = j.b_id JOIN ({RANKED}) r ON r.a_id = j.a_id AND r.b_id = j.b_id")
 
 
 def _sides(s, d):
@@ -311,8 +361,8 @@ def _sides(s, d):
 
 def curves(s, d):
     """Curves of the three best recommendations of every track."""
-    recs = R.recommend(scalars(s, d), k=3).select("a_id", "b_id", "best_grid_bpm").persist()  # read for either side and for the pairs
-    return T.transition_curves(recs, wide(s, d), slices(s, d))
+    recs = stage(R.recommend(scalars(s, d), k=3).select("a_id", "b_id", "best_grid_bpm"), "recommended")  # read for either side and for the pairs
+    return T.transition_curves(recs, all_wide(s, d), all_segments(s, d))
 
 
 def _roles(s, d):
@@ -325,10 +375,7 @@ def _windows(s, d):
     return R.recommend(scalars(s, d), k=3).select("a_id", "b_id", "best_grid_bpm", F.lit(D.WINDOW_BARS).alias("window_bars"), T.window_seconds(F.col("best_grid_bpm")).alias("window_s"))
 
 
-def ordered_small(s, d):
-    """Mixes whose tracks all have frames: every saved mix, its track ids brought into the range of the users."""
+def _ordered(s, d):
     from ..operators.chains import order_chains
 
-    rows = order_chains(A.mixes(s, d), A.mix_tracks(s, d))[0]
-    n = A.frames(s, d).select("track_id").distinct().count()
-    return rows.withColumn("track_id", (F.col("track_id").cast("long") % n).cast("string"))
+    return order_chains(A.mixes(s, d), A.mix_tracks(s, d))[0]

@@ -10,6 +10,8 @@ _bands = ", ".join(f"('{n}', {a}, {b})" for n, (a, b) in D.BANDS.items())
 _variants = ", ".join(f"('{k}', {bool(nd)}, {bool(sa)}, {bool(nc)})".lower().replace(f"'{k.lower()}'", f"'{k}'") for k, (nd, sa, nc) in D.VARIANTS.items())
 _roles = lambda table: ", ".join(f"('{k}', {v})" for k, v in table.items())
 
+R4 = lambda x, d=4: f"(floor(({x}) * 1e{d} + 0.5) / 1e{d})"
+
 VIEWS = {
     "bands": f"SELECT * FROM (VALUES {_bands}) AS t(band, lo, hi)",
     "exits": f"SELECT * FROM (VALUES {_roles(D.EXIT_ROLES)}) AS t(label, w)",
@@ -96,6 +98,12 @@ VIEWS = {
     "cuts": """
         SELECT track_id, CAST(row_number() OVER (PARTITION BY track_id ORDER BY b) - 1 AS INTEGER) AS seg_idx, b AS start_frame, e AS end_frame
         FROM (SELECT track_id, b, lead(b) OVER (PARTITION BY track_id ORDER BY b) AS e FROM bounds) WHERE e IS NOT NULL""",
+    "segs": f"""
+        SELECT track_id, seg_idx, CASE WHEN max(end_frame) OVER p < 16 THEN 'full' WHEN seg_idx = 0 THEN 'intro' WHEN seg_idx = count(*) OVER p - 1 THEN 'outro' WHEN e <= quantile_cont(e, 0.33) OVER p THEN 'breakdown' WHEN e >= quantile_cont(e, 0.66) OVER p THEN 'drop' ELSE 'verse' END AS label,
+            start_frame, end_frame, e AS energy
+        FROM (SELECT c.track_id, seg_idx, start_frame, end_frame, {R4('avg(rms)', 9)} AS e FROM cuts c JOIN frames f ON f.track_id = c.track_id AND f.frame_idx >= start_frame AND f.frame_idx < end_frame GROUP BY ALL) WINDOW p AS (PARTITION BY track_id)""",
+    # whose series stand for those of a track
+    "owned": "SELECT id AS track_id, CAST(CAST(id AS BIGINT) % (SELECT count(DISTINCT user_id) FROM events) AS VARCHAR) AS owner FROM raw_tracks",
 }
 
 
@@ -113,11 +121,9 @@ def sql(body: str, recursive: bool = False) -> str:
 
     visit(body)
     views = ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed)
-    start = "WITH RECURSIVE" if recursive else "WITH"
+    start = "WITH RECURSIVE" if recursive or "walk" in needed else "WITH"
     body = body.lstrip()
     if body.startswith("WITH"):
         return f"{start} {views}, {body[4:]}" if views else body
     return f"{start} {views}\n{body}" if views else body
 
-
-R4 = lambda x, d=4: f"(floor(({x}) * 1e{d} + 0.5) / 1e{d})"

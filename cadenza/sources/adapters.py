@@ -62,6 +62,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def series_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, owner`` of every track: whose frames stand for the track's, as there are fewer series than tracks."""
+    n = _table(spark, sf_dir, "events").agg(F.count_distinct("user_id")).first()[0]
+    return raw_tracks(spark, sf_dir).select("id", (F.col("id").cast("long") % F.lit(max(n, 1))).cast("string").alias("owner"))
+
+
 def mix_tracks(spark: SparkSession, sf_dir: str, corrupt: bool = False) -> DataFrame:
     """Nodes of the saved mixes; ``corrupt`` adds the cycles, orphans and dangling links of the fixture."""
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")

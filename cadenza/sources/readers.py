@@ -65,7 +65,7 @@ def read_wav(spark: SparkSession, glob: str) -> DataFrame:
                 try:
                     with wave.open(io.BytesIO(content)) as w:
                         x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels()).mean(axis=1) / 32768.0
-                        row |= {"sr": w.getframerate(), "n_samples": len(x), "duration_s": len(x) / w.getframerate(), "samples": x.tolist()}
+                        row |= {"sr": w.getframerate(), "n_samples": len(x), "duration_s": len(x) / w.getframerate(), "samples": x}
                 except (wave.Error, EOFError, ValueError) as e:
                     row["error"] = str(e) or type(e).__name__
                 yield pd.DataFrame([row]).astype({"sr": "Int32", "n_samples": "Int64", "duration_s": "Float64"})

@@ -2,29 +2,67 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import dimensions as D
 from ..operators import merge
+from ..sources import snapshots
 
 
-def start_incremental_ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Merge arriving track rows into the snapshots below ``path``; a batch that is replayed changes nothing.
+#: A whole table is written after so many batches; between, only what arrives is.
+COMPACT_EVERY = 16
 
-    Snapshots are numbered by batch, so a run that dies while writing leaves the last whole one."""
-    spark = stream.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
 
-    def snapshot(n: int) -> DataFrame | None:
-        at = hadoop(f"{path}/tracks-{n}/_SUCCESS")
-        return spark.read.parquet(f"{path}/tracks-{n}") if n >= 0 and at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at) else None
+def _progress(column: str = "status"):
+    """How far a status is; unknown ones count as the first."""
+    return F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, D.STATUSES)), F.col(column)), F.lit(0).cast("long")), F.lit(1).cast("long"))
+
+
+def read_ingested(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame | None:
+    """The track table that :func:`start_incremental_ingest` keeps below ``path``, after batch ``upto`` (default: the last).
+
+    The newest whole table and the batches after it, folded by id in the way of
+    :func:`merge.upsert_tracks`: one aggregation, however many batches there are."""
+    whole = [n for n in snapshots.numbers(spark, f"{path}/whole", "tracks") if upto is None or n <= upto]
+    later = [n for n in snapshots.numbers(spark, f"{path}/batches", "tracks") if (not whole or n > whole[-1]) and (upto is None or n <= upto)]
+    parts = [spark.read.parquet(f"{path}/whole/v={whole[-1]}/tracks").withColumn("__n", F.lit(-1))] if whole else []
+    parts += [spark.read.parquet(f"{path}/batches/v={n}/tracks").withColumn("__n", F.lit(n)) for n in later]
+    if not parts:
+        return None
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    columns = [c for c in rows.columns if c not in ("id", "__n")]
+    newest = lambda c: F.max_by(c, "__n") if c in merge.ALWAYS else F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__n")))
+    return rows.groupBy("id").agg(*(newest(c).alias(c) for c in columns)).select([c for c in parts[0].columns if c != "__n"])
+
+
+def start_incremental_ingest(stream: DataFrame, path: str, checkpoint: str, publish: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Merge arriving track rows into the table below ``path``; a batch that is replayed changes nothing.
+
+    ``publish`` turns the new seed rows of a batch into track rows, as :func:`ingest.publish`
+    does (rows that are ready already are not handed to it); without it the stream has track
+    rows. Of several rows of an id in a batch the one whose status is furthest counts, then
+    that with an error less, then the name last in order. Each batch is written once under its number; every
+    :data:`COMPACT_EVERY` batches the whole table is."""
+    spark = stream.sparkSession
 
     def apply(batch: DataFrame, n: int) -> None:
-        last = batch.withColumn("__n", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("status"), "name"))).filter("__n = 1").drop("__n")
-        before = snapshot(n - 1)
-        (last if before is None else merge.upsert_tracks(before, last)).write.mode("overwrite").parquet(f"{path}/tracks-{n}")
+        if publish is not None:
+            before = read_ingested(spark, path, n - 1)
+            new = batch.dropDuplicates(["id"]) if before is None else batch.dropDuplicates(["id"]).join(before.filter("status = 'ready'").select("id"), "id", "left_anti")
+            batch = publish(new)
+        error = [F.col("status_error").isNotNull()] if "status_error" in batch.columns else []
+        name = [F.desc("name")] if "name" in batch.columns else []
+        order = Window.partitionBy("id").orderBy(F.desc(_progress()), *error, *name)
+        last = batch.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+        snapshots.write_snapshot(spark, f"{path}/batches", {"tracks": last}, number=n)
+        if (n + 1) % COMPACT_EVERY == 0:
+            snapshots.write_snapshot(spark, f"{path}/whole", {"tracks": read_ingested(spark, path, n)}, number=n)
 
     return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -16,6 +16,7 @@ from cadenza.functions import sqlfuncs
 from cadenza.operators import catalog, chains, features, ingest, licensing, matching, merge, segments, tempo
 from cadenza.sources import adapters as A
 from cadenza.sources import readers as S
+from cadenza.sources import snapshots
 
 SF = "/root/testdata/sf0.001"
 
@@ -189,6 +190,31 @@ def test_spectrum_key_and_segments_of_sound(spark):
     assert rms[3] == pytest.approx(np.sqrt(np.mean(chord[1536 : 1536 + 2048] ** 2)), abs=1e-9)
 
 
+def test_one_pass_of_features(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    sound = {"a": rng.normal(0, 0.3, 30_000), "b": np.sin(np.arange(70_000) / 40), "short": np.zeros(50)}
+    audio = spark.createDataFrame([(k, 22_050, v.tolist(), None) for k, v in sound.items()] + [("bad", None, None, "junk")], "track_id string, sr int, samples array<double>, error string")
+    got = {(r["track_id"], r["frame_idx"]): r for r in features.frame_features(audio, 256, 64).collect()}
+    spectrum = features.spectra(audio, 256, 64)
+    # the long forms of the same features
+    for column, table in (("flux", features.onset_strength(spectrum)), ("bass_ratio", features.bass_ratio(spectrum))):
+        rows = {(r["track_id"], r["frame_idx"]): r[column] for r in table.collect()}
+        assert rows.keys() == got.keys() and all(got[k][column] == pytest.approx(v, abs=1e-9) for k, v in rows.items())
+    for k, x in sound.items():
+        for i in range(0, max(0, 1 + (len(x) - 256) // 64), 7):
+            assert got[k, i]["rms"] == pytest.approx(np.sqrt(np.mean(x[i * 64 : i * 64 + 256] ** 2)), abs=1e-9)
+    kept = features.frame_features(audio, 256, 64, keep_errors=True).filter("error IS NOT NULL").collect()
+    assert [(r["track_id"], r["frame_idx"], r["error"]) for r in kept] == [("bad", None, "junk")]
+
+
+def test_features_of_long_audio(spark, tmp_path):
+    n = 22_050 * 240
+    write_wav(tmp_path / "long.wav", np.sin(np.arange(n) / 30) * 0.5)
+    got = features.frame_features(S.read_wav(spark, str(tmp_path / "*.wav")))
+    row = got.agg(F.count("*").alias("n"), F.max("frame_idx").alias("last"), F.min("rms").alias("a"), F.max("rms").alias("b")).first()
+    assert row["n"] == row["last"] + 1 == 1 + (n - 2048) // 512 and 0.34 < row["a"] <= row["b"] < 0.37
+
+
 def test_segments_are_whole(spark):
     seg = segments.segment(A.frames(spark, SF), A.HOP)
     lengths = {r["track_id"]: r["count"] for r in A.frames(spark, SF).groupBy("track_id").count().collect()}
@@ -296,12 +322,32 @@ def test_publish(spark, tmp_path):
     out = ingest.publish(spark, seed, S.read_wav(spark, str(tmp_path / "in" / "*.wav")), str(tmp_path / "out"))
     got = {r["id"]: r["outcome"].split(":")[0] for r in out.collect()}
     assert got == {"1": "ready", "2": "refused", "3": "failed", "4": "quarantined"}
-    variants = spark.read.parquet(str(tmp_path / "out" / "variants"))
-    assert {r["grid_bpm"] for r in variants.collect()} == {120, 125}
+    tracks, variants = merge.read_published(spark, str(tmp_path / "out" / "catalog"))
+    assert {r["grid_bpm"] for r in variants.collect()} == {120, 125} and [r["id"] for r in tracks.collect()] == ["1"]
+    # a second run adds what is new and leaves what is there
+    more = seed.union(spark.createDataFrame([("5", "house", "CC BY 3.0", 120.0)], seed.schema))
+    write_wav(tmp_path / "in" / "5.wav", tone(220, 40_000))
+    again = {r["id"]: r["outcome"].split(":")[0] for r in ingest.publish(spark, more, S.read_wav(spark, str(tmp_path / "in" / "*.wav")), str(tmp_path / "out")).collect()}
+    assert again == got | {"1": "skipped", "5": "ready"}
+    tracks, variants = merge.read_published(spark, str(tmp_path / "out" / "catalog"))
+    assert {r["id"] for r in tracks.collect()} == {"1", "5"} == {r["track_id"] for r in variants.collect()}
     with_gate = ingest.publish(spark, seed, S.read_wav(spark, str(tmp_path / "in" / "*.wav")), str(tmp_path / "out2"), gate=F.col("id") == "3")
     assert {r["id"] for r in with_gate.collect()} == {"2", "3", "4"}
 
 
+def test_snapshots_are_whole_or_not_there(spark, tmp_path):
+    path = str(tmp_path / "t")
+    rows = lambda *x: spark.createDataFrame([(i,) for i in x], "id int")
+    assert snapshots.read_snapshot(spark, path, ["a", "b"]) is None
+    assert [snapshots.write_snapshot(spark, path, {"a": rows(n), "b": rows(n)}) for n in range(3)] == [0, 1, 2]
+    rows(9).write.parquet(f"{path}/v=3/a")  # a run that died
+    found = snapshots.read_snapshot(spark, path, ["a", "b"])
+    assert found["a"].first()["id"] == found["b"].first()["id"] == 2
+    assert snapshots.read_snapshot(spark, path, ["a", "b"], 1)["a"].first()["id"] == 1
+    snapshots.drop_snapshots(spark, path, "b")
+    assert snapshots.numbers(spark, path) == [1, 2, 3] and snapshots.numbers(spark, path, "b") == [1, 2]
+
+
 def test_latency_log(spark, tmp_path):
     rows = A.latency(spark, SF)
     for _ in range(2):
@@ -335,10 +381,50 @@ def test_incremental_ingest(spark, tmp_path):
     run()
     t.filter("cast(id AS int) BETWEEN 40 AND 90").withColumn("name", F.lit("new")).write.mode("append").parquet(str(tmp_path / "in"))
     run()
-    got = {r["id"]: r["name"] for r in spark.read.parquet(str(tmp_path / "out" / "tracks-1")).collect()}
+    got = {r["id"]: r["name"] for r in ST.read_ingested(spark, str(tmp_path / "out")).collect()}
     assert len(got) == t.filter("cast(id AS int) <= 90").count() and got["45"] == "new" and got["10"] != "new"
 
 
+def test_ingest_keeps_the_furthest_status_and_compacts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ST, "COMPACT_EVERY", 2)
+    schema = "id string, name string, status string, status_error string, native_bpm double"
+    batches = [[("1", "b", "pending", None, 120.0), ("1", "a", "analyzed", None, None), ("2", "x", "ready", "e", 1.0), ("2", "x", "ready", None, 2.0)], [("1", "c", "ready", None, None)], [("3", "n", "odd", None, None), ("2", "y", "ready", None, None)]]
+    table = None
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        ST.start_incremental_ingest(stream, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+        one = spark.createDataFrame({0: rows[1:2] + rows[3:], 1: rows, 2: rows}[i], schema)
+        table = one if table is None else merge.upsert_tracks(table, one)
+        assert sorted(map(tuple, ST.read_ingested(spark, str(tmp_path / "out")).collect())) == sorted(map(tuple, table.collect()))
+    assert snapshots.numbers(spark, str(tmp_path / "out" / "whole")) == [1]
+    assert ("1", "c", "ready", None, None) in set(map(tuple, table.collect()))
+
+
+def test_ingest_of_seed_rows(spark, tmp_path):
+    (tmp_path / "audio").mkdir()
+    for name in ("1", "2"):
+        write_wav(tmp_path / "audio" / f"{name}.wav", np.sin(np.arange(40_000) / 20) * 0.4)
+    schema = "id string, name string, genre string, license string, bpm double"
+    handed = []
+
+    def publish(seed):
+        handed.append(sorted(r["id"] for r in seed.collect()))
+        out = ingest.publish(spark, seed, S.read_wav(spark, str(tmp_path / "audio" / "*.wav")), str(tmp_path / "lib"))
+        status = F.when(F.col("outcome").isin("ready", "skipped: published already", "refused: no derivatives"), "ready").otherwise("pending")
+        return out.join(seed, "id").select("id", "name", status.alias("status"), F.when(status == "pending", F.col("outcome")).alias("status_error"))
+
+    for rows in ([("1", "one", "house", "CC BY 3.0", 124.0), ("9", "gone", "house", "CC0", 124.0)], [("1", "one", "house", "CC BY 3.0", 124.0), ("2", "two", "house", "CC BY 3.0", 120.0)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        ST.start_incremental_ingest(stream, str(tmp_path / "out"), str(tmp_path / "check"), publish).awaitTermination()
+    got = {r["id"]: (r["status"], r["status_error"]) for r in ST.read_ingested(spark, str(tmp_path / "out")).collect()}
+    assert handed == [["1", "9"], ["2"]]
+    assert got == {"1": ("ready", None), "2": ("ready", None), "9": ("pending", "quarantined: unknown licence")}
+    tracks, variants = merge.read_published(spark, str(tmp_path / "lib" / "catalog"))
+    assert {r["id"] for r in tracks.collect()} == {"1", "2"} == {r["track_id"] for r in variants.collect()}
+
+
 def test_views_and_functions(spark):
     sqlfuncs.register_functions(spark)
     sqlfuncs.register_views({"tracks": A.tracks(spark, SF), "variants": A.variants(spark, SF)})
