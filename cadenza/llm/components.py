@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from ..sources.staging import stage
 
 MOST_ROUNDS = 60
 
@@ -19,7 +19,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every node joins its smaller neighbours and itself to the smallest of them. Edges have a > b."""
-    low = edges.groupBy("a").agg(F.min("b").alias("low"))
+    low = stage(edges.groupBy("a").agg(F.min("b").alias("low")), "lows")
     joined = edges.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).filter("a <> b")
     return joined.union(low.select("a", F.col("low").alias("b"))).distinct()
 

@@ -17,11 +17,11 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
 from .components import components
-from .scratch import stage
 from .textarrays import ODD, Words, chunks, mix, powers, signed, sums
 
 N_WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.995, 5
@@ -71,7 +71,7 @@ def _signatures(n: int, bands: int, rows: int):
                     table[full, band] = h
             a, b = set_hash(values, first)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * bands), signed(table.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(size.astype(np.int32)), signed(a), signed(b), lists], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(size.astype(np.int32)), signed(a), signed(b), lists], ["doc_id", "text_key", "n_shingles", "set_a", "set_b", "bands"])
 
     return run
 
@@ -210,17 +210,25 @@ def near_duplicates(docs: DataFrame, n: int = N_WORDS, similarity: float = SIMIL
     included. ``class_id`` is the smallest ``doc_id`` that a chain of links reaches.
 
     * null or empty text: its own class, no links; null ``doc_id``: null class, no links
-    * rows that repeat a ``doc_id`` count once if their sets agree; if not, they still name
-      one document, whose class is that of all its rows
+    * rows that repeat a ``doc_id`` count once if their sets agree; if not, each set is a
+      document of its own, with its own class and links
     * empty table: empty result; other columns are ignored
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _classes(docs, n, similarity, recall).select("doc_id", "class_id", "n_links")
+
+
+def _classes(docs: DataFrame, n: int = N_WORDS, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
+    """:func:`near_duplicates` with ``text_key``, the hash of each row's text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     bands = bands_for(similarity, recall)
-    sig = stage(docs.mapInArrow(_signatures(n, bands, ROWS), "doc_id long, n_shingles int, set_a long, set_b long, bands array<long>"), "signatures")
+    sig = stage(docs.mapInArrow(_signatures(n, bands, ROWS), "doc_id long, text_key long, n_shingles int, set_a long, set_b long, bands array<long>"), "signatures")
     known = sig.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # written, so that joins on a set that very many documents share can split it
-    same = stage(known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"), F.count_distinct("doc_id").alias("members")), "set-classes")
-    reps = known.withColumnRenamed("doc_id", "rep").join(same, ["set_a", "set_b", "rep"]).select("rep", "members", "set_a", "set_b", "n_shingles", "bands").dropDuplicates(["rep", "set_a", "set_b"])
+    same = known.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("first"), F.count_distinct("doc_id").alias("members"))
+    # a class goes by its first id; further classes of the same id go by a hash
+    place = F.row_number().over(Window.partitionBy("first").orderBy("set_a", "set_b"))
+    same = stage(same.withColumn("rep", F.when(place == 1, F.col("first")).otherwise(F.xxhash64("first", "set_a", "set_b"))), "set-classes")
+    reps = known.withColumnRenamed("doc_id", "first").join(same, ["set_a", "set_b", "first"]).select("rep", "first", "members", "set_a", "set_b", "n_shingles", "bands").dropDuplicates(["rep"])
     reps = stage(reps, "representatives")
     places = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
     buckets = (
@@ -240,9 +248,9 @@ def near_duplicates(docs: DataFrame, n: int = N_WORDS, similarity: float = SIMIL
         .groupBy("rep")
         .agg(F.collect_list("unit").alias("units"))
     )
-    asked = reps.select("rep", "members", "set_a", "set_b", "bands").join(units, "rep")
+    asked = reps.select("rep", "first", "members", "set_a", "set_b", "bands").join(units, "rep")
     dealt = (
-        docs.join(asked, docs.doc_id == asked.rep)
+        docs.join(asked, docs["doc_id"] == asked["first"])
         .select("text", "rep", "members", "set_a", "set_b", "bands", "units")
         .mapInArrow(_with_sets(n), "band int, bucket long, lo int, hi int, block int, rep long, members long, bands array<long>, shingles binary")
         .repartition("band", "bucket", "lo", "hi")
@@ -250,11 +258,14 @@ def near_duplicates(docs: DataFrame, n: int = N_WORDS, similarity: float = SIMIL
     )
     found = stage(dealt.mapInArrow(_verify(similarity), "rep long, links long, root long"), "links")
     linked = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    per_rep = stage(found.groupBy("rep").agg(F.sum("links").alias("links")).join(linked.select(F.col("node").alias("rep"), "component"), "rep", "left"), "per-representative")
-    rows = sig.select("doc_id", "set_a", "set_b", "n_shingles").join(same, ["set_a", "set_b"], "left")
+    grouped = linked.withColumnRenamed("node", "rep").join(same.select("rep", "first"), "rep")
+    smallest = stage(grouped.groupBy("component").agg(F.min("first").alias("class_id")), "smallest-ids")
+    per_rep = stage(found.groupBy("rep").agg(F.sum("links").alias("links")).join(grouped.select("rep", "component"), "rep", "left").join(smallest, "component", "left").select("rep", "links", "class_id"), "per-representative")
+    rows = sig.select("doc_id", "text_key", "set_a", "set_b", "n_shingles").join(same, ["set_a", "set_b"], "left")
     return rows.join(per_rep, "rep", "left").select(
         "doc_id",
-        F.expr("coalesce(if(n_shingles > 0 AND doc_id IS NOT NULL, coalesce(component, rep), NULL), doc_id)").alias("class_id"),
+        "text_key",
+        F.expr("coalesce(if(n_shingles > 0 AND doc_id IS NOT NULL, coalesce(class_id, first), NULL), doc_id)").alias("class_id"),
         F.expr("if(n_shingles > 0 AND doc_id IS NOT NULL, coalesce(links, 0) + members - 1, 0)").cast("long").alias("n_links"),
     )
 
@@ -262,8 +273,11 @@ def near_duplicates(docs: DataFrame, n: int = N_WORDS, similarity: float = SIMIL
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """``docs`` without the documents that are not the first of their class; all columns stay.
 
-    Rows whose ``doc_id`` is null stay. Rows that repeat the ``doc_id`` that stays all stay.
+    * rows without ``doc_id`` or words stay; rows that repeat the id and set that stay all stay
+    * of rows that share an id each is judged by its own text
+    * an empty table gives an empty result; columns of any name come through unchanged
     """
-    classes = near_duplicates(docs, **options)
-    losers = classes.filter("class_id <> doc_id").select(F.col("doc_id").alias("__loser")).distinct()
-    return docs.join(losers, docs["doc_id"] == losers["__loser"], "left_anti")
+    losers = _classes(docs, **options).filter("class_id <> doc_id").select(F.col("doc_id").alias("loser"), F.col("text_key").alias("key")).distinct()
+    # the input goes through as one struct, so that none of its names can clash
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("own"))
+    return rows.join(losers, (F.col("id") == F.col("loser")) & (F.col("own") == F.col("key")), "left_anti").select("row.*")
