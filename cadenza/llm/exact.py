@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from ..sources.staging import stage
 from .textarrays import ODD, mix
 
 SHARD_DIGESTS = 16_384
@@ -114,9 +114,8 @@ def exact_duplicates(digests: DataFrame, history: DataFrame | None = None) -> Da
         groups = new.select("digest", F.col("winner").alias("keep_id"), F.col("n").alias("group_size"))
         rows = digests
     else:
-        old = stage(_distinct(history), "history")
-        shards = max(1, -(-old.count() // SHARD_DIGESTS))
-        new = stage(new, "distinct")
+        old, new = stage(_distinct(history), "history"), stage(new, "distinct")
+        shards = max(1, -(-max(old.count(), new.count()) // SHARD_DIGESTS))  # a shard is bounded on both sides
         looked_up = (
             _sharded(old, shards)
             .groupBy("shard")
@@ -139,15 +138,24 @@ def _lookup_by_columns(history: pa.Table, new: pa.Table) -> pa.Table:
 
 
 def split_by_age(digests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(later, earlier) half of the ids: the earlier rows serve as history. Rows without id are later ones."""
-    low, high = digests.agg(F.min("doc_id"), F.max("doc_id")).first()
-    middle = 0 if low is None else (low + high) // 2
-    old = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
+    """(later, earlier) half of the rows by id: the earlier rows serve as history. Rows without id are later ones.
+
+    The middle is an approximate median, so no outlying id moves it; where it lies changes no result."""
+    middle = digests.agg(F.percentile_approx("doc_id", 0.5, 1000)).first()[0]
+    old = F.coalesce(F.col("doc_id") <= F.lit(middle).cast("long"), F.lit(False))
     return digests.filter(~old), digests.filter(old)
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` without the documents whose text has a smaller ``doc_id`` elsewhere; all columns stay."""
+    """``docs`` without the rows whose text has a smaller ``doc_id`` elsewhere; all columns stay.
+
+    * null texts equal empty ones; an empty table gives an empty result
+    * rows without ``doc_id`` stay; rows that repeat the id and text that stay all stay
+    * of rows that share an id only those go whose own text is elsewhere
+    * columns of any name come through unchanged
+    """
     digests = stage(text_digests(docs), "digests")
-    losers = exact_duplicates(*split_by_age(digests)).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__loser"), F.col("text_sha256").alias("__sha")).distinct()
-    return docs.join(losers, (docs["doc_id"] == losers["__loser"]) & (F.sha2(normalised(docs["text"]), 256) == losers["__sha"]), "left_anti")
+    losers = exact_duplicates(*split_by_age(digests)).filter("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("loser"), F.col("text_sha256").alias("sha")).distinct()
+    # the input goes through as one struct, so that none of its names can clash
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(normalised(docs["text"]), 256).alias("own"))
+    return rows.join(losers, (F.col("id") == F.col("loser")) & (F.col("own") == F.col("sha")), "left_anti").select("row.*")
