@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from ..sources.staging import stage
 
 #: (host, path, verdict): holds for the host and its subdomains where the path starts so. Fixed by the task.
 SITE_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
@@ -100,12 +100,14 @@ def filter_urls(pages: DataFrame, rules: DataFrame, site_rules: list[tuple[str,
     held = stage(held_literals(pages, rules), "held-literals")
     # written, so that their sizes are known before they are joined
     index = stage(rarest_token_index(pages, rules, held), "rule-index")
-    filed = stage(held.select("token", "literal").join(index.withColumnRenamed("token", "literal"), "literal").drop("literal", "tokens"), "rules-by-token")
+    filed = held.select("token", "literal").join(index.withColumnRenamed("token", "literal"), "literal").drop("literal", "tokens")
+    # a rule without a literal is filed under the empty token, which every URL then has
+    filed = stage(filed.unionByName(index.filter("token IS NULL").withColumn("token", F.lit("")).drop("tokens")), "rules-by-token")
+    every = F.array(F.lit("")) if filed.filter("token = ''").head(1) else F.array().cast("array<string>")
     # equal URLs are judged once; rules fetched by their tokens are the only ones that run
     texts = pages.select("url").filter("url IS NOT NULL").distinct()
-    fetched = texts.select("url", F.explode(tokens_of(F.col("url"))).alias("token")).join(filed, "token").drop("token")
-    always = texts.crossJoin(index.filter("token IS NULL").drop("token", "tokens"))
-    matched = fetched.unionByName(always).filter(F.expr("lower(url) RLIKE pattern"))
+    fetched = texts.select("url", F.explode(F.concat(tokens_of(F.col("url")), every)).alias("token")).join(filed, "token").drop("token")
+    matched = fetched.filter(F.expr("lower(url) RLIKE pattern"))
     best = matched.groupBy("url").agg(F.max_by(F.struct("pattern_rule", "pattern_verdict"), F.struct("priority", "pattern_rule")).alias("p"))
     judged = pages.join(best, "url", "left").withColumn("host", host_of()).withColumn("path", path_of())
     site = site_rule(F.col("host"), F.col("path"), site_rules)
