@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stage
+from ..sources.staging import stage
 
 #: Fixed patterns of the task, in the order in which kinds are listed, and the least length of what counts.
 ASSIGN = re.compile(
@@ -113,7 +113,8 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFram
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), owner.cast("string").alias("owner"), F.concat_ws("/", owner, repository).alias("repository"), "text")
     found = stage(rows.mapInArrow(_scan, f"doc_id long, row_key long, owner string, repository string, found array<{SPAN}>"), "spans")
     each = found.filter("size(found) > 0").select("doc_id", "row_key", "owner", "repository", F.explode("found").alias("span"))
-    often = ownership(each.select("span.hash", "owner", "repository"))
+    # written, so that the join can split a string that very many documents hold
+    often = stage(ownership(each.select("span.hash", "owner", "repository")), "ownership")
     live = (F.col("n_owners") <= MOST_OWNERS) & (F.col("n_repositories") <= MOST_REPOSITORIES)
     judged = (
         each.select("doc_id", "row_key", "span", F.col("span.hash").alias("hash"))
