@@ -23,8 +23,8 @@ from .textarrays import BASE, Words, chunks, mix, sums
 ROWS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
 #: Zero rows that join every mean, so that a handful of words does not decide alone.
 NEUTRAL = 100
-#: Bounds of the training sample: labelled rows of class 1 and of class 0.
-SAMPLE_ROWS = (1000, 3000)
+#: Bounds of the training sample: labelled rows of class 1 and of class 0, and bytes of each text (longer ones are left out).
+SAMPLE_ROWS, SAMPLE_BYTES = (1000, 3000), 20_000
 EPOCHS, BATCH, RATE, SEED = 10, 32, 3.0, 7
 
 
@@ -124,13 +124,19 @@ def held_out(doc_id: str = "doc_id") -> Column:
 def train(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAMPLE_ROWS) -> Model:
     """Fit on labelled rows outside the held-out fold: of each class the ``sample_rows`` with the smallest hashed ids.
 
-    The sample is all that reaches the driver. Without labelled rows, or with one class only,
-    the model scores every text the same.
+    The sample is all that reaches the driver: at most ``sum(sample_rows)`` texts of at most
+    ``SAMPLE_BYTES`` each. Without labelled rows, or with one class only, the model scores
+    every text the same.
+
+    * null texts count as empty; labels other than 0 and 1 and null ids are not trained on
+    * of several labels of an id the larger one counts, of several texts the first in order
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"))
     picked = known.filter("toxic = 1").orderBy(*order).limit(sample_rows[0]).union(known.filter("toxic = 0").orderBy(*order).limit(sample_rows[1]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
+    # the picked ids are no more than the sample
+    rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], int))
 
 
@@ -154,7 +160,11 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model, limit: float = 0.5) -> DataFrame:
-    """``docs`` without the rows that score ``limit`` or more; all columns stay."""
+    """``docs`` without the rows that score ``limit`` or more; all columns stay.
+
+    Rows are judged one by one: null and empty texts by the bias alone, null and repeated ids
+    like any other. An empty table gives an empty result; columns of any name come through.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
