@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from cadenza.llm import exact, licences, mixing, near, packing, passages, quality, secrets, toxicity, urls
 from cadenza.llm.components import components
 from cadenza.llm.queries import tokenizer_path
-from cadenza.llm.textarrays import Words, chunks
+from cadenza.llm.textarrays import BASE, Words, chunks
 
 from .conftest import EDGE_ROWS
 
@@ -207,28 +207,41 @@ def test_licence_cosine_is_tf_idf(spark, docs):
 
 
 def brute_near(rows, n=5, least=0.8):
-    sets = {}
+    """Every set of an id is a document."""
+    of_row = []
     for doc_id, text in rows:
         w = words(text)
-        if doc_id is not None and w:
-            sets[doc_id] = {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
-    ids = sorted(sets)
-    root, links = {i: i for i in ids}, Counter()
+        of_row.append((doc_id, frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1)))) if doc_id is not None and w else None)
+    nodes = sorted({x for x in of_row if x}, key=lambda x: x[0])
+    root, links = list(range(len(nodes))), Counter()
 
     def find(x):
         while root[x] != x:
             x = root[x]
         return x
 
-    for i, a in enumerate(ids):
-        for b in ids[i + 1 :]:
-            common = len(sets[a] & sets[b])
-            if common >= least * (len(sets[a]) + len(sets[b]) - common) - 1e-9:
-                links[a] += 1
-                links[b] += 1
-                x, y = find(a), find(b)
+    for i, (_, a) in enumerate(nodes):
+        for j in range(i + 1, len(nodes)):
+            b = nodes[j][1]
+            common = len(a & b)
+            if common >= least * (len(a) + len(b) - common) - 1e-9:
+                links[i] += 1
+                links[j] += 1
+                x, y = find(i), find(j)
                 root[max(x, y)] = min(x, y)
-    return [{"doc_id": d, "class_id": find(d) if d in sets else d, "n_links": links[d]} for d, _ in rows]
+    place = {x: i for i, x in enumerate(nodes)}
+    return [{"doc_id": d, "class_id": nodes[find(place[x])][0] if x else d, "n_links": links[place[x]] if x else 0} for (d, _), x in zip(rows, of_row, strict=True)]
+
+
+def test_sets_of_one_id_are_documents_of_their_own(spark):
+    base = [f"w{i}" for i in range(100)]
+    edit = lambda k: " ".join(x if i != k else "other" for i, x in enumerate(base))
+    rows = [(1, " ".join(base)), (1, edit(3)), (2, edit(90)), (5, edit(50)), (5, "a wholly different text of its own here"), (7, "a wholly different text of its own here"), (9, "alone")]
+    table = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, loser int, id int")
+    same(as_rows(near.near_duplicates(table, recall=0.9999)), brute_near(rows))
+    kept = near.drop_near_duplicates(table, recall=0.9999)
+    assert kept.schema == table.schema
+    assert sorted((r.doc_id, r.text) for r in kept.collect()) == sorted(r for r in rows if r not in (rows[2], rows[3], rows[5]))
 
 
 def test_near_duplicates_on_edge_rows(edge, empty):
@@ -432,33 +445,35 @@ def test_mixing_targets_of_uneven_sources(spark):
 # 6
 
 
-def test_packing(spark, edge, empty, docs):
-    import public_tokenizers
+def check_packing(got, docs):
+    """Pieces of ``docs (doc_id, text)`` by the tokenizer, no gaps, and few sequences."""
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    slow = Tokenizer.from_file(tokenizer_path())
+    wanted, total = Counter(), 0
+    for doc_id, text in docs:
+        ids = np.array([*slow.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        total += len(ids)
+        head = len(ids) % 1024 or 1024
+        cuts = [0, *range(head, len(ids) + 1, 1024)]
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            wanted[doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == wanted
+    sequences = defaultdict(list)
+    for r in got:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for a, n in sorted(parts):
+            assert a == at
+            at += n
+        assert at <= 1024
+    assert len(sequences) <= math.ceil(total / 1024) * 1.02 + 1
+
+
+def test_packing(spark, edge, empty, docs):
     for table in (edge, docs):
-        got = as_rows(packing.pack(table, tokenizer_path()))
-        wanted = Counter()
-        total = 0
-        for r in table.collect():
-            ids = np.array([*slow.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
-            total += len(ids)
-            head = len(ids) % 1024 or 1024
-            cuts = [0, *range(head, len(ids) + 1, 1024)]
-            for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-                wanted[r.doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())] += 1
-        assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in got) == wanted
-        sequences = defaultdict(list)
-        for r in got:
-            sequences[r["sequence_id"]].append((r["offset"], r["length"]))
-        for parts in sequences.values():
-            at = 0
-            for a, n in sorted(parts):
-                assert a == at
-                at += n
-            assert at <= 1024
-        assert len(sequences) <= math.ceil(total / 1024) * 1.02 + 1
+        check_packing(packing.pack(table, tokenizer_path()).collect(), [(r.doc_id, r.text) for r in table.collect()])
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
@@ -543,6 +558,30 @@ def test_a_loser_s_other_text_stays(spark):
     assert sorted(got, key=repr) == sorted([(1, "one"), (2, "only here"), (2, None), (None, "one")], key=repr)
 
 
+def test_an_outlying_id_leaves_the_shards_bounded(spark, monkeypatch):
+    monkeypatch.setattr(exact, "SHARD_DIGESTS", 50)
+    rows = [(-(2**62), "low"), *((i, f"text {i % 300}") for i in range(400))]
+    digests = exact.text_digests(spark.createDataFrame(rows, "doc_id long, text string"))
+    later, earlier = exact.split_by_age(digests)
+    assert 100 < earlier.count() < 300
+    shards = []
+    sharded = exact._sharded
+    monkeypatch.setattr(exact, "_sharded", lambda df, n: shards.append(n) or sharded(df, n))
+    wanted = brute_exact(rows)
+    same(as_rows(exact.exact_duplicates(later, earlier)), wanted)
+    assert min(shards) >= 4
+    # a history of one row: the new rows alone fill shards
+    shards.clear()
+    same(as_rows(exact.exact_duplicates(digests.filter("doc_id >= 0"), digests.filter("doc_id < 0"))), wanted)
+    assert min(shards) == 6
+
+
+def test_exact_drop_keeps_names_that_clash(spark):
+    table = spark.createDataFrame([(1, "a", 1, "x"), (2, "a", 2, "y"), (3, "b", 3, "z")], "doc_id int, text string, loser int, sha string")
+    kept = exact.drop_exact_duplicates(table)
+    assert kept.schema == table.schema and {tuple(r) for r in kept.collect()} == {(1, "a", 1, "x"), (3, "b", 3, "z")}
+
+
 def test_perfect_hash_is_minimal_and_rejects_others():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64))
     table = exact.PerfectHash(keys[:4000])
@@ -593,6 +632,18 @@ def test_urls_with_literals_inside_tokens(spark):
     assert {r["page_id"] for r in as_rows(urls.filter_urls(table, urls.rule_table(spark, []))) if r["verdict"] == "allow"} == set(range(len(rows)))
 
 
+def test_urls_lose_no_match_against_all_patterns(spark):
+    rng = np.random.default_rng(11)
+    hosts = ["casino-win", "a.casino-1", "mycheap-pills", "cheap-pills", "cheappills", "spam-farm", "x.spam-farm", "www-xxx-a", "xxx-b", "a-pokerstars", "b-poker-c", "poker", "plain"]
+    paths = ["", "/", "/login", "/a/login.php", "/mylogin", "/cart", "/shop/cart/", "/x.exe", "/x.torrent", "/EXE", "/a/b"]
+    tails = ["", "?PHPSESSID=1", "?a=1&sessid=2", "?page=12345", "?page=12", "#cart", "?x=.exe", "&page=99999#a"]
+    rows = [f"http{'s' * int(rng.integers(2))}://{rng.choice(hosts)}.{rng.choice(['com', 'io', 'example.net', 'org'])}{rng.choice(paths)}{rng.choice(tails)}" for _ in range(1500)]
+    table = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    got = {r["page_id"]: r["pattern_rule"] for r in as_rows(urls.filter_urls(table, urls.rule_table(spark)))}
+    wanted = {i: max(hits)[1] if (hits := [(k, n) for n, p, _, _, k in urls.PATTERN_RULES if re.search(p, u.lower())]) else None for i, u in enumerate(rows)}
+    assert got == wanted and len(set(wanted.values())) == len(urls.PATTERN_RULES) + 1
+
+
 # 9
 
 
@@ -654,6 +705,106 @@ def test_toxicity(spark, edge, empty):
     assert Counter(r["doc_id"] for r in kept.collect()) == by_score
 
 
+def slow_rows(word):
+    """Embedding rows of a word's character n-grams, one by one."""
+    text, out = b"<" + word + b">", []
+    for n in toxicity.GRAMS:
+        for i in range(len(text) - n + 1):
+            h = 0
+            for byte in text[i : i + n]:
+                h = (h * int(BASE) + byte + 1) % 2**64
+            h = (h + (n << 20)) % 2**64
+            h = ((h ^ (h >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+            h = ((h ^ (h >> 27)) * 0x94D049BB133111EB) % 2**64
+            out.append((h ^ (h >> 31)) % toxicity.ROWS)
+    return out
+
+
+def slow_shares(text):
+    """Part of each embedding row in the mean of a text."""
+    lower = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+    part, n = Counter(), toxicity.NEUTRAL
+    for word, times in Counter(lower.split()).items():
+        for row in slow_rows(word):
+            part[row] += math.sqrt(times)
+            n += math.sqrt(times)
+    return {row: x / n for row, x in part.items()}
+
+
+def slow_fit(texts, labels, epochs, rate):
+    rng = np.random.default_rng(toxicity.SEED)
+    shares = [slow_shares(t) for t in texts]
+    k = toxicity.DIM
+    vectors, seen_v = defaultdict(lambda: [0.0] * k), defaultdict(lambda: [1e-8] * k)
+    softmax = [[float(x) for x in row] for row in rng.normal(0, 1 / math.sqrt(k), (k, 2)).astype(np.float32)]
+    seen_s, bias, seen_b = [[1e-8] * 2 for _ in range(k)], [0.0, 0.0], [1e-8, 1e-8]
+    for _ in range(epochs):
+        order = rng.permutation(len(texts)).tolist()
+        for at in range(0, len(order), toxicity.BATCH):
+            part = order[at : at + toxicity.BATCH]
+            g_v, g_s, g_b = defaultdict(lambda: [0.0] * k), [[0.0] * 2 for _ in range(k)], [0.0, 0.0]
+            for i in part:
+                mean = [sum(x * vectors[r][j] for r, x in shares[i].items()) for j in range(k)]
+                z = [sum(mean[j] * softmax[j][c] for j in range(k)) + bias[c] for c in (0, 1)]
+                e = [math.exp(x - max(z)) for x in z]
+                d = [(e[c] / sum(e) - (labels[i] == c)) / len(part) for c in (0, 1)]
+                for c in (0, 1):
+                    g_b[c] += d[c]
+                for j in range(k):
+                    to = d[0] * softmax[j][0] + d[1] * softmax[j][1]
+                    for c in (0, 1):
+                        g_s[j][c] += mean[j] * d[c]
+                    for r, x in shares[i].items():
+                        g_v[r][j] += x * to
+            for r, g in g_v.items():
+                for j in range(k):
+                    seen_v[r][j] += g[j] ** 2
+                    vectors[r][j] -= rate * g[j] / math.sqrt(seen_v[r][j])
+            for c in (0, 1):
+                seen_b[c] += g_b[c] ** 2
+                bias[c] -= 0.1 * rate * g_b[c] / math.sqrt(seen_b[c])
+                for j in range(k):
+                    seen_s[j][c] += g_s[j][c] ** 2
+                    softmax[j][c] -= 0.1 * rate * g_s[j][c] / math.sqrt(seen_s[j][c])
+    value = {r: sum(v[j] * (softmax[j][1] - softmax[j][0]) for j in range(k)) for r, v in vectors.items()}
+    return value, bias[1] - bias[0]
+
+
+def slow_score(text, value, bias):
+    return 1 / (1 + math.exp(-max(-60, min(60, sum(x * value.get(r, 0) for r, x in slow_shares(text).items()) + bias))))
+
+
+def test_toxicity_against_a_slow_trainer_and_scorer(spark, edge):
+    rng = np.random.default_rng(9)
+    bad, good = ["idiot", "MORON", "pathétic"], ["the", "Ähre", "of", "and", "walk", "x", "a-b"]
+    texts = [" ".join([*rng.choice(good, 12), *(rng.choice(bad, 2) if i % 3 == 0 else [])]) for i in range(70)] + ["", " "]
+    labels = np.array([int(i % 3 == 0) for i in range(70)] + [0, 1])
+    model = toxicity.fit(texts, labels, epochs=2, rate=0.5)
+    value, bias = slow_fit(texts, labels.tolist(), 2, 0.5)
+    # the trainer works in single precision
+    assert abs(model.bias - bias) < 1e-3 and max(abs(model.value[r] - v) for r, v in value.items()) < 1e-3
+    rows = [(i, t) for i, t in enumerate([*texts, "idiott walking", "<|endoftext|> 😀", "unseen words only"])] + [r[:2] for r in EDGE_ROWS]
+    exact_value = dict(enumerate(model.value.astype(float).tolist()))
+    got = as_rows(toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), model))
+    for r, (i, t) in zip(got, rows, strict=True):
+        wanted = slow_score(t or "", exact_value, model.bias)
+        assert r["doc_id"] == i and abs(r["score"] - wanted) < 1e-6 and r["predicted"] == (r["score"] >= 0.5)
+        assert r["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0)
+
+
+def test_toxicity_sample_is_bounded_and_the_same_each_time(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 40)
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append((texts, labels.tolist())))
+    rows = [(i, f"text {i} {k}" + " long" * 10 * (i % 4 == 0)) for i in range(200) for k in (2, 1)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    for table in (docs, docs.repartition(7)):
+        toxicity.train(table, labels, (10, 20))
+    texts, wanted = seen[0]
+    assert seen[0] == seen[1] and sum(wanted) <= 10 and len(texts) <= 30 and all(len(t) <= 40 and t.endswith(" 1") for t in texts)
+    assert all(zlib.crc32(t.split()[1].encode()) % 5 for t in texts)
+
+
 def test_toxicity_without_labels(spark, edge):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(edge, none)
@@ -665,7 +816,7 @@ def test_toxicity_without_labels(spark, edge):
 
 def test_pipeline_stages_are_the_brute_force_ones(spark):
     import corpus_pipeline
-    from cadenza.llm.scratch import stage
+    from cadenza.sources.staging import stage
 
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -678,19 +829,39 @@ def test_pipeline_stages_are_the_brute_force_ones(spark):
             assert after.columns == docs.columns
         if name == "toxicity":
             model = toxicity.train(before, spark.read.parquet(f"{sf}/labels.parquet"))
-            assert {r.doc_id for r in has} == {r["doc_id"] for r in as_rows(toxicity.toxicity(before, model)) if not r["predicted"]}
+            value = dict(enumerate(model.value.astype(float).tolist()))
+            assert {r.doc_id for r in has} == {r.doc_id for r in had if slow_score(r.text or "", value, model.bias) < 0.5}
         elif name == "exact dedup":
             assert {r.doc_id for r in has} == {r["doc_id"] for r in brute_exact([(r.doc_id, r.text) for r in had]) if r["kept"]}
         elif name == "near duplicates":
             assert {r.doc_id for r in has} == {r["doc_id"] for r in brute_near([(r.doc_id, r.text) for r in had]) if r["class_id"] == r["doc_id"]}
         elif name == "mixing":
-            copies = {r["doc_id"]: r["copies"] for r in as_rows(mixing.mix_sources(before))}
-            assert Counter(r.doc_id for r in has) == +Counter(copies)
+            copies = brute_mix([(r.doc_id, r.text, r.source) for r in had])
+            assert Counter(r.doc_id for r in has) == +Counter({i: n for (i, _, _), n in copies.items()})
         else:
-            assert Counter(r.doc_id for r in has if r.piece == 0) == Counter(r.doc_id for r in had)
+            check_packing(has, [(r.doc_id, r.text) for r in had])
+            assert len({(r.copy, r.piece) for r in has}) == len(has) and len({r.copy for r in has}) == len(had)
         before = after
 
 
+def test_pipeline_of_odd_rows_and_of_none(spark, tmp_path):
+    import corpus_pipeline
+
+    columns = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, rows in (("odd", [r[:5] for r in EDGE_ROWS]), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame(rows, columns).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 0), (4, 1), (None, None)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        docs = spark.read.parquet(f"{folder}/documents.parquet")
+        for _, f in corpus_pipeline.STAGES[:-1]:
+            docs = f(spark, docs, folder)
+            assert docs.columns == [c.split()[0] for c in columns.split(", ")]
+        # reruns agree
+        assert Counter(r.doc_id for r in got if r.piece == 0) == Counter(r.doc_id for r in docs.collect())
+        assert bool(got) == bool(rows)
+
+
 def test_passages_are_found_whatever_the_batches(spark):
     rng = np.random.default_rng(2)
     n = 400
