@@ -131,7 +131,8 @@ def _cuts(ranked: DataFrame) -> DataFrame:
     upto = F.col("before") + F.sum("words").over(Window.partitionBy("source").orderBy("rank", "doc_id", "size"))
     taken = inside.withColumn("upto", upto).filter(F.col("upto") - F.col("words") / 2 <= F.col("wanted"))
     last = taken.groupBy("source").agg(F.max(F.struct("rank", "doc_id", "size")).alias("last"))
-    return cuts.join(last, _same("s", "source"), "left").select("s", "cut", "last")
+    # a row per source, written, so that its size is known before every document is joined to it
+    return stage(cuts.join(last, _same("s", "source"), "left").select("s", "cut", "last"), "last-taken")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, seed: str = SEED) -> DataFrame:
