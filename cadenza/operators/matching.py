@@ -113,12 +113,13 @@ def pairs_of(edges: DataFrame, scalars: DataFrame) -> DataFrame:
 def recommend(scalars: DataFrame, anchors: DataFrame | None = None, k: int = D.TOP, cutoff: float = D.CUTOFF) -> DataFrame:
     """The ``k`` best matches (all, if ``k`` is not positive) of every track, or of ``anchors (id)``, with ``rank``.
 
-    Ranks are by rounded score, ties by id as text. The pairs below the cutoff go before ranking.
+    Ranks are by rounded score, ties by id as text. Pairs below the cutoff rank last, so they go
+    after ranking: as a filter of pairs their whole score would move into the condition of the join.
     """
-    scored = _narrow(_scored(candidate_pairs(scalars, anchors))).filter(F.col("score") >= cutoff)
+    scored = _narrow(_scored(candidate_pairs(scalars, anchors)))
     rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))
     ranked = scored.withColumn("rank", rank)
-    return _named(ranked.filter(F.col("rank") <= k) if k and k > 0 else ranked)
+    return _named((ranked.filter(F.col("rank") <= k) if k and k > 0 else ranked).filter(F.col("score") >= cutoff))
 
 
 def recommend_enriched(recs: DataFrame, listing: DataFrame, envelopes: DataFrame) -> DataFrame:
