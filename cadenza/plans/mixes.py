@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import functions as X
 from .. import streaming as ST
 from ..functions import sqlfuncs
 from ..operators import chains as C
+from ..operators import features as E
 from ..operators import ingest as I
+from ..operators import licensing as L
 from ..operators import merge as M
 from ..sources import adapters as A
+from ..sources import readers as S
+from ..sources.staging import shared_dir
 from .registry import query
 from .series import RECOMMEND, r, scalars
 from .views import R4
@@ -151,7 +158,23 @@ SELECT mix_id, count(*) AS n, {R4('max(beat)', 3)} AS last FROM (
     SELECT mix_id, unnest([k * 0.5::DOUBLE + o FOR k IN range(0, 40)] || [o + 19.5::DOUBLE + k * 0.5::DOUBLE FOR k IN range(1, greatest(0, CAST(floor((total - (o + 19.5::DOUBLE)) * 2 + 1e-9) AS INTEGER)) + 1)]) AS beat
     FROM (SELECT c.mix_id, any_value(c.offset_s) FILTER (WHERE c.pos = 0) AS o, max(offset_s + duration_s) AS total FROM chains c GROUP BY c.mix_id)) GROUP BY mix_id
 """)
-query("c17_delete_and_heal", lambda s, d: r(C.delete_and_heal(simple(s, d), _removed(s, d), markers(s, d)), "delta_s", "duration_s"))
+query("c17_delete_and_heal", lambda s, d: r(C.delete_and_heal(simple(s, d), _removed(s, d), markers(s, d)), "delta_s", "duration_s"), f"""
+WITH flagged AS (SELECT *, CAST(mix_id AS BIGINT) % 3 = 0 AND pos = CAST(mix_id AS BIGINT) % 4 AS gone FROM chains),
+told AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY mix_id ORDER BY pos), false) AS after_gone FROM flagged),
+kept AS (
+    SELECT mix_id, id, track_id, duration_s, after_gone AND pos > 0 AS healed, k, CASE WHEN k = 0 AND pos > 0 THEN 0 ELSE delta_s END AS delta_s
+    FROM (SELECT *, row_number() OVER (PARTITION BY mix_id ORDER BY pos) - 1 AS k FROM told WHERE NOT gone)),
+placed AS (SELECT *, sum(delta_s) OVER (PARTITION BY mix_id ORDER BY k) AS offset_s FROM kept),
+least_of AS (
+    SELECT *, lag(track_id) OVER w AS a_id, lag(duration_s) OVER w AS prev_duration,
+        greatest(0, coalesce(greatest(lag(offset_s) OVER w, lag(offset_s + duration_s, 2) OVER w, CASE WHEN lead(delta_s) OVER w IS NOT NULL THEN lag(offset_s + duration_s) OVER w - lead(delta_s) OVER w END) - lag(offset_s) OVER w, 0)) AS floor_s
+    FROM placed WINDOW w AS (PARTITION BY mix_id ORDER BY k)),
+legal AS (
+    SELECT l.id, arg_max(greatest(0.0, a_start_s - b_start_s), (score, -a_start_s, -b_start_s)) AS o
+    FROM least_of l JOIN ({MARKERS}) m ON m.a_id = l.a_id AND m.b_id = l.track_id WHERE healed AND greatest(0.0, a_start_s - b_start_s) >= floor_s - 1e-9 GROUP BY l.id)
+SELECT mix_id, CAST(k AS INTEGER) AS pos, id, track_id, {R4("CASE WHEN healed AND a_id IS NOT NULL THEN greatest(0.0, coalesce(o, greatest(floor_s, greatest(0.0, prev_duration - 16.0)))) ELSE delta_s END", 6)} AS delta_s, {R4('duration_s', 6)} AS duration_s
+FROM least_of LEFT JOIN legal USING (id)
+""")
 query("c18_markers_on_mix", lambda s, d: r(C.markers_on_mix(_mix_markers(s, d), entries(s, d)), "t"), f"""
 SELECT mix_id, pos, CAST(k AS INTEGER) AS rank, {R4('offset_s + 10.0 * k', 6)} AS t, 0.5::DOUBLE AS score FROM (SELECT *, lead(track_id) OVER (PARTITION BY mix_id ORDER BY pos) AS b_id FROM chains), range(1, 3) x(k) WHERE b_id IS NOT NULL
 """)
@@ -352,3 +375,79 @@ def table_function(s, d):
 
 
 query("u02_recommend_function", table_function, f"SELECT a_id AS id, b_id, score, rank FROM ({RECOMMEND}) WHERE rank <= 3")
+
+
+# tables written below the shared folder, and read back
+
+
+def _folder(s):
+    return f"{shared_dir(s)}/{uuid.uuid4().hex}"
+
+
+def published(s, d):
+    at = _folder(s)
+    t, v = A.tracks(s, d), A.variants(s, d)
+    M.publish_tracks(t.filter("status = 'ready'"), v, at)
+    M.publish_tracks(t, v, at)
+    rows, own = M.read_published(s, at)
+    return rows.filter("mixable AND status = 'ready'").join(own.groupBy(F.col("track_id").alias("id")).agg(F.count("*").alias("n_variants")), "id").select("id", "n_variants")
+
+
+def added_columns(s, d):
+    t = A.tracks(s, d).select("id", "name")
+    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("popularity", T.DoubleType()), T.StructField("codec", T.StringType(), False)])
+    return M.check_schema(M.add_missing_columns(t, schema, {"codec": "aac"}), ["id", "name", "popularity", "codec"])
+
+
+def appended(s, d):
+    at = _folder(s)
+    for _ in range(2):
+        M.append_latency(A.latency(s, d), at)
+    return s.read.parquet(at).groupBy("stage").agg(F.count("*").alias("n"))
+
+
+def ingested(s, d):
+    """Tracks in two files, the second with other names and statuses, through the stream."""
+    at = _folder(s)
+    t = A.tracks(s, d).select("id", "name", "status", "native_bpm")
+    t.filter("cast(id AS bigint) % 3 <> 0").coalesce(1).write.parquet(f"{at}/in")
+    for _ in range(2):
+        stream = s.readStream.schema(t.schema).parquet(f"{at}/in")
+        ST.start_incremental_ingest(stream, f"{at}/out", f"{at}/check").awaitTermination()
+        t.filter("cast(id AS bigint) % 4 = 0").select("id", F.concat("name", F.lit("!")).alias("name"), F.lit("ready").alias("status"), F.lit(None).cast("double").alias("native_bpm")).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    return ST.read_ingested(s, f"{at}/out")
+
+
+def own_features(s, d):
+    rows = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").cast("string").alias("track_id"), F.col("embedding").alias("samples"))
+    return r(E.feature_job(rows, _loudest, "track_id string, peak double"), "peak")
+
+
+def _loudest(batch):
+    return batch.assign(peak=[float(abs(x).max()) for x in batch["samples"]])[["track_id", "peak"]]
+
+
+def viewed(s, d):
+    sqlfuncs.register_views({"cadenza_tracks": A.tracks(s, d), "cadenza_variants": A.variants(s, d)})
+    return s.sql("SELECT id, count(*) AS n FROM cadenza_tracks JOIN cadenza_variants ON id = track_id GROUP BY id")
+
+
+def written(s, d):
+    at = _folder(s)
+    for rows in (A.variants(s, d).filter("grid_bpm < 100"), A.variants(s, d)):
+        S.write_table(rows, at, ["grid_bpm"])
+    return s.read.parquet(at).groupBy("grid_bpm").agg(F.count("*").alias("n"))
+
+
+VARIANT_COUNTS = "SELECT track_id AS id, count(*) AS n FROM variants GROUP BY track_id"
+query("m08_publish_tracks", published, f"SELECT id, n AS n_variants FROM tracks JOIN ({VARIANT_COUNTS}) USING (id) WHERE mixable AND status = 'ready'")
+query("m10_add_missing_columns", added_columns, "SELECT id, name, CAST(NULL AS DOUBLE) AS popularity, 'aac' AS codec FROM tracks")
+query("m11_append_latency", appended, "SELECT stage, 2 * count(*) AS n FROM latency GROUP BY stage")
+query("st01_incremental_ingest", ingested, """
+SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN name || '!' ELSE name END AS name, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN 'ready' ELSE status END AS status, CASE WHEN CAST(id AS BIGINT) % 3 <> 0 THEN native_bpm END AS native_bpm
+FROM tracks WHERE CAST(id AS BIGINT) % 3 <> 0 OR CAST(id AS BIGINT) % 4 = 0
+""")
+query("s07_write_table", written, "SELECT grid_bpm, count(*) AS n FROM variants GROUP BY grid_bpm")
+query("u03_accept_gate", lambda s, d: L.accept(A.tracks(s, d), F.col("duration_s") > 120).select("id"), "SELECT id FROM tracks WHERE duration_s > 120")
+query("u04_feature_job", own_features, f"SELECT CAST(vec_id AS VARCHAR) AS track_id, {R4('list_max(list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))))', 6)} AS peak FROM embeddings")
+query("u05_views", viewed, f"SELECT id, n FROM tracks JOIN ({VARIANT_COUNTS}) USING (id)")

@@ -40,17 +40,32 @@ def segments(s, d):
     return N.segment(A.frames(s, d), H)
 
 
+def made_once(make):
+    """``make(s, d)`` written to the shared folder; the queries of an application that start from it read the one table."""
+    made = {}
+
+    def table(s, d):
+        key = (s.sparkContext.applicationId, d)
+        if key not in made:
+            made[key] = stage(make(s, d), make.__name__)
+        return made[key]
+
+    return table
+
+
+@made_once
 def all_wide(s, d):
-    """Features of every track, by the series that stand for it; written, as several steps read them."""
+    """Features of every track, by the series that stand for it."""
     own = A.series_owners(s, d).join(A.raw_tracks(s, d).select("id", "native_bpm"), "id")
     arrays = E.prefix_arrays(A.frames(s, d)).withColumnRenamed("track_id", "owner")
-    return stage(E.features_of(own.join(arrays, "owner").select(F.col("id").alias("track_id"), F.col("native_bpm").alias("bpm"), "p"), H), "features")
+    return E.features_of(own.join(arrays, "owner").select(F.col("id").alias("track_id"), F.col("native_bpm").alias("bpm"), "p"), H)
 
 
+@made_once
 def all_segments(s, d):
     """Segments of every track, as the segmentation finds them."""
     own = A.series_owners(s, d).select(F.col("id").alias("track_id"), "owner")
-    return stage(segments(s, d).withColumnRenamed("track_id", "owner").join(own, "owner").drop("owner"), "segments")
+    return segments(s, d).withColumnRenamed("track_id", "owner").join(own, "owner").drop("owner")
 
 
 def slices(s, d):
@@ -97,7 +112,18 @@ SELECT track_id, lag, {R4('CASE WHEN z > 0 THEN s / z ELSE s END', 6)} AS ac FRO
     FROM (SELECT track_id, frame_idx, flux - avg(flux) OVER (PARTITION BY track_id) AS x FROM frames) a, range(9) t(l)
     JOIN (SELECT track_id, frame_idx, flux - avg(flux) OVER (PARTITION BY track_id) AS x FROM frames) b ON b.track_id = a.track_id AND b.frame_idx = a.frame_idx + l GROUP BY a.track_id, l)
 """)
-query("f07_tempo", lambda s, d: r(E.estimate_tempo(A.frames(s, d), 0.02), "bpm", digits=3))
+query("f07_tempo", lambda s, d: r(E.estimate_tempo(A.frames(s, d), 0.02), "bpm", digits=3), f"""
+WITH x AS (SELECT track_id, frame_idx, flux - avg(flux) OVER (PARTITION BY track_id) AS x, count(*) OVER (PARTITION BY track_id) AS n FROM frames),
+sums AS (SELECT a.track_id, a.n, b.frame_idx - a.frame_idx AS l, sum(a.x * b.x) AS s FROM x a JOIN x b ON b.track_id = a.track_id AND b.frame_idx >= a.frame_idx GROUP BY ALL),
+ac AS (SELECT track_id, n, list(CASE WHEN z > 0 THEN s / z ELSE s END ORDER BY l) AS ac FROM (SELECT *, first_value(s) OVER (PARTITION BY track_id ORDER BY l) AS z FROM sums) GROUP BY track_id, n),
+peak AS (SELECT *, least(43, n - 1) AS top, list_position(ac[18:least(43, n - 1) + 1], list_max(ac[18:least(43, n - 1) + 1])) - 1 + 17 AS lag0 FROM ac),
+tried AS (SELECT track_id, n, ac, i, c, 60.0::DOUBLE / (c * 0.02::DOUBLE) AS b FROM (SELECT *, lag0 * m AS c FROM peak, (VALUES (1, 0.5::DOUBLE), (2, 2.0::DOUBLE / 3.0::DOUBLE), (3, 1.0::DOUBLE), (4, 1.5::DOUBLE), (5, 2.0::DOUBLE), (6, 3.0::DOUBLE)) t(i, m))),
+scored AS (
+    SELECT track_id, i, c, ({' + '.join(f"CASE WHEN round_even(c * {k}, 0) < n THEN coalesce(ac[CAST(round_even(c * {k}, 0) AS INTEGER) + 1], 0) / {k} ELSE 0 END" for k in (1, 2, 3, 4))}) * (0.6 + 0.4 * exp(-0.5 * pow(log2(b / 115.0) / 0.6, 2))) AS s
+    FROM tried WHERE b >= 69 AND b <= 181 AND c < n / 2.0::DOUBLE),
+chosen AS (SELECT p.*, CAST(round_even(coalesce(c, lag0), 0) AS INTEGER) AS lag FROM peak p LEFT JOIN (SELECT track_id, arg_max(c, (s, -i)) AS c FROM scored GROUP BY track_id) USING (track_id))
+SELECT track_id, {R4('CASE WHEN top <= 17 THEN 120.0 ELSE 60.0::DOUBLE / ((CASE WHEN lag >= 1 AND lag < n - 1 AND abs(ac[lag] - 2 * ac[lag + 1] + ac[lag + 2]) > 1e-12 THEN lag + 0.5::DOUBLE * (ac[lag] - ac[lag + 2]) / (ac[lag] - 2 * ac[lag + 1] + ac[lag + 2]) ELSE lag END) * 0.02::DOUBLE) END', 3)} AS bpm FROM chosen
+""")
 query("f08_beat_grid", lambda s, d: E.beat_grid(A.frames(s, d), A.raw_tracks(s, d).select(F.col("id").alias("track_id"), F.col("native_bpm").alias("bpm")), 0.02).select("track_id", X.round_up_half(F.col("offset"), 6).alias("offset"), F.size("beats").alias("n_beats")), f"""
 SELECT track_id, {R4('p * phase / 24.0::DOUBLE', 6)} AS "offset", CAST(ceil((n - p * phase / 24.0::DOUBLE) / p) AS INTEGER) AS n_beats FROM (
     SELECT track_id, p, n, arg_max(phase, (s, -phase)) AS phase FROM (
@@ -216,11 +242,12 @@ def _detail(s, d):
 # matching
 
 
+@made_once
 def scalars(s, d):
-    """One narrow row per mixable track; written, as both sides of every pair join read it."""
+    """One narrow row per mixable track."""
     energies = R.track_energies(segments(s, d), A.frames(s, d)).withColumnRenamed("track_id", "owner")
     own = A.series_owners(s, d).join(energies, "owner").select(F.col("id").alias("track_id"), "intro_rms", "outro_rms")
-    return stage(R.track_scalars(A.tracks(s, d), A.variants(s, d), own), "scalars")
+    return R.track_scalars(A.tracks(s, d), A.variants(s, d), own)
 
 
 SCALARS = """
@@ -359,10 +386,14 @@ def _sides(s, d):
     return T.score_sides(f, seg, T.window_starts(f, T.candidate_regions(seg, "entry")), "entry").drop("tempo")
 
 
+@made_once
+def three_best(s, d):
+    return R.recommend(scalars(s, d), k=3).select("a_id", "b_id", "best_grid_bpm")
+
+
 def curves(s, d):
     """Curves of the three best recommendations of every track."""
-    recs = stage(R.recommend(scalars(s, d), k=3).select("a_id", "b_id", "best_grid_bpm"), "recommended")  # read for either side and for the pairs
-    return T.transition_curves(recs, all_wide(s, d), all_segments(s, d))
+    return T.transition_curves(three_best(s, d), all_wide(s, d), all_segments(s, d))
 
 
 def _roles(s, d):
