@@ -170,7 +170,7 @@ def stage_projections(summary: DataFrame, scenarios: DataFrame, longer: float =
     """``summary (stage, avg_ms)`` projected to ``scenarios (n_tracks, cores)``: hours of work."""
     hours = F.col("avg_ms") / 1000.0 * F.col("n_tracks") * longer * engine / F.col("cores") / 3600.0
     text = F.when(hours < 1, F.concat(X.round_up_half(hours * 60, 0).cast("int").cast("string"), F.lit(" min"))).otherwise(F.concat(X.round_up_half(hours, 0).cast("int").cast("string"), F.lit(" h")))
-    return summary.join(F.broadcast(scenarios)).select("stage", "n_tracks", "cores", X.round_up_half(hours, 6).alias("hours"), text.alias("label"))
+    return summary.join(scenarios).select("stage", "n_tracks", "cores", X.round_up_half(hours, 6).alias("hours"), text.alias("label"))
 
 
 def storage_totals(inventory: DataFrame) -> DataFrame:

@@ -72,11 +72,18 @@ def band_gaps(spark: SparkSession) -> DataFrame:
 
 
 def grid_coverage_of(tracks: DataFrame, spacing: int = D.GRID_SPACING) -> DataFrame:
-    """:func:`grid_coverage` counts over the native tempos that the catalogue holds: pairs of distinct tempos of a band."""
+    """:func:`grid_coverage` counts over the native tempos that the catalogue holds: pairs of distinct tempos of a band.
+
+    Tempos that reach the same grid points are counted together, and only such groups (few per
+    band, however many tempos there are) are paired."""
     tempos = with_grid(tracks).filter("band IS NOT NULL").select("band", F.col("native_bpm").alias("bpm")).distinct()
     spark = tracks.sparkSession
     table = spark.createDataFrame([(n, D.grid_of(a, b, spacing), D.grid_of(a, b, 1)) for n, (a, b) in D.BANDS.items()], "band string, coarse array<int>, fine array<int>")
     near = lambda grid: F.filter(grid, lambda g: F.abs(g / F.col("bpm") - 1) <= D.MOST_STRETCH)
-    rows = tempos.join(F.broadcast(table), "band").select("band", "bpm", near("coarse").alias("coarse"), near("fine").alias("fine"))
-    pairs = rows.alias("a").join(rows.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.bpm") <= F.col("b.bpm")))
-    return pairs.groupBy(F.col("a.band").alias("band")).agg(F.count("*").alias("pairs"), F.count_if(F.arrays_overlap("a.coarse", "b.coarse")).alias("coarse_pairs"), F.count_if(F.arrays_overlap("a.fine", "b.fine")).alias("fine_pairs"))
+    rows = tempos.join(F.broadcast(table), "band").select("band", near("coarse").alias("coarse"), near("fine").alias("fine"))
+    groups = rows.groupBy("band", "coarse", "fine").agg(F.count("*").alias("n")).withColumn("key", F.concat_ws("|", F.array_join("coarse", ","), F.array_join("fine", ",")))
+    pairs = groups.alias("a").join(groups.alias("b"), (F.col("a.band") == F.col("b.band")) & (F.col("a.key") <= F.col("b.key")))
+    # a group with itself: every two of its tempos, and each tempo with itself
+    n = F.when(F.col("a.key") == F.col("b.key"), F.expr("a.n * (a.n + 1) div 2")).otherwise(F.col("a.n") * F.col("b.n"))
+    shared = lambda c: F.sum(F.when(F.arrays_overlap(f"a.{c}", f"b.{c}"), n).otherwise(0))
+    return pairs.groupBy(F.col("a.band").alias("band")).agg(F.sum(n).alias("pairs"), shared("coarse").alias("coarse_pairs"), shared("fine").alias("fine_pairs"))

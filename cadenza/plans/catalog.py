@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import functions as X
+from ..functions import dimensions as D
 from ..operators import catalog as C
 from ..operators import licensing as L
 from ..operators import tempo as G
@@ -22,7 +23,20 @@ def _ids(spark, sf, every=3):
 
 # sources
 
-query("s03_flatten_api", lambda s, d: S.flatten_api_responses(S.sample_responses(s, d), "body").drop("body"), f"""
+
+def sample_responses(s, d):
+    """``batch, body``: fixture responses of 50 ids, some short, some errors."""
+    k = F.col("id").cast("long")
+    rows = A.raw_tracks(s, d).withColumn("batch", F.floor(k / D.BATCH).cast("long"))
+    result = F.struct("id", "name", F.col("artist").alias("artist_name"), X.license_url().alias("license_ccurl"), (k % 4 != 0).alias("audiodownload_allowed"), F.lit("").alias("audiodownload"))
+    kept = rows.withColumn("r", F.when(~((F.col("batch") % 7 == 3) & (k % D.BATCH >= 40)), result))
+    lists = kept.groupBy("batch").agg(F.collect_list("r").alias("results"))
+    bad = F.col("batch") % 7 == 5
+    body = F.struct(F.struct(F.when(bad, 5).otherwise(0).alias("code"), F.when(bad, "quota").alias("error_message")).alias("headers"), F.when(~bad, F.col("results")).alias("results"))
+    return lists.select("batch", F.to_json(body).alias("body"))
+
+
+query("s03_flatten_api", lambda s, d: S.flatten_api_responses(sample_responses(s, d), "body").drop("body"), f"""
 SELECT CAST((CAST(id AS BIGINT) // 50) AS BIGINT) AS batch, CASE WHEN CAST(id AS BIGINT) // 50 % 7 = 5 THEN 'error' ELSE 'ok' END AS outcome,
     CASE WHEN CAST(id AS BIGINT) // 50 % 7 = 5 THEN 'quota' END AS error, id, name, artist, license, allowed
 FROM (

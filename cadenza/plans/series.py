@@ -11,7 +11,7 @@ from ..operators import matching as R
 from ..operators import segments as N
 from ..operators import transitions as T
 from ..sources import adapters as A
-from ..sources.staging import stage
+from ..sources.staging import is_staged, stage, staged_tables
 from .registry import query
 from .views import R4
 
@@ -46,9 +46,11 @@ def made_once(make):
 
     def table(s, d):
         key = (s.sparkContext.applicationId, d)
-        if key not in made:
-            made[key] = stage(make(s, d), make.__name__)
-        return made[key]
+        if key not in made or not is_staged(s, made[key][0]):
+            with staged_tables() as paths:
+                df = stage(make(s, d), make.__name__)
+            made[key] = paths[-1], df
+        return made[key][1]
 
     return table
 

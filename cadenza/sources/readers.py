@@ -41,20 +41,6 @@ def flatten_api_responses(df: DataFrame, json_col: str) -> DataFrame:
     )
 
 
-def sample_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``batch, body``: fixture responses of 50 ids, some short, some errors."""
-    from .adapters import raw_tracks
-
-    k = F.col("id").cast("long")
-    rows = raw_tracks(spark, sf_dir).withColumn("batch", F.floor(k / D.BATCH).cast("long"))
-    result = F.struct("id", "name", F.col("artist").alias("artist_name"), X.license_url().alias("license_ccurl"), (k % 4 != 0).alias("audiodownload_allowed"), F.lit("").alias("audiodownload"))
-    kept = rows.withColumn("r", F.when(~((F.col("batch") % 7 == 3) & (k % D.BATCH >= 40)), result))
-    lists = kept.groupBy("batch").agg(F.collect_list("r").alias("results"))
-    bad = F.col("batch") % 7 == 5
-    body = F.struct(F.struct(F.when(bad, 5).otherwise(0).alias("code"), F.when(bad, "quota").alias("error_message")).alias("headers"), F.when(~bad, F.col("results")).alias("results"))
-    return lists.select("batch", F.to_json(body).alias("body"))
-
-
 def read_wav(spark: SparkSession, glob: str) -> DataFrame:
     """``track_id, sr, n_samples, duration_s, samples, error``: 16-bit files as mono numbers in [-1, 1]; one that can't be read has its error."""
 

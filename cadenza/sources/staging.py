@@ -48,6 +48,12 @@ def staged_tables() -> Iterator[list[str]]:
         _open.reset(token)
 
 
+def is_staged(spark: SparkSession, path: str) -> bool:
+    """Whether the table at ``path`` is still there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
 def drop_staged(spark: SparkSession, paths: list[str], keep: int = 0) -> None:
     """Delete all but the ``keep`` newest of the tables in ``paths``; call it once what reads them is written."""
     hadoop = spark.sparkContext._jsc.hadoopConfiguration()
