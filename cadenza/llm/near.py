@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import stage
 from .components import components
-from .textarrays import ODD, Words, chunks, mix, powers, signed, sums
+from .textarrays import BASE, ODD, Words, chunks, mix, signed, sums
 
 N_WORDS, SIMILARITY, RECALL, ROWS = 5, 0.8, 0.995, 5
 BLOCK_DOCS, BLOCK_SHINGLES = 160, 120_000
@@ -44,7 +44,7 @@ def shingles(words: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
         elif b > a:
             g = np.uint64(0)
             for h in words.hash[a:b]:
-                g = np.uint64((int(g) * int(powers(2)[1]) + int(h)) & 0xFFFFFFFFFFFFFFFF)
+                g = np.uint64((int(g) * int(BASE) + int(h)) & 0xFFFFFFFFFFFFFFFF)
             out.append(mix(np.array([g]) + np.uint64(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))

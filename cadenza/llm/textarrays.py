@@ -16,7 +16,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 ODD = np.uint64(0x9E3779B97F4A7C15)
 BASE = np.uint64(0xD6E8FEB86659FD93)
-_powers = np.ones(1, np.uint64)
+_powers = {b: np.ones(1, np.uint64) for b in (BASE, np.uint64(pow(int(BASE), -1, 1 << 64)))}
+INVERSE = list(_powers)[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -28,11 +29,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 2 * len(_powers)), BASE)], dtype=np.uint64)
-    return _powers
+def powers(n: int, base: np.uint64 = BASE) -> np.ndarray:
+    """At least ``n`` powers of ``base``, from the zeroth on, modulo 2^64."""
+    if len(_powers[base]) < n:
+        _powers[base] = np.cumprod(np.r_[np.uint64(1), np.full(max(n, 2 * len(_powers[base])), base)], dtype=np.uint64)
+    return _powers[base]
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -78,6 +79,7 @@ class Words:
         self.first[-1] = len(self.start)
         self.doc = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.first))
         self.hash = self._hashes()
+        self._running: np.ndarray | None = None
 
     def _hashes(self, step: int = 4_000_000) -> np.ndarray:
         size = self.end - self.start
@@ -93,27 +95,18 @@ class Words:
         return mix(out + ODD)
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the ``n`` words from each word on, and whether they lie in one text."""
+        """Hash of the ``n`` words from each word on, and whether they lie in one text.
+
+        The hash rolls: it is the difference of two running sums of words times powers of the
+        base, brought back to the first power, whatever ``n`` is."""
         m = len(self.hash) - n + 1
         if m <= 0:
             return np.zeros(0, np.uint64), np.zeros(0, bool)
-        g = np.zeros(m, np.uint64)
-        for j in range(n):
-            g = g * BASE + self.hash[j : j + m]
+        if self._running is None:
+            self._running = np.r_[np.uint64(0), np.cumsum(self.hash * powers(len(self.hash))[: len(self.hash)], dtype=np.uint64)]
+        g = (self._running[n:] - self._running[:m]) * powers(m, INVERSE)[:m]
         return mix(g + np.uint64(n)), self.doc[:m] == self.doc[n - 1 :]
 
-    def grams_at(self, at: np.ndarray, n: int) -> np.ndarray:
-        """Hashes of the ``n`` words from each of the words ``at`` on."""
-        g = np.zeros(len(at), np.uint64)
-        for j in range(n):
-            g = g * BASE + self.hash[at + j]
-        return mix(g + np.uint64(n))
-
-    def sequence(self, seed: int) -> np.ndarray:
-        """One hash per text of its whole word sequence."""
-        place = np.arange(len(self.hash), dtype=np.uint64) - np.repeat(self.first[:-1], np.diff(self.first)).astype(np.uint64)
-        return sums(mix(self.hash ^ mix(place * ODD + np.uint64(seed))), self.first)
-
 
 def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sum of ``values[first[i]:first[i + 1]]`` for each i, 0 where there are none."""
