@@ -334,8 +334,10 @@ def side_sql(name: str, side: str, wanted: str, features: str = FEATURES, segmen
 {name}_w AS (SELECT *, CAST(floor(32 * (60.0::DOUBLE / bpm / hop)) AS INTEGER) AS win FROM {name}_f),
 {name}_starts AS (
     SELECT DISTINCT track_id, tempo, CAST(round_even(f, 0) AS INTEGER) AS start FROM (
-        SELECT w.track_id, w.tempo, unnest([b / hop FOR b IN bars]) AS f, greatest(0, start_frame - win // 2) AS lo, least(n - win // 2, end_frame) AS hi
-        FROM {name}_w w JOIN (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY track_id ORDER BY coalesce(w, 0) DESC, seg_idx) AS k FROM ({segments}) s LEFT JOIN {roles} USING (label)) WHERE k <= 3) g ON g.track_id = w.track_id) WHERE f >= lo AND f <= hi),
+        SELECT track_id, tempo, unnest(CASE WHEN len(inside) = 0 THEN inside ELSE list_reduce([[f] FOR f IN inside], lambda kept, f: CASE WHEN f[1] - kept[-1] >= step THEN list_concat(kept, f) ELSE kept END) END) AS f
+        FROM (SELECT track_id, tempo, step, [f FOR f IN fs IF f >= lo AND f <= hi] AS inside FROM (
+            SELECT w.track_id, w.tempo, [b / hop FOR b IN bars] AS fs, greatest(1, CAST(floor(4 * (60.0::DOUBLE / bpm / hop)) AS INTEGER)) AS step, greatest(0, start_frame - win // 2) AS lo, least(n - win // 2, end_frame) AS hi
+            FROM {name}_w w JOIN (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY track_id ORDER BY coalesce(w, 0) DESC, seg_idx) AS k FROM ({segments}) s LEFT JOIN {roles} USING (label)) WHERE k <= 3) g ON g.track_id = w.track_id)))),
 {name}_sides AS (
     SELECT s.track_id, s.tempo, s.start, {R4('s.start * any_value(hop)')} AS start_s, {R4('avg(rms)', 9)} AS energy, {R4('avg(bass_ratio)', 9)} AS bass,
         greatest(0.0, 1.0 - list_min([abs(s.start * any_value(hop) - b) FOR b IN any_value(bars)]) / (240.0::DOUBLE / any_value(bpm)) * 2.0) AS phase, 0.6::DOUBLE * any_value(coalesce(CAST(r.w AS DOUBLE), 0.4::DOUBLE)) + 0.4::DOUBLE * any_value({place}) AS fit
