@@ -19,7 +19,7 @@ from ..sources import adapters as A
 from ..sources import readers as S
 from ..sources.staging import shared_dir
 from .registry import query
-from .series import RECOMMEND, r, scalars
+from .series import RECOMMEND, r, recommended, scalars
 from .views import R4
 
 # chains
@@ -40,9 +40,7 @@ def simple(s, d):
 
 def markers(s, d):
     """Markers made of recommendations: three per pair, with exit and entry points from the ranks."""
-    from ..operators.matching import recommend
-
-    recs = recommend(scalars(s, d), k=5)
+    recs = recommended(s, d).filter("rank <= 5")
     return recs.select("a_id", "b_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rank"), "score", "best_grid_bpm").select(
         "a_id", "b_id", "rank", (20.0 + F.col("rank") * 4.5).alias("a_start_s"), (F.col("best_grid_bpm") / 10.0 + F.col("rank") * 2).alias("b_start_s"), (F.col("score") - F.pmod(F.col("best_grid_bpm") + F.col("rank"), F.lit(3)) / 100.0).alias("score")
     )
@@ -365,11 +363,8 @@ FROM (SELECT *, least(abs(CAST(left(camelot, -1) AS INTEGER) - 8), 12 - abs(CAST
 
 
 def table_function(s, d):
-    from ..operators.matching import recommend
-
-    narrow = scalars(s, d)
-    sqlfuncs.register_recommend(recommend(narrow))
-    ids = narrow.select("id")
+    sqlfuncs.register_recommend(recommended(s, d))
+    ids = scalars(s, d).select("id")
     ids.createOrReplaceTempView("cadenza_ids")
     return s.sql("SELECT i.id, r.b_id, r.score, r.rank FROM cadenza_ids i, LATERAL recommend(i.id, 3) r")
 

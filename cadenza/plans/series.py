@@ -252,6 +252,12 @@ def scalars(s, d):
     return R.track_scalars(A.tracks(s, d), A.variants(s, d), own)
 
 
+@made_once
+def recommended(s, d):
+    """The ranked matches of every track; shorter lists are their beginnings."""
+    return R.recommend(scalars(s, d))
+
+
 SCALARS = """
 SELECT t.id, b.band, t.native_bpm AS bpm, t.camelot, g.grid, e.intro_rms, e.outro_rms
 FROM tracks t JOIN banded b USING (id) JOIN grids g USING (id) JOIN owned o ON o.track_id = t.id
@@ -278,11 +284,11 @@ SELECT a, b, {R4(CAMELOT.format(a='a', b='b', d='(' + DIST.format(a='a', b='b')
 query("r02_bpm_score", lambda s, d: _scored(s, d).select("a_id", "b_id", "s.grid", X.round_up_half(F.col("s.score"), 6).alias("score")), f"SELECT a_id, b_id, CAST(-m.g AS INTEGER) AS grid, {R4('m.s', 6)} AS score FROM ({PAIRS})")
 query("r03_energy_continuity", lambda s, d: R.candidate_pairs(scalars(s, d)).select("a_id", "b_id", X.round_up_half(X.energy_continuity("a_outro_rms", "b_intro_rms"), 6).alias("energy")), f"SELECT a_id, b_id, {R4('e', 6)} AS energy FROM ({PAIRS})")
 query("r04_match_pairs", lambda s, d: R.match_pairs(R.candidate_pairs(scalars(s, d))), MATCHED, lists=("shared_grid",))
-query("recommend_all", lambda s, d: R.recommend(scalars(s, d)), f"SELECT * FROM ({RECOMMEND}) WHERE rank <= 20", lists=("shared_grid",))
+query("recommend_all", recommended, f"SELECT * FROM ({RECOMMEND}) WHERE rank <= 20", lists=("shared_grid",))
 query("r05_recommend_some", lambda s, d: R.recommend(scalars(s, d), A.raw_tracks(s, d).filter("id IN ('4', '16', '40')").select("id"), 0), f"SELECT * FROM ({RECOMMEND}) WHERE a_id IN ('4', '16', '40')", lists=("shared_grid",))
 query("r06_recommend_enriched", lambda s, d: _enriched(s, d), f"SELECT x.a_id, x.b_id, x.rank, t.name, t.artist, '“' || t.name || '” by ' || t.artist || ' — ' || t.license AS attribution, CASE WHEN t.id IS NULL THEN 120 ELSE 120 END AS n_points FROM ({RECOMMEND}) x LEFT JOIN (SELECT * FROM tracks WHERE status = 'ready') t ON t.id = x.b_id WHERE rank <= 5")
 query("r07_compatible_counts", lambda s, d: R.compatible_counts(A.tracks(s, d), A.variants(s, d)), "SELECT a.band, a.id, count(*) AS partners FROM banded a JOIN grids g ON g.id = a.id JOIN banded b ON b.band = a.band AND b.id <> a.id JOIN grids h ON h.id = b.id AND list_has_any(g.grid, h.grid) WHERE a.mixable AND b.mixable GROUP BY ALL")
-query("r08_scale_scores", lambda s, d: R.scale_scores(R.recommend(scalars(s, d)), ["a_id"]).select("a_id", "b_id", "percent", "scaled"), f"""
+query("r08_scale_scores", lambda s, d: R.scale_scores(recommended(s, d), ["a_id"]).select("a_id", "b_id", "percent", "scaled"), f"""
 SELECT a_id, b_id, CAST(floor(score * 100 + 0.5) AS INTEGER) AS percent, {R4('CASE WHEN n < 2 THEN 10.0 + 16.0 * score WHEN hi - lo < 1e-9 THEN 18.0 ELSE 10.0 + 16.0 * ((score - lo) / (hi - lo)) END', 6)} AS scaled
 FROM (SELECT a_id, b_id, score, count(*) OVER p AS n, min(score) OVER p AS lo, max(score) OVER p AS hi FROM ({RECOMMEND}) WHERE rank <= 20 WINDOW p AS (PARTITION BY a_id))
 """)
@@ -300,7 +306,7 @@ def _keys(s, d):
 def _enriched(s, d):
     from ..operators.catalog import catalog_listing
 
-    recs = R.recommend(scalars(s, d), k=5)
+    recs = recommended(s, d).filter("rank <= 5")
     out = R.recommend_enriched(recs, catalog_listing(A.tracks(s, d), A.variants(s, d)), E.envelope(all_wide(s, d), 120))
     return out.select("a_id", "b_id", "rank", "name", "artist", "attribution", F.size("env").alias("n_points"))
 
@@ -390,9 +396,8 @@ def _sides(s, d):
     return T.score_sides(f, seg, T.window_starts(f, T.candidate_regions(seg, "entry")), "entry").drop("tempo")
 
 
-@made_once
 def three_best(s, d):
-    return R.recommend(scalars(s, d), k=3).select("a_id", "b_id", "best_grid_bpm")
+    return recommended(s, d).filter("rank <= 3").select("a_id", "b_id", "best_grid_bpm")
 
 
 def curves(s, d):
@@ -407,7 +412,7 @@ def _roles(s, d):
 
 
 def _windows(s, d):
-    return R.recommend(scalars(s, d), k=3).select("a_id", "b_id", "best_grid_bpm", F.lit(D.WINDOW_BARS).alias("window_bars"), T.window_seconds(F.col("best_grid_bpm")).alias("window_s"))
+    return recommended(s, d).filter("rank <= 3").select("a_id", "b_id", "best_grid_bpm", F.lit(D.WINDOW_BARS).alias("window_bars"), T.window_seconds(F.col("best_grid_bpm")).alias("window_s"))
 
 
 def _ordered(s, d):
