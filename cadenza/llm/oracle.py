@@ -164,5 +164,33 @@ SELECT doc_id, directory, coalesce(own, n.given) AS licence, cosine, CASE WHEN o
 FROM judged LEFT JOIN nearest USING (directory)
 """
 
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
-SQL = {"op2_licences": op2(), "op9_quality": op9(), "op4_passages": OP4, "op5_mixing": OP5, "op7_exact": OP7, "op8_urls": op8()}
+OP12 = rf"""
+WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents),
+items AS (SELECT item_id, w, least(len(w), 10) AS n FROM (SELECT item_id, {TERMS} AS w FROM benchmark) WHERE len(w) > 0),
+held AS (SELECT DISTINCT n, array_to_string(w[p:p + n - 1], ' ') AS s, item_id FROM (SELECT *, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS p FROM items)),
+windows AS (
+    SELECT doc_id, p, n, array_to_string(w[p:p + n - 1], ' ') AS s
+    FROM (SELECT doc_id, w, n, unnest(range(1, CAST(len(w) - n + 2 AS BIGINT))) AS p FROM d, (SELECT DISTINCT n FROM items) WHERE len(w) >= n)),
+found AS (SELECT doc_id, p, n, item_id FROM windows JOIN held USING (n, s)),
+hit AS (SELECT doc_id, count(DISTINCT q) AS k FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM (SELECT DISTINCT doc_id, p, n FROM found)) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS k, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM found WHERE item_id IS NOT NULL) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(hit.k, 0) AS n_hit, coalesce(named.k, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(hit.k, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+OP13 = rf"""
+WITH d AS (SELECT doc_id, {TERMS} AS w FROM documents),
+sizes AS (SELECT doc_id, len(w) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+asked AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+postings AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(docs) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, total GROUP BY term),
+own AS (SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // words))) AS s FROM postings JOIN weights USING (term) JOIN sizes USING (doc_id), total),
+scored AS (SELECT item_id, doc_id, CAST(sum(s) AS BIGINT) AS score FROM asked JOIN own USING (term) GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 50
+"""
+
+
+SQL = {"op2_licences": op2(), "op9_quality": op9(), "op4_passages": OP4, "op5_mixing": OP5, "op7_exact": OP7, "op8_urls": op8(), "op12_decontamination": OP12, "op13_search": OP13}

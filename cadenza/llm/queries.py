@@ -8,19 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from . import exact, licences, mixing, near, packing, passages, quality, secrets, toxicity, urls
+from . import alignment, decontamination, exact, licences, mixing, near, packing, passages, quality, search, secrets, toxicity, urls
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
     return secrets.find_secrets(docs, owner=docs["source"], repository=docs["lang"])
@@ -64,8 +68,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(_docs(spark, sf_dir), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.scan(_docs(spark, sf_dir), _benchmark(spark, sf_dir)).drop("items")
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_docs(spark, sf_dir), _benchmark(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secrets, op2_licences, op3_near_duplicates, op4_passages, op5_mixing, op6_packing, op7_exact, op8_urls, op9_quality, op10_toxicity)}
+    return {f.__name__: f for f in (op1_secrets, op2_licences, op3_near_duplicates, op4_passages, op5_mixing, op6_packing, op7_exact, op8_urls, op9_quality, op10_toxicity, op11_alignment, op12_decontamination, op13_search)}
 
 
 def oracle_sql() -> dict[str, str]:
