@@ -69,7 +69,7 @@ def _segments(shared, most_bytes: int):
             lists = {c: pa.ListArray.from_arrays(pa.array([0, len(row[c])], pa.int32()), row[c] if isinstance(row[c], pa.Array) else pa.array(row[c], kind)) for c, kind in kinds.items()}
             for held in (ids, lengths, keys, counts):
                 held.clear()
-            return pa.RecordBatch.from_pydict({c: lists.get(c, pa.array([row[c]], pa.int64())) for c in row})
+            return pa.RecordBatch.from_pydict({c: lists[c] if c in lists else pa.array([row[c]], pa.int64()) for c in row})
 
         for part in chunks(batches):
             words = terms(part.column("text"))
