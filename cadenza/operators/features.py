@@ -70,6 +70,108 @@ def frame_features(audio: DataFrame, frame: int = 2048, hop: int = 512, low: flo
     return audio.select(*columns).mapInPandas(run, "track_id string, frame_idx int, rms double, flux double, bass_ratio double" + (", error string" if keep_errors else ""))
 
 
+#: Tempos between which :func:`estimate_tempo` looks.
+SLOWEST, FASTEST = 70.0, 180.0
+SERIES_OF_TRACK = "track_id string, sr int, duration_s double, hop_dur double, n int, rms array<double>, flux array<double>, bass_ratio array<double>, pitch array<double>, ac array<double>, error string"
+
+
+def track_series(audio: DataFrame, frame: int = 2048, hop: int = 512, low: float = 20.0, high: float = 150.0) -> DataFrame:
+    """One row per track of ``audio (track_id, sr, samples)``, from one transform per frame: the series of
+    :func:`frame_features`, magnitudes summed per pitch class, and the autocorrelation of the onsets.
+
+    ``hop_dur`` follows from the track's own rate, ``duration_s`` is that of its samples. What a
+    frame leaves behind (the last spectrum, twelve sums) is carried on, so spectra are never kept.
+    Tracks with an ``error`` (if ``audio`` has that column) keep it and have no series.
+    """
+    errors = "error" in audio.columns
+    nothing = dict.fromkeys(f.split()[0] for f in SERIES_OF_TRACK.split(", "))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                if errors and isinstance(row.error, str):
+                    yield pd.DataFrame([nothing | {"track_id": row.track_id, "error": row.error}]).astype({"sr": "Int32", "n": "Int32", "duration_s": "Float64", "hop_dur": "Float64"})
+                    continue
+                x = np.asarray(row.samples if row.samples is not None else [], float)
+                parts, pitch, before = [], np.zeros(12), None
+                freq = np.arange(frame // 2 + 1) * row.sr / frame
+                bass, voiced = (freq >= low) & (freq <= high), (freq > 80) & (freq < 2500)
+                classes = np.rint(69 + 12 * np.log2(freq[voiced] / 440.0)).astype(int) % 12
+                for numbers, mag in _spectrum(x, frame, hop):
+                    squares = np.cumsum(np.r_[0.0, x[numbers[0] * hop : numbers[-1] * hop + frame] ** 2])
+                    start = (numbers - numbers[0]) * hop
+                    rises = np.maximum(np.diff(mag, axis=0, prepend=mag[:1] if before is None else before[None]), 0.0)
+                    before = mag[-1]
+                    pitch += np.bincount(classes, mag[:, voiced].sum(axis=0), 12)
+                    parts.append((np.sqrt((squares[start + frame] - squares[start]).clip(min=0) / frame), rises.sum(axis=1), mag[:, bass].sum(axis=1) / (mag.sum(axis=1) + 1e-12)))
+                rms, flux, ratio = (np.concatenate(s) for s in zip(*parts, strict=True)) if parts else (np.zeros(0),) * 3
+                most = 12 * (round(60.0 / SLOWEST * row.sr / hop) + 1)
+                series = {"rms": [rms], "flux": [flux], "bass_ratio": [ratio], "pitch": [pitch], "ac": [_correlation(flux, most)]}
+                yield pd.DataFrame({"track_id": [row.track_id], "sr": [row.sr], "duration_s": [len(x) / row.sr], "hop_dur": [hop / row.sr], "n": [len(rms)]} | series | {"error": [None]})
+
+    return audio.select("track_id", "sr", "samples", *(["error"] if errors else [])).mapInPandas(run, SERIES_OF_TRACK)
+
+
+def _correlation(x: np.ndarray, most_lag: int) -> np.ndarray:
+    """Autocorrelation of the mean-free series up to ``most_lag`` or its last lag, divided by that at 0."""
+    x = x - x.mean() if len(x) else x
+    ac = np.array([x[: len(x) - lag] @ x[lag:] for lag in range(min(most_lag + 1, len(x)))])
+    return ac / ac[0] if len(ac) and ac[0] > 0 else ac
+
+
+def frames_of(series: DataFrame) -> DataFrame:
+    """``track_id, frame_idx, rms, flux, bass_ratio``: the long form of :func:`track_series`."""
+    rows = series.filter("n > 0").select("track_id", F.posexplode(F.arrays_zip(*SERIES)).alias("frame_idx", "x"))
+    return rows.select("track_id", "frame_idx", *(f"x.{c}" for c in SERIES))
+
+
+def analyse(series: DataFrame) -> DataFrame:
+    """:func:`track_series` with ``bpm``, ``beat_grid`` (seconds), ``tonic``, ``mode``, ``camelot``, ``confidence``.
+
+    Tracks without a whole frame have 120 BPM, no beats, and the key of silence; failed ones have none of it."""
+    rows = _with_tempo(series).withColumn("period", F.lit(60.0) / F.col("tempo") / F.col("hop_dur"))
+    phase = f"array_max(transform(sequence(0, {PHASES - 1}), p -> struct(aggregate({_beats('p')}, 0.0D, (s, k) -> s + coalesce(get(flux, cast(floor(period * p / {PHASES} + k * period) AS int)), 0.0D)) AS s, -p AS low))).low"
+    rows = rows.withColumn("phase", -F.expr(phase))
+    beats = F.expr(f"if(n > 0, transform({_beats('phase')}, k -> floor((period * phase / {PHASES} + k * period) * hop_dur * 100000.0D + 0.5D) / 100000.0D), cast(array() AS array<double>))")
+    rows = rows.withColumn("beat_grid", beats).withColumn("energies", chroma_of("pitch")).withColumn("key", key_of("energies"))
+    heard = F.col("error").isNull()
+    return rows.select(
+        *series.columns, F.when(heard, X.round_up_half(F.col("tempo"), 2)).alias("bpm"), F.when(heard, F.col("beat_grid")).alias("beat_grid"), *(F.when(heard, F.col(f"key.{c}")).alias(c) for c in ("tonic", "mode", "camelot", "confidence"))
+    )
+
+
+#: Offsets of the first beat that are tried, evenly over a period.
+PHASES = 24
+
+
+def _beats(phase: str) -> str:
+    """Numbers of the beats of a track with ``period`` that start at a phase."""
+    return f"sequence(0, greatest(0, cast(ceil((n - period * {phase} / {PHASES}) / period) AS int) - 1))"
+
+
+def chroma_of(pitch: str) -> Column:
+    """Twelve sums of magnitudes, compressed and scaled to sum 1."""
+    e = F.transform(pitch, lambda m: F.log1p(m))
+    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(e, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+
+
+def key_of(energies: str) -> Column:
+    """``struct<tonic, mode, camelot, confidence>``: the best correlated of 24 rotated profiles, the first on ties."""
+    profiles = []
+    for s, t in enumerate(D.TONICS):
+        for mode, profile, codes in (("major", D.MAJOR, D.CAMELOT_MAJOR), ("minor", D.MINOR, D.CAMELOT_MINOR)):
+            w = np.roll(np.array(profile) - np.mean(profile), s)
+            profiles.append(F.struct(F.array(*map(F.lit, (w / np.sqrt((w**2).sum())).tolist())).alias("w"), F.lit(len(profiles)).alias("i"), F.lit(t).alias("tonic"), F.lit(mode).alias("mode"), F.lit(codes[s]).alias("camelot")))
+    e = F.col(energies)
+    mean = F.aggregate(e, F.lit(0.0), lambda s, x: s + x) / 12
+    size = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)))
+    product = lambda w: F.aggregate(F.zip_with(e, w, lambda x, y: (x - mean) * y), F.lit(0.0), lambda s, x: s + x)
+    r = lambda p: F.when(size > 0, X.round_up_half(product(p["w"]) / size, 9)).otherwise(-2.0)
+    best = F.array_max(F.transform(F.array(*profiles), lambda p: F.struct(r(p).alias("r"), (-p["i"]).alias("low"), p["tonic"].alias("tonic"), p["mode"].alias("mode"), p["camelot"].alias("camelot"))))
+    return F.struct(best["tonic"].alias("tonic"), best["mode"].alias("mode"), best["camelot"].alias("camelot"), X.round_up_half(best["r"], 4).alias("confidence"))
+
+
 def feature_job(audio: DataFrame, job: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
     """A caller's own feature function over batches of audio rows (filter ``audio`` first: nothing is pushed below it)."""
 
@@ -135,40 +237,43 @@ def autocorrelation(frames: DataFrame, most_lag: int, column: str = "flux") -> D
     A task has the series of one track at a time; lags are not exploded into rows of frames."""
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        x = part.sort_values("frame_idx")["x"].to_numpy(float)
-        x = x - x.mean()
-        ac = np.array([x[: len(x) - lag] @ x[lag:] for lag in range(min(most_lag + 1, len(x)))])
-        return pd.DataFrame({"track_id": key[0], "lag": np.arange(len(ac)), "ac": ac / ac[0] if ac[0] > 0 else ac})
+        ac = _correlation(part.sort_values("frame_idx")["x"].to_numpy(float), most_lag)
+        return pd.DataFrame({"track_id": key[0], "lag": np.arange(len(ac)), "ac": ac})
 
     return frames.select("track_id", "frame_idx", F.col(column).alias("x")).groupBy("track_id").applyInPandas(run, "track_id string, lag int, ac double")
 
 
-def estimate_tempo(frames: DataFrame, hop_dur: float, low: float = 70.0, high: float = 180.0) -> DataFrame:
+def estimate_tempo(frames: DataFrame, hop_dur: float, low: float = SLOWEST, high: float = FASTEST) -> DataFrame:
     """``track_id, bpm``: the autocorrelation peak in range, compared with its musical multiples by a comb
     under a mild prior around 115 BPM, then refined by a parabola; 120 where the range is empty."""
-    lag_lo, lag_hi = max(1, round(60.0 / high / hop_dur)), round(60.0 / low / hop_dur)
-    most = 4 * 3 * (lag_hi + 1)
+    most = 12 * (round(60.0 / low / hop_dur) + 1)
     ac = autocorrelation(frames, most).groupBy("track_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("lag", "ac"))), lambda s: s["ac"]).alias("ac"))
     n = frames.groupBy("track_id").agg(F.count("*").alias("n"))
-    rows = ac.join(n, "track_id")
-    at = "element_at(ac, cast({} AS int) + 1)"
+    return _with_tempo(ac.join(n, "track_id").withColumn("hop_dur", F.lit(float(hop_dur))), low, high).select("track_id", F.col("tempo").alias("bpm"))
+
+
+def _with_tempo(rows: DataFrame, low: float = SLOWEST, high: float = FASTEST) -> DataFrame:
+    """Adds ``tempo`` to ``rows (ac, n, hop_dur)``; the autocorrelation reaches twelve times the longest lag in range."""
+    names = rows.columns
+    at = "get(ac, cast({} AS int))"
     comb = " + ".join(f"if(rint(c * {k}) < n, coalesce({at.format(f'rint(c * {k})')}, 0.0) / {k}, 0.0)" for k in (1, 2, 3, 4))
+    score = f"({comb}) * (0.6D + 0.4D * exp(-0.5D * pow(log2(60.0D / (c * hop_dur) / 115.0D) / 0.6D, 2)))"
     sql = f"""
     aggregate(
         transform(array(0.5D, 2.0D / 3.0D, 1.0D, 1.5D, 2.0D, 3.0D), m -> m * lag0), struct(cast(lag0 AS double) AS c, -1e9D AS s),
         (best, c) -> CASE
-            WHEN 60.0D / (c * {hop_dur}D) < {low - 1} OR 60.0D / (c * {hop_dur}D) > {high + 1} OR c >= n / 2.0D THEN best
-            WHEN ({comb}) * (0.6D + 0.4D * exp(-0.5D * pow(log2(60.0D / (c * {hop_dur}D) / 115.0D) / 0.6D, 2))) > best.s
-            THEN struct(c AS c, ({comb}) * (0.6D + 0.4D * exp(-0.5D * pow(log2(60.0D / (c * {hop_dur}D) / 115.0D) / 0.6D, 2))) AS s)
+            WHEN 60.0D / (c * hop_dur) < {low - 1} OR 60.0D / (c * hop_dur) > {high + 1} OR c >= n / 2.0D THEN best
+            WHEN {score} > best.s THEN struct(c AS c, {score} AS s)
             ELSE best END
     ).c"""
-    top = F.expr(f"least({lag_hi}, n - 1)").cast("int")
-    rows = rows.withColumn("top", top).withColumn("lags", F.slice("ac", lag_lo + 1, F.greatest(F.col("top") - lag_lo + 1, F.lit(0))))
-    rows = rows.withColumn("lag0", F.array_position("lags", F.array_max("lags")) - 1 + lag_lo).withColumn("lag", F.rint(F.expr(sql)).cast("int"))
+    lag_of = lambda bpm: F.rint(F.lit(60.0 / bpm) / F.col("hop_dur")).cast("int")
+    rows = rows.withColumn("lag_lo", F.greatest(F.lit(1), lag_of(high))).withColumn("top", F.least(lag_of(low), F.col("n") - 1).cast("int"))
+    rows = rows.withColumn("lags", F.slice("ac", F.col("lag_lo") + 1, F.greatest(F.col("top") - F.col("lag_lo") + 1, F.lit(0))))
+    rows = rows.withColumn("lag0", F.array_position("lags", F.array_max("lags")) - 1 + F.col("lag_lo")).withColumn("lag", F.rint(F.expr(sql)).cast("int"))
     a, b, c = (F.expr(at.format(f"lag + {d}")) for d in (-1, 0, 1))
     bend = a - 2 * b + c
     fine = F.when((F.col("lag") >= 1) & (F.col("lag") < F.col("n") - 1) & (F.abs(bend) > 1e-12), F.col("lag") + 0.5 * (a - c) / bend).otherwise(F.col("lag"))
-    return rows.select("track_id", F.when(F.col("top") <= lag_lo, 120.0).otherwise(60.0 / (fine * hop_dur)).alias("bpm"))
+    return rows.select(*names, F.when(F.col("top") <= F.col("lag_lo"), 120.0).otherwise(60.0 / (fine * F.col("hop_dur"))).alias("tempo"))
 
 
 def beat_grid(frames: DataFrame, tempo: DataFrame, hop_dur: float, phases: int = 24) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import functions as X
 from ..functions import dimensions as D
 
 
@@ -112,11 +113,12 @@ def orphan_objects(inventory: DataFrame, tracks: DataFrame, variants: DataFrame)
     return have.join(named, "key", "left_anti").withColumn("problem", F.lit("orphan")).union(named.join(have, "key", "left_anti").withColumn("problem", F.lit("absent")))
 
 
-def publish(spark: SparkSession, seed: DataFrame, audio: DataFrame, path: str, gate: Column | None = None) -> DataFrame:
-    """One batch run over ``seed (id, genre, license, bpm, …)`` and ``audio (track_id, sr, samples, error)``: what is
-    published already is skipped, then licence gate, features and segments of what passes, variant plan, and the
-    tables written below ``path`` (frames and segments in ``analysis``, tracks and variants in ``catalog``, as snapshots).
+def publish(spark: SparkSession, seed: DataFrame, audio: DataFrame, path: str, gate: Column | None = None, frame: int = 2048, hop: int = 512) -> DataFrame:
+    """One batch run over ``seed (id, genre, license, …)`` and ``audio (track_id, sr, samples, error)``: what is
+    published already is skipped, then licence gate, analysis and segments of what passes, variant plan, and the
+    tables written below ``path`` (analysis and segments in ``analysis``, tracks and variants in ``catalog``, as snapshots).
 
+    Tempo, key and length are those of the audio, at its own rate; a ``bpm`` of the seed is not used.
     Returns ``id, outcome``. A track that can't be read gets its error; the run goes on.
     """
     from ..sources import snapshots
@@ -132,22 +134,25 @@ def publish(spark: SparkSession, seed: DataFrame, audio: DataFrame, path: str, g
     wanted = audio.join(mixable.select(F.col("id").alias("track_id")), "track_id", "left_semi")  # before any audio is framed
     analysis = f"{path}/analysis"
     n = max(snapshots.numbers(spark, analysis), default=-1) + 1
-    # audio is decoded and transformed once, here; the rest reads the tables written
-    features.frame_features(wanted, keep_errors=True).write.mode("overwrite").parquet(f"{analysis}/v={n}/frames")
-    rows = spark.read.parquet(f"{analysis}/v={n}/frames")
-    frames = rows.filter("error IS NULL").drop("error")
-    hop = 512 / 22_050
-    snapshots.write_snapshot(spark, analysis, {"segments": segments.segment(frames, hop)}, number=n)
-    lengths = frames.groupBy(F.col("track_id").alias("id")).agg((F.count("*") * hop).alias("duration_s"))
-    ready = mixable.join(lengths, "id").withColumns({"status": F.lit("ready"), "native_bpm": F.col("bpm").cast("double"), "audio_key": F.concat(F.lit("audio/"), "id", F.lit(".m4a"))})
-    plan = tempo.variant_plan(ready)
+    # audio is decoded and transformed once, here; the rest reads the table written
+    features.analyse(features.track_series(wanted, frame, hop)).write.mode("overwrite").parquet(f"{analysis}/v={n}/tracks")
+    rows = spark.read.parquet(f"{analysis}/v={n}/tracks")
+    heard = rows.filter("error IS NULL AND n > 0")
+    cut = None
+    for (rate,) in heard.select("sr").distinct().collect():  # a handful: smoothing widths follow from the rate
+        some = segments.segment(features.frames_of(heard.filter(F.col("sr") == rate)), hop / rate)
+        cut = some if cut is None else cut.union(some)
+    if cut is None:
+        cut = segments.segment(features.frames_of(heard), hop / 22_050)
+    snapshots.write_snapshot(spark, analysis, {"segments": cut}, number=n)
+    found = heard.select(F.col("track_id").alias("id"), F.col("bpm").alias("native_bpm"), "camelot", "duration_s")
+    ready = mixable.drop("native_bpm", "camelot", "duration_s").join(found, "id").withColumns({"status": F.lit("ready"), "audio_key": F.concat(F.lit("audio/"), "id", F.lit(".m4a")), "genre": F.coalesce(X.resolve_band("genre", "native_bpm"), F.lit(""))})
+    plan = tempo.variant_plan(ready.withColumn("genre", F.nullif("genre", F.lit(""))))
     tracks = ready if before is None else merge.upsert_tracks(before[0], ready)
     merge.publish_tracks(tracks, plan if before is None else merge.upsert_variants(before[1], plan), f"{path}/catalog")
-    errors = rows.filter("error IS NOT NULL").select(F.col("track_id").alias("id"), "error")
-    outcome = F.when(F.col("error").isNotNull(), F.concat(F.lit("failed: "), "error")).when(F.col("duration_s").isNull(), "failed: no frames").otherwise("ready")
-    made = mixable.select("id").join(errors, "id", "left").join(lengths, "id", "left").select("id", outcome.alias("outcome"))
+    outcome = F.when(F.col("error").isNotNull(), F.concat(F.lit("failed: "), "error")).when(F.coalesce("n", F.lit(0)) == 0, "failed: no frames").otherwise("ready")
+    made = mixable.select("id").join(rows.select(F.col("track_id").alias("id"), "error", "n"), "id", "left").select("id", outcome.alias("outcome"))
     others = ((skipped, "skipped: published already"), (refused, "refused: no derivatives"), (quarantined, "quarantined: unknown licence"))
     for rows, why in others:
         made = made.union(rows.select("id", F.lit(why)))
     return made
-

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import functions as X
@@ -11,7 +13,7 @@ from ..operators import matching as R
 from ..operators import segments as N
 from ..operators import transitions as T
 from ..sources import adapters as A
-from ..sources.staging import is_staged, stage, staged_tables
+from ..sources.staging import is_staged, shared_dir, stage, staged_tables
 from .registry import query
 from .views import R4
 
@@ -32,6 +34,22 @@ def spectrum(s, d):
     return E.spectra(audio(s, d), 16, 4)
 
 
+def pitch_classes(s, d):
+    """Series of the short signals at a rate at which their bins are audible."""
+    return E.track_series(audio(s, d).withColumn("sr", F.lit(64 * 40)), 16, 4)
+
+
+RATES = [2560, 3840, 5120]
+
+
+def signals(s, d):
+    """Vectors one after another, 64 to a track, at one of three rates."""
+    g = F.floor(F.col("vec_id") / 64).cast("long")
+    own = s.read.parquet(f"{d}/embeddings.parquet").groupBy(g.alias("g")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    rate = F.element_at(F.array(*map(F.lit, RATES)), (F.col("g") % 3 + 1).cast("int"))
+    return own.select(F.col("g").cast("string").alias("track_id"), rate.alias("sr"), F.flatten(F.transform("v", lambda x: x["embedding"])).alias("samples"))
+
+
 def wide(s, d):
     return E.wide_features(A.frames(s, d), A.raw_tracks(s, d), H)
 
@@ -141,8 +159,8 @@ twelve AS (SELECT t.track_id, CAST(p AS INTEGER) AS pc, ln(1 + coalesce(m, 0)) A
 chroma AS (SELECT track_id, pc, {R4('CASE WHEN sum(e) OVER w > 0 THEN e / sum(e) OVER w ELSE 0 END', 5)} AS energy FROM twelve WINDOW w AS (PARTITION BY track_id))
 """
 _profiles = ", ".join(f"({s}, '{m}', {(k + s) % 12}, {p[k]}, '{t}', '{c[s]}')" for s, t in enumerate(D.TONICS) for m, p, c in (("major", D.MAJOR, D.CAMELOT_MAJOR), ("minor", D.MINOR, D.CAMELOT_MINOR)) for k in range(12))
-query("f09_chroma", lambda s, d: r(E.chroma(spectrum(s, d).withColumn("freq", F.col("freq") * 40)), "energy", digits=5), CHROMA + "SELECT * FROM chroma")
-query("f09_key", lambda s, d: E.estimate_key(r(E.chroma(spectrum(s, d).withColumn("freq", F.col("freq") * 40)), "energy", digits=5)), CHROMA + f"""
+query("f09_chroma", lambda s, d: r(pitch_classes(s, d).select("track_id", F.posexplode(E.chroma_of("pitch")).alias("pc", "energy")), "energy", digits=5), CHROMA + "SELECT * FROM chroma")
+query("f09_key", lambda s, d: pitch_classes(s, d).withColumn("e", F.transform(E.chroma_of("pitch"), lambda x: X.round_up_half(x, 5))).select("track_id", E.key_of("e").alias("k")).select("track_id", "k.*"), CHROMA + f"""
 SELECT track_id, tonic, mode, camelot, {R4('r')} AS confidence FROM (
     SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY r DESC, shift, mode) AS n FROM (
         SELECT track_id, shift, mode, tonic, camelot, {R4('coalesce(corr(energy, weight), -2.0)', 9)} AS r FROM chroma JOIN (VALUES {_profiles}) p(shift, mode, pc, weight, tonic, camelot) USING (pc) GROUP BY ALL)) WHERE n = 1
@@ -181,6 +199,62 @@ def _tonics(s, d):
     return A.raw_tracks(s, d).select("id", F.element_at(F.array(*map(F.lit, ["Db", "C", "Eb", "F#", "H", "Bb", "A"])), (k % 7 + 1).cast("int")).alias("tonic"), F.when(k % 2 == 0, "major").otherwise("minor").alias("mode"))
 
 
+# whole analyses
+
+ANALYSIS = f"""
+sig AS (SELECT CAST(g AS VARCHAR) AS track_id, ({RATES})[g % 3 + 1] AS sr, x FROM (SELECT vec_id // 64 AS g, flatten(list(embedding ORDER BY vec_id)) AS x FROM embeddings GROUP BY g)),
+cut AS (SELECT track_id, sr, x[f * 32 + 1:f * 32 + 64] AS x, CAST(f AS INTEGER) AS frame_idx FROM (SELECT *, unnest(range(0, 1 + (len(x) - 64) // 32)) AS f FROM sig WHERE len(x) >= 64)),
+heard AS (SELECT track_id, sr, frame_idx, k, (0.5 - 0.5 * cos(2 * pi() * (k - 1) / 64)) * CAST(x[k] AS DOUBLE) AS v FROM (SELECT *, CAST(unnest(range(1, 65)) AS INTEGER) AS k FROM cut)),
+spec AS (
+    SELECT track_id, sr, frame_idx, CAST(b AS INTEGER) AS bin, sqrt(pow(sum(v * cos(2 * pi() * b * (k - 1) / 64)), 2) + pow(sum(v * sin(2 * pi() * b * (k - 1) / 64)), 2)) / 32.0::DOUBLE AS mag
+    FROM heard, range(33) t(b) GROUP BY ALL),
+onset AS (
+    SELECT track_id, 32.0::DOUBLE / sr AS hop, frame_idx, sum(rise) AS flux
+    FROM (SELECT *, coalesce(greatest(mag - lag(mag) OVER (PARTITION BY track_id, bin ORDER BY frame_idx), 0), 0) AS rise FROM spec) GROUP BY ALL),
+free AS (SELECT *, flux - avg(flux) OVER (PARTITION BY track_id) AS x, count(*) OVER (PARTITION BY track_id) AS n FROM onset),
+products AS (SELECT a.track_id, a.hop, a.n, b.frame_idx - a.frame_idx AS l, sum(a.x * b.x) AS s FROM free a JOIN free b ON b.track_id = a.track_id AND b.frame_idx >= a.frame_idx GROUP BY ALL),
+acs AS (SELECT track_id, hop, n, list(CASE WHEN z > 0 THEN s / z ELSE s END ORDER BY l) AS ac FROM (SELECT *, first_value(s) OVER (PARTITION BY track_id ORDER BY l) AS z FROM products) GROUP BY ALL),
+ranged AS (SELECT *, greatest(1, CAST(round_even(60.0::DOUBLE / 180 / hop, 0) AS INTEGER)) AS lo, least(CAST(round_even(60.0::DOUBLE / 70 / hop, 0) AS INTEGER), n - 1) AS top FROM acs),
+peak AS (SELECT *, list_position(ac[lo + 1:top + 1], list_max(ac[lo + 1:top + 1])) - 1 + lo AS lag0 FROM ranged),
+tried AS (SELECT *, 60.0::DOUBLE / (c * hop) AS b FROM (SELECT *, lag0 * m AS c FROM peak, (VALUES (1, 0.5::DOUBLE), (2, 2.0::DOUBLE / 3.0::DOUBLE), (3, 1.0::DOUBLE), (4, 1.5::DOUBLE), (5, 2.0::DOUBLE), (6, 3.0::DOUBLE)) t(i, m))),
+scored AS (
+    SELECT track_id, i, c, ({' + '.join(f"CASE WHEN round_even(c * {k}, 0) < n THEN coalesce(ac[CAST(round_even(c * {k}, 0) AS INTEGER) + 1], 0) / {k} ELSE 0 END" for k in (1, 2, 3, 4))}) * (0.6 + 0.4 * exp(-0.5 * pow(log2(b / 115.0) / 0.6, 2))) AS s
+    FROM tried WHERE b >= 69 AND b <= 181 AND c < n / 2.0::DOUBLE),
+chosen AS (SELECT p.*, CAST(round_even(coalesce(c, lag0), 0) AS INTEGER) AS lag FROM peak p LEFT JOIN (SELECT track_id, arg_max(c, (s, -i)) AS c FROM scored GROUP BY track_id) USING (track_id)),
+timed AS (
+    SELECT track_id, hop, n, 60.0::DOUBLE / bpm / hop AS p, bpm FROM (
+        SELECT *, CASE WHEN top <= lo THEN 120.0 ELSE 60.0::DOUBLE / ((CASE WHEN lag >= 1 AND lag < n - 1 AND abs(ac[lag] - 2 * ac[lag + 1] + ac[lag + 2]) > 1e-12 THEN lag + 0.5::DOUBLE * (ac[lag] - ac[lag + 2]) / (ac[lag] - 2 * ac[lag + 1] + ac[lag + 2]) ELSE lag END) * hop) END AS bpm FROM chosen)),
+combs AS (SELECT track_id, phase, CAST(floor(p * phase / 24.0::DOUBLE + k * p) AS INTEGER) AS frame_idx FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil((n - p * phase / 24.0::DOUBLE) / p) AS INTEGER)))) AS k FROM (SELECT *, unnest(range(0, 24)) AS phase FROM timed))),
+phased AS (SELECT track_id, arg_max(phase, (s, -phase)) AS phase FROM (SELECT track_id, phase, sum(flux) AS s FROM combs JOIN onset USING (track_id, frame_idx) GROUP BY ALL) GROUP BY track_id),
+folded AS (SELECT track_id, CAST(round_even(69 + 12 * log2(bin * sr / 64.0::DOUBLE / 440.0::DOUBLE), 0) AS INTEGER) % 12 AS pc, sum(mag) AS m FROM spec WHERE bin * sr / 64.0::DOUBLE > 80 AND bin * sr / 64.0::DOUBLE < 2500 GROUP BY ALL),
+twelve AS (SELECT t.track_id, CAST(q AS INTEGER) AS pc, ln(1 + coalesce(m, 0)) AS energy FROM timed t CROSS JOIN range(12) x(q) LEFT JOIN folded f ON f.track_id = t.track_id AND f.pc = q),
+keyed AS (
+    SELECT track_id, tonic, mode, camelot, {R4('r')} AS confidence FROM (
+        SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY r DESC, shift, mode) AS k FROM (
+            SELECT track_id, shift, mode, tonic, camelot, {R4('coalesce(corr(energy, weight), -2.0)', 9)} AS r FROM twelve JOIN (VALUES {_profiles}) p(shift, mode, pc, weight, tonic, camelot) USING (pc) GROUP BY ALL)) WHERE k = 1),
+analysed AS (
+    SELECT track_id, sr, CAST(n AS INTEGER) AS n, len(x) / CAST(sr AS DOUBLE) AS duration_s, {R4('bpm', 2)} AS bpm, CAST(greatest(1, ceil((n - p * phase / 24.0::DOUBLE) / p)) AS INTEGER) AS n_beats, {R4('p * phase / 24.0::DOUBLE * hop', 5)} AS first_beat, tonic, mode, camelot, confidence
+    FROM sig JOIN timed USING (track_id) JOIN phased USING (track_id) JOIN keyed USING (track_id))
+"""
+query("i12_analyse", lambda s, d: E.analyse(E.track_series(signals(s, d), 64, 32)).select("track_id", "sr", "n", "duration_s", "bpm", F.size("beat_grid").alias("n_beats"), F.element_at("beat_grid", 1).alias("first_beat"), "tonic", "mode", "camelot", "confidence"), f"WITH {ANALYSIS} SELECT * FROM analysed")
+query("i12_publish", lambda s, d: _published(s, d), f"""
+WITH {ANALYSIS}, ready AS (SELECT t.id, t.license, coalesce(own.band, derived.band, '') AS genre, a.bpm AS native_bpm, a.camelot, a.duration_s FROM tracks t JOIN analysed a ON a.track_id = t.id LEFT JOIN bands own ON own.band = t.genre LEFT JOIN bands derived ON a.bpm >= derived.lo - 0.5 AND a.bpm < derived.hi + 0.5 WHERE t.mixable)
+SELECT id, license, genre, native_bpm, camelot, duration_s, 'ready' AS status, (SELECT count(*) FROM points g WHERE g.band = r.genre AND abs(g.g / r.native_bpm - 1) <= {D.MOST_STRETCH}) AS n_variants FROM ready r
+""")
+
+
+def _published(s, d):
+    """The tables that one batch run makes of all tracks and the signals there are."""
+    from ..operators import ingest, merge
+
+    path = f"{shared_dir(s)}/publish-{uuid.uuid4().hex}"
+    seed = A.raw_tracks(s, d).select("id", "name", "artist", "genre", "license")
+    ingest.publish(s, seed, signals(s, d).withColumn("error", F.lit(None).cast("string")), path, frame=64, hop=32)
+    tracks, variants = merge.read_published(s, f"{path}/catalog")
+    n = variants.groupBy(F.col("track_id").alias("id")).agg(F.count("*").alias("n_variants"))
+    return tracks.join(n, "id", "left").select("id", "license", "genre", "native_bpm", "camelot", "duration_s", "status", F.coalesce("n_variants", F.lit(0)).cast("long").alias("n_variants"))
+
+
 # segmentation
 
 query("n01_moving_average", lambda s, d: r(A.frames(s, d).select("track_id", "frame_idx", N.moving_average("rms", 5).alias("mean")), "mean"), f"SELECT track_id, frame_idx, {R4('sum(rms) OVER (PARTITION BY track_id ORDER BY frame_idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) / 5', 6)} AS mean FROM frames")

@@ -312,6 +312,47 @@ def test_readers(spark, tmp_path):
         S.with_object_keys(spark.createDataFrame([("1",)], "id string"), "flac")
 
 
+def clicks(bpm, sr, seconds, tonic=880.0):
+    """A pulse at a tempo over a chord: what an analysis should hear."""
+    t = np.arange(int(sr * seconds)) / sr
+    chord = sum(np.sin(2 * np.pi * tonic * 2 ** (k / 12) * t) for k in (0, 4, 7)) / 3
+    return chord * (0.1 + 0.6 * np.exp(-((t * bpm / 60) % 1) * 12))
+
+
+@pytest.mark.parametrize("sr", [22_050, 44_100, 48_000])
+def test_analysis_hears_rate_tempo_key_and_beats(spark, tmp_path, sr):
+    for bpm in (100, 124):
+        write_wav(tmp_path / f"{bpm}.wav", clicks(bpm, sr, 12.0), sr)
+    write_wav(tmp_path / "short.wav", np.zeros(100), sr)
+    (tmp_path / "bad.wav").write_bytes(b"junk")
+    got = {r["track_id"]: r for r in features.analyse(features.track_series(S.read_wav(spark, str(tmp_path / "*.wav")))).collect()}
+    for bpm in (100, 124):
+        row = got[str(bpm)]
+        assert row["duration_s"] == 12.0 and row["hop_dur"] == 512 / sr and abs(row["bpm"] - bpm) < 1 and row["camelot"] in ("11B", "8A")
+        assert row["n"] == 1 + (12 * sr - 2048) // 512 == len(row["rms"]) and np.abs(np.diff(row["beat_grid"]) - 60 / bpm).max() < 0.01
+        late = (np.array(row["beat_grid"]) * bpm / 60 + 0.5) % 1 - 0.5  # in beats, from the pulse
+        assert np.abs(late).max() < 0.25
+    assert got["short"]["n"] == 0 and got["short"]["bpm"] == 120 and got["short"]["beat_grid"] == []
+    assert got["bad"]["error"] and got["bad"]["bpm"] is None
+
+
+def test_fused_series_equal_the_long_forms(spark):
+    rng = np.random.default_rng(2)
+    audio = spark.createDataFrame([("a", 2000, rng.normal(size=3000).tolist()), ("b", 4000, rng.normal(size=700).tolist())], "track_id string, sr int, samples array<double>")
+    series = features.track_series(audio, 64, 16)
+    order = lambda df: [tuple(r) for r in df.orderBy("track_id", "frame_idx").collect()]
+    for x, y in zip(order(features.frames_of(series)), order(features.frame_features(audio, 64, 16)), strict=True):
+        assert x[:2] == y[:2] and np.allclose(x[2:], y[2:])
+    keys = lambda df: {r["track_id"]: (r["tonic"], r["mode"], round(r["confidence"], 3)) for r in df.collect()}
+    assert keys(features.analyse(series)) == keys(features.estimate_key(features.chroma(features.spectra(audio, 64, 16))))
+    for hop in {r["hop_dur"] for r in series.select("hop_dur").collect()}:
+        own = series.filter(F.col("hop_dur") == hop)
+        tempo_ = features.estimate_tempo(features.frames_of(own), hop)
+        assert tempo_.first()["bpm"] == pytest.approx(features.analyse(own).first()["bpm"], abs=0.006)
+        beats = features.beat_grid(features.frames_of(own), tempo_, hop).first()["beats"]
+        assert np.allclose(beats, features.analyse(own).first()["beat_grid"], atol=2e-5)
+
+
 def test_publish(spark, tmp_path):
     (tmp_path / "in").mkdir()
     tone = lambda f, n: (np.sin(2 * np.pi * f * np.arange(n) / 22_050) * 0.4)
@@ -323,7 +364,9 @@ def test_publish(spark, tmp_path):
     got = {r["id"]: r["outcome"].split(":")[0] for r in out.collect()}
     assert got == {"1": "ready", "2": "refused", "3": "failed", "4": "quarantined"}
     tracks, variants = merge.read_published(spark, str(tmp_path / "out" / "catalog"))
-    assert {r["grid_bpm"] for r in variants.collect()} == {120, 125} and [r["id"] for r in tracks.collect()] == ["1"]
+    (row,) = tracks.collect()
+    assert row["id"] == "1" and row["duration_s"] == 120_000 / 22_050 and 69 < row["native_bpm"] < 181 and row["camelot"] in D.CAMELOT_MAJOR + D.CAMELOT_MINOR
+    assert {r["grid_bpm"] for r in variants.collect()} == {g for g in D.grid_of(*D.BANDS["house"]) if abs(g / row["native_bpm"] - 1) <= D.MOST_STRETCH}
     # a second run adds what is new and leaves what is there
     more = seed.union(spark.createDataFrame([("5", "house", "CC BY 3.0", 120.0)], seed.schema))
     write_wav(tmp_path / "in" / "5.wav", tone(220, 40_000))
