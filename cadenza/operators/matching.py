@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
 from ..functions import dimensions as D
+from ..sources.staging import stage
 
 #: Rows of a band that one task pairs with as many others.
 BLOCK_ROWS = 1024
@@ -56,8 +57,8 @@ def _ready_to_pair(scalars: DataFrame) -> DataFrame:
 def candidate_pairs(scalars: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
     """Ordered pairs of different tracks that share a tempo, columns ``a_…`` and ``b_…``.
 
-    Grid points of different bands differ, so sharing one implies the same band: an
-    equi-join on band finds each pair once. A band's rows are dealt into blocks by its counts on either
+    For callers who want every pair; :func:`recommend` scores far fewer. Grid points of different
+    bands differ, so sharing one implies the same band: an equi-join on band finds each pair once. A band's rows are dealt into blocks by its counts on either
     side, and a task pairs two blocks; a bit test tells whether two grids meet.
     """
     rows = _ready_to_pair(scalars)
@@ -69,7 +70,8 @@ def candidate_pairs(scalars: DataFrame, anchors: DataFrame | None = None) -> Dat
     a = dealt(a_side, "a").withColumn("i", F.expr("cast(pmod(xxhash64(a_id), a_blocks) AS int)")).withColumn("j", every("b_blocks")).drop("a_blocks", "b_blocks")
     b = dealt(rows, "b").withColumn("j", F.expr("cast(pmod(xxhash64(b_id), b_blocks) AS int)")).withColumn("i", every("a_blocks")).drop("a_blocks", "b_blocks")
     shares = a["a_mask"].bitwiseAND(b["b_mask"]) != 0
-    return a.join(b, (a["a_band"] == b["b_band"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & shares & (a["a_id"] != b["b_id"])).drop("i", "j")
+    # merged on purpose: Spark sizes a side by its rows before they are dealt to blocks, so it would broadcast what may be very large
+    return a.join(b.hint("merge"), (a["a_band"] == b["b_band"]) & (a["i"] == b["i"]) & (a["j"] == b["j"]) & shares & (a["a_id"] != b["b_id"])).drop("i", "j")
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
@@ -110,16 +112,102 @@ def pairs_of(edges: DataFrame, scalars: DataFrame) -> DataFrame:
     return edges.join(a, "a_id").join(b, "b_id").filter((F.col("a_band") == F.col("b_band")) & (F.col("a_mask").bitwiseAND(F.col("b_mask")) != 0))
 
 
-def recommend(scalars: DataFrame, anchors: DataFrame | None = None, k: int = D.TOP, cutoff: float = D.CUTOFF) -> DataFrame:
+def recommend(scalars: DataFrame, anchors: DataFrame | None = None, k: int = D.TOP, cutoff: float = D.CUTOFF, seen: Seen = None) -> DataFrame:
     """The ``k`` best matches (all, if ``k`` is not positive) of every track, or of ``anchors (id)``, with ``rank``.
 
-    Ranks are by rounded score, ties by id as text. Pairs below the cutoff rank last, so they go
-    after ranking: as a filter of pairs their whole score would move into the condition of the join.
+    Ranks are by rounded score, ties by id as text; pairs below the cutoff have none. ``seen`` gets
+    the observations that count the scored pairs (``n``) once the result has been computed.
     """
+    if k and k > 0:
+        return _named(_search(scalars, anchors, k, cutoff, seen))
     scored = _narrow(_scored(candidate_pairs(scalars, anchors)))
-    rank = F.row_number().over(Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id"))
-    ranked = scored.withColumn("rank", rank)
-    return _named((ranked.filter(F.col("rank") <= k) if k and k > 0 else ranked).filter(F.col("score") >= cutoff))
+    return _named(scored.withColumn("rank", F.row_number().over(_best_first())).filter(F.col("score") >= cutoff))
+
+
+Seen = list[Observation] | None
+#: Rows aimed at in a cell, and at most; cells of a band on a side at most; parts of a band's tempos.
+CELL_ROWS, MOST_ROWS, MOST_CELLS, TEMPO_PARTS, QUANTILES = 12, 512, 4096, 4, 64
+#: Rounding of a bound can't fall below that of a score it bounds.
+SLACK = 1e-9
+
+
+def _best_first() -> Window:
+    return Window.partitionBy("a_id").orderBy(F.desc("score"), "b_id")
+
+
+def _with_cells(rows: DataFrame) -> DataFrame:
+    """Rows with ``a_cell`` and ``b_cell``: tracks of a band with one key, like tempos and like loudness where they end, or begin.
+
+    The number of loudness parts follows from the band's tracks; a cell of very many tracks is
+    split by id, so that no row of a later join meets an unbounded group."""
+    fractions = F.array(*(F.lit(i / QUANTILES) for i in range(1, QUANTILES)))
+    parts = F.least(F.lit(MOST_CELLS // (24 * TEMPO_PARTS)), F.ceil(F.count("*") / (24 * TEMPO_PARTS * CELL_ROWS)))
+    bands = rows.groupBy("band").agg(parts.cast("int").alias("parts"), *(F.percentile_approx(f"{x}_rms", fractions, 1000).alias(f"{x}_q") for x in ("intro", "outro")))  # a row per band
+    low = X.choose(F.col("band"), {n: float(lo) for n, (lo, _) in D.BANDS.items()}, 0.0)
+    width = X.choose(F.col("band"), {n: float(hi - lo) for n, (lo, hi) in D.BANDS.items()}, 1.0)
+    part = F.greatest(F.lit(0), F.least(F.lit(TEMPO_PARTS - 1), F.floor((F.col("bpm") - low) / width * TEMPO_PARTS))).cast("int")
+    key = F.col("key_number") * 2 + F.when(F.col("key_mode") == "A", 0).otherwise(1)
+    rows = rows.join(bands, "band")
+    for side, x in (("a_cell", "outro"), ("b_cell", "intro")):
+        below = F.expr(f"filter({x}_q, q -> q < {x}_rms)")
+        loud = F.floor(F.size(below) * F.col("parts") / QUANTILES)
+        rows = rows.withColumn(side, ((key * TEMPO_PARTS + part) * QUANTILES + loud).cast("long"))
+    rows = rows.drop("parts", "intro_q", "outro_q")
+    for side in ("a_cell", "b_cell"):
+        sizes = rows.groupBy("band", side).agg(F.ceil(F.count("*") / MOST_ROWS).alias("split"))
+        rows = rows.join(sizes, ["band", side]).withColumn(side, F.col(side) * 1_000_000 + F.pmod(F.xxhash64("id"), F.col("split"))).drop("split")
+    return rows
+
+
+def _cells(rows: DataFrame, side: str, energy: str) -> DataFrame:
+    """What bounds the scores of a cell: its key, all grid points, the least penalty at each, and the loudness it spans."""
+    least = [F.min(F.when(F.col("mask").bitwiseAND(F.lit(1 << j)) != 0, F.get("pen", F.lit(j)))) for j in range(SLOTS)]
+    x = side[0]
+    return rows.groupBy(F.col("band").alias(f"{x}_band"), side).agg(
+        F.first("key_number").alias(f"{x}_key_number"), F.first("key_mode").alias(f"{x}_key_mode"), F.bit_or("mask").alias(f"{x}_mask"), F.array(*least).alias(f"{x}_pen"), F.min(energy).alias(f"{x}_low"), F.max(energy).alias(f"{x}_high"), F.count("*").alias(f"{x}_rows")
+    )
+
+
+def _bound() -> Column:
+    """No pair of side ``a`` (a cell, or one track with ``a_low`` = ``a_high``) and a cell ``b`` scores more."""
+    pen = lambda x, j: F.get(f"{x}_pen", F.lit(j))
+    both = F.col("a_mask").bitwiseAND(F.col("b_mask"))
+    bpm = F.greatest(*(F.when(both.bitwiseAND(F.lit(1 << j)) != 0, 1.0 - D.BPM_PENALTY * (0.5 * (pen("a", j) + pen("b", j)))) for j in range(SLOTS)))
+    key = X.wheel_score(F.col("a_key_number"), F.col("a_key_mode"), F.col("b_key_number"), F.col("b_key_mode"))
+    apart = F.when(F.col("a_high") < F.col("b_low"), X.energy_continuity("a_high", "b_low")).when(F.col("b_high") < F.col("a_low"), X.energy_continuity("a_low", "b_high")).otherwise(1.0)
+    return X.round_up_half(D.W_BPM * bpm + D.W_KEY * key + D.W_ENERGY * apart + SLACK, 4)
+
+
+def _search(scalars: DataFrame, anchors: DataFrame | None, k: int, cutoff: float, seen: Seen) -> DataFrame:
+    """Best-first over cells. Every cell of anchors scores the cells with the highest bounds first, until these
+    hold twice the tracks that are wanted; the ``k``-th score found is each anchor's threshold. Of the other
+    cells, an anchor scores those whose bound, with its own values, still reaches it."""
+    rows = _ready_to_pair(scalars).drop("slots", "grid").filter("camelot IS NOT NULL AND bpm IS NOT NULL AND intro_rms IS NOT NULL AND outro_rms IS NOT NULL")
+    rows = stage(_with_cells(rows), "cells")
+    from_side = rows if anchors is None else rows.join(anchors.select("id"), "id", "left_semi")
+    a = from_side.select(*(F.col(c).alias(f"a_{c}") for c in ("id", "band", "mask", "pen", "key_number", "key_mode", "outro_rms")), "a_cell")
+    b = rows.select(*(F.col(c).alias(f"b_{c}") for c in ("id", "band", "mask", "pen", "key_number", "key_mode", "intro_rms")), "b_cell")
+    b_cells = _cells(rows, "b_cell", "intro_rms")
+    meet = lambda x: (F.col("a_band") == F.col("b_band")) & (F.col("a_mask").bitwiseAND(F.col("b_mask")) != 0) & x
+    pairs = _cells(from_side, "a_cell", "outro_rms").join(b_cells, meet(F.lit(True))).withColumn("bound", _bound()).filter(F.col("bound") >= cutoff)
+    before = F.sum("b_rows").over(Window.partitionBy("a_band", "a_cell").orderBy(F.desc("bound"), "b_cell").rowsBetween(Window.unboundedPreceding, -1))
+    pairs = stage(pairs.withColumn("near", F.coalesce(before, F.lit(0)) < 2 * k).select("a_band", "a_cell", "b_cell", "bound", "near"), "cell-pairs")
+
+    def scored(of: DataFrame) -> DataFrame:
+        found = of.join(b, ["b_cell"]).filter(meet(F.col("a_id") != F.col("b_id")))
+        if seen is not None:
+            seen.append(Observation())
+            found = found.observe(seen[-1], F.count("*").alias("n"))
+        return _narrow(_scored(found)).filter(F.col("score") >= cutoff)
+
+    best = lambda df: df.withColumn("rank", F.row_number().over(_best_first())).filter(F.col("rank") <= k)
+    first = stage(best(scored(a.join(pairs.filter("near").select("a_band", "a_cell", "b_cell"), ["a_band", "a_cell"]))).drop("rank"), "first-matches")
+    reached = first.groupBy("a_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(cutoff).alias("least"))
+    a = stage(a.join(reached, "a_id", "left").withColumn("least", F.coalesce("least", F.lit(cutoff))), "thresholds")
+    lowest = a.groupBy("a_band", "a_cell").agg(F.min("least").alias("lowest"))
+    others = pairs.filter("NOT near").join(lowest, ["a_band", "a_cell"]).filter("bound >= lowest").select("a_band", "a_cell", "b_cell")
+    asks = a.withColumns({"a_low": F.col("a_outro_rms"), "a_high": F.col("a_outro_rms")}).join(others, ["a_band", "a_cell"]).join(b_cells, "b_cell").filter(meet(_bound() >= F.col("least")))
+    return best(first.unionByName(scored(asks.select(*(c for c in a.columns if c != "least"), "b_cell"))))
 
 
 def recommend_enriched(recs: DataFrame, listing: DataFrame, envelopes: DataFrame) -> DataFrame:
@@ -130,9 +218,12 @@ def recommend_enriched(recs: DataFrame, listing: DataFrame, envelopes: DataFrame
 
 
 def compatible_counts(tracks: DataFrame, variants: DataFrame) -> DataFrame:
-    """``band, id, partners``: mixable tracks that share a tempo with each."""
-    pairs = candidate_pairs(_scalars(tracks, variants))
-    return pairs.groupBy(F.col("a_band").alias("band"), F.col("a_id").alias("id")).agg(F.count("*").alias("partners"))
+    """``band, id, partners``: mixable tracks that share a tempo with each, from counts per set of grid points alone."""
+    rows = _ready_to_pair(_scalars(tracks, variants)).select("band", "id", "mask")
+    sets = rows.groupBy("band", "mask").agg(F.count("*").alias("n"))  # no more rows of a band than sets of its grid points
+    met = sets.alias("x").join(sets.alias("y"), (F.col("x.band") == F.col("y.band")) & (F.col("x.mask").bitwiseAND(F.col("y.mask")) != 0))
+    met = met.groupBy("x.band", "x.mask").agg((F.sum("y.n") - 1).alias("partners"))
+    return rows.join(met, ["band", "mask"]).filter("partners > 0").select("band", "id", "partners")
 
 
 def scale_scores(df: DataFrame, partition: list[str], low: float = 10.0, high: float = 26.0, score: str = "score") -> DataFrame:
