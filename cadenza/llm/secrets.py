@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,7 @@ KINDS = ("assign", "access", "hex", "owned")
 #: Dots inside belong to a candidate (header.payload.signature); dots around it, and marks after these, are punctuation.
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_=.-]{20})[A-Za-z0-9+/_=-]+(?:\.+[+/_=-]*[A-Za-z0-9][A-Za-z0-9+/_=-]*)*")
 LEAST_CANDIDATE = 20
-#: A live-looking string: characters of three classes (two for the first 40 or more), and bits per character at least so.
+#: A live-looking string: a digit and a letter, and bits per character at least so.
 LEAST_ENTROPY = 3.5
 #: At most so many owners and repositories hold an owner-specific string.
 MOST_OWNERS, MOST_REPOSITORIES = 1, 3
@@ -60,8 +62,10 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 def other_candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Random-looking strings that no pattern span touches."""
-    found = [(3, *m.span(), m[0]) for m in CANDIDATE.finditer(text) if m.end() - m.start() >= LEAST_CANDIDATE and looks_random(m[0])]
-    return [c for c in found if all(c[2] <= s[1] or c[1] >= s[2] for s in taken)]
+    starts = [s[1] for s in taken]
+    ends = [0, *accumulate((s[2] for s in taken), max)]  # of the spans before each, the furthest end
+    free = lambda a, b: ends[bisect_left(starts, b)] <= a
+    return [(3, *m.span(), m[0]) for m in CANDIDATE.finditer(text) if m.end() - m.start() >= LEAST_CANDIDATE and free(*m.span()) and looks_random(m[0])]
 
 
 def digest(value: str) -> bytes:
@@ -118,8 +122,7 @@ def find_secrets(docs: DataFrame, owner: Column, repository: Column) -> DataFram
     live = (F.col("n_owners") <= MOST_OWNERS) & (F.col("n_repositories") <= MOST_REPOSITORIES)
     judged = (
         each.select("doc_id", "row_key", "span", F.col("span.hash").alias("hash"))
-        .join(often.select("hash", live.alias("live")), "hash")
-        .filter("live")
+        .join(often.filter(live).select("hash"), "hash")  # what many hold never meets the join
         .groupBy("doc_id", "row_key")
         .agg(F.collect_set(F.struct("span.start", "span.kind")).alias("live"))
         .withColumnsRenamed({"doc_id": "__id", "row_key": "__key"})
