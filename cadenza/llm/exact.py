@@ -62,8 +62,21 @@ def _digests(column: pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32)
 
 
-def _key(digests: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(digests[:, 8:16]).view(np.uint64).ravel() ^ mix(np.ascontiguousarray(digests[:, 16:24]).view(np.uint64).ravel())
+def _key(digests: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits of each digest; another choice of them for each seed."""
+    words = np.ascontiguousarray(digests).view(np.uint64)
+    out = np.full(len(words), seed, np.uint64)
+    for k in (1, 2, 3):
+        out = mix(out ^ words[:, k] + ODD)
+    return out
+
+
+def _table(digests: np.ndarray) -> tuple[PerfectHash, int]:
+    """A perfect hash of different digests, and the seed of their keys: the first for which no two keys are equal."""
+    seed = 0
+    while len(np.unique(_key(digests, seed))) < len(digests):
+        seed += 1
+    return PerfectHash(_key(digests, seed)), seed
 
 
 def _lookup(history: pa.Table, new: pa.Table) -> pa.Table:
@@ -73,12 +86,12 @@ def _lookup(history: pa.Table, new: pa.Table) -> pa.Table:
     member = np.zeros(new.num_rows, bool)
     if history.num_rows:
         known = _digests(history["digest"])
-        table = PerfectHash(_key(known))
-        place = table.slot(_key(known))
+        table, seed = _table(known)
+        place = table.slot(_key(known, seed))
         slots, locators, sizes = np.empty_like(known), np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
         slots[place], locators[place], sizes[place] = known, history["winner"].to_numpy(), history["n"].to_numpy()
         asked = _digests(new["digest"])
-        at = table.slot(_key(asked))
+        at = table.slot(_key(asked, seed))
         member = (at >= 0) & (slots[at] == asked).all(axis=1)
         winner, earlier = locators[at], sizes[at]
     return pa.table({"digest": new["digest"].cast(pa.binary()), "winner": pa.array(winner, mask=~member), "earlier": pa.array(np.where(member, earlier, 0))})
