@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.staging import stage
 from .textarrays import BASE, Words, chunks, mix, sums
 
 ROWS, DIM, GRAMS = 1 << 17, 8, (3, 4, 5)
@@ -122,7 +123,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAMPLE_ROWS) -> Model:
-    """Fit on labelled rows outside the held-out fold: of each class the ``sample_rows`` with the smallest hashed ids.
+    """Fit on labelled rows of ``docs`` outside the held-out fold: of each class the ``sample_rows`` with the smallest hashed ids.
 
     The sample is all that reaches the driver: at most ``sum(sample_rows)`` texts of at most
     ``SAMPLE_BYTES`` each. Without labelled rows, or with one class only, the model scores
@@ -133,8 +134,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: tuple[int, int] = SAM
     """
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = (F.xxhash64("doc_id", F.lit(SEED)), F.col("doc_id"))
-    picked = known.filter("toxic = 1").orderBy(*order).limit(sample_rows[0]).union(known.filter("toxic = 0").orderBy(*order).limit(sample_rows[1]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
+    known = stage(texts.select("doc_id").distinct().join(known, "doc_id"), "labelled")  # what can be trained on, before the sample is taken
+    picked = known.filter("toxic = 1").orderBy(*order).limit(sample_rows[0]).union(known.filter("toxic = 0").orderBy(*order).limit(sample_rows[1]))
     # the picked ids are no more than the sample
     rows = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id").collect()
     return fit([r["text"] for r in rows], np.array([r["toxic"] for r in rows], int))

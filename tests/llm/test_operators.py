@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -50,6 +51,19 @@ def test_words_split_hash_and_slices():
 # 1
 
 
+def test_candidates_between_very_many_spans():
+    rng = np.random.default_rng(8)
+    hex_, base = (lambda n: "".join(rng.choice(list("0123456789abcdef"), n))), (lambda n: "".join(rng.choice(list("ABCxyz0123456789+/"), n)))
+    text = "\n".join(f"{hex_(32)} {base(24)}-{hex_(20)}" if i % 3 else base(40) for i in range(9000))
+    taken = secrets.base_spans(text)
+    began = time.time()
+    found = secrets.other_candidates(text, taken)
+    assert time.time() - began < 5  # no comparison of every candidate with every span
+    assert len(found) > 2000 and all(text[a:b] == v for _, a, b, v in found)
+    some = taken[:400]
+    assert secrets.other_candidates(text[:9000], some) == [c for c in secrets.other_candidates(text[:9000], []) if all(c[2] <= s[1] or c[1] >= s[2] for s in some)]
+
+
 def brute_secrets(rows):
     def key(x):
         return "|".join(x)
@@ -591,6 +605,19 @@ def test_perfect_hash_is_minimal_and_rejects_others():
         exact.PerfectHash(np.array([5, 5], np.uint64))
 
 
+def test_digests_whose_keys_collide_get_another_seed(monkeypatch):
+    rng = np.random.default_rng(4)
+    digests = rng.integers(0, 256, (300, 32), dtype=np.uint8)
+    key = exact._key
+    monkeypatch.setattr(exact, "_key", lambda d, seed=0: key(d, seed) if seed > 1 else key(d, seed) % np.uint64(50))
+    table, seed = exact._table(digests)
+    assert seed == 2 and sorted(table.slot(exact._key(digests, seed)).tolist()) == list(range(300))
+    column = lambda d: pa.chunked_array([pa.array([x.tobytes() for x in d], pa.binary())])
+    history = pa.table({"digest": column(digests[:200]), "winner": pa.array(range(200), pa.int64()), "n": pa.array([1] * 200, pa.int64())})
+    got = exact._lookup(history, pa.table({"digest": column(digests[100:])}))
+    assert got["winner"].to_pylist() == [*range(100, 200), *[None] * 100]
+
+
 # 8
 
 
@@ -805,6 +832,15 @@ def test_toxicity_sample_is_bounded_and_the_same_each_time(spark, monkeypatch):
     assert all(zlib.crc32(t.split()[1].encode()) % 5 for t in texts)
 
 
+def test_toxicity_sample_is_taken_of_what_can_be_trained_on(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.append((texts, labels.tolist())))
+    docs = spark.createDataFrame([(i, f"text {i}" if i % 2 else "long " * 9000) for i in range(0, 20_000, 100)] + [(i, f"text {i}") for i in range(50, 20_000, 100)], "doc_id long, text string")
+    toxicity.train(docs, spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(20_000)], "doc_id long, toxic int"), (30, 60))
+    texts, wanted = seen[0]
+    assert len(texts) == 90 and sum(wanted) == 30 and max(map(len, texts)) < 20  # labels without a document, or of a long one, take no place
+
+
 def test_toxicity_without_labels(spark, edge):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(edge, none)
