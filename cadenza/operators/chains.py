@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as X
+from ..sources.staging import stage
+from .joins import nearest, overlapping
 
 MOST_NODES, RADIUS_S, OVERLAP_S, SLACK = 100, 1.25, 16.0, 1e-6
 
@@ -14,13 +16,34 @@ def by_position() -> Window:
     return Window.partitionBy("mix_id").orderBy("pos")
 
 
-def order_chains(mixes: DataFrame, mix_tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: Chains of more nodes are ranked by pointer doubling.
+LONG = 1000
+
+
+def order_chains(mixes: DataFrame, mix_tracks: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame]:
     """(ordered nodes with ``pos`` from 0, problems ``mix_id, problem``).
 
-    The nodes of a mix become one map; a fold follows ``next_id`` from the head and stops at
-    the end, at a node seen before (cycle) or at a name that no node has (dangling). Nodes
-    that it missed are unreachable. A mix with a problem has no ordered nodes.
+    From the head, ``next_id`` leads to the end, to a node seen before (cycle) or to a name
+    that no node has (dangling). Nodes that were missed are unreachable. A mix with a problem
+    has no ordered nodes. Mixes of up to ``long`` nodes are followed by a fold over one map,
+    longer ones by pointer doubling, which keeps no mix in one task.
     """
+    sizes = mix_tracks.groupBy("mix_id").agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    if most <= long:
+        places, problems = _follow(mixes, mix_tracks)
+    else:
+        sizes = stage(sizes.filter(F.col("n") > long), "long-mixes")
+        is_long, heads = sizes.select("mix_id"), mixes.select(F.col("id").alias("mix_id"), "head_id")
+        short_mixes = mixes.join(is_long.withColumnRenamed("mix_id", "id"), "id", "left_anti")
+        places, problems = _follow(short_mixes, mix_tracks.join(is_long, "mix_id", "left_anti"))
+        more, bad = _double(heads.join(sizes, "mix_id"), mix_tracks.join(is_long, "mix_id", "left_semi"), most)
+        places, problems = places.unionByName(more), problems.unionByName(bad)
+    return places.join(mix_tracks.drop("next_id"), ["mix_id", "id"]), problems
+
+
+def _follow(mixes: DataFrame, mix_tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``mix_id, pos, id``, problems) by a fold over the map of each mix."""
     links = mix_tracks.groupBy("mix_id").agg(F.map_from_entries(F.collect_list(F.struct("id", F.coalesce("next_id", F.lit("")).alias("next")))).alias("links"))
     start = mixes.select(F.col("id").alias("mix_id"), "head_id").join(links, "mix_id", "left").withColumn("links", F.coalesce("links", F.expr("cast(map() AS map<string,string>)")))
     walk = F.expr(
@@ -33,8 +56,33 @@ def order_chains(mixes: DataFrame, mix_tracks: DataFrame) -> tuple[DataFrame, Da
     )
     walked = start.withColumn("w", walk).withColumn("problem", F.coalesce("w.problem", F.when(F.size("w.path") < F.size("links"), "unreachable")))
     problems = walked.filter("problem IS NOT NULL").select("mix_id", "problem")
-    places = walked.filter("problem IS NULL").select("mix_id", F.posexplode("w.path").alias("pos", "id"))
-    return places.join(mix_tracks.drop("next_id"), ["mix_id", "id"]), problems
+    return walked.filter("problem IS NULL").select("mix_id", F.posexplode("w.path").alias("pos", "id")), problems
+
+
+def _double(mixes: DataFrame, nodes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(``mix_id, pos, id``, problems) of ``mixes (mix_id, head_id, n)`` by list ranking.
+
+    Every node knows how many nodes it is to where its pointer leads; each round, pointers
+    take over the pointers of where they lead. Open pointers are joined on (mix, node), so a
+    mix spreads over all tasks. What is open after as many rounds as double past the longest
+    mix leads round in a cycle. From the head, the rank from the end tells positions."""
+    known = nodes.select("mix_id", F.col("id").alias("next_id"), F.lit(True).alias("there"))
+    last = F.coalesce("next_id", F.lit("")) == ""
+    state = nodes.select("mix_id", "id", "next_id").join(known, ["mix_id", "next_id"], "left")
+    state = state.select("mix_id", "id", F.when(F.col("there"), F.col("next_id")).alias("to"), F.lit(1).cast("long").alias("rank"), F.when(last, "end").when(F.col("there").isNull(), "dangling").alias("ends"))
+    state = stage(state, "ranks")
+    for _ in range(most.bit_length()):
+        if state.filter("to IS NOT NULL").isEmpty():
+            break
+        ahead = state.select("mix_id", F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("rank").alias("further"), F.col("ends").alias("then"))
+        moved = state.filter("to IS NOT NULL").join(ahead, ["mix_id", "to"]).select("mix_id", "id", F.col("beyond").alias("to"), (F.col("rank") + F.col("further")).alias("rank"), F.col("then").alias("ends"))
+        state = stage(state.filter("to IS NULL").unionByName(moved), "ranks")
+    heads = mixes.join(state.select("mix_id", F.col("id").alias("head_id"), F.col("rank").alias("length"), F.coalesce("ends", F.lit("cycle")).alias("ends")), ["mix_id", "head_id"], "left")
+    none = F.coalesce("head_id", F.lit("")) == ""
+    problem = F.when(none, "unreachable").when(F.col("ends").isNull(), "dangling").when(F.col("ends") != "end", F.col("ends")).when(F.col("length") < F.col("n"), "unreachable")
+    heads = stage(heads.withColumn("problem", problem), "heads")
+    places = state.join(heads.filter("problem IS NULL").select("mix_id", "length"), "mix_id").select("mix_id", (F.col("length") - F.col("rank")).cast("int").alias("pos"), "id")
+    return places, heads.filter("problem IS NOT NULL").select("mix_id", "problem")
 
 
 def flatten_chains(ordered: DataFrame, variants: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -143,9 +191,12 @@ def gain_curves(zones: DataFrame, points: int = 256) -> DataFrame:
     return rows.select("mix_id", "pos", "k", "t", X.gain_at(F.col("t"), F.col("in_start"), F.col("in_end"), F.col("out_start"), F.col("out_end")).alias("gain"))
 
 
-def active_nodes(entries: DataFrame, t0: float, t1: float) -> DataFrame:
-    """Nodes that sound between the two times."""
-    return entries.filter((F.col("offset_s") <= t1) & (end() > t0))
+def active_nodes(entries: DataFrame, probes: DataFrame, width: float = 120.0) -> DataFrame:
+    """``probe, mix_id, pos, id``: nodes that sound between the times of ``probes (probe, mix_id, t0, t1)``."""
+    nodes = entries.select("mix_id", "pos", "id", "offset_s", end().alias("end_s"))
+    asked = probes.select("probe", "mix_id", F.least("t0", "t1").alias("t_from"), F.greatest("t0", "t1").alias("t_to"), "t0", "t1")
+    rows = overlapping(nodes, asked, ["mix_id"], ("offset_s", "end_s"), ("t_from", "t_to"), width)
+    return rows.filter((F.col("offset_s") <= F.col("t1")) & (F.col("end_s") > F.col("t0"))).select("probe", "mix_id", "pos", "id")
 
 
 def max_concurrency(entries: DataFrame) -> DataFrame:
@@ -183,14 +234,13 @@ def place_legal(drops: DataFrame, markers: DataFrame) -> DataFrame:
 
 def snap(proposals: DataFrame, markers: DataFrame, beats: DataFrame) -> DataFrame:
     """``proposals (key, a_id, b_id, t, bpm)`` with ``snapped``: the nearest marker within reach, else the nearest
-    of ``beats (a_id, beat_grid)``, else the nearest whole beat at ``bpm``."""
+    of ``beats (a_id, beat)``, the earlier one on ties, else the nearest whole beat at ``bpm``."""
     near = proposals.join(markers.select("a_id", "b_id", "rank", marker_offset().alias("o")), ["a_id", "b_id"]).filter(F.abs(F.col("t") - F.col("o")) <= RADIUS_S)
     hit = near.groupBy("key").agg(F.min_by("o", F.struct(F.abs(F.col("t") - F.col("o")), "rank")).alias("m"))
-    rows = proposals.join(hit, "key", "left").join(beats.select("a_id", "beat_grid"), "a_id", "left")
-    closest = F.expr("array_min(transform(beat_grid, (b, i) -> named_struct('d', abs(t - b), 'i', i, 'b', b))).b")
+    rows = nearest(proposals, beats, "a_id", "t", "beat").join(hit, "key", "left")
     beat = 60.0 / F.nullif("bpm", F.lit(0))
     whole = F.coalesce(F.floor(F.col("t") / beat + 0.5) * beat, F.col("t"))
-    return rows.select(*proposals.columns, F.greatest(F.lit(0.0), F.coalesce("m", closest, whole)).alias("snapped"))
+    return rows.select(*proposals.columns, F.greatest(F.lit(0.0), F.coalesce("m", "nearest", whole)).alias("snapped"))
 
 
 def mix_beat_grid(entries: DataFrame, features: DataFrame, totals: DataFrame) -> DataFrame:
@@ -204,12 +254,21 @@ def mix_beat_grid(entries: DataFrame, features: DataFrame, totals: DataFrame) ->
 
 def delete_and_heal(chain: DataFrame, deletes: DataFrame, markers: DataFrame) -> DataFrame:
     """``chain`` without ``deletes (id)``; the successor of a removed node is put at the best legal marker with its
-    new predecessor (or at its floor), everyone else keeps the gap."""
+    new predecessor (or at its floor), everyone else keeps the gap. ``markers`` are those of :func:`healed_pairs`."""
+    return set_gap(remove_nodes(chain, deletes), place_legal_by_node(healed_nodes(chain, deletes), markers))
+
+
+def healed_nodes(chain: DataFrame, deletes: DataFrame) -> DataFrame:
+    """``id, a_id, b_id, prev_duration, floor_s`` of the nodes that get a new predecessor."""
     neighbours = chain.join(deletes.select("id", F.lit(True).alias("gone")), "id", "left").withColumn("after_gone", F.coalesce(F.lag("gone").over(by_position()), F.lit(False)))
     healed = neighbours.filter("gone IS NULL AND after_gone AND pos > 0").select("id")
     left = offsets(remove_nodes(chain, deletes)).withColumn("floor_s", min_delta_seconds()).withColumn("a_id", F.lag("track_id").over(by_position())).withColumn("prev_duration", F.lag("duration_s").over(by_position()))
-    drops = left.join(healed, "id", "left_semi").filter("a_id IS NOT NULL").select("id", "a_id", F.col("track_id").alias("b_id"), "prev_duration", "floor_s")
-    return set_gap(remove_nodes(chain, deletes), place_legal_by_node(drops, markers))
+    return left.join(healed, "id", "left_semi").filter("a_id IS NOT NULL").select("id", "a_id", F.col("track_id").alias("b_id"), "prev_duration", "floor_s")
+
+
+def healed_pairs(chain: DataFrame, deletes: DataFrame) -> DataFrame:
+    """``a_id, b_id``: the new neighbours, whose transitions are to be scored."""
+    return healed_nodes(chain, deletes).filter("a_id <> b_id").select("a_id", "b_id").distinct()
 
 
 def place_legal_by_node(drops: DataFrame, markers: DataFrame) -> DataFrame:

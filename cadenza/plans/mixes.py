@@ -14,21 +14,19 @@ from ..operators import chains as C
 from ..operators import features as E
 from ..operators import ingest as I
 from ..operators import licensing as L
+from ..operators import matching as R
 from ..operators import merge as M
+from ..operators import transitions as TR
 from ..sources import adapters as A
 from ..sources import readers as S
 from ..sources.staging import shared_dir
 from .registry import query
-from .series import RECOMMEND, r, recommended, scalars
-from .views import R4
+from .series import ALL_FEATURES, JUNCTIONS, MATCHED, RANKED, RECOMMEND, all_segments, all_wide, curves_sql, junction_markers, made_once, markers, ordered, r, recommended, scalars
+from .views import R4, VIEWS
 
 # chains
 
 
-def ordered(s, d):
-    return C.order_chains(A.mixes(s, d), A.mix_tracks(s, d))[0]
-
-
 def entries(s, d):
     return C.flatten_chains(ordered(s, d), A.variants(s, d), A.tracks(s, d))
 
@@ -38,24 +36,46 @@ def simple(s, d):
     return entries(s, d).select("mix_id", "pos", "id", "track_id", "delta_s", "duration_s")
 
 
-def markers(s, d):
-    """Markers made of recommendations: three per pair, with exit and entry points from the ranks."""
-    recs = recommended(s, d).filter("rank <= 5")
-    return recs.select("a_id", "b_id", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("rank"), "score", "best_grid_bpm").select(
-        "a_id", "b_id", "rank", (20.0 + F.col("rank") * 4.5).alias("a_start_s"), (F.col("best_grid_bpm") / 10.0 + F.col("rank") * 2).alias("b_start_s"), (F.col("score") - F.pmod(F.col("best_grid_bpm") + F.col("rank"), F.lit(3)) / 100.0).alias("score")
-    )
+@made_once
+def healed_markers(s, d):
+    """Markers of the tracks that become neighbours where nodes are removed."""
+    matches = R.match_pairs(R.pairs_of(C.healed_pairs(simple(s, d), _removed(s, d)), scalars(s, d)))
+    return TR.markers(TR.transition_curves(matches, all_wide(s, d), all_segments(s, d)))
 
 
-MARKERS = f"""
-SELECT a_id, b_id, CAST(m AS INTEGER) AS rank, 20.0::DOUBLE + m * 4.5::DOUBLE AS a_start_s, best_grid_bpm / 10.0::DOUBLE + m * 2 AS b_start_s, score - ((best_grid_bpm + m) % 3) / 100.0::DOUBLE AS score
-FROM ({RECOMMEND}), range(1, 4) t(m) WHERE rank <= 5
+VIEWS["kept_nodes"] = """
+SELECT mix_id, id, track_id, duration_s, after_gone AND pos > 0 AS healed, k, CASE WHEN k = 0 AND pos > 0 THEN 0 ELSE delta_s END AS delta_s
+FROM (
+    SELECT *, row_number() OVER (PARTITION BY mix_id ORDER BY pos) - 1 AS k
+    FROM (SELECT *, coalesce(lag(gone) OVER (PARTITION BY mix_id ORDER BY pos), false) AS after_gone FROM (SELECT *, CAST(mix_id AS BIGINT) % 3 = 0 AND pos = CAST(mix_id AS BIGINT) % 4 AS gone FROM chains)) WHERE NOT gone)
 """
+VIEWS["healed_markers"] = curves_sql(f"""
+SELECT DISTINCT m.a_id, m.b_id, best_grid_bpm AS tempo FROM ({MATCHED}) m
+JOIN (SELECT lag(track_id) OVER (PARTITION BY mix_id ORDER BY k) AS a_id, track_id AS b_id, healed FROM kept_nodes) j ON j.a_id = m.a_id AND j.b_id = m.b_id WHERE healed
+""") + RANKED
+MARKERS = "SELECT * FROM markers"
 BEST = f"SELECT a_id, b_id, arg_max(struct_pack(a := a_start_s, b := b_start_s, s := score), (score, -a_start_s, -b_start_s)) AS m FROM ({MARKERS}) GROUP BY a_id, b_id"
 
 query("c01_order_chains", ordered, "SELECT id, mix_id, track_id, delta_beats, grid_bpm, CAST(pos AS INTEGER) AS pos FROM mix_tracks WHERE mix_id IN (SELECT id FROM mixes)")
 query("c01_chain_problems", lambda s, d: C.order_chains(A.mixes(s, d), A.mix_tracks(s, d, corrupt=True))[1], """
 SELECT DISTINCT mix_id, (['cycle', 'unreachable', 'dangling'])[CAST(mix_id AS BIGINT) % 97] AS problem FROM mix_tracks WHERE n >= 3 AND CAST(mix_id AS BIGINT) % 97 BETWEEN 1 AND 3 AND mix_id IN (SELECT id FROM mixes)
 """)
+query("c01_long_chains", lambda s, d: C.order_chains(*long_chains(s, d), long=100)[0].select("mix_id", "id", "pos"), "SELECT 'long-' || o_orderkey % 3 AS mix_id, 'o' || o_orderkey AS id, CAST(row_number() OVER (PARTITION BY o_orderkey % 3 ORDER BY o_orderkey) - 1 AS INTEGER) AS pos FROM orders")
+query("c01_long_problems", lambda s, d: C.order_chains(*long_chains(s, d, corrupt=True), long=100)[1], "SELECT * FROM (VALUES ('long-0', 'unreachable'), ('long-1', 'cycle'), ('long-2', 'dangling')) t(mix_id, problem)")
+
+
+def long_chains(s, d, corrupt=False):
+    """(mixes, nodes): all orders in three mixes; ``corrupt`` skips nodes of the first, and leads the others back and astray."""
+    k = F.col("o_orderkey")
+    name = lambda x: F.concat(F.lit("o"), x.cast("string"))
+    own = s.read.parquet(f"{d}/orders.parquet").select("o_orderkey")
+    rows = own.join(own.select((k - 3).alias("o_orderkey"), F.lit(True).alias("more")), "o_orderkey", "left").withColumn("next_id", F.when(F.col("more"), name(k + 3)))
+    if corrupt:
+        rows = rows.withColumn("next_id", F.when(k == 300, name(k + 9)).when((k % 3 == 1) & F.col("next_id").isNull(), "o301").when(k == 602, "ghost").otherwise(F.col("next_id")))
+    nodes = rows.select(name(k).alias("id"), F.concat(F.lit("long-"), (k % 3).cast("string")).alias("mix_id"), F.lit("1").alias("track_id"), "next_id", F.lit(0).alias("delta_beats"), F.lit(120).alias("grid_bpm"))
+    return s.range(3).select(F.concat(F.lit("long-"), "id").alias("id"), F.concat(F.lit("o"), "id").alias("head_id")), nodes
+
+
 query("c02_beats_and_seconds", lambda s, d: A.mix_tracks(s, d).select("id", X.beats_to_seconds("delta_beats", "grid_bpm").alias("seconds"), X.seconds_to_beats(F.col("delta_beats") * 0.37, "grid_bpm").alias("beats")), "SELECT id, delta_beats * 60.0::DOUBLE / grid_bpm AS seconds, CAST(round_even(delta_beats * 0.37::DOUBLE * grid_bpm / 60.0::DOUBLE, 0) AS INTEGER) AS beats FROM mix_tracks")
 query("c03_flatten_chains", lambda s, d: r(entries(s, d), "delta_s", "offset_s", "duration_s"), f"SELECT mix_id, pos, id, track_id, delta_beats, {R4('delta_s', 6)} AS delta_s, {R4('offset_s', 6)} AS offset_s, grid_bpm, {R4('duration_s', 6)} AS duration_s FROM chains")
 query("c04_overlap_violations", lambda s, d: C.overlap_violations(entries(s, d)), """
@@ -124,7 +144,18 @@ query("c09_overlap_zones", lambda s, d: r(C.overlap_zones(entries(s, d)).select(
 GAIN = "coalesce(sin(CASE WHEN in_end > in_start THEN greatest(0.0, least(1.0, (t - in_start) / (in_end - in_start))) END * pi() / 2), 1.0) * coalesce(cos(CASE WHEN out_end > out_start THEN greatest(0.0, least(1.0, (t - out_start) / (out_end - out_start))) END * pi() / 2), 1.0)"
 query("c10_gain_at_end", lambda s, d: r(C.overlap_zones(entries(s, d)).select("id", X.gain_at(C.end() - 5.0, F.col("in_start"), F.col("in_end"), F.col("out_start"), F.col("out_end")).alias("gain")), "gain", digits=5), f"SELECT id, {R4(GAIN, 5)} AS gain FROM (SELECT *, offset_s + duration_s - 5.0::DOUBLE AS t FROM ({ZONES}))")
 query("c11_gain_curves", lambda s, d: r(C.gain_curves(C.overlap_zones(entries(s, d)), 8), "t", "gain", digits=5), f"SELECT mix_id, pos, k, {R4('t', 5)} AS t, {R4(GAIN, 5)} AS gain FROM (SELECT *, offset_s + duration_s * k / 7 AS t FROM ({ZONES}), (SELECT CAST(unnest(range(8)) AS INTEGER) AS k))")
-query("c12_active_nodes", lambda s, d: C.active_nodes(entries(s, d), 30.0, 120.0).select("id"), "SELECT id FROM chains WHERE offset_s <= 120 AND offset_s + duration_s > 30")
+query("c12_active_nodes", lambda s, d: C.active_nodes(entries(s, d), probes(s, d)), f"""
+SELECT event_id AS probe, c.mix_id, pos, c.id FROM events e JOIN chains c ON c.mix_id = CAST(event_id % (SELECT count(*) FROM orders) AS VARCHAR) AND offset_s <= event_id * 37 % 400 + event_id % 50 AND offset_s + duration_s > event_id * 37 % 400
+""")
+
+
+def probes(s, d):
+    """A question per event: what sounds in one of the mixes between two times?"""
+    k, n = F.col("event_id"), s.read.parquet(f"{d}/orders.parquet").count()
+    t0 = (k * 37 % 400).cast("double")
+    return s.read.parquet(f"{d}/events.parquet").select(k.alias("probe"), (k % n).cast("string").alias("mix_id"), t0.alias("t0"), (t0 + k % 50).alias("t1"))
+
+
 query("c12_max_concurrency", lambda s, d: C.max_concurrency(entries(s, d)), """
 SELECT mix_id, max(x) AS most FROM (SELECT mix_id, sum(d) OVER (PARTITION BY mix_id ORDER BY t, d ROWS UNBOUNDED PRECEDING) AS x FROM (SELECT mix_id, offset_s AS t, 1 AS d FROM chains WHERE duration_s > 0 UNION ALL SELECT mix_id, offset_s + duration_s, -1 FROM chains WHERE duration_s > 0)) GROUP BY mix_id
 """)
@@ -145,36 +176,32 @@ SELECT x.a_id, x.b_id, prev_duration, floor_s, {R4('coalesce(arg_max(greatest(0.
 FROM ({DROPS}) x LEFT JOIN ({MARKERS}) m ON m.a_id = x.a_id AND m.b_id = x.b_id GROUP BY x.a_id, x.b_id, prev_duration, floor_s
 """)
 query("c15_snap", lambda s, d: r(C.snap(_proposals(s, d), markers(s, d), _beats(s, d)), "snapped"), f"""
-, p AS (SELECT a_id || '/' || b_id AS key, a_id, b_id, CAST(b_id AS BIGINT) % 31 * 1.1::DOUBLE AS t, CASE WHEN CAST(b_id AS BIGINT) % 3 = 0 THEN 0 ELSE 120 END AS bpm FROM (SELECT a_id, b_id FROM ({BEST}) UNION SELECT a_id, b_id FROM ({PAIRS})))
-SELECT key, p.a_id, p.b_id, t, bpm, {R4('''greatest(0.0, coalesce(
-    (SELECT arg_min(greatest(0.0, a_start_s - b_start_s), (abs(t - greatest(0.0, a_start_s - b_start_s)), rank)) FROM (MARKED) m WHERE m.a_id = p.a_id AND m.b_id = p.b_id AND abs(t - greatest(0.0, a_start_s - b_start_s)) <= 1.25),
-    CASE WHEN CAST(p.a_id AS BIGINT) % 2 = 0 THEN (SELECT arg_min(b * 0.9::DOUBLE, (abs(t - b * 0.9::DOUBLE), b)) FROM range(20) x(b)) END,
-    floor(t / (60.0::DOUBLE / nullif(bpm, 0)) + 0.5) * (60.0::DOUBLE / nullif(bpm, 0)), t))''', 6).replace('MARKED', MARKERS)} AS snapped FROM p
-""".replace(", p AS", "WITH p AS", 1))
+WITH p AS (SELECT a_id || '/' || b_id AS key, a_id, b_id, CAST(b_id AS BIGINT) % 31 * 1.1::DOUBLE AS t, CASE WHEN CAST(b_id AS BIGINT) % 3 = 0 THEN 0 ELSE 120 END AS bpm FROM (SELECT a_id, b_id FROM ({BEST}) UNION SELECT a_id, b_id FROM ({PAIRS}))),
+near AS (SELECT key, arg_min(o, (abs(t - o), rank)) AS m FROM p JOIN (SELECT *, greatest(0.0, a_start_s - b_start_s) AS o FROM markers) m USING (a_id, b_id) WHERE abs(t - o) <= 1.25 GROUP BY key)
+SELECT key, a_id, b_id, t, bpm, {R4('greatest(0.0, coalesce(m, list_min([struct_pack(d := abs(t - b), b := b) FOR b IN beats]).b, floor(t / (60.0::DOUBLE / nullif(bpm, 0)) + 0.5) * (60.0::DOUBLE / nullif(bpm, 0)), t))', 6)} AS snapped
+FROM p LEFT JOIN near USING (key) LEFT JOIN (SELECT track_id AS a_id, beats FROM ({ALL_FEATURES})) f USING (a_id)
+""")
 query("c16_mix_beat_grid", lambda s, d: _beat_grid(s, d), f"""
-SELECT mix_id, count(*) AS n, {R4('max(beat)', 3)} AS last FROM (
-    SELECT mix_id, unnest([k * 0.5::DOUBLE + o FOR k IN range(0, 40)] || [o + 19.5::DOUBLE + k * 0.5::DOUBLE FOR k IN range(1, greatest(0, CAST(floor((total - (o + 19.5::DOUBLE)) * 2 + 1e-9) AS INTEGER)) + 1)]) AS beat
-    FROM (SELECT c.mix_id, any_value(c.offset_s) FILTER (WHERE c.pos = 0) AS o, max(offset_s + duration_s) AS total FROM chains c GROUP BY c.mix_id)) GROUP BY mix_id
+SELECT mix_id, len(beats) + more AS n, {R4('coalesce(beats[len(beats)], 0) + o + CASE WHEN more > 0 THEN more * 60.0::DOUBLE / bpm ELSE 0 END', 3)} AS last
+FROM (SELECT *, CASE WHEN total - l >= 60.0::DOUBLE / bpm THEN CAST(floor((total - l) * bpm / 60.0::DOUBLE) AS BIGINT) ELSE 0 END AS more FROM (
+    SELECT mix_id, o, total, bpm, beats, coalesce(beats[len(beats)] + o, o) AS l
+    FROM (SELECT mix_id, arg_min(track_id, pos) AS track_id, arg_min(offset_s, pos) AS o, max(offset_s + duration_s) + 5e-10 AS total FROM chains GROUP BY mix_id) JOIN ({ALL_FEATURES}) f USING (track_id)))
 """)
-query("c17_delete_and_heal", lambda s, d: r(C.delete_and_heal(simple(s, d), _removed(s, d), markers(s, d)), "delta_s", "duration_s"), f"""
-WITH flagged AS (SELECT *, CAST(mix_id AS BIGINT) % 3 = 0 AND pos = CAST(mix_id AS BIGINT) % 4 AS gone FROM chains),
-told AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY mix_id ORDER BY pos), false) AS after_gone FROM flagged),
-kept AS (
-    SELECT mix_id, id, track_id, duration_s, after_gone AND pos > 0 AS healed, k, CASE WHEN k = 0 AND pos > 0 THEN 0 ELSE delta_s END AS delta_s
-    FROM (SELECT *, row_number() OVER (PARTITION BY mix_id ORDER BY pos) - 1 AS k FROM told WHERE NOT gone)),
-placed AS (SELECT *, sum(delta_s) OVER (PARTITION BY mix_id ORDER BY k) AS offset_s FROM kept),
+query("c17_delete_and_heal", lambda s, d: r(C.delete_and_heal(simple(s, d), _removed(s, d), healed_markers(s, d)), "delta_s", "duration_s"), f"""
+WITH placed AS (SELECT *, sum(delta_s) OVER (PARTITION BY mix_id ORDER BY k) AS offset_s FROM kept_nodes),
 least_of AS (
     SELECT *, lag(track_id) OVER w AS a_id, lag(duration_s) OVER w AS prev_duration,
         greatest(0, coalesce(greatest(lag(offset_s) OVER w, lag(offset_s + duration_s, 2) OVER w, CASE WHEN lead(delta_s) OVER w IS NOT NULL THEN lag(offset_s + duration_s) OVER w - lead(delta_s) OVER w END) - lag(offset_s) OVER w, 0)) AS floor_s
     FROM placed WINDOW w AS (PARTITION BY mix_id ORDER BY k)),
 legal AS (
     SELECT l.id, arg_max(greatest(0.0, a_start_s - b_start_s), (score, -a_start_s, -b_start_s)) AS o
-    FROM least_of l JOIN ({MARKERS}) m ON m.a_id = l.a_id AND m.b_id = l.track_id WHERE healed AND greatest(0.0, a_start_s - b_start_s) >= floor_s - 1e-9 GROUP BY l.id)
+    FROM least_of l JOIN healed_markers m ON m.a_id = l.a_id AND m.b_id = l.track_id WHERE healed AND greatest(0.0, a_start_s - b_start_s) >= floor_s - 1e-9 GROUP BY l.id)
 SELECT mix_id, CAST(k AS INTEGER) AS pos, id, track_id, {R4("CASE WHEN healed AND a_id IS NOT NULL THEN greatest(0.0, coalesce(o, greatest(floor_s, greatest(0.0, prev_duration - 16.0)))) ELSE delta_s END", 6)} AS delta_s, {R4('duration_s', 6)} AS duration_s
 FROM least_of LEFT JOIN legal USING (id)
 """)
-query("c18_markers_on_mix", lambda s, d: r(C.markers_on_mix(_mix_markers(s, d), entries(s, d)), "t"), f"""
-SELECT mix_id, pos, CAST(k AS INTEGER) AS rank, {R4('offset_s + 10.0 * k', 6)} AS t, 0.5::DOUBLE AS score FROM (SELECT *, lead(track_id) OVER (PARTITION BY mix_id ORDER BY pos) AS b_id FROM chains), range(1, 3) x(k) WHERE b_id IS NOT NULL
+VIEWS["junction_markers"] = curves_sql(f"SELECT DISTINCT m.a_id, m.b_id, best_grid_bpm AS tempo FROM ({MATCHED}) m JOIN ({JUNCTIONS}) j ON j.a_id = m.a_id AND j.b_id = m.b_id") + RANKED
+query("c18_markers_on_mix", lambda s, d: r(C.markers_on_mix(junction_markers(s, d), entries(s, d)), "t"), f"""
+SELECT mix_id, pos, rank, {R4('offset_s + a_start_s', 6)} AS t, score FROM (SELECT *, lead(track_id) OVER (PARTITION BY mix_id ORDER BY pos) AS b_id FROM chains) c JOIN junction_markers m ON m.a_id = c.track_id AND m.b_id = c.b_id
 """)
 query("c19_time_label", lambda s, d: entries(s, d).select("id", X.time_label(F.col("offset_s") * 40 - 100).alias("label")), """
 SELECT id, CASE WHEN s >= 3600 THEN printf('%d:%02d:%02d', s // 3600, s % 3600 // 60, s % 60) ELSE printf('%d:%02d', s // 60, s % 60) END AS label FROM (SELECT id, CAST(floor(greatest(0.0, offset_s * 40 - 100)) AS BIGINT) AS s FROM chains)
@@ -188,22 +215,16 @@ def _proposals(s, d):
 
 
 def _beats(s, d):
-    return A.tracks(s, d).filter("cast(id AS bigint) % 2 = 0").select(F.col("id").alias("a_id"), F.expr("transform(sequence(0, 19), b -> b * 0.9D)").alias("beat_grid"))
+    """A row per beat of every track."""
+    return all_wide(s, d).select(F.col("track_id").alias("a_id"), F.explode("beat_grid").alias("beat"))
 
 
 def _beat_grid(s, d):
     e = entries(s, d)
-    features = e.select("track_id").distinct().select("track_id", F.lit(120.0).alias("bpm"), F.expr("transform(sequence(0, 39), k -> k * 0.5D)").alias("beat_grid"))
-    out = C.mix_beat_grid(e, features, C.total_duration(A.mixes(s, d), e).withColumn("total_s", F.col("total_s") + 5e-10))
+    out = C.mix_beat_grid(e, all_wide(s, d), C.total_duration(A.mixes(s, d), e).withColumn("total_s", F.col("total_s") + 5e-10))
     return out.groupBy("mix_id").agg(F.count("*").alias("n"), X.round_up_half(F.max("beat"), 3).alias("last"))
 
 
-def _mix_markers(s, d):
-    e = entries(s, d)
-    pairs = e.withColumn("b_id", F.lead("track_id").over(C.by_position())).filter("b_id IS NOT NULL").select(F.col("track_id").alias("a_id"), "b_id").distinct()
-    return pairs.select("a_id", "b_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("rank")).select("a_id", "b_id", "rank", (F.col("rank") * 10.0).alias("a_start_s"), F.lit(0.0).alias("b_start_s"), F.lit(0.5).alias("score"))
-
-
 # maintenance
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as X
 from ..functions import dimensions as D
+from ..operators import chains as C
 from ..operators import features as E
 from ..operators import matching as R
 from ..operators import segments as N
@@ -15,7 +16,7 @@ from ..operators import transitions as T
 from ..sources import adapters as A
 from ..sources.staging import is_staged, shared_dir, stage, staged_tables
 from .registry import query
-from .views import R4
+from .views import R4, VIEWS
 
 H = A.HOP
 
@@ -88,13 +89,16 @@ def all_segments(s, d):
     return segments(s, d).withColumnRenamed("track_id", "owner").join(own, "owner").drop("owner")
 
 
+@made_once
+def markers(s, d):
+    """Markers of the three best recommendations of every track."""
+    return T.markers(curves(s, d))
+
+
+@made_once
 def slices(s, d):
-    """Five even segments per track, for checks of transitions alone."""
-    n = A.frames(s, d).groupBy("track_id").agg(F.count("*").cast("int").alias("n")).filter("n >= 5")
-    labels = F.array(*map(F.lit, ["intro", "verse", "drop", "breakdown", "outro"]))
-    return n.withColumn("seg_idx", F.explode(F.sequence(F.lit(0), F.lit(4)))).select(
-        "track_id", "seg_idx", F.element_at(labels, F.col("seg_idx") + 1).alias("label"), F.floor(F.col("n") * F.col("seg_idx") / 5).cast("int").alias("start_frame"), F.floor(F.col("n") * (F.col("seg_idx") + 1) / 5).cast("int").alias("end_frame")
-    )
+    """Segments of every series, as the segmentation finds them."""
+    return segments(s, d).select("track_id", "seg_idx", "label", "start_frame", "end_frame")
 
 
 PREFIX = ", ".join(f"sum({c}) OVER w AS p_{c}" for c in E.SERIES)
@@ -270,16 +274,13 @@ SELECT track_id, CAST(row_number() OVER w - 1 AS INTEGER) AS seg_idx, b AS start
         UNION SELECT p.track_id, p.frame_idx FROM peaks p JOIN (SELECT track_id, count(*) AS n FROM frames GROUP BY track_id) c USING (track_id) WHERE p.frame_idx > 0 AND p.frame_idx < n - 1)
 ) WHERE e IS NOT NULL WINDOW w AS (PARTITION BY track_id ORDER BY b)
 """)
-SLICES = """
-SELECT track_id, CAST(i AS INTEGER) AS seg_idx, (['intro', 'verse', 'drop', 'breakdown', 'outro'])[i + 1] AS label, CAST(n * i // 5 AS INTEGER) AS start_frame, CAST(n * (i + 1) // 5 AS INTEGER) AS end_frame
-FROM (SELECT track_id, count(*) AS n FROM frames GROUP BY track_id), range(5) t(i) WHERE n >= 5
-"""
+SLICES = "SELECT track_id, seg_idx, label, start_frame, end_frame FROM segs"
 ENERGY = f"SELECT s.track_id, seg_idx, label, start_frame, end_frame, {R4('avg(rms)', 9)} AS energy FROM ({SLICES}) s JOIN frames f ON f.track_id = s.track_id AND f.frame_idx >= start_frame AND f.frame_idx < end_frame GROUP BY ALL"
 query("n08_segment_energy", lambda s, d: r(N.segment_energy(slices(s, d).drop("label"), A.frames(s, d)), "energy", "lo", "hi"), f"""
 SELECT track_id, seg_idx, start_frame, end_frame, {R4('energy', 6)} AS energy, {R4('quantile_cont(energy, 0.33) OVER (PARTITION BY track_id)', 6)} AS lo, {R4('quantile_cont(energy, 0.66) OVER (PARTITION BY track_id)', 6)} AS hi FROM ({ENERGY})
 """)
 query("n09_label_segments", lambda s, d: N.label_segments(N.segment_energy(slices(s, d).drop("label"), A.frames(s, d)), H).select("track_id", "seg_idx", "label", "start_frame", "end_frame", "start_s", "end_s"), f"""
-SELECT track_id, seg_idx, CASE WHEN max(end_frame) OVER p < 16 THEN 'full' WHEN seg_idx = 0 THEN 'intro' WHEN seg_idx = 4 THEN 'outro' WHEN energy <= quantile_cont(energy, 0.33) OVER p THEN 'breakdown' WHEN energy >= quantile_cont(energy, 0.66) OVER p THEN 'drop' ELSE 'verse' END AS label,
+SELECT track_id, seg_idx, CASE WHEN max(end_frame) OVER p < 16 THEN 'full' WHEN seg_idx = 0 THEN 'intro' WHEN seg_idx = count(*) OVER p - 1 THEN 'outro' WHEN energy <= quantile_cont(energy, 0.33) OVER p THEN 'breakdown' WHEN energy >= quantile_cont(energy, 0.66) OVER p THEN 'drop' ELSE 'verse' END AS label,
     start_frame, end_frame, start_frame * 0.25::DOUBLE AS start_s, end_frame * 0.25::DOUBLE AS end_s FROM ({ENERGY}) WINDOW p AS (PARTITION BY track_id)
 """)
 query("n10_role_weights", lambda s, d: slices(s, d).select("track_id", "seg_idx", X.role_weight("label", "exit").alias("leave"), X.role_weight("label", "entry").alias("enter")), f"SELECT track_id, seg_idx, CAST(x.w AS DOUBLE) AS leave, CAST(e.w AS DOUBLE) AS enter FROM ({SLICES}) s JOIN exits x USING (label) JOIN entries_roles e USING (label)")
@@ -318,6 +319,12 @@ def _detail(s, d):
 # matching
 
 
+@made_once
+def ordered(s, d):
+    """Nodes of the saved mixes in order; the queries of chains start from them."""
+    return C.order_chains(A.mixes(s, d), A.mix_tracks(s, d))[0]
+
+
 @made_once
 def scalars(s, d):
     """One narrow row per mixable track."""
@@ -400,7 +407,11 @@ FROM (SELECT track_id, CAST(count(*) AS INTEGER) AS n FROM frames GROUP BY track
 
 
 def native(s, d):
-    return T.at_tempo(wide(s, d), wide(s, d).select("track_id", F.lit(None).cast("int").alias("tempo")))
+    """Features of every track at its own tempo."""
+    return T.at_tempo(all_wide(s, d), all_wide(s, d).select("track_id", F.lit(None).cast("int").alias("tempo")))
+
+
+NATIVE = "SELECT track_id, CAST(NULL AS INTEGER) AS tempo FROM owned"
 
 
 ALL_FEATURES = """
@@ -455,27 +466,42 @@ SELECT * EXCLUDE (place, k, rank), CAST(rank AS INTEGER) AS rank FROM (
 #: Neighbours in the saved mixes.
 JUNCTIONS = "SELECT m.mix_id, CAST(m.pos AS INTEGER) AS pos, m.track_id AS a_id, n.track_id AS b_id FROM mix_tracks m JOIN mix_tracks n ON n.mix_id = m.mix_id AND n.pos = m.pos + 1 WHERE m.track_id <> n.track_id"
 
-query("t01_candidate_regions", lambda s, d: T.candidate_regions(slices(s, d), "entry").select("track_id", "seg_idx"), f"SELECT track_id, seg_idx FROM (SELECT s.*, row_number() OVER (PARTITION BY track_id ORDER BY w DESC, seg_idx) AS k FROM ({SLICES}) s JOIN entries_roles USING (label)) WHERE k <= 3")
-query("t02_window_starts", lambda s, d: T.window_starts(native(s, d), T.candidate_regions(slices(s, d), "exit")).select("track_id", "start"), f"WITH {side_sql('x', 'exit', 'SELECT track_id, CAST(NULL AS INTEGER) AS tempo FROM frames')} SELECT track_id, start FROM x_starts")
-query("t03_phase_alignment", lambda s, d: r(native(s, d).withColumn("start", F.explode(F.array(F.lit(0), F.lit(7), F.lit(20)))).select("track_id", "start", T.phase_alignment(F.col("start")).alias("phase")), "phase"), f"""
-SELECT track_id, CAST(start AS INTEGER) AS start, {R4("greatest(0.0, 1.0 - list_min([abs(start * 0.25::DOUBLE - b) FOR b, i IN rounded IF (i - 1) % 4 = 0]) / (240.0::DOUBLE / bpm2) * 2.0)", 6)} AS phase
-FROM (SELECT *, {R4('bpm', 2)} AS bpm2, [floor(b * 100000.0::DOUBLE + 0.5) / 100000.0::DOUBLE FOR b IN beats] AS rounded FROM ({FEATURES})), (VALUES (0), (7), (20)) x(start)
+VIEWS["markers"] = CURVES + RANKED
+
+query("t01_candidate_regions", lambda s, d: T.candidate_regions(all_segments(s, d), "entry").select("track_id", "seg_idx"), f"SELECT track_id, seg_idx FROM (SELECT s.*, row_number() OVER (PARTITION BY track_id ORDER BY coalesce(w, 0) DESC, seg_idx) AS k FROM ({SEGMENTS}) s LEFT JOIN entries_roles USING (label)) WHERE k <= 3")
+query("t02_window_starts", lambda s, d: exits(s, d).select("track_id", "start"), f"WITH {side_sql('x', 'exit', NATIVE, **REAL)} SELECT track_id, start FROM x_starts")
+query("t03_phase_alignment", lambda s, d: r(native(s, d).join(exits(s, d).select("track_id", "start"), "track_id").select("track_id", "start", T.phase_alignment(F.col("start")).alias("phase")), "phase"), f"""
+WITH {side_sql('x', 'exit', NATIVE, **REAL)} SELECT track_id, s.start, {R4("greatest(0.0, 1.0 - list_min([abs(s.start * hop - b) FOR b IN bars]) / (240.0::DOUBLE / bpm) * 2.0)", 6)} AS phase FROM x_starts s JOIN x_w USING (track_id)
 """)
-query("t05_sides", lambda s, d: r(_sides(s, d), "energy", "bass", "phase", "fit"), f"WITH {side_sql('x', 'entry', 'SELECT track_id, CAST(NULL AS INTEGER) AS tempo FROM frames')} SELECT track_id, start, start_s, {R4('energy', 6)} AS energy, {R4('bass', 6)} AS bass, {R4('phase', 6)} AS phase, {R4('fit', 6)} AS fit FROM x_sides")
+query("t04_roles", lambda s, d: T.roles_of(exits(s, d).select("track_id", F.col("start").alias("frame")), all_segments(s, d), "exit"), f"""
+WITH {side_sql('x', 'exit', NATIVE, **REAL)} SELECT track_id, s.start AS frame, CAST(coalesce(r.w, 0.4) AS DOUBLE) AS role FROM x_starts s JOIN ({SEGMENTS}) g USING (track_id) LEFT JOIN exits r USING (label) WHERE s.start >= start_frame AND s.start < end_frame
+""")
+query("t05_sides", lambda s, d: r(_sides(s, d), "energy", "bass", "phase", "fit"), f"WITH {side_sql('x', 'entry', NATIVE, **REAL)} SELECT track_id, start, start_s, {R4('energy', 6)} AS energy, {R4('bass', 6)} AS bass, {R4('phase', 6)} AS phase, {R4('fit', 6)} AS fit FROM x_sides")
 query("t06_curves", lambda s, d: curves(s, d), CURVES + "SELECT * FROM curves")
-query("t07_markers", lambda s, d: T.markers(curves(s, d)), CURVES + RANKED)
-query("t04_roles", lambda s, d: _roles(s, d), f"SELECT track_id, CAST(start AS INTEGER) AS start, CAST(coalesce(any_value(x.w), 1.0) AS DOUBLE) AS role FROM lengths JOIN (VALUES (0), (30), (1000)) v(start) ON n >= 5 LEFT JOIN ({SLICES}) g USING (track_id) LEFT JOIN exits x ON x.label = g.label AND start >= start_frame AND start < end_frame GROUP BY track_id, start")
+query("t07_markers", markers, "SELECT * FROM markers")
 query("t08_windows", lambda s, d: _windows(s, d), f"SELECT a_id, b_id, best_grid_bpm, 8 AS window_bars, {R4('1920.0::DOUBLE / best_grid_bpm')} AS window_s FROM ({RECOMMEND}) WHERE rank <= 3")
-query("t09_mix_junctions", lambda s, d: T.mix_junctions(_ordered(s, d), scalars(s, d), all_wide(s, d), all_segments(s, d)), curves_sql(f"""
+query("t09_mix_junctions", lambda s, d: T.mix_junctions(ordered(s, d), scalars(s, d), all_wide(s, d), all_segments(s, d)), curves_sql(f"""
 SELECT DISTINCT m.a_id, m.b_id, best_grid_bpm AS tempo FROM ({MATCHED}) m JOIN ({JUNCTIONS}) j ON j.a_id = m.a_id AND j.b_id = m.b_id
 """) + f"SELECT mix_id, pos, j.a_id, j.b_id, tempo AS best_grid_bpm, rank, a_start_s, b_start_s, score FROM ({JUNCTIONS}) j JOIN chosen c ON c.a_id = j.a_id AND c.b_id = j.b_id JOIN ({RANKED}) r ON r.a_id = j.a_id AND r.b_id = j.b_id")
 
 
+@made_once
+def junction_markers(s, d):
+    """Markers of all neighbours in the saved mixes."""
+    found = T.mix_junctions(ordered(s, d), scalars(s, d), all_wide(s, d), all_segments(s, d))
+    return found.select("a_id", "b_id", "rank", "a_start_s", "b_start_s", "score").distinct()
+
+
 def _sides(s, d):
-    f, seg = native(s, d), slices(s, d)
+    f, seg = native(s, d), all_segments(s, d)
     return T.score_sides(f, seg, T.window_starts(f, T.candidate_regions(seg, "entry")), "entry").drop("tempo")
 
 
+def exits(s, d):
+    """Starts of windows in which a track can be left, at its own tempo."""
+    return T.window_starts(native(s, d), T.candidate_regions(all_segments(s, d), "exit"))
+
+
 def three_best(s, d):
     return recommended(s, d).filter("rank <= 3").select("a_id", "b_id", "best_grid_bpm")
 
@@ -485,17 +511,5 @@ def curves(s, d):
     return T.transition_curves(three_best(s, d), all_wide(s, d), all_segments(s, d))
 
 
-def _roles(s, d):
-    """Roles at three frames; past the end the last segment (an outro) counts."""
-    lists = slices(s, d).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("seg_idx", "label", "start_frame", "end_frame"))).alias("segs"))
-    return lists.withColumn("start", F.explode(F.array(F.lit(0), F.lit(30), F.lit(1000)))).select("track_id", "start", T.role_at(F.col("start"), "exit").alias("role"))
-
-
 def _windows(s, d):
     return recommended(s, d).filter("rank <= 3").select("a_id", "b_id", "best_grid_bpm", F.lit(D.WINDOW_BARS).alias("window_bars"), T.window_seconds(F.col("best_grid_bpm")).alias("window_s"))
-
-
-def _ordered(s, d):
-    from ..operators.chains import order_chains
-
-    return order_chains(A.mixes(s, d), A.mix_tracks(s, d))[0]
