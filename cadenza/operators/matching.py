@@ -146,7 +146,7 @@ def _with_cells(rows: DataFrame) -> DataFrame:
     low = X.choose(F.col("band"), {n: float(lo) for n, (lo, _) in D.BANDS.items()}, 0.0)
     width = X.choose(F.col("band"), {n: float(hi - lo) for n, (lo, hi) in D.BANDS.items()}, 1.0)
     part = F.greatest(F.lit(0), F.least(F.lit(TEMPO_PARTS - 1), F.floor((F.col("bpm") - low) / width * TEMPO_PARTS))).cast("int")
-    key = F.col("key_number") * 2 + F.when(F.col("key_mode") == "A", 0).otherwise(1)
+    key = F.coalesce(F.col("key_number") * 2 + F.when(F.col("key_mode") == "A", 0).otherwise(1), F.lit(0))  # tracks without a key are a cell of their own
     rows = rows.join(bands, "band")
     for side, x in (("a_cell", "outro"), ("b_cell", "intro")):
         below = F.expr(f"filter({x}_q, q -> q < {x}_rms)")
@@ -182,7 +182,7 @@ def _search(scalars: DataFrame, anchors: DataFrame | None, k: int, cutoff: float
     """Best-first over cells. Every cell of anchors scores the cells with the highest bounds first, until these
     hold twice the tracks that are wanted; the ``k``-th score found is each anchor's threshold. Of the other
     cells, an anchor scores those whose bound, with its own values, still reaches it."""
-    rows = _ready_to_pair(scalars).drop("slots", "grid").filter("camelot IS NOT NULL AND bpm IS NOT NULL AND intro_rms IS NOT NULL AND outro_rms IS NOT NULL")
+    rows = _ready_to_pair(scalars).drop("slots", "grid").filter("bpm IS NOT NULL AND intro_rms IS NOT NULL AND outro_rms IS NOT NULL")  # others have no score
     rows = stage(_with_cells(rows), "cells")
     from_side = rows if anchors is None else rows.join(anchors.select("id"), "id", "left_semi")
     a = from_side.select(*(F.col(c).alias(f"a_{c}") for c in ("id", "band", "mask", "pen", "key_number", "key_mode", "outro_rms")), "a_cell")

@@ -13,7 +13,7 @@ from cadenza import functions as X
 from cadenza import streaming as ST
 from cadenza.functions import dimensions as D
 from cadenza.functions import sqlfuncs
-from cadenza.operators import catalog, chains, features, ingest, licensing, matching, merge, segments, tempo
+from cadenza.operators import catalog, chains, features, ingest, joins, licensing, matching, merge, segments, tempo
 from cadenza.sources import adapters as A
 from cadenza.sources import readers as S
 from cadenza.sources import snapshots
@@ -113,6 +113,61 @@ def entries(spark, starts, duration=60.0, bpm=120):
     return spark.createDataFrame(rows, "mix_id string, pos int, id string, track_id string, delta_beats int, delta_s double, offset_s double, grid_bpm int, duration_s double")
 
 
+def test_long_chains_are_ranked_as_short_ones_are_followed(spark):
+    rng = np.random.default_rng(6)
+    nodes, mixes = [], []
+    for m in range(40):
+        n = int(rng.integers(0, 12))
+        ids = [f"{m}-{i}" for i in rng.permutation(n)]
+        following = dict(zip(ids, [*ids[1:], None]))
+        for _ in range(int(rng.integers(0, 3))):
+            if ids:
+                following[str(rng.choice(ids))] = [None, "ghost", "", str(rng.choice(ids))][int(rng.integers(0, 4))]
+        nodes += [(i, f"m{m}", "t", nxt, 0, 120) for i, nxt in following.items()]
+        mixes.append((f"m{m}", "mix", [ids[0] if ids else None, ids[0] if ids else "", "nobody", ids[-1] if ids else None][int(rng.choice(4, p=[0.7, 0.1, 0.1, 0.1]))], 0.0, 0.0))
+    tables = spark.createDataFrame(mixes, "id string, name string, head_id string, created_at double, updated_at double"), spark.createDataFrame(nodes, "id string, mix_id string, track_id string, next_id string, delta_beats int, grid_bpm int")
+    rows = lambda long: [sorted(tuple(r) for r in df.collect()) for df in chains.order_chains(*tables, long=long)]
+    followed = rows(100)
+    assert rows(5) == followed == rows(0)
+    assert {p for _, p in followed[1]} == {"cycle", "dangling", "unreachable"} and followed[0]
+
+
+def test_interval_and_nearest_joins(spark):
+    rng = np.random.default_rng(9)
+    spans = lambda n, name: [(f"{name}{i}", str(rng.integers(0, 3)), a := float(rng.integers(-50, 400)), a + float(rng.choice([0, 1, 7, 300]))) for i in range(n)]
+    left, right = spans(60, "l") + [("l-null", "0", None, 3.0), ("l-back", "0", 9.0, 3.0)], spans(80, "r")
+    a, b = spark.createDataFrame(left, "l string, k string, a double, b double"), spark.createDataFrame(right, "r string, k string, c double, d double")
+    got = joins.overlapping(a, b, ["k"], ("a", "b"), ("c", "d"), 20.0)
+    assert sorted((x["l"], x["r"]) for x in got.collect()) == sorted((x[0], y[0]) for x in left[:-2] for y in right if x[1] == y[1] and x[2] <= y[3] and y[2] <= x[3])
+    plan = got._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    with pytest.raises(ValueError):
+        joins.overlapping(a, a, ["k"], ("a", "b"), ("a", "b"), 20.0)
+    points = [(i, k, t) for i, (k, t) in enumerate([(str(rng.integers(0, 4)), float(rng.integers(-40, 900)) / 2) for _ in range(300)] + [("0", None), (None, 3.0)])]
+    values = [(str(rng.integers(0, 3)), float(v)) for v in rng.integers(0, 800, 90)] + [("0", None), ("0", 5.0), ("0", 5.0)]
+    for span in (16.0, 10_000.0):
+        found = joins.nearest(spark.createDataFrame(points, "i int, k string, t double"), spark.createDataFrame(values, "k string, v double"), "k", "t", "v", span)
+        best = {i: min((v for key, v in values if key == k and v is not None and t is not None), key=lambda v: (abs(t - v), v), default=None) for i, k, t in points}
+        assert {r["i"]: r["nearest"] for r in found.filter("t IS NOT NULL").collect()} == {i: v for i, v in best.items() if points[i][2] is not None}
+        assert found.count() == len(points)
+
+
+def test_snap_takes_markers_then_beats_then_the_tempo(spark):
+    p = spark.createDataFrame([("x", "a", "b", 10.0, 120), ("y", "a", "c", 10.25, 120), ("z", "q", "b", 10.3, 120), ("w", "q", "b", -4.0, 0)], "key string, a_id string, b_id string, t double, bpm int")
+    markers = spark.createDataFrame([("a", "b", 2, 12.0, 1.0), ("a", "b", 1, 11.0, 2.0), ("a", "c", 1, 50.0, 0.0)], "a_id string, b_id string, rank int, a_start_s double, b_start_s double")
+    beats = spark.createDataFrame([("a", 10.0), ("a", 10.5)], "a_id string, beat double")
+    assert {r["key"]: r["snapped"] for r in chains.snap(p, markers, beats).collect()} == {"x": 9.0, "y": 10.0, "z": 10.5, "w": 0.0}
+
+
+def test_active_nodes_of_probes(spark):
+    e = entries(spark, [0, 45, 90])
+    probes = spark.createDataFrame([(1, "m", 0.0, 1.0), (2, "m", 45.0, 200.0), (3, "nobody", 0.0, 500.0), (4, "m", 5000.0, 5001.0)], "probe int, mix_id string, t0 double, t1 double")
+    for width in (5.0, 1000.0):
+        got = sorted((r["probe"], r["pos"]) for r in chains.active_nodes(e, probes, width).collect())
+        whole = [(r["pos"], r["offset_s"], r["offset_s"] + r["duration_s"]) for r in e.collect()]
+        assert got == sorted((p, n) for p, m, t0, t1 in ((1, "m", 0.0, 1.0), (2, "m", 45.0, 200.0), (4, "m", 5000.0, 5001.0)) for n, a, b in whole if a <= t1 and b > t0)
+
+
 def test_overlaps(spark):
     bad = lambda starts: chains.overlap_violations(entries(spark, starts)).count()
     assert [bad(s) for s in ([0, 45, 90], [0, 20, 40], [0, 30, 60], [0, 60, 120, 150, 170], [0], [0, 5])] == [0, 1, 0, 1, 0, 0]
@@ -249,6 +304,45 @@ def test_recommendations_of_the_fixture(spark):
     assert {(r["a_id"], r["b_id"]) for r in first} == {(r["a_id"], r["b_id"]) for r in recs if r["rank"] == 1}
 
 
+def random_scalars(spark, n, hot=0):
+    """Tracks of all bands; ``hot`` of them are alike but for their ids."""
+    rng = np.random.default_rng(n)
+    rows = []
+    for i in range(n):
+        band = str(rng.choice(list(D.BANDS)))
+        low, high = D.BANDS[band]
+        bpm = float(rng.integers(low * 10, high * 10)) / 10 if i >= hot else 124.0
+        band = band if i >= hot else "house"
+        grid = [g for g in D.grid_of(*D.BANDS[band]) if abs(g / bpm - 1) <= D.MOST_STRETCH and rng.random() < 0.9] or [D.grid_of(*D.BANDS[band])[0]]
+        key = str(rng.choice(D.CAMELOT_MAJOR + D.CAMELOT_MINOR)) if i >= hot else "8A"
+        rows.append((f"t{i}", band, bpm, key if i % 50 else None, grid, float(rng.integers(-2, 40)) / 10 if i >= hot else 1.5, float(rng.integers(-2, 40)) / 10 if i >= hot else 1.5))
+    return spark.createDataFrame(rows, "id string, band string, bpm double, camelot string, grid array<int>, intro_rms double, outro_rms double")
+
+
+@pytest.mark.parametrize(("n", "hot", "k"), [(500, 0, 20), (400, 150, 5), (1, 0, 3), (0, 0, 3)])
+def test_search_finds_what_scoring_every_pair_finds(spark, monkeypatch, n, hot, k):
+    monkeypatch.setattr(matching, "MOST_ROWS", 20)
+    scalars = random_scalars(spark, n, hot)
+    rows = lambda df: sorted((r["a_id"], r["rank"], r["b_id"], r["score"], r["best_grid_bpm"]) for r in df.collect())
+    every = [r for r in rows(matching.recommend(scalars, k=0)) if r[1] <= k]
+    assert rows(matching.recommend(scalars, k=k)) == every
+    some = spark.createDataFrame([("t1",), ("t7",), ("nobody",)], "id string")
+    assert rows(matching.recommend(scalars, some, k=k)) == [r for r in every if r[0] in ("t1", "t7")]
+
+
+def test_search_scores_a_part_of_the_pairs(spark):
+    scalars, seen = random_scalars(spark, 6000), []
+    matching.recommend(scalars, seen=seen).write.format("noop").mode("overwrite").save()
+    assert 0 < sum(o.get["n"] for o in seen) < 0.2 * matching.candidate_pairs(scalars).count()
+
+
+def test_dealt_sides_are_never_broadcast(spark, tmp_path):
+    spark.range(60_000).selectExpr("cast(id AS string) AS id", "'house' AS band", "124.0D AS bpm", "'8A' AS camelot", "array(120, 125) AS grid", "1.0D AS intro_rms", "1.0D AS outro_rms").write.parquet(str(tmp_path / "s"))
+    plan = matching.candidate_pairs(spark.read.parquet(str(tmp_path / "s")))._jdf.queryExecution().executedPlan().toString()
+    pairs = [line for line in plan.splitlines() if "Join" in line and "a_mask" in line]
+    assert pairs and all("SortMergeJoin" in line for line in pairs)
+
+
 def test_plan_of_recommendations(spark):
     plan = matching.recommend(five(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan and "WindowGroupLimit" in plan
