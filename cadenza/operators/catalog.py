@@ -167,10 +167,18 @@ def ingestion_report(state: DataFrame) -> DataFrame:
 
 
 def stage_projections(summary: DataFrame, scenarios: DataFrame, longer: float = 4.0, engine: float = 3.0) -> DataFrame:
-    """``summary (stage, avg_ms)`` projected to ``scenarios (n_tracks, cores)``: hours of work."""
+    """``summary (stage, avg_ms)`` projected to ``scenarios (n_tracks, cores)``: hours of work, and a label in whole minutes or tenths of hours."""
     hours = F.col("avg_ms") / 1000.0 * F.col("n_tracks") * longer * engine / F.col("cores") / 3600.0
-    text = F.when(hours < 1, F.concat(X.round_up_half(hours * 60, 0).cast("int").cast("string"), F.lit(" min"))).otherwise(F.concat(X.round_up_half(hours, 0).cast("int").cast("string"), F.lit(" h")))
-    return summary.join(scenarios).select("stage", "n_tracks", "cores", X.round_up_half(hours, 6).alias("hours"), text.alias("label"))
+    tenths = F.rint(hours * 10).cast("long")
+    whole = lambda x: x.cast("long").cast("string")
+    text = F.when(hours < 1, F.concat(whole(F.rint(hours * 60)), F.lit(" min"))).otherwise(F.concat(whole(F.floor(tenths / 10)), F.lit("."), whole(tenths % 10), F.lit(" h")))
+    return summary.join(F.broadcast(scenarios)).select("stage", "n_tracks", "cores", X.round_up_half(hours, 6).alias("hours"), text.alias("label"))
+
+
+def latency_projections(summary: DataFrame, sizes: DataFrame, n_mixable: int) -> DataFrame:
+    """``stage, n_tracks, ms``: a scan measured over ``n_mixable`` tracks, in proportion to the others of a catalogue of ``sizes (n_tracks)``, to whole milliseconds."""
+    ms = F.rint(F.col("avg_ms") / max(n_mixable - 1, 1) * (F.col("n_tracks") - 1))
+    return summary.join(F.broadcast(sizes)).select("stage", "n_tracks", ms.alias("ms"))
 
 
 def storage_totals(inventory: DataFrame) -> DataFrame:

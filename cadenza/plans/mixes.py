@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from .. import functions as X
 from .. import streaming as ST
+from ..functions import dimensions as D
 from ..functions import sqlfuncs
 from ..operators import chains as C
 from ..operators import features as E
@@ -365,8 +366,32 @@ def _wavs(s, d):
 query("st02_latency_windows", lambda s, d: r(ST.latency_windows(A.latency(s, d), "1 hour"), "avg_ms").select("stage", F.unix_seconds("start").alias("start_s"), "n", "avg_ms", "max_ms"), f"SELECT stage, CAST(epoch(time_bucket(INTERVAL 1 HOUR, latency.at)) AS BIGINT) AS start_s, count(*) AS n, {R4('avg(ms)', 6)} AS avg_ms, max(ms) AS max_ms FROM latency GROUP BY ALL")
 query("st02_sliding_windows", lambda s, d: ST.latency_windows(A.latency(s, d), "2 hours", "1 hour").select("stage", F.unix_seconds("start").alias("start_s"), "n", "max_ms"), "SELECT stage, CAST(epoch(time_bucket(INTERVAL 1 HOUR, latency.at)) AS BIGINT) - 3600 * k AS start_s, count(*) AS n, max(ms) AS max_ms FROM latency, (VALUES (0), (1)) x(k) GROUP BY ALL")
 query("st03_coalesce_edits", lambda s, d: ST.coalesce_edits(s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("id"), F.col("value").cast("int").alias("delta_beats"), F.col("ts").alias("at"), F.col("event_id").alias("seq")), "1 day").select("id", F.unix_seconds("start").alias("start_s"), "delta_beats"), "SELECT CAST(user_id AS VARCHAR) AS id, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS start_s, CAST(trunc(arg_max(value, (ts, event_id))) AS INTEGER) AS delta_beats FROM events GROUP BY ALL")
+query("st03_gestures", lambda s, d: ST.gestures(own_edits(s, d), "6 hours").select("id", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "first_beats", "last_beats", "n"), """
+WITH told AS (SELECT *, CASE WHEN tm - lag(tm) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM (SELECT CAST(user_id AS VARCHAR) AS id, CAST(trunc(value) AS INTEGER) AS beats, ts AS tm, event_id AS seq FROM events) WINDOW w AS (PARTITION BY id ORDER BY tm, seq)),
+grouped AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY tm, seq ROWS UNBOUNDED PRECEDING) AS g FROM told)
+SELECT id, epoch_us(min(tm)) AS start_us, epoch_us(max(tm)) AS end_us, arg_min(beats, (tm, seq)) AS first_beats, arg_max(beats, (tm, seq)) AS last_beats, count(*) AS n FROM grouped GROUP BY id, g
+""")
+query("st04_stuck_tracks", lambda s, d: ST.stuck_tracks(own_steps(s, d), 4.0).select("id", "status", F.unix_micros("since").alias("since_us")), """
+WITH steps AS (SELECT CAST(event_id % 3331 AS VARCHAR) AS id, event_id % 4 + 1 AS o, ts AS tm FROM events),
+told AS (SELECT *, max(o) OVER (PARTITION BY id ORDER BY tm, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM steps)
+SELECT id, (['pending', 'fetched', 'analyzed', 'ready'])[o] AS status, epoch_us(tm) AS since_us
+FROM (SELECT *, coalesce(lead(tm) OVER (PARTITION BY id ORDER BY tm, o), (SELECT max(ts) FROM events)) AS until FROM told WHERE before IS NULL OR o > before) WHERE o < 4 AND until - tm > INTERVAL 4 DAY
+""")
 query("st04_status_high_water", lambda s, d: ST.status_high_water(status_events(s, d)), f"SELECT id, (['pending', 'fetched', 'analyzed', 'ready'])[greatest(1, coalesce(max(list_position(['pending', 'fetched', 'analyzed', 'ready'], kind)), 1))] AS status, bool_or(kind = 'failed') AS failed FROM ({EVENTS}) GROUP BY id")
 
+
+
+def own_edits(s, d):
+    """Edits of nodes: who, how far, when, and in which order."""
+    return s.read.parquet(f"{d}/events.parquet").select(F.col("user_id").cast("string").alias("id"), F.col("value").cast("int").alias("delta_beats"), F.col("ts").alias("at"), F.col("event_id").alias("seq"))
+
+
+def own_steps(s, d):
+    """Events as steps of some thousand tracks."""
+    k = F.col("event_id")
+    return s.read.parquet(f"{d}/events.parquet").select((k % 3331).cast("string").alias("id"), F.element_at(F.array(*map(F.lit, D.STATUSES)), (k % 4 + 1).cast("int")).alias("kind"), F.col("ts").alias("at"))
+
+
 # SQL functions
 
 

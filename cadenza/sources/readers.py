@@ -30,10 +30,13 @@ def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("id"), "*").filter("bad IS NULL").drop("bad")
 
 
-def flatten_api_responses(df: DataFrame, json_col: str) -> DataFrame:
-    """Each response as rows: ``outcome`` is error (with ``error``), retry (no results) or ok with a track's fields."""
+def flatten_api_responses(df: DataFrame, json_col: str, asked: str | None = None) -> DataFrame:
+    """Each response as rows: ``outcome`` is error (with ``error``), retry (fewer results than were ``asked`` for,
+    or none) or ok with a track's fields. A short response is never proof that what it lacks is gone."""
     rows = df.withColumn("e", F.from_json(json_col, ENVELOPE)).withColumn("code", F.coalesce("e.headers.code", F.lit(0)))
-    outcome = F.when(F.col("code") != 0, "error").when(F.coalesce(F.size("e.results"), F.lit(0)) <= 0, "retry").otherwise("ok")
+    n = F.coalesce(F.when(F.size("e.results") > 0, F.size("e.results")), F.lit(0))
+    least = F.lit(1) if asked is None else F.greatest(F.coalesce(F.col(asked), F.lit(1)), F.lit(1))
+    outcome = F.when(F.col("code") != 0, "error").when(n < least, "retry").otherwise("ok")
     rows = rows.withColumn("outcome", outcome).withColumn("r", F.explode_outer(F.when(F.col("outcome") == "ok", F.col("e.results"))))
     return rows.select(
         *df.columns, "outcome", F.when(F.col("outcome") == "error", F.coalesce("e.headers.error_message", F.lit("no message"))).alias("error"), "r.id", "r.name", F.col("r.artist_name").alias("artist"),

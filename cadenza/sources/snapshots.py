@@ -49,3 +49,11 @@ def drop_snapshots(spark: SparkSession, path: str, last: str, keep: int = 2) ->
         if whole and n < whole[0]:
             files, at = _files(spark, f"{path}/v={n}")
             files.delete(at, True)
+
+
+def drop_before(spark: SparkSession, path: str, number: int) -> None:
+    """Delete the snapshots with a smaller number."""
+    for n in numbers(spark, path):
+        if n < number:
+            files, at = _files(spark, f"{path}/v={n}")
+            files.delete(at, True)

@@ -510,6 +510,40 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.table("high").collect())) == sorted(map(tuple, ST.status_high_water(events).collect()))
 
 
+def test_gestures_of_a_stream(spark, tmp_path):
+    rows = lambda *x: spark.createDataFrame([(i, b, f"2024-01-01 {t}", n) for i, b, t, n in x], "id string, delta_beats int, at string, seq int").withColumn("at", F.col("at").cast("timestamp")).coalesce(1)
+    parts = [rows(("a", 4, "10:00:00", 1), ("a", 8, "10:00:20", 2), ("b", 1, "10:00:05", 3)), rows(("a", 12, "10:00:45", 4), ("a", 2, "11:00:00", 5)), rows(("b", 9, "10:00:30", 6), ("c", 7, "11:30:00", 7))]
+    for part in parts:
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(part.schema).parquet(str(tmp_path / "in"))
+        ST.gestures(stream, "30 seconds", "10 minutes").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted((r["id"], r["first_beats"], r["last_beats"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    # b's second edit came after the watermark (10:50) and is dropped; c's gesture may still go on
+    assert got == [("a", 2, 2, 1), ("a", 4, 12, 3), ("b", 1, 1, 1)]
+    everything = parts[0].union(parts[1]).union(parts[2])
+    assert {(r["id"], r["n"]) for r in ST.gestures(everything, "30 seconds").collect()} == {("a", 3), ("a", 1), ("b", 2), ("c", 1)}
+
+
+def test_stuck_tracks_are_told_once(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    days = lambda *x: spark.createDataFrame([(i, k, f"2024-01-{d:02d} 00:00:00") for i, k, d in x], "id string, kind string, at string").withColumn("at", F.col("at").cast("timestamp")).coalesce(1)
+    parts = [
+        days(("a", "pending", 1), ("b", "fetched", 1), ("b", "ready", 2), ("c", "pending", 3), ("x", "odd", 3)), days(("c", "fetched", 12), ("a", "pending", 12), ("d", "analyzed", 13)),
+        days(("d", "ready", 14), ("e", "pending", 20)), days(("a", "fetched", 21), ("f", "pending", 24)), days(("g", "pending", 29)),
+    ]
+    told = []
+    for part in parts:  # every run starts from the checkpoint of the one before
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(part.schema).parquet(str(tmp_path / "in"))
+        ST.watch_stuck_tracks(stream, 5.0).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+        told.append(sorted((r["id"], r["status"], r["since"].day) for r in spark.read.schema(ST.STUCK).parquet(str(tmp_path / "out")).collect()))
+    everything = parts[0]
+    for part in parts[1:]:
+        everything = everything.union(part)
+    assert told[-1] == sorted((r["id"], r["status"], r["since"].day) for r in ST.stuck_tracks(everything, 5.0).collect()) == [("a", "fetched", 21), ("a", "pending", 1), ("c", "fetched", 12), ("c", "pending", 3), ("e", "pending", 20)]
+    assert ("a", "pending", 1) in told[1] and all(set(x) <= set(y) for x, y in zip(told, told[1:]))
+
+
 def test_incremental_ingest(spark, tmp_path):
     t = A.tracks(spark, SF)
     t.filter("cast(id AS int) < 50").write.parquet(str(tmp_path / "in"))
