@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import functions as X
@@ -10,8 +12,11 @@ from ..operators import catalog as C
 from ..operators import licensing as L
 from ..operators import tempo as G
 from ..sources import adapters as A
+from ..sources import files as FS
 from ..sources import readers as S
+from ..sources.staging import shared_dir
 from .registry import query
+from .series import by_path, signals
 from .views import R4
 
 T13 = "id, name, artist, genre, license, license_nd, license_sa, license_nc, mixable, native_bpm, camelot, duration_s, status"
@@ -45,6 +50,29 @@ told AS (SELECT batch, CASE WHEN batch % 7 = 5 THEN 'error' WHEN count(*) FILTER
 SELECT batch, outcome, NULL AS error, id, name, artist, license, allowed FROM given JOIN told USING (batch) WHERE outcome = 'ok'
 UNION ALL SELECT batch, outcome, CASE WHEN outcome = 'error' THEN 'quota' END, NULL, NULL, NULL, NULL, NULL FROM told WHERE outcome <> 'ok'
 """)
+def stored(s, d):
+    """Signals, their metadata and seeds as files: ``audio/<id>.wav``, ``meta/<id>.json`` of every track, ``seed/<genre>.json``."""
+    path = f"{shared_dir(s)}/files-{uuid.uuid4().hex}"
+    own = A.raw_tracks(s, d)
+    # in so many tasks, however few rows there are: each row becomes a file
+    sounds = signals(s, d).select(F.concat(F.lit("audio/"), "track_id", F.lit(".wav")).alias("name"), FS.wav_content("samples", "sr").alias("content"))
+    meta = own.select(F.concat(F.lit("meta/"), "id", F.lit(".json")).alias("name"), F.to_json(F.struct("name", "artist", "genre", "license")).cast("binary").alias("content"))
+    seeds = own.groupBy(F.coalesce("genre", F.lit("none")).alias("g")).agg(F.collect_list(F.struct("id", "name", "artist", "genre", F.col("native_bpm").alias("bpm"), "license", "duration_s")).alias("tracks"))
+    seeds = seeds.select(F.concat(F.lit("seed/"), F.regexp_replace("g", " ", "_"), F.lit(".json")).alias("name"), F.to_json(F.struct(F.lit("all").alias("mode"), "tracks")).cast("binary").alias("content"))
+    FS.write_blobs(sounds.union(meta).union(seeds), path)
+    return path
+
+
+stored_once = by_path(stored)
+query("s01_catalog_seed", lambda s, d: S.read_catalog_seed(s, f"{stored_once(s, d)}/seed").select("mode", "id", "name", "artist", "genre", "bpm", "license"), "SELECT 'all' AS mode, id, name, artist, genre, native_bpm AS bpm, license FROM raw_tracks")
+query("s02_sidecars", lambda s, d: S.read_sidecars(s, f"{stored_once(s, d)}/meta"), "SELECT id, name, artist, genre, license FROM raw_tracks")
+SOUNDS = "SELECT CAST(vec_id // 64 AS VARCHAR) AS track_id, ([2560, 3840, 5120])[vec_id // 64 % 3 + 1] AS sr, embedding FROM embeddings"
+query("s04_wav_ranges", lambda s, d: FS.read_wav_ranges(s, f"{stored_once(s, d)}/audio", 1500).select("track_id", "sr", "n_samples", "duration_s", "first", F.size("samples").alias("n"), F.aggregate("samples", F.lit(0).cast("long"), lambda t, x: t + F.rint(x * 32768).cast("long")).alias("total")), f"""
+SELECT track_id, sr, n_samples, n_samples / CAST(sr AS DOUBLE) AS duration_s, f * 1500 AS first, CAST(least(1500, n_samples - f * 1500) AS INTEGER) AS n, CAST(list_sum([CAST(round_even(CAST(v AS DOUBLE) * 32767, 0) AS BIGINT) FOR v IN x[f * 1500 + 1:f * 1500 + 1500]]) AS BIGINT) AS total
+FROM (SELECT *, unnest(range(0, (n_samples + 1499) // 1500)) AS f FROM (SELECT CAST(g AS VARCHAR) AS track_id, ([2560, 3840, 5120])[g % 3 + 1] AS sr, x, len(x) AS n_samples FROM (SELECT vec_id // 64 AS g, flatten(list(embedding ORDER BY vec_id)) AS x FROM embeddings GROUP BY g)))
+""")
+query("s04_wav_headers", lambda s, d: FS.read_wav_headers(s, f"{stored_once(s, d)}/audio").select("track_id", "sr", "channels", "n_samples"), f"SELECT track_id, any_value(sr) AS sr, 1 AS channels, CAST(sum(len(embedding)) AS BIGINT) AS n_samples FROM ({SOUNDS}) GROUP BY track_id")
+query("s05_blob_inventory", lambda s, d: S.blob_inventory(s, stored_once(s, d), "audio/"), f"SELECT 'audio/' || track_id || '.wav' AS key, CAST(44 + 2 * sum(len(embedding)) AS BIGINT) AS size FROM ({SOUNDS}) GROUP BY track_id")
 query("s06_object_keys", lambda s, d: S.with_object_keys(A.tracks(s, d).select("id"), "opus"), "SELECT id, 'audio/' || id || '.opus' AS master_key, 'audio/' || id || '.wav' AS source_key, 'meta/' || id || '.json' AS meta_key, 'audio/ogg' AS mime FROM tracks")
 
 # projections and lookups

@@ -74,6 +74,19 @@ def made_once(make):
     return table
 
 
+def by_path(make):
+    """``make(s, d)`` returns a folder; the queries of an application that start from it read the one folder."""
+    made = {}
+
+    def folder(s, d):
+        key = (s.sparkContext.applicationId, d)
+        if key not in made:
+            made[key] = make(s, d)
+        return made[key]
+
+    return folder
+
+
 @made_once
 def all_wide(s, d):
     """Features of every track, by the series that stand for it."""

@@ -15,6 +15,7 @@ from cadenza.functions import dimensions as D
 from cadenza.functions import sqlfuncs
 from cadenza.operators import catalog, chains, features, ingest, joins, licensing, matching, merge, segments, tempo
 from cadenza.sources import adapters as A
+from cadenza.sources import files as FS
 from cadenza.sources import readers as S
 from cadenza.sources import snapshots
 
@@ -406,6 +407,25 @@ def test_readers(spark, tmp_path):
         S.with_object_keys(spark.createDataFrame([("1",)], "id string"), "flac")
 
 
+def test_sound_in_ranges_and_headers(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = rng.uniform(-0.9, 0.9, 2500)
+    write_wav(tmp_path / "a.wav", np.repeat(x, 2), channels=2)
+    FS.write_blobs(spark.createDataFrame([("b", 8000, x.tolist()), ("none", 8000, [])], "id string, sr int, x array<double>").select(F.concat("id", F.lit(".wav")).alias("name"), FS.wav_content("x", "sr").alias("content")), str(tmp_path))
+    FS.write_blobs(spark.createDataFrame([("deep/er/bad.wav", b"junk"), ("notes.txt", None)], "name string, content binary"), str(tmp_path))
+    assert not [p for p in tmp_path.iterdir() if p.name.startswith("_writing")] and (tmp_path / "notes.txt").read_bytes() == b""
+    rows = FS.read_wav_ranges(spark, str(tmp_path), 1000).collect()
+    for name in "ab":
+        own = sorted((r["first"], r["samples"]) for r in rows if r["track_id"] == name)
+        assert [f for f, _ in own] == [0, 1000, 2000] and np.abs(np.concatenate([s for _, s in own]) - x).max() < 1e-4
+    assert [(r["samples"], r["error"] is None) for r in rows if r["track_id"] == "none"] == [([], True)]
+    assert [(r["samples"], r["error"] is None) for r in rows if r["track_id"] == "bad"] == [(None, False)]
+    heads = {r["track_id"]: r for r in FS.read_wav_headers(spark, str(tmp_path)).collect()}
+    assert (heads["a"]["sr"], heads["a"]["channels"], heads["a"]["n_samples"], heads["b"]["duration_s"]) == (22_050, 2, 2500, 2500 / 8000) and heads["bad"]["error"]
+    some = FS.read_wav_ranges(spark, str(tmp_path), 1000).filter("track_id = 'b'")
+    assert some.count() == 3 and some.rdd.getNumPartitions() < 9
+
+
 def clicks(bpm, sr, seconds, tonic=880.0):
     """A pulse at a tempo over a chord: what an analysis should hear."""
     t = np.arange(int(sr * seconds)) / sr
