@@ -41,7 +41,7 @@ class Encoder:
 
     UNIT = re.compile(r"[ \t\n\r\v\f]*[^ \t\n\r\v\f]+|[ \t\n\r\v\f]+")
     OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
-    LONGEST_UNIT, MOST_UNITS = 64, 1_000_000
+    LONGEST_UNIT, MOST_UNITS = 64, 500_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
