@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as X
 from ..functions import dimensions as D
+from .scans import running_sums
 
 SERIES = ("rms", "flux", "bass_ratio")
 
@@ -199,14 +200,27 @@ def bass_ratio(spectrum: DataFrame, low: float = 20.0, high: float = 150.0) -> D
     return spectrum.groupBy("track_id", "frame_idx").agg((F.sum(inside) / (F.sum("mag") + 1e-12)).alias("bass_ratio"))
 
 
-def prefix_sums(frames: DataFrame, columns: tuple[str, ...] = SERIES) -> DataFrame:
-    """``track_id, k, p_…``: sums of the first k frames, k from 0 to n."""
-    upto = by_frame().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = frames.select("track_id", (F.col("frame_idx") + 1).alias("k"), *(F.sum(c).over(upto).alias(f"p_{c}") for c in columns))
+def prefix_sums(frames: DataFrame, columns: tuple[str, ...] = SERIES, block: int | None = None) -> DataFrame:
+    """``track_id, k, p_…``: sums of the first k frames, k from 0 to n. With ``block``, a series is split into blocks of so many frames."""
+    if block:
+        rows = running_sums(frames.select("track_id", "frame_idx", *columns), {f"p_{c}": c for c in columns}, block=block).select("track_id", (F.col("frame_idx") + 1).alias("k"), *(f"p_{c}" for c in columns))
+    else:
+        upto = by_frame().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        rows = frames.select("track_id", (F.col("frame_idx") + 1).alias("k"), *(F.sum(c).over(upto).alias(f"p_{c}") for c in columns))
     zero = frames.select("track_id").distinct().select("track_id", F.lit(0).alias("k"), *(F.lit(0.0).alias(f"p_{c}") for c in columns))
     return rows.unionByName(zero)
 
 
+def window_means(windows: DataFrame, frames: DataFrame, column: str = "rms", block: int | None = None) -> DataFrame:
+    """``windows (track_id, start, stop)`` with ``mean`` of the frames from ``start`` to ``stop`` (exclusive, one at least), by two lookups
+    of prefix sums. Windows that reach past the ends of their series have none."""
+    p = prefix_sums(frames, (column,), block)
+    at = lambda k, v: p.select("track_id", F.col("k").alias(k), F.col(f"p_{column}").alias(v))
+    rows = windows.withColumn("__end", F.greatest("stop", F.col("start") + 1)).withColumn("__start", F.col("start"))
+    rows = rows.join(at("__start", "__p0"), ["track_id", "__start"], "left").join(at("__end", "__p1"), ["track_id", "__end"], "left")
+    return rows.select(*windows.columns, ((F.col("__p1") - F.col("__p0")) / (F.col("__end") - F.col("__start"))).alias("mean"))
+
+
 def prefix_arrays(frames: DataFrame) -> DataFrame:
     """``track_id, p``: the prefix sums of a track as one array, in order."""
     return prefix_sums(frames).groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("k", *(f"p_{c}" for c in SERIES)))).alias("p"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as X
 from .features import by_frame
+from .scans import in_blocks, running_sums
 
 LEAST_FRAMES, LEAST_SEGMENTS = 16, 4
 
@@ -24,27 +25,43 @@ def moving_average(column: str | Column, k: int) -> Column:
     return F.sum(X.col(column)).over(by_frame().rowsBetween(-(k // 2), (k - 1) // 2)) / k
 
 
-def blended_feature(frames: DataFrame, k: int) -> DataFrame:
-    """Adds ``feature``: smoothed loudness over its peak and half of the smoothed flux over its own."""
-    share = frames.withColumn("r", F.col("rms") / (F.max("rms").over(per_track()) + 1e-12)).withColumn("f", F.col("flux") / (F.max("flux").over(per_track()) + 1e-12))
-    return share.withColumn("feature", moving_average("r", k) + 0.5 * moving_average("f", k)).drop("r", "f")
+def blended_feature(frames: DataFrame, k: int, block: int | None = None) -> DataFrame:
+    """Adds ``feature``: smoothed loudness over its peak and half of the smoothed flux over its own. With ``block``, series are split."""
+    smooth = lambda df: df.withColumn("feature", moving_average("r", k) + 0.5 * moving_average("f", k))
+    share = lambda df, r, f: df.withColumn("r", F.col("rms") / (r + 1e-12)).withColumn("f", F.col("flux") / (f + 1e-12))
+    if not block:
+        return smooth(share(frames, F.max("rms").over(per_track()), F.max("flux").over(per_track()))).drop("r", "f")
+    peaks = frames.groupBy(F.col("track_id").alias("__id")).agg(F.max("rms").alias("__r"), F.max("flux").alias("__f"))
+    rows = share(frames.join(peaks, F.col("track_id").eqNullSafe(F.col("__id"))), F.col("__r"), F.col("__f")).drop("__id", "__r", "__f")
+    return in_blocks(rows, smooth, k // 2, (k - 1) // 2, block=block).drop("r", "f")
 
 
-def novelty(frames: DataFrame, k: int) -> DataFrame:
-    """Adds ``novelty``: the smoothed size of the slope of ``feature``, rounded to 9 digits."""
-    before, after = F.lag("feature").over(by_frame()), F.lead("feature").over(by_frame())
-    slope = F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after - F.col("feature")).when(after.isNull(), F.col("feature") - before).otherwise((after - before) / 2)
-    rows = frames.withColumn("slope", F.abs(slope))
-    return rows.withColumn("novelty", X.round_up_half(moving_average("slope", k), 9)).drop("slope")
+def novelty(frames: DataFrame, k: int, block: int | None = None) -> DataFrame:
+    """Adds ``novelty``: the smoothed size of the slope of ``feature``, rounded to 9 digits. With ``block``, series are split."""
 
+    def near(rows: DataFrame) -> DataFrame:
+        before, after = F.lag("feature").over(by_frame()), F.lead("feature").over(by_frame())
+        slope = F.when(before.isNull() & after.isNull(), 0.0).when(before.isNull(), after - F.col("feature")).when(after.isNull(), F.col("feature") - before).otherwise((after - before) / 2)
+        rows = rows.withColumn("slope", F.abs(slope))
+        return rows.withColumn("novelty", X.round_up_half(moving_average("slope", k), 9)).drop("slope")
 
-def local_maxima(frames: DataFrame, column: str = "novelty") -> DataFrame:
-    """``track_id, frame_idx, height``: frames above both neighbours; of a level run the middle one, rounded down. Ends never count."""
-    change = F.coalesce((F.col(column) != F.lag(column).over(by_frame())).cast("int"), F.lit(0))
-    runs = frames.withColumn("run", F.sum(change).over(by_frame().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    # a slope reaches a frame further than the average of slopes
+    return in_blocks(frames, near, k // 2 + 1, (k - 1) // 2 + 1, block=block) if block else near(frames)
+
+
+def local_maxima(frames: DataFrame, column: str = "novelty", block: int | None = None) -> DataFrame:
+    """``track_id, frame_idx, height``: frames above both neighbours; of a level run the middle one, rounded down. Ends never count.
+
+    With ``block``, series are split, runs that cross blocks included."""
+    change = lambda df: df.withColumn("__change", F.coalesce((F.col(column) != F.lag(column).over(by_frame())).cast("int"), F.lit(0)))
+    if block:
+        runs = running_sums(in_blocks(frames, change, 1, 0, block=block), {"run": "__change"}, block=block)
+    else:
+        runs = change(frames).withColumn("run", F.sum("__change").over(by_frame().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     runs = runs.groupBy("track_id", "run").agg(F.min("frame_idx").alias("a"), F.max("frame_idx").alias("b"), F.first(column).alias("height"))
     order = Window.partitionBy("track_id").orderBy("run")
-    runs = runs.withColumn("before", F.lag("height").over(order)).withColumn("after", F.lead("height").over(order))
+    beside = lambda df: df.withColumn("before", F.lag("height").over(order)).withColumn("after", F.lead("height").over(order))
+    runs = in_blocks(runs, beside, 1, 1, "run", block) if block else beside(runs)  # runs are numbered from 0 on
     return runs.filter("before < height AND after < height").select("track_id", F.floor((F.col("a") + F.col("b")) / 2).cast("int").alias("frame_idx"), "height")
 
 
@@ -96,9 +113,9 @@ def label_segments(segments: DataFrame, hop_dur: float) -> DataFrame:
     )
 
 
-def peaks_of(frames: DataFrame, hop_dur: float) -> DataFrame:
+def peaks_of(frames: DataFrame, hop_dur: float, block: int | None = None) -> DataFrame:
     k = smoothing(hop_dur)
-    return local_maxima(novelty(blended_feature(frames, k), k))
+    return local_maxima(novelty(blended_feature(frames, k, block), k, block), block=block)
 
 
 def segment(frames: DataFrame, hop_dur: float, min_segments: int = LEAST_SEGMENTS) -> DataFrame:

@@ -287,6 +287,30 @@ SELECT track_id, CAST(row_number() OVER w - 1 AS INTEGER) AS seg_idx, b AS start
         UNION SELECT p.track_id, p.frame_idx FROM peaks p JOIN (SELECT track_id, count(*) AS n FROM frames GROUP BY track_id) c USING (track_id) WHERE p.frame_idx > 0 AND p.frame_idx < n - 1)
 ) WHERE e IS NOT NULL WINDOW w AS (PARTITION BY track_id ORDER BY b)
 """)
+
+
+def one_series(s, d):
+    """All events, in their order, as one long series."""
+    e = s.read.parquet(f"{d}/events.parquet")
+    return e.select(F.lit("all").alias("track_id"), F.col("event_id").cast("int").alias("frame_idx"), F.floor(F.col("value")).alias("rms"), F.floor(F.pmod("value", F.lit(7.0))).alias("flux"), F.lit(0.5).alias("bass_ratio"))
+
+
+#: The segmentation's steps over that series; whole numbers, so that runs of equal novelty occur.
+ONE = """
+WITH one AS (SELECT 'all' AS track_id, CAST(event_id AS INTEGER) AS frame_idx, floor(value) AS rms, floor(value - 7 * floor(value / 7)) AS flux FROM events),
+blend AS (SELECT *, sum(rms / (m + 1e-12)) OVER w / 2 + 0.5 * (sum(flux / (g + 1e-12)) OVER w / 2) AS feature FROM (SELECT *, max(rms) OVER () AS m, max(flux) OVER () AS g FROM one) WINDOW w AS (ORDER BY frame_idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)),
+slope AS (SELECT *, abs(CASE WHEN lag(feature) OVER w IS NULL THEN lead(feature) OVER w - feature WHEN lead(feature) OVER w IS NULL THEN feature - lag(feature) OVER w ELSE (lead(feature) OVER w - lag(feature) OVER w) / 2 END) AS slope FROM blend WINDOW w AS (ORDER BY frame_idx)),
+found AS (SELECT *, floor(sum(slope) OVER (ORDER BY frame_idx ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) / 2 * 1e9 + 0.5) / 1e9 AS novelty FROM slope),
+flagged AS (SELECT *, sum(c) OVER (ORDER BY frame_idx ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, coalesce(CAST(novelty <> lag(novelty) OVER (ORDER BY frame_idx) AS INTEGER), 0) AS c FROM found)),
+level AS (SELECT run, min(frame_idx) AS a, max(frame_idx) AS b, any_value(novelty) AS height FROM flagged GROUP BY run)
+"""
+query("f05_long_prefix_sums", lambda s, d: E.prefix_sums(one_series(s, d), ("rms", "flux"), block=700), ONE + "SELECT track_id, frame_idx + 1 AS k, sum(rms) OVER w AS p_rms, sum(flux) OVER w AS p_flux FROM one WINDOW w AS (ORDER BY frame_idx) UNION ALL SELECT 'all', 0, 0, 0")
+query("f06_long_window_means", lambda s, d: r(E.window_means(one_series(s, d).select("track_id", F.col("frame_idx").alias("start"), (F.col("frame_idx") + F.pmod("frame_idx", F.lit(90))).alias("stop")), one_series(s, d), block=700), "mean"), ONE + f"""
+SELECT track_id, frame_idx AS start, frame_idx + frame_idx % 90 AS stop, CASE WHEN greatest(frame_idx + frame_idx % 90, frame_idx + 1) <= n THEN {R4('(coalesce(list_sum(a[frame_idx + 1:greatest(frame_idx + frame_idx % 90, frame_idx + 1)]), 0)) / greatest(frame_idx % 90, 1)', 6)} END AS mean
+FROM one, (SELECT list(rms ORDER BY frame_idx) AS a, count(*) AS n FROM one)
+""")
+query("n03_long_novelty", lambda s, d: r(N.novelty(N.blended_feature(one_series(s, d), 2, block=700), 2, block=700).select("track_id", "frame_idx", "novelty"), "novelty"), ONE + f"SELECT track_id, frame_idx, {R4('novelty', 6)} AS novelty FROM found")
+query("n04_long_maxima", lambda s, d: N.peaks_of(one_series(s, d), H, block=700).select("track_id", "frame_idx"), ONE + "SELECT 'all' AS track_id, CAST((a + b) // 2 AS INTEGER) AS frame_idx FROM (SELECT *, lag(height) OVER (ORDER BY run) AS p, lead(height) OVER (ORDER BY run) AS q FROM level) WHERE p < height AND q < height")
 SLICES = "SELECT track_id, seg_idx, label, start_frame, end_frame FROM segs"
 ENERGY = f"SELECT s.track_id, seg_idx, label, start_frame, end_frame, {R4('avg(rms)', 9)} AS energy FROM ({SLICES}) s JOIN frames f ON f.track_id = s.track_id AND f.frame_idx >= start_frame AND f.frame_idx < end_frame GROUP BY ALL"
 query("n08_segment_energy", lambda s, d: r(N.segment_energy(slices(s, d).drop("label"), A.frames(s, d)), "energy", "lo", "hi"), f"""

@@ -153,6 +153,24 @@ def test_interval_and_nearest_joins(spark):
         assert found.count() == len(points)
 
 
+@pytest.mark.parametrize("block", [7, 64, 1000])
+def test_split_series_equal_whole_ones(spark, block):
+    rng = np.random.default_rng(3)
+    rows = [(t, i, float(v), float(w), 0.5) for t, n in (("a", 500), ("b", 1), ("c", 14), ("d", 7)) for i, (v, w) in enumerate(zip(rng.integers(0, 4, n), rng.integers(0, 3, n)))]
+    rows += [("flat", i, 1.0, 0.0, 0.5) for i in range(40)] + [("step", i, float(i // 25), 0.0, 0.5) for i in range(100)]
+    frames = spark.createDataFrame(rows, "track_id string, frame_idx int, rms double, flux double, bass_ratio double")
+    as_rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert as_rows(features.prefix_sums(frames, block=block)) == as_rows(features.prefix_sums(frames))
+    for k in (1, 2, 5):
+        whole = segments.novelty(segments.blended_feature(frames, k), k)
+        split = segments.novelty(segments.blended_feature(frames, k, block), k, block)
+        assert as_rows(split.select("track_id", "frame_idx", "novelty")) == as_rows(whole.select("track_id", "frame_idx", "novelty"))
+        assert as_rows(segments.local_maxima(split, block=block)) == as_rows(segments.local_maxima(whole))
+    assert as_rows(segments.local_maxima(frames, "rms", block)) == as_rows(segments.local_maxima(frames, "rms"))
+    with pytest.raises(ValueError):
+        segments.blended_feature(frames, 40, 7).collect()
+
+
 def test_snap_takes_markers_then_beats_then_the_tempo(spark):
     p = spark.createDataFrame([("x", "a", "b", 10.0, 120), ("y", "a", "c", 10.25, 120), ("z", "q", "b", 10.3, 120), ("w", "q", "b", -4.0, 0)], "key string, a_id string, b_id string, t double, bpm int")
     markers = spark.createDataFrame([("a", "b", 2, 12.0, 1.0), ("a", "b", 1, 11.0, 2.0), ("a", "c", 1, 50.0, 0.0)], "a_id string, b_id string, rank int, a_start_s double, b_start_s double")
