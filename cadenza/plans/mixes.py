@@ -19,6 +19,7 @@ from ..operators import matching as R
 from ..operators import merge as M
 from ..operators import transitions as TR
 from ..sources import adapters as A
+from ..sources import buckets as B
 from ..sources import readers as S
 from ..sources.staging import shared_dir
 from .registry import query
@@ -239,8 +240,22 @@ INCOMING = """
 SELECT CASE WHEN CAST(id AS BIGINT) % 9 = 0 THEN 'new-' || id ELSE id END AS id, name || '!' AS name, artist, genre, license, CASE WHEN CAST(id AS BIGINT) % 2 = 0 THEN native_bpm + 1 END AS native_bpm, camelot, duration_s, popularity, 'fetched' AS status, CAST(NULL AS VARCHAR) AS status_error,
     license_nd, license_sa, license_nc, mixable, CAST(NULL AS VARCHAR) AS audio_key FROM tracks WHERE CAST(id AS BIGINT) % 3 = 0
 """
-query("m01_upsert_tracks", lambda s, d: M.upsert_tracks(A.tracks(s, d), incoming_tracks(s, d)), "SELECT coalesce(i.id, t.id) AS id, " + ", ".join(f"CASE WHEN i.id IS NOT NULL THEN i.{c} ELSE t.{c} END AS {c}" for c in M.ALWAYS) + ", " + ", ".join(f"coalesce(i.{c}, t.{c}) AS {c}" for c in ("native_bpm", "camelot", "duration_s", "popularity", "audio_key")) + f" FROM tracks t FULL JOIN ({INCOMING}) i ON i.id = t.id")
+UPSERTED = "SELECT coalesce(i.id, t.id) AS id, " + ", ".join(f"CASE WHEN i.id IS NOT NULL THEN i.{c} ELSE t.{c} END AS {c}" for c in M.ALWAYS) + ", " + ", ".join(f"coalesce(i.{c}, t.{c}) AS {c}" for c in ("native_bpm", "camelot", "duration_s", "popularity", "audio_key")) + f" FROM tracks t FULL JOIN ({INCOMING}) i ON i.id = t.id"
+query("m01_upsert_tracks", lambda s, d: M.upsert_tracks(A.tracks(s, d), incoming_tracks(s, d)), UPSERTED)
+query("m01_bucketed_upsert", lambda s, d: bucketed(s, d, A.tracks(s, d), incoming_tracks(s, d), ["id"], M.upsert_tracks), UPSERTED)
+
+
+def bucketed(s, d, first, then, keys, merge):
+    """A table of buckets after two versions, the older of which is dropped."""
+    path = f"{shared_dir(s)}/buckets-{uuid.uuid4().hex}"
+    for rows in (first, then):
+        B.upsert(rows, path, keys, merge, 16)
+    B.drop_versions(s, path, 1)
+    return B.read_version(s, path)
+
+
 query("m02_upsert_variants", lambda s, d: M.upsert_variants(A.variants(s, d), A.variant_plan(s, d).filter("cast(track_id AS bigint) % 5 = 0").withColumn("duration_s", F.lit(1.0))), "SELECT * REPLACE (CASE WHEN CAST(track_id AS BIGINT) % 5 = 0 THEN 1.0 ELSE duration_s END AS duration_s) FROM variant_plan WHERE CAST(track_id AS BIGINT) % 5 = 0 OR (CAST(track_id AS BIGINT) + grid_bpm) % 17 <> 0")
+query("m02_bucketed_upsert", lambda s, d: bucketed(s, d, A.variants(s, d), A.variant_plan(s, d).filter("cast(track_id AS bigint) % 5 = 0").withColumn("duration_s", F.lit(1.0)), ["track_id", "grid_bpm"], M.upsert_variants), "SELECT * REPLACE (CASE WHEN CAST(track_id AS BIGINT) % 5 = 0 THEN 1.0 ELSE duration_s END AS duration_s) FROM variant_plan WHERE CAST(track_id AS BIGINT) % 5 = 0 OR (CAST(track_id AS BIGINT) + grid_bpm) % 17 <> 0")
 query("m03_upsert_mixes", lambda s, d: M.upsert_mixes(A.mixes(s, d), A.mixes(s, d).filter("cast(id AS bigint) % 4 = 0").withColumns({"name": F.lit("x"), "created_at": F.lit(0.0), "updated_at": F.lit(9.0)})), "SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN 'x' ELSE name END AS name, head_id, created_at, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN 9.0 ELSE updated_at END AS updated_at FROM mixes")
 query("m03_upsert_mix_tracks", lambda s, d: M.upsert_mix_tracks(A.mix_tracks(s, d), A.mix_tracks(s, d).filter("delta_beats > 150").withColumns({"mix_id": F.lit("z"), "delta_beats": F.lit(7)})), "SELECT id, mix_id, track_id, next_id, CASE WHEN delta_beats > 150 THEN 7 ELSE delta_beats END AS delta_beats, grid_bpm FROM mix_tracks")
 

@@ -15,6 +15,7 @@ from cadenza.functions import dimensions as D
 from cadenza.functions import sqlfuncs
 from cadenza.operators import catalog, chains, features, ingest, joins, licensing, matching, merge, segments, tempo
 from cadenza.sources import adapters as A
+from cadenza.sources import buckets
 from cadenza.sources import files as FS
 from cadenza.sources import readers as S
 from cadenza.sources import snapshots
@@ -523,6 +524,41 @@ def test_snapshots_are_whole_or_not_there(spark, tmp_path):
     assert snapshots.numbers(spark, path) == [1, 2, 3] and snapshots.numbers(spark, path, "b") == [1, 2]
 
 
+def test_buckets_rewrite_what_is_touched(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    table = spark.range(20_000).selectExpr("cast(id AS string) AS id", "cast(id AS int) AS v")
+    new = lambda **x: spark.createDataFrame(list(x.items()), "id string, v int")
+    merge_ = lambda current, incoming: current.join(incoming, "id", "left_anti").unionByName(incoming)
+    assert buckets.read_version(spark, path) is None
+    assert buckets.upsert(table, path, ["id"], merge_, 256)[0] == 0
+    version, rewritten = buckets.upsert(spark.range(0, 20_000, 1000).selectExpr("cast(id AS string) AS id", "-1 AS v"), path, ["id"], merge_)  # 0.1 % of the rows
+    assert version == 1 and 0 < rewritten <= 20 < 0.1 * 256
+    got = {r["id"]: r["v"] for r in buckets.read_version(spark, path).collect()}
+    assert len(got) == 20_000 and got["3000"] == -1 and got["3001"] == 3001 and buckets.read_version(spark, path, 0).filter("v < 0").count() == 0
+    # another writer is faster between reading the manifest and putting the new one
+    put, races = buckets._put, []
+
+    def late(s, p, n, content):
+        if not races:
+            races.append(n)
+            buckets.upsert(new(**{"5": 100, "a": 1}), path, ["id"], merge_)
+        return put(s, p, n, content)
+
+    monkeypatch.setattr(buckets, "_put", late)
+    assert buckets.upsert(new(**{"5": 200, "b": 2}), path, ["id"], merge_)[0] == 3 and races == [2]
+    got = {r["id"]: r["v"] for r in buckets.read_version(spark, path).collect()}
+    assert got["5"] == 200 and got["a"] == 1 and got["b"] == 2 and len(got) == 20_002
+    monkeypatch.setattr(buckets, "_put", lambda *x: False)
+    with pytest.raises(RuntimeError):
+        buckets.upsert(new(c=1), path, ["id"], merge_)
+    monkeypatch.undo()
+    (tmp_path / "t" / "manifests" / "_writing-x").write_text("")  # of a writer that died
+    buckets.drop_versions(spark, path, 1)
+    assert buckets.versions(spark, path) == [3] and buckets.read_version(spark, path).count() == 20_002
+    assert buckets._put(spark, path, 4, {}) and not buckets._put(spark, path, 4, {})
+    assert buckets.upsert(table.limit(0), str(tmp_path / "e"), ["id"], merge_)[0] == 0 and buckets.read_version(spark, str(tmp_path / "e")).count() == 0
+
+
 def test_latency_log(spark, tmp_path):
     rows = A.latency(spark, SF)
     for _ in range(2):
