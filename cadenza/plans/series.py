@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import wraps
 
 from pyspark.sql import functions as F
 
@@ -63,6 +64,7 @@ def made_once(make):
     """``make(s, d)`` written to the shared folder; the queries of an application that start from it read the one table."""
     made = {}
 
+    @wraps(make)
     def table(s, d):
         key = (s.sparkContext.applicationId, d)
         if key not in made or not is_staged(s, made[key][0]):
@@ -78,6 +80,7 @@ def by_path(make):
     """``make(s, d)`` returns a folder; the queries of an application that start from it read the one folder."""
     made = {}
 
+    @wraps(make)
     def folder(s, d):
         key = (s.sparkContext.applicationId, d)
         if key not in made:
