@@ -659,6 +659,23 @@ def test_urls_with_literals_inside_tokens(spark):
     assert {r["page_id"] for r in as_rows(urls.filter_urls(table, urls.rule_table(spark, []))) if r["verdict"] == "allow"} == set(range(len(rows)))
 
 
+def test_ten_thousand_rules_run_on_few_urls(spark):
+    rng = np.random.default_rng(12)
+    rules = [(f"rule {i}", rf"/shop/item{i}([/?#]|$)", ["shop", f"item{i}"], "block", i % 7) for i in range(10_000)]
+    rules += [(f"twin {i}", rf"[?&]item{i}=", [f"item{i}"], "block", 9) for i in range(0, 10_000, 10)] + [("end", "zz$", [], "block", 0)]
+    rows = [f"http://www.shop{j % 3}.com/shop/item{rng.integers(0, 12_000)}{rng.choice(['', '/', 'x', '?a=1', '?item40=1'])}{rng.choice(['', 'zz'])}" for j in range(600)]
+    table = spark.createDataFrame(list(enumerate(rows)), "page_id long, url string")
+    known = urls.rule_table(spark, rules)
+    got = {r["page_id"]: r["pattern_rule"] for r in as_rows(urls.filter_urls(table, known))}
+    by_name = {n: (k, p) for n, p, _, _, k in rules}
+    for i, u in enumerate(rows):
+        near = [f"rule {m[1]}" for m in re.finditer("item([0-9]+)", u)] + [f"twin {m[1]}" for m in re.finditer("item([0-9]+)", u)] + ["end"]
+        hits = [(by_name[n][0], n) for n in near if n in by_name and re.search(by_name[n][1], u)]
+        assert got[i] == (max(hits)[1] if hits else None)
+    filed = Counter(r["token"] for r in as_rows(urls.rarest_token_index(table, known)))
+    assert filed["shop"] == 0 and filed[None] == 1 and max(n for t, n in filed.items() if t) == 2  # the literal that all URLs hold fetches nothing
+
+
 def test_urls_lose_no_match_against_all_patterns(spark):
     rng = np.random.default_rng(11)
     hosts = ["casino-win", "a.casino-1", "mycheap-pills", "cheap-pills", "cheappills", "spam-farm", "x.spam-farm", "www-xxx-a", "xxx-b", "a-pokerstars", "b-poker-c", "poker", "plain"]
