@@ -114,6 +114,10 @@ def replace_chains(mixes: DataFrame, mix_tracks: DataFrame, new: DataFrame, vari
     return rows, kept, bad
 
 
+#: Columns of published variants; there may be none.
+VARIANTS = "track_id string, ratio double, object_key string, duration_s double, grid_bpm int"
+
+
 def publish_tracks(tracks: DataFrame, variants: DataFrame, path: str) -> int:
     """A new snapshot of both tables: variants first, and it counts once the tracks are whole.
 
@@ -124,7 +128,7 @@ def publish_tracks(tracks: DataFrame, variants: DataFrame, path: str) -> int:
 
 def read_published(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame] | None:
     """(tracks, variants) as last published, or None."""
-    found = snapshots.read_snapshot(spark, path, ["variants", "tracks"])
+    found = snapshots.read_snapshot(spark, path, ["variants", "tracks"], schemas={"variants": VARIANTS})
     return None if found is None else (found["tracks"], found["variants"])
 
 

@@ -36,10 +36,13 @@ def write_snapshot(spark: SparkSession, path: str, tables: dict[str, DataFrame],
     return n
 
 
-def read_snapshot(spark: SparkSession, path: str, names: list[str], number: int | None = None) -> dict[str, DataFrame] | None:
-    """The tables of the newest snapshot whose last table is whole (up to ``number``), or None."""
+def read_snapshot(spark: SparkSession, path: str, names: list[str], number: int | None = None, schemas: dict[str, str] | None = None) -> dict[str, DataFrame] | None:
+    """The tables of the newest snapshot whose last table is whole (up to ``number``), or None.
+
+    Tables that may be empty and are partitioned need their schema: such a table has no file to tell it."""
     whole = [n for n in numbers(spark, path, names[-1]) if number is None or n <= number]
-    return {name: spark.read.parquet(f"{path}/v={whole[-1]}/{name}") for name in names} if whole else None
+    reader = lambda name: spark.read.schema(schemas[name]) if schemas and name in schemas else spark.read
+    return {name: reader(name).parquet(f"{path}/v={whole[-1]}/{name}") for name in names} if whole else None
 
 
 def drop_snapshots(spark: SparkSession, path: str, last: str, keep: int = 2) -> None:
