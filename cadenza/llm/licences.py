@@ -1,12 +1,16 @@
 """Licence scans: sparse TF-IDF cosine of headers and licence files to templates, then
 nearest-ancestor inheritance. DataFrame operations only.
 
-A text is compared as a whole, and line by line. Its whole vector is held against wordings of
+A text is compared as a whole, and in parts. Its whole vector is held against wordings of
 notices and full licence texts: a document that is close to one of them is a licence file and
-speaks for its directory. Its lines are held against the wordings: a document with a line (or
-a window of a long line) that is close to one has that licence as a header. Documents without
-a licence of their own inherit that of the nearest directory above them that has a licence
-file.
+speaks for its directory. Its parts are held against the wordings: a document with a part that
+is close to one has that licence as a header. Parts are runs of one to four lines (those without
+terms left out), so a header that wraps is one part however its comment marks look, and windows
+that slide over the terms of the whole text. Documents without a licence of their own inherit
+that of the nearest directory above them that has a licence file.
+
+A match counts only if text and template share a term that names something: "licensed under
+the" alone is close to several wordings and names no licence.
 
 Inverse document frequencies of template terms are counted over all documents; a term outside
 the templates weighs as one that a single document holds. A vector reaches a cosine of c with
@@ -44,15 +48,28 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License."),
+    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
 ]
+#: Identifiers that a file can state instead of a notice.
+SPDX = ("AGPL-3.0", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-2.1", "LGPL-3.0", "MIT", "MPL-2.0")
+TEMPLATES += [(name, f"SPDX-License-Identifier: {name}") for name in SPDX]
+#: Terms of wordings that name no licence; numbers don't either.
+NAMELESS = frozenset(
+    "a an and any are as be by clause code dedicated file files following for form forms free identifier in international is it library licence licensed license "
+    "may not of only or other person public released software source spdx subject terms that the this to under universal use version with without work you".split()
+)
 TERM = "[a-z]+|[0-9]+(?:[.][0-9]+)*"
 #: Cosines from which on a line is a notice, and a document is a licence file.
 LEAST_COSINE, LEAST_FILE_COSINE = 0.5, 0.7
 #: Licences whose full text is in ``licence_texts``.
 FULL_TEXTS = ("Apache-2.0", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MIT", "MPL-2.0")
-#: The ``window`` of a whole text; lines have the number of terms that are compared at once.
+#: The ``window`` of a whole text; parts have the number of terms that are compared at once.
 WHOLE = 0
 LEAST_WINDOW = 16
+#: So many lines at most are compared as one part.
+RUN = 4
 
 
 def full_texts() -> list[tuple[str, str]]:
@@ -68,8 +85,12 @@ def _one_of(some) -> str:
     return "x IN (" + ", ".join(f"'{t}'" for t in sorted(some)) + ")"
 
 
+def names_something(term: str) -> bool:
+    return term not in NAMELESS and not term[0].isdigit()
+
+
 def template_terms(spark, notices: list[tuple[str, str]], full: list[tuple[str, str]]) -> DataFrame:
-    """``template, licence, window, term, n``: all wordings for whole texts, and the notices for lines
+    """``template, licence, window, term, n``: all wordings for whole texts, and the notices for parts
     with the window that holds any two of their kind, a power of two."""
     wordings = spark.createDataFrame([(i, *t, i < len(notices)) for i, t in enumerate([*notices, *full])], "template int, licence string, wording string, notice boolean")
     each = wordings.withColumn("terms", terms(F.col("wording")))
@@ -102,10 +123,27 @@ def heaviest_terms(vectors: list[Row], least: dict[int, float]) -> dict[int, lis
     return {window: sorted(found) for window, found in out.items()}
 
 
-def windows_of(found: Column, window: int) -> Column:
-    """``found`` alone if it has at most ``window`` terms, else slices of so many that start every half of it."""
-    many = F.transform(F.sequence(F.lit(1), F.greatest(F.size(found) - window // 2, F.lit(1)), F.lit(window // 2)), lambda at: F.slice(found, at, window))
-    return F.when(F.size(found) <= window, F.array(found)).otherwise(many)
+def parts(texts: DataFrame, windows: list[int], among: Column) -> DataFrame:
+    """``key, window, terms``: the parts of each of ``texts (key, text)`` that are compared, for each of ``windows``.
+
+    Runs of up to :data:`RUN` lines that fit into the window, and as many terms as the window
+    has, every half of it, whatever the lines are. ``among`` is a column over ``found``: parts
+    for which it is false are left out."""
+    lines = texts.select("key", F.filter(F.transform(F.split("text", "\n"), terms), lambda line: F.size(line) > 0).alias("lines")).filter(F.size("lines") > 0)
+    near = lines.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size("lines")), lambda at: F.slice("lines", at, RUN))).alias("near"))
+    near = near.withColumn("found", F.flatten("near")).filter(among)
+    runs = near.select("key", F.explode(F.transform(F.sequence(F.lit(1), F.size("near")), lambda k: F.flatten(F.slice("near", F.lit(1), k)))).alias("found")).filter(among)
+    fit = F.filter(F.array(*map(F.lit, windows)), lambda w: F.size("found") <= w)
+    runs = runs.select("key", F.explode(fit).alias("window"), "found")
+    starts = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("all") - w // 2, F.lit(1)), F.lit(w // 2)), (lambda w: lambda at: F.struct(F.lit(w).alias("window"), at.alias("at")))(w)) for w in windows]
+    # only the places are exploded, the terms of a place are cut out after that
+    slid = texts.select("key", terms(F.col("text")).alias("all")).select("key", "all", F.explode(F.concat(*starts)).alias("p"))
+    slid = slid.select("key", F.col("p.window").alias("window"), F.expr("slice(all, p.at, p.window)").alias("found")).filter(among)
+    return runs.unionByName(slid).withColumnRenamed("found", "terms")
+
+
+def _names(term: str) -> Column:
+    return ~F.col(term).isin(*sorted(NAMELESS)) & ~F.substring(term, 1, 1).between("0", "9")
 
 
 def cosines(units: DataFrame, vectors: DataFrame, weights: DataFrame, unknown: Column) -> DataFrame:
@@ -113,13 +151,14 @@ def cosines(units: DataFrame, vectors: DataFrame, weights: DataFrame, unknown: C
 
     ``vectors (template, licence, window, term, t)`` has the templates; a unit is compared with
     those of its window. ``weights (term, idf)`` covers their terms; other terms weigh
-    ``unknown``. Ties go to the licence that comes first by name.
+    ``unknown``. Templates with which it shares no term that names something don't count.
+    Ties go to the licence that comes first by name.
     """
     lengths = vectors.groupBy("template", "window").agg(F.sqrt(F.sum(F.col("t") * F.col("t"))).alias("t_length"))
     own = units.select("unit", "window", F.explode("terms").alias("term")).groupBy("unit", "window", "term").agg(F.count("*").alias("n"))
     own = own.join(weights, "term", "left").select("unit", "window", "term", _weight(F.col("n"), F.coalesce("idf", unknown)).alias("w"))
     size = own.groupBy("unit", "window").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = own.join(vectors, ["window", "term"]).groupBy("unit", "window", "template", "licence").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
+    dots = own.join(vectors, ["window", "term"]).groupBy("unit", "window", "template", "licence").agg(F.sum(F.col("w") * F.col("t")).alias("dot"), F.max(_names("term")).alias("named")).filter("named")
     scored = dots.join(size, ["unit", "window"]).join(lengths, ["template", "window"])
     scored = scored.select("unit", "window", "licence", F.round(F.col("dot") / (F.col("length") * F.col("t_length")), 9).alias("cosine"))
     best = scored.groupBy("unit", "window").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
@@ -147,10 +186,11 @@ def scan_licences(docs: DataFrame, directory: Column, templates: list[tuple[str,
 
     ``directory`` is a column over ``docs``, parts joined by ``/``. ``how`` is ``file`` (the
     whole text reaches ``least_file`` with a wording or a full licence text, at any length),
-    ``header`` (else: a line reaches ``least`` with a wording), ``inherited`` or ``none``.
+    ``header`` (else: a part reaches ``least`` with a wording), ``inherited`` or ``none``.
     The best template counts; of the licence files of a directory the best one does, ties to
-    the smallest id. Lines with more terms than a wording's window are compared in overlapping
-    windows, so a notice inside a long line counts like one of its own.
+    the smallest id. A notice inside a long line, and one that wraps over up to four lines,
+    count like one on a line of its own. Of several licences in a text the closest is told;
+    a version that no template has is told as the nearest that one has.
 
     * null and empty texts have no terms and can inherit; a null directory is the root
     * null ids are judged like others, but speak for a directory only where no file has an id
@@ -170,20 +210,23 @@ def scan_licences(docs: DataFrame, directory: Column, templates: list[tuple[str,
     collected = vectors.collect()
     bounds = {v["window"]: least_file if v["window"] == WHOLE else least for v in collected}
     heavy = heaviest_terms(collected, bounds)
-    holds_any = F.expr(f"exists(found, x -> {_one_of(set().union(*heavy.values()))})")
+    naming: dict[int, set[str]] = {}
+    for v in collected:
+        if names_something(v["term"]):
+            naming.setdefault(v["window"], set()).add(v["term"])
+    holds = lambda what, some: F.expr(f"exists({what}, x -> {_one_of(some)})") if some else F.lit(False)
+    possible = lambda what, of: holds(what, set().union(*(heavy[w] for w in of))) & holds(what, set().union(*(naming.get(w, ()) for w in of)))
+    sliding = sorted(w for w in heavy if w != WHOLE)
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(directory.cast("string"), F.lit("")).alias("directory"), text.alias("text"), terms(text).alias("found"))
-    kept = kept.select("doc_id", "directory", F.when(holds_any, F.col("text")).alias("text"))
+    kept = kept.select("doc_id", "directory", F.when(possible("found", list(heavy)), F.col("text")).alias("text"))
     rows = stage(kept.withColumn("key", F.sha2("text", 256)), "rows")
     texts = rows.filter("key IS NOT NULL").groupBy("key").agg(F.first("text").alias("text"))
     whole = texts.select("key", F.unhex(F.md5("key")).alias("unit"), F.lit(WHOLE).alias("window"), terms(F.col("text")).alias("terms"))
-    lines = texts.select("key", F.explode(F.split("text", "\n")).alias("line")).select("key", terms(F.col("line")).alias("found"))
-    in_window = lambda w: F.transform(windows_of(F.col("found"), w), lambda x: F.struct(F.lit(w).alias("window"), x.alias("terms")))
-    parts = [in_window(w) for w in heavy if w != WHOLE]
-    windows = lines.filter(holds_any).select("key", F.explode(F.concat(*parts)).alias("u")).select("key", F.unhex(F.md5(F.array_join("u.terms", " "))).alias("unit"), "u.window", "u.terms") if parts else whole.limit(0)
+    windows = parts(texts, sliding, possible("found", sliding)).select("key", F.unhex(F.md5(F.array_join("terms", " "))).alias("unit"), "window", "terms") if sliding else whole.limit(0)
     wanted = F.lit(False)
-    for w, found in heavy.items():
-        wanted = wanted | ((F.col("window") == w) & F.expr(f"exists(terms, x -> {_one_of(found)})"))
+    for w in heavy:
+        wanted = wanted | ((F.col("window") == w) & possible("terms", [w]))
     asked = stage(whole.unionByName(windows).filter(wanted), "units")
     units = asked.groupBy("unit", "window").agg(F.first("terms").alias("terms"))
     enough = F.col("cosine") >= F.when(F.col("window") == WHOLE, least_file).otherwise(least)

@@ -125,11 +125,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def op2() -> str:
-    from .licences import LEAST_COSINE, LEAST_FILE_COSINE, LEAST_WINDOW, TEMPLATES, TERM, WHOLE, full_texts
+    from .licences import LEAST_COSINE, LEAST_FILE_COSINE, LEAST_WINDOW, NAMELESS, RUN, TEMPLATES, TERM, WHOLE, full_texts
 
     quote = lambda x: "'" + x.replace("'", "''") + "'"
     wordings = ", ".join(f"({i}, {quote(licence)}, {quote(wording)}, {i < len(TEMPLATES)})" for i, (licence, wording) in enumerate([*TEMPLATES, *full_texts()]))
     terms = lambda x: f"regexp_extract_all(lower({x}), '{TERM}')"
+    nameless = ", ".join(quote(t) for t in sorted(NAMELESS))
     unknown = "(ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / 2.0::DOUBLE) + 1.0::DOUBLE)"
     return f"""
 WITH d AS (SELECT doc_id, concat_ws('/', source, lang) AS directory, coalesce(text, '') AS text FROM documents),
@@ -140,18 +141,21 @@ tf AS (SELECT template, licence, win, term, count(*) AS n FROM (SELECT template,
 df AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({terms('text')}) AS term FROM d) WHERE term IN (SELECT term FROM tf) GROUP BY term),
 idf AS (SELECT term, ln((1.0::DOUBLE + (SELECT count(*) FROM d)) / (1.0::DOUBLE + coalesce(df, 0))) + 1.0::DOUBLE AS idf FROM (SELECT DISTINCT term FROM tf) LEFT JOIN df USING (term)),
 vectors AS (SELECT template, licence, win, term, (1 + ln(n)) * idf AS t FROM tf JOIN idf USING (term)),
-lines AS (SELECT DISTINCT doc_id, {terms('line')} AS terms FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d)),
+lines AS (SELECT doc_id, {terms('text')} AS terms, list_filter(list_transform(string_split(text, chr(10)), lambda x: {terms('x')}), lambda x: len(x) > 0) AS lines FROM d),
+wins AS (SELECT DISTINCT win FROM templates WHERE win <> {WHOLE}),
+runs AS (SELECT DISTINCT doc_id, flatten(lines[i:i + k - 1]) AS terms FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM lines), (SELECT unnest(range(1, {RUN + 1})) AS k)),
 units AS (
-    SELECT doc_id, {WHOLE} AS win, {terms('text')} AS terms FROM d
+    SELECT doc_id, {WHOLE} AS win, terms FROM lines
     UNION ALL
-    SELECT doc_id, win, CASE WHEN len(terms) <= win THEN terms ELSE terms[s:s + win - 1] END
-    FROM (SELECT doc_id, win, terms, unnest(CASE WHEN len(terms) <= win THEN [1] ELSE range(1, len(terms) - win // 2 + 1, win // 2) END) AS s FROM lines, (SELECT DISTINCT win FROM templates WHERE win <> {WHOLE}))),
+    SELECT doc_id, win, terms FROM runs JOIN wins ON len(terms) <= win
+    UNION ALL
+    SELECT doc_id, win, terms[s:s + win - 1] FROM (SELECT doc_id, win, terms, unnest(range(1, greatest(len(terms) - win // 2, 1) + 1, win // 2)) AS s FROM lines, wins)),
 different AS (SELECT row_number() OVER () AS unit, win, terms FROM (SELECT DISTINCT win, terms FROM units)),
 own AS (SELECT unit, win, term, (1 + ln(n)) * coalesce(idf, {unknown}) AS w FROM (SELECT unit, win, term, count(*) AS n FROM (SELECT unit, win, unnest(terms) AS term FROM different) GROUP BY ALL) LEFT JOIN idf USING (term)),
 scored AS (
     SELECT unit, win, licence, round(sum(w * t) / (any_value(a.size) * any_value(b.size)), 9) AS cosine
     FROM own JOIN vectors USING (win, term) JOIN (SELECT unit, sqrt(sum(w * w)) AS size FROM own GROUP BY unit) a USING (unit) JOIN (SELECT template, win, sqrt(sum(t * t)) AS size FROM vectors GROUP BY template, win) b USING (template, win)
-    GROUP BY unit, win, template, licence),
+    GROUP BY unit, win, template, licence HAVING bool_or(term NOT IN ({nameless}) AND NOT regexp_matches(term, '^[0-9]'))),
 best AS (SELECT unit, win, min(struct_pack(c := -cosine, licence := licence)) AS b FROM scored WHERE cosine >= CASE WHEN win = {WHOLE} THEN {LEAST_FILE_COSINE} ELSE {LEAST_COSINE} END GROUP BY unit, win),
 per_doc AS (
     SELECT doc_id, min(b) FILTER (WHERE u.win = {WHOLE}) AS file, min(b) FILTER (WHERE u.win <> {WHOLE}) AS header

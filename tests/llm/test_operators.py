@@ -154,6 +154,25 @@ def test_licences(spark, edge, empty):
     assert licences.scan_licences(empty, F.col("source")).count() == 0
 
 
+def test_licence_headers_that_wrap_identifiers_and_fragments(spark):
+    code = "\n" + "\n".join(f"def f{i}(x{i}): return g{i}(x{i})" for i in range(60))
+    cases = {
+        "# Licensed under the\n# Apache License,\n# Version 2.0": "Apache-2.0",
+        "/*\n * Released under\n *\n * the MIT\n * License.\n */": "MIT",
+        "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "SPDX-License-Identifier: MIT": "MIT",
+        "# SPDX-License-Identifier: GPL-2.0-only": "GPL-2.0",
+        "-- SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause",
+        "# SPDX-License-Identifier: Zlib": None,
+        "# Licensed under the": None,
+        "Released under the license, version 2.0.": None,
+        "# Permission is hereby granted,\n# free of charge, to any person obtaining\n# a copy of this software and\n# associated documentation files": "MIT",
+    }
+    rows = [(i, head + code) for i, head in enumerate(cases)] + [(100 + i, head) for i, head in enumerate(cases)]
+    got = {r["doc_id"]: r["licence"] for r in as_rows(licences.scan_licences(spark.createDataFrame(rows, "doc_id long, text string"), F.concat(F.lit("d"), F.col("doc_id").cast("string"))))}
+    assert got == {base + i: licence for base in (0, 100) for i, licence in enumerate(cases.values())}
+
+
 def test_full_licence_texts_are_files_at_any_length(spark):
     full = dict(licences.full_texts())
     holder = "Copyright (c) 2011 Some Body and other authors\n"
@@ -172,7 +191,7 @@ def test_full_licence_texts_are_files_at_any_length(spark):
 
 
 def brute_licences(rows):
-    """Best (licence, cosine) of each text as a whole and among its lines."""
+    """Best (licence, cosine) of each text as a whole and among its parts."""
     term = lambda t: re.findall(licences.TERM, t.lower())
     full = licences.full_texts()
     vocabulary = {t for _, w in [*licences.TEMPLATES, *full] for t in term(w)}
@@ -186,13 +205,17 @@ def brute_licences(rows):
     out = []
     for text in rows:
         v = vec(term(text))
-        file = min(((-round(cosine(v, t), 9), licence) for licence, t in whole), default=None)
+        named = lambda a, b: any(k in a for k in b if licences.names_something(k))
+        file = min(((-round(cosine(v, t), 9), licence) for licence, t in whole if named(v, t)), default=(0, ""))
         header = (0, "")
-        for line in set(text.split("\n")):
-            found = term(line)
-            for licence, t, n in notices:
-                parts = [found] if len(found) <= n else [found[i : i + n] for i in range(0, len(found) - n // 2, n // 2)]
-                header = min([header, *((-round(cosine(vec(p), t), 9), licence) for p in parts)])
+        found, lines = term(text), [x for x in map(term, text.split("\n")) if x]
+        runs = {tuple(sum(lines[i : i + k], [])) for i in range(len(lines)) for k in range(1, licences.RUN + 1)}
+        for licence, t, n in notices:
+            slid = {tuple(found[i : i + n]) for i in range(0, max(len(found) - n // 2, 1), n // 2)}
+            for part in slid | {r for r in runs if len(r) <= n}:
+                p = vec(part)
+                if named(p, t):
+                    header = min(header, (-round(cosine(p, t), 9), licence))
         out.append((file, header))
     return out
 
