@@ -30,7 +30,7 @@ def cost_report(todo: DataFrame, online: bool = True, batch: int = D.BATCH) -> D
     return todo.agg(F.ceil(n / batch).cast("long").alias("metadata_requests"), n.cast("long").alias("downloads"))
 
 
-def request_batches(todo: DataFrame, size: int = D.BATCH, parts: int = 64) -> DataFrame:
+def request_batches(todo: DataFrame, size: int = D.BATCH) -> DataFrame:
     """``batch, ids, n``: ids in order, ``size`` to a request, joined by spaces.
 
     Numbers come from counts per range of ordinals and ranks inside, so no task sorts the whole plan."""
