@@ -49,3 +49,14 @@ def test_query_runs(spark, name):
 
 def test_inputs_are_the_tables():
     assert len(plans.queries()) > 100 and len(CHECKED) > 0.9 * len(plans.queries())
+
+
+def partners(duck):
+    """Ordered pairs of mixable tracks of a band that share a tempo, both with a series."""
+    return duck.execute(plans.oracle_sql()["r07_compatible_counts"].replace("SELECT a.band, a.id, count(*) AS partners", "SELECT a.id, count(*) AS partners")).fetchall()
+
+
+@pytest.mark.parametrize("name", ["r02_bpm_score"])
+def test_pair_queries_tell_every_pair(spark, duck, name):
+    every = sum(n for _, n in partners(duck))
+    assert plans.queries()[name](spark, SF).count() == every == duck.execute(f"SELECT count(*) FROM ({plans.oracle_sql()[name]})").fetchone()[0]
