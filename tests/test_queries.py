@@ -56,7 +56,7 @@ def partners(duck):
     return duck.execute(plans.oracle_sql()["r07_compatible_counts"].replace("SELECT a.band, a.id, count(*) AS partners", "SELECT a.id, count(*) AS partners")).fetchall()
 
 
-@pytest.mark.parametrize("name", ["r02_bpm_score", "r03_energy_continuity"])
+@pytest.mark.parametrize("name", ["r02_bpm_score", "r03_energy_continuity", "r04_match_pairs"])
 def test_pair_queries_tell_every_pair(spark, duck, name):
     every = sum(n for _, n in partners(duck))
     assert plans.queries()[name](spark, SF).count() == every == duck.execute(f"SELECT count(*) FROM ({plans.oracle_sql()[name]})").fetchone()[0]
