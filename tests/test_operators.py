@@ -707,3 +707,20 @@ def test_beat_phases_add_in_frame_order(spark):
         for c, v in before.items():
             spark.conf.set(c, v)
     assert got == want
+
+
+def test_pairs_scored_do_not_grow_with_the_square(spark):
+    """Four times the tracks, far less than four times the pairs of each anchor."""
+    per_anchor = []
+    for n in (3000, 12000):
+        seen = []
+        matching.recommend(random_scalars(spark, n), seen=seen).write.format("noop").mode("overwrite").save()
+        per_anchor.append(sum(o.get["n"] for o in seen) / n)
+    assert per_anchor[1] < 1.5 * per_anchor[0]
+
+
+def test_of_tracks_alike_only_as_many_as_a_list_holds_are_scored(spark):
+    seen = []
+    recs = matching.recommend(random_scalars(spark, 900, hot=900), k=5, seen=seen).collect()
+    assert len(recs) == 5 * 900
+    assert sum(o.get["n"] for o in seen) < 20 * 900
