@@ -6,6 +6,8 @@ Files are opened through ``pyarrow.fs``, so paths may be local or in any store i
 from __future__ import annotations
 
 import io
+import json
+import os
 import uuid
 import wave
 from collections.abc import Iterable, Iterator
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from .staging import stage
+
 #: Frames of a file that one task decodes.
 RANGE = 1 << 20
 HEADER = "track_id string, sr int, channels int, n_samples long, duration_s double, error string"
@@ -97,47 +101,131 @@ class WavSource(DataSource):
         return WavReader(dict(self.options))
 
 
+def _found(files: fs.FileSystem, folder: str) -> Iterator[tuple[str, int, bool]]:
+    """Path, size and whether it is a folder of what lies in ``folder``; one entry at a time where the store allows it."""
+    if isinstance(files, fs.LocalFileSystem):
+        with os.scandir(folder) as entries:
+            for e in entries:
+                yield e.path, 0 if e.is_dir() else e.stat().st_size, e.is_dir()
+    else:
+        for f in files.get_file_info(fs.FileSelector(folder)):
+            yield f.path, f.size or 0, f.type == fs.FileType.Directory
+
+
+def place_of(path: str) -> str:
+    """``path`` as its store names it, and as :func:`list_files` begins paths."""
+    return _open(path)[1].rstrip("/")
+
+
+def exists(path: str) -> bool:
+    files, place = _open(path)
+    return files.get_file_info(place).type != fs.FileType.NotFound
+
+
+def list_files(spark: SparkSession, root: str, deep: bool = True) -> DataFrame:
+    """``path, size`` of the files in ``root`` and, if ``deep``, in the folders below it. Tasks list the folders, level by
+    level; the driver sees neither names nor sizes. Names that begin with ``_`` or ``.`` are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = _open(root)
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                some: list[tuple[str, int, bool]] = []
+                for path, size, is_folder in _found(files, folder):
+                    if path.rsplit("/", 1)[-1][0] not in "_.":
+                        some.append((path, size, is_folder))
+                    if len(some) == 10_000:
+                        yield _batch(some)
+                        some = []
+                yield _batch(some)
+
+    def _batch(rows: list[tuple[str, int, bool]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.bool_()))], ["path", "size", "is_folder"])
+
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders, found = spark.createDataFrame([(place_of(root),)], "path string"), None
+    while True:
+        level = stage(folders.mapInArrow(run, "path string, size long, is_folder boolean"), "listed")
+        own = level.filter("NOT is_folder").select("path", "size")
+        found = own if found is None else found.union(own)
+        folders = level.filter("is_folder").select("path")
+        if not deep or folders.isEmpty():
+            return found
+        folders = folders.repartition(spread, "path")
+
+
+def read_texts(spark: SparkSession, paths: DataFrame, root: str) -> DataFrame:
+    """``path, text`` of the files of ``paths (path)``, read in tasks; null for one that can't be decoded. ``root`` tells the store."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, _ = _open(root)
+        for batch in batches:
+            names = batch.column("path").to_pylist()
+            for at in range(0, len(names), 100):
+                texts = []
+                for name in names[at : at + 100]:
+                    with files.open_input_file(name) as f:
+                        content = f.read()
+                    try:
+                        texts.append(content.decode(json.detect_encoding(content)))
+                    except UnicodeDecodeError:
+                        texts.append(None)
+                yield pa.RecordBatch.from_arrays([pa.array(names[at : at + 100], pa.string()), pa.array(texts, pa.string())], ["path", "text"])
+
+    return paths.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(run, "path string, text string")
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    names: list[str]
+    """Nothing but that a task is done: names stay in the store."""
 
 
 class BlobWriter(DataSourceArrowWriter):
-    """Objects are written beside their place and moved there once every task is done."""
+    """Objects are written beside their place, in a folder of their task; a list of each task's names lies beside them.
 
-    def __init__(self, options: dict[str, str]):
-        self.root, self.run = options["path"], uuid.uuid4().hex
+    :func:`write_blobs` moves what complete tasks wrote to its place, in tasks too."""
 
-    def _aside(self, root: str) -> str:
-        return f"{root.rstrip('/')}/_writing-{self.run}"
+    def __init__(self, options: dict[str, str]):
+        self.root, self.run = options["path"], options["run"]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         files, root = _open(self.root)
-        names = []
-        for batch in iterator:
-            for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                path = f"{self._aside(root)}/{name}"
-                files.create_dir(path.rsplit("/", 1)[0], recursive=True)
-                with files.open_output_stream(path) as out:
-                    out.write(content or b"")
-                names.append(name)
-        return Written(names)
+        task = uuid.uuid4().hex
+        aside, made = f"{_aside(root, self.run)}/{task}", set()
+        listed = f"{_aside(root, self.run)}/{task}.names"
+        files.create_dir(aside, recursive=True)
+        with files.open_output_stream(f"{listed}-part") as names:
+            for batch in iterator:
+                for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist(), strict=True):
+                    path = f"{aside}/{name}"
+                    if (folder := path.rsplit("/", 1)[0]) not in made:
+                        files.create_dir(folder, recursive=True)
+                        made.add(folder)
+                    with files.open_output_stream(path) as out:
+                        out.write(content or b"")
+                    names.write(json.dumps(name).encode() + b"\n")
+        files.move(f"{listed}-part", listed)  # only whole tasks have a list
+        return Written()
 
     def commit(self, messages: list[Written | None]) -> None:
-        files, root = _open(self.root)
-        for name in (name for m in messages if m is not None for name in m.names):
-            files.create_dir(f"{root.rstrip('/')}/{name}".rsplit("/", 1)[0], recursive=True)
-            files.move(f"{self._aside(root)}/{name}", f"{root.rstrip('/')}/{name}")
-        self.abort(messages)
+        pass
 
     def abort(self, messages: list[Written | None]) -> None:
-        files, root = _open(self.root)
-        if files.get_file_info(self._aside(root)).type != fs.FileType.NotFound:
-            files.delete_dir(self._aside(root))
+        _drop_aside(self.root, self.run)
+
+
+def _aside(root: str, run: str) -> str:
+    return f"{root.rstrip('/')}/_writing-{run}"
+
+
+def _drop_aside(path: str, run: str) -> None:
+    files, root = _open(path)
+    if files.get_file_info(_aside(root, run)).type != fs.FileType.NotFound:
+        files.delete_dir(_aside(root, run))
 
 
 class BlobSink(DataSource):
-    """``blobs``: rows ``name, content`` become objects below ``path``."""
+    """``blobs``: rows ``name, content`` become objects beside ``path``, from where :func:`write_blobs` moves them."""
 
     @classmethod
     def name(cls) -> str:
@@ -167,9 +255,34 @@ def read_wav_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_blobs(df: DataFrame, path: str) -> None:
-    """Write ``df (name, content)`` as objects below ``path``; other objects there stay."""
-    register_files(df.sparkSession)
-    df.select("name", "content").write.format("blobs").mode("append").save(path)
+    """Write ``df (name, content)`` as objects below ``path``; other objects there stay. All are written before any is put in its place."""
+    spark = df.sparkSession
+    register_files(spark)
+    run = uuid.uuid4().hex
+    df.select("name", "content").write.format("blobs").option("run", run).mode("append").save(path)
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _open(path)
+        made: set[str] = set()
+        for batch in batches:
+            for listed in batch.column("path").to_pylist():
+                with files.open_input_stream(listed) as names:
+                    for line in io.TextIOWrapper(io.BufferedReader(names), "utf-8"):
+                        name = json.loads(line)
+                        source, place = f"{listed.removesuffix('.names')}/{name}", f"{root.rstrip('/')}/{name}"
+                        if (folder := place.rsplit("/", 1)[0]) not in made:
+                            files.create_dir(folder, recursive=True)
+                            made.add(folder)
+                        if files.get_file_info(source).type != fs.FileType.NotFound:  # else moved by an attempt before
+                            files.move(source, place)
+            yield pa.RecordBatch.from_arrays([pa.array([len(batch)], pa.int64())], ["n"])
+
+    aside = path.rstrip("/") + f"/_writing-{run}"
+    if not exists(aside):  # there were no rows
+        return
+    lists = list_files(spark, aside, deep=False).filter(F.endswith("path", F.lit(".names"))).select("path")
+    lists.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(move, "n long").write.format("noop").mode("overwrite").save()
+    _drop_aside(path, run)
 
 
 def wav_content(samples: str | Column, sr: str | Column) -> Column:

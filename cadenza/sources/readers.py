@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as X
 from ..functions import dimensions as D
+from . import files as FS
 
 SEED = "mode string, tracks array<struct<id:string,name:string,artist:string,genre:string,bpm:double,key:string,license:string,duration_s:double>>"
 ENVELOPE = "headers struct<code:int,error_message:string>, results array<struct<id:string,name:string,artist_name:string,license_ccurl:string,audiodownload_allowed:boolean,audiodownload:string>>"
@@ -25,9 +26,9 @@ def read_catalog_seed(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sidecars(spark: SparkSession, path: str) -> DataFrame:
     """``id`` (from the file name) and the fields of each metadata file; unreadable files are left out."""
-    schema = "name string, artist string, genre string, license string, bad string"
-    rows = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "bad").schema(schema).json(f"{path}/*.json")
-    return rows.select(F.regexp_extract("_metadata.file_name", r"^(.*)\.json$", 1).alias("id"), "*").filter("bad IS NULL").drop("bad")
+    listed = FS.list_files(spark, path, deep=False).filter(F.endswith("path", F.lit(".json"))).select("path")
+    rows = FS.read_texts(spark, listed, path).withColumn("t", F.explode(F.from_json("text", "array<struct<name:string,artist:string,genre:string,license:string>>")))
+    return rows.select(F.regexp_extract("path", r"([^/]*)\.json$", 1).alias("id"), "t.*")
 
 
 def flatten_api_responses(df: DataFrame, json_col: str, asked: str | None = None) -> DataFrame:
@@ -64,9 +65,11 @@ def read_wav(spark: SparkSession, glob: str) -> DataFrame:
 
 def blob_inventory(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
     """``key, size`` of the objects below ``root`` that start with ``prefix``, in order; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
-    key = F.regexp_replace(F.substring_index("path", root.rstrip("/").rsplit("/", 1)[-1] + "/", -1), "^/", "")
-    return files.select(key.alias("key"), F.col("length").alias("size")).filter(F.startswith("key", F.lit(prefix))).orderBy("key")
+    folder = prefix.rpartition("/")[0]
+    whole = root.rstrip("/")
+    files = FS.list_files(spark, f"{whole}/{folder}" if folder and FS.exists(f"{whole}/{folder}") else whole)  # other folders are not listed
+    key = F.expr(f"substring(path, {len(FS.place_of(whole)) + 2})")
+    return files.select(key.alias("key"), "size").filter(F.startswith("key", F.lit(prefix))).orderBy("key")
 
 
 def with_object_keys(df: DataFrame, codec: str) -> DataFrame:

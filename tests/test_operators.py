@@ -724,3 +724,18 @@ def test_of_tracks_alike_only_as_many_as_a_list_holds_are_scored(spark):
     recs = matching.recommend(random_scalars(spark, 900, hot=900), k=5, seen=seen).collect()
     assert len(recs) == 5 * 900
     assert sum(o.get["n"] for o in seen) < 20 * 900
+
+
+def test_driver_sees_no_names_of_files(spark, tmp_path, monkeypatch):
+    """Objects are moved, listed and read in tasks: neither the writer's messages nor Spark's file index hold them."""
+    rows = spark.range(500).selectExpr("concat('meta/', id, '.json') AS name", "cast(concat('{\"name\": \"n', id, '\"}') AS binary) AS content")
+    FS.write_blobs(rows, str(tmp_path))
+    assert FS.Written.__dataclass_fields__ == {} and not [p for p in tmp_path.iterdir() if p.name.startswith("_")]
+    (tmp_path / "meta" / "list.json").write_text('[{"name": "a"}, {"name": "b"}]')
+    (tmp_path / "meta" / "empty.json").write_text("")
+    (tmp_path / "meta" / "wide.json").write_bytes('{"name": "ü"}'.encode("utf-16"))
+    got = S.read_sidecars(spark, str(tmp_path / "meta"))
+    assert "FileScan json" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["id"], r["name"]) for r in got.collect()) == sorted([(str(i), f"n{i}") for i in range(500)] + [("list", "a"), ("list", "b"), ("wide", "ü")])
+    assert S.blob_inventory(spark, str(tmp_path), "meta/1").count() == 111 and S.blob_inventory(spark, str(tmp_path), "none/").count() == 0
+    assert S.blob_inventory(spark, str(tmp_path)).first()["key"] == "meta/0.json"
