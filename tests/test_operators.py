@@ -739,3 +739,21 @@ def test_driver_sees_no_names_of_files(spark, tmp_path, monkeypatch):
     assert sorted((r["id"], r["name"]) for r in got.collect()) == sorted([(str(i), f"n{i}") for i in range(500)] + [("list", "a"), ("list", "b"), ("wide", "ü")])
     assert S.blob_inventory(spark, str(tmp_path), "meta/1").count() == 111 and S.blob_inventory(spark, str(tmp_path), "none/").count() == 0
     assert S.blob_inventory(spark, str(tmp_path)).first()["key"] == "meta/0.json"
+
+
+def test_nodes_are_shuffled_once_for_order_and_twice_for_times(spark):
+    """Tables of a size that is not broadcast: no join brings the nodes back after the fold, one join finds how long they last."""
+    from cadenza.operators import chains
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        sf = "/root/testdata/sf0.001"
+        plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+        nodes = A.mix_tracks(spark, sf).localCheckpoint()
+        ordered, _ = chains.order_chains(A.mixes(spark, sf).localCheckpoint(), nodes)
+        assert plan(ordered).count("SortMergeJoin") == 1
+        flat = chains.flatten_chains(ordered.localCheckpoint(), A.variants(spark, sf).localCheckpoint(), A.tracks(spark, sf).localCheckpoint())
+        assert plan(flat).count("SortMergeJoin") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
