@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import functions as X
 from ..sources.staging import stage
@@ -16,8 +22,10 @@ def by_position() -> Window:
     return Window.partitionBy("mix_id").orderBy("pos")
 
 
-#: Chains of more nodes are ranked by pointer doubling.
+#: Chains of more nodes are ranked by contraction.
 LONG = 1000
+#: Links that are ranked by pointer doubling, at most; more are contracted first.
+REST = 1 << 16
 
 
 def order_chains(mixes: DataFrame, mix_tracks: DataFrame, long: int = LONG) -> tuple[DataFrame, DataFrame]:
@@ -26,20 +34,16 @@ def order_chains(mixes: DataFrame, mix_tracks: DataFrame, long: int = LONG) -> t
     From the head, ``next_id`` leads to the end, to a node seen before (cycle) or to a name
     that no node has (dangling). Nodes that were missed are unreachable. A mix with a problem
     has no ordered nodes. Mixes of up to ``long`` nodes are followed by a fold over one map,
-    longer ones by pointer doubling, which keeps no mix in one task.
+    longer ones by contraction, which keeps no mix in one task.
     """
-    sizes = mix_tracks.groupBy("mix_id").agg(F.count("*").alias("n"))
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    if most <= long:
-        nodes, problems = _follow(mixes, mix_tracks)
-    else:
-        sizes = stage(sizes.filter(F.col("n") > long), "long-mixes")
-        is_long, heads = sizes.select("mix_id"), mixes.select(F.col("id").alias("mix_id"), "head_id")
-        short_mixes = mixes.join(is_long.withColumnRenamed("mix_id", "id"), "id", "left_anti")
-        nodes, problems = _follow(short_mixes, mix_tracks.join(is_long, "mix_id", "left_anti"))
-        more, bad = _double(heads.join(sizes, "mix_id"), mix_tracks.join(is_long, "mix_id", "left_semi"), most)
-        nodes, problems = nodes.unionByName(more.join(mix_tracks.drop("next_id"), ["mix_id", "id"])), problems.unionByName(bad)
-    return nodes, problems
+    sizes = stage(mix_tracks.groupBy("mix_id").agg(F.count("*").alias("n")).filter(F.col("n") > long), "long-mixes")
+    if sizes.isEmpty():
+        return _follow(mixes, mix_tracks)
+    is_long, heads = sizes.select("mix_id"), mixes.select(F.col("id").alias("mix_id"), "head_id")
+    short_mixes = mixes.join(is_long.withColumnRenamed("mix_id", "id"), "id", "left_anti")
+    nodes, problems = _follow(short_mixes, mix_tracks.join(is_long, "mix_id", "left_anti"))
+    more, bad = _contract(heads.join(sizes, "mix_id"), mix_tracks.join(is_long, "mix_id", "left_semi"))
+    return nodes.unionByName(more), problems.unionByName(bad)
 
 
 def _follow(mixes: DataFrame, mix_tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -62,30 +66,92 @@ def _follow(mixes: DataFrame, mix_tracks: DataFrame) -> tuple[DataFrame, DataFra
     return placed.select("mix_id", "n.id", "pos", *(f"n.node.{c}" for c in rest)), problems
 
 
-def _double(mixes: DataFrame, nodes: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
-    """(``mix_id, pos, id``, problems) of ``mixes (mix_id, head_id, n)`` by list ranking.
-
-    Every node knows how many nodes it is to where its pointer leads; each round, pointers
-    take over the pointers of where they lead. Open pointers are joined on (mix, node), so a
-    mix spreads over all tasks. What is open after as many rounds as double past the longest
-    mix leads round in a cycle. From the head, the rank from the end tells positions."""
-    known = nodes.select("mix_id", F.col("id").alias("next_id"), F.lit(True).alias("there"))
-    last = F.coalesce("next_id", F.lit("")) == ""
-    state = nodes.select("mix_id", "id", "next_id").join(known, ["mix_id", "next_id"], "left")
-    state = state.select("mix_id", "id", F.when(F.col("there"), F.col("next_id")).alias("to"), F.lit(1).cast("long").alias("rank"), F.when(last, "end").when(F.col("there").isNull(), "dangling").alias("ends"))
-    state = stage(state, "ranks")
-    for _ in range(most.bit_length()):
-        if state.filter("to IS NOT NULL").isEmpty():
-            break
-        ahead = state.select("mix_id", F.col("id").alias("to"), F.col("to").alias("beyond"), F.col("rank").alias("further"), F.col("ends").alias("then"))
-        moved = state.filter("to IS NOT NULL").join(ahead, ["mix_id", "to"]).select("mix_id", "id", F.col("beyond").alias("to"), (F.col("rank") + F.col("further")).alias("rank"), F.col("then").alias("ends"))
-        state = stage(state.filter("to IS NULL").unionByName(moved), "ranks")
-    heads = mixes.join(state.select("mix_id", F.col("id").alias("head_id"), F.col("rank").alias("length"), F.coalesce("ends", F.lit("cycle")).alias("ends")), ["mix_id", "head_id"], "left")
+def _contract(mixes: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes in order, problems) of ``mixes (mix_id, head_id, n)`` by list ranking.
+
+    Nodes are sorted by id. Each batch of a task follows its own links, so a node knows where they leave
+    the batch and how many nodes that is away. Only nodes that such exits lead to, and heads, are ranked among
+    all; a node's rank from the end is its way to the exit and the rank of what the exit leads to. Ids that follow
+    the chain, as numbers do, leave few exits a batch; ids in no order leave one a node."""
+    nodes = stage(nodes, "long-nodes")
+    near = nodes.repartitionByRange("mix_id", "id").sortWithinPartitions("mix_id", "id")
+    rest = [c for c in nodes.columns if c != "next_id"]
+    schema = T.StructType([nodes.schema[c] for c in rest] + [T.StructField("exit", T.StringType()), T.StructField("steps", T.LongType()), T.StructField("cycle", T.BooleanType())])
+    near = stage(near.mapInArrow(_to_exits, schema), "exits")
+    asked = near.filter("exit IS NOT NULL").select("mix_id", F.col("exit").alias("id")).unionByName(mixes.filter("head_id <> ''").select("mix_id", F.col("head_id").alias("id"))).distinct()
+    ends = F.when(F.col("steps").isNull(), "dangling").when(F.col("cycle"), "cycle").when(F.col("exit").isNull(), "end")
+    met = asked.join(near.select("mix_id", "id", "exit", "steps", "cycle"), ["mix_id", "id"], "left")
+    met = stage(met.select(F.monotonically_increasing_id().alias("at"), "mix_id", "id", "exit", F.coalesce("steps", F.lit(0)).alias("rank"), ends.alias("ends")), "met")
+    links = met.join(met.select("mix_id", F.col("id").alias("exit"), F.col("at").alias("to")), ["mix_id", "exit"], "left").select("at", "to", "rank", "ends")
+    ranks = met.select("at", "mix_id", "id").join(_ranks(links), "at").drop("at")
+    heads = mixes.join(ranks.select("mix_id", F.col("id").alias("head_id"), F.col("rank").alias("length"), "ends"), ["mix_id", "head_id"], "left")
     none = F.coalesce("head_id", F.lit("")) == ""
-    problem = F.when(none, "unreachable").when(F.col("ends").isNull(), "dangling").when(F.col("ends") != "end", F.col("ends")).when(F.col("length") < F.col("n"), "unreachable")
+    problem = F.when(none, "unreachable").when(F.col("ends") != "end", F.col("ends")).when(F.col("length") < F.col("n"), "unreachable")
     heads = stage(heads.withColumn("problem", problem), "heads")
-    places = state.join(heads.filter("problem IS NULL").select("mix_id", "length"), "mix_id").select("mix_id", (F.col("length") - F.col("rank")).cast("int").alias("pos"), "id")
-    return places, heads.filter("problem IS NOT NULL").select("mix_id", "problem")
+    placed = near.join(heads.filter("problem IS NULL").select("mix_id", "length"), "mix_id").join(ranks.select("mix_id", F.col("id").alias("exit"), "rank"), ["mix_id", "exit"], "left")
+    pos = F.col("length") - F.col("steps") - F.coalesce("rank", F.lit(0))
+    return placed.select("mix_id", "id", pos.cast("int").alias("pos"), *(c for c in rest if c not in ("mix_id", "id"))), heads.filter("problem IS NOT NULL").select("mix_id", "problem")
+
+
+def _to_exits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows without ``next_id``, with ``exit`` (where links lead out of the batch, null at an end), ``steps`` (how many
+    nodes that is away) and ``cycle`` (they never do)."""
+    for batch in batches:
+        mix, ids, following = (batch.column(c).to_pylist() for c in ("mix_id", "id", "next_id"))
+        at = {key: i for i, key in enumerate(zip(mix, ids))}
+        to = np.array([at.get(key, -1) for key in zip(mix, following)], dtype=np.int64)
+        steps, last = np.ones(len(to), dtype=np.int64), np.arange(len(to))
+        for _ in range(len(to).bit_length()):
+            open_ = np.flatnonzero(to >= 0)
+            if not len(open_):
+                break
+            ahead = to[open_]
+            steps[open_] += steps[ahead]
+            last[open_], to[open_] = last[ahead], to[ahead]
+        cycle = to >= 0
+        exits = pa.array([None if c else following[i] or None for i, c in zip(last.tolist(), cycle.tolist())], type=pa.string())
+        names = [c for c in batch.schema.names if c != "next_id"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), exits, pa.array(steps), pa.array(cycle)], names=[*names, "exit", "steps", "cycle"])
+
+
+def _ranks(links: DataFrame) -> DataFrame:
+    """``at, rank, ends`` of ``links (at, to, rank, ends)``: the ranks on the way from ``at`` to where ``to`` is null, added, and the ``ends`` there; 'cycle' if the way never ends.
+
+    Each round, a quarter of the links step aside: those with a one by a coin whose ``to`` has a zero, so that
+    it stays. Links that led to them take over theirs. So rounds shrink like a geometric series and
+    all of them together read and write a few times the links. What is left is ranked by doubling; then those that
+    stepped aside find their ranks, the last first."""
+    loop = F.coalesce(F.col("to") == F.col("at"), F.lit(False))
+    closed = lambda df: df.select("at", F.when(~loop, F.col("to")).alias("to"), "rank", F.when(loop, "cycle").otherwise(F.col("ends")).alias("ends"))
+    links, aside = stage(closed(links), "links"), []
+    while links.count() > REST:
+        one = lambda c, k=len(aside): F.xxhash64(F.col(c), F.lit(k)).bitwiseAND(F.lit(1).cast("long")) == 1
+        goes, waits = one("at") & (F.col("to").isNull() | ~one("to")), F.col("to").isNotNull() & one("to")
+        aside.append(links.filter(goes))
+        links = stage(closed(links.filter(~goes & ~waits).unionByName(_over(links.filter(~goes & waits), aside[-1]))), "links")
+    known = [_double(links)]
+    for gone in reversed(aside):
+        told = reduce(DataFrame.unionByName, known).select("at", F.lit(None).cast("long").alias("to"), "rank", "ends")
+        found = gone.filter("to IS NULL").unionByName(_over(gone.filter("to IS NOT NULL"), told))
+        known.append(stage(found.select("at", "rank", "ends"), "ranks"))
+    return reduce(DataFrame.unionByName, known)
+
+
+def _over(links: DataFrame, ahead: DataFrame) -> DataFrame:
+    """``links`` that lead to one of ``ahead`` lead to where that leads; others stay."""
+    ahead = ahead.select(F.col("at").alias("to"), F.col("to").alias("beyond"), F.col("rank").alias("further"), F.col("ends").alias("then"))
+    met = F.col("further").isNotNull()
+    return links.join(ahead, "to", "left").select("at", F.when(met, F.col("beyond")).otherwise(F.col("to")).alias("to"), (F.col("rank") + F.coalesce("further", F.lit(0))).alias("rank"), F.when(met, F.col("then")).otherwise(F.col("ends")).alias("ends"))
+
+
+def _double(links: DataFrame) -> DataFrame:
+    """:func:`_ranks` by pointer doubling: each round, open links take over those of where they lead. What is open after
+    as many rounds as double past all links leads round in a cycle."""
+    for _ in range(links.count().bit_length()):
+        if links.filter("to IS NOT NULL").isEmpty():
+            break
+        links = stage(links.filter("to IS NULL").unionByName(_over(links.filter("to IS NOT NULL"), links)), "links")
+    return links.select("at", "rank", F.when(F.col("to").isNotNull(), "cycle").otherwise(F.col("ends")).alias("ends"))
 
 
 def flatten_chains(ordered: DataFrame, variants: DataFrame, tracks: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from cadenza.sources import buckets
 from cadenza.sources import files as FS
 from cadenza.sources import readers as S
 from cadenza.sources import snapshots
+from cadenza.sources.staging import stage
 
 SF = "/root/testdata/sf0.001"
 
@@ -134,6 +135,50 @@ def test_long_chains_are_ranked_as_short_ones_are_followed(spark):
     assert {p for _, p in followed[1]} == {"cycle", "dangling", "unreachable"} and followed[0]
 
 
+@pytest.mark.parametrize("rest", [0, 6])
+def test_contracted_links_are_ranked_as_walks_are(spark, monkeypatch, rest):
+    monkeypatch.setattr(chains, "REST", rest)
+    rng = np.random.default_rng(16)
+    to = [None if rng.random() < 0.1 else int(rng.integers(0, 60)) for _ in range(60)] + [None if i == 99 else i + 1 for i in range(60, 100)] + [100, 102, 103, 101]
+    own = [int(x) for x in rng.integers(0, 5, len(to))]
+    links = spark.createDataFrame([(i, t, own[i], "end" if t is None else None) for i, t in enumerate(to)], "at long, to long, rank long, ends string")
+
+    def walk(i):
+        seen, total = set(), 0
+        while i is not None and i not in seen:
+            seen.add(i)
+            total, i = total + own[i], to[i]
+        return ("end", total) if i is None else ("cycle", None)
+
+    got = {r["at"]: (r["ends"], r["rank"] if r["ends"] == "end" else None) for r in chains._ranks(links).collect()}
+    assert got == {i: walk(i) for i in range(len(to))}
+
+
+@pytest.mark.parametrize("in_order, most", [(True, 4), (False, 10)])
+def test_long_chains_write_as_many_rows_a_node_at_any_length(spark, monkeypatch, in_order, most):
+    monkeypatch.setattr(chains, "REST", 64)
+    written = []
+    monkeypatch.setattr(chains, "stage", lambda df, name: (found := stage(df, name), written.append(found.count()))[0])
+
+    def rows_a_node(n):
+        written.clear()
+        name = (lambda k: F.lpad(k.cast("string"), 9, "0")) if in_order else (lambda k: F.md5(k.cast("string")))
+        k = F.col("id")
+        nodes = spark.range(n).select(name(k).alias("id"), F.lit("m").alias("mix_id"), F.lit("t").alias("track_id"), F.when(k < n - 1, name(k + 1)).alias("next_id"), k.cast("int").alias("delta_beats"), F.lit(120).alias("grid_bpm"))
+        ordered, problems = chains.order_chains(spark.range(1).select(F.lit("m").alias("id"), name(F.col("id")).alias("head_id")), nodes)
+        assert problems.isEmpty() and ordered.filter("pos = delta_beats").count() == n
+        return sum(written) / n
+
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, "500")
+    try:
+        few, many = rows_a_node(4000), rows_a_node(32000)
+    finally:
+        spark.conf.set(rows, before)
+    assert max(few, many) < most and many < 1.2 * few
+
+
 def test_interval_and_nearest_joins(spark):
     rng = np.random.default_rng(9)
     spans = lambda n, name: [(f"{name}{i}", str(rng.integers(0, 3)), a := float(rng.integers(-50, 400)), a + float(rng.choice([0, 1, 7, 300]))) for i in range(n)]
