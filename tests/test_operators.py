@@ -179,6 +179,19 @@ def test_long_chains_write_as_many_rows_a_node_at_any_length(spark, monkeypatch,
     assert max(few, many) < most and many < 1.2 * few
 
 
+def test_pairs_are_spread_over_tasks_and_scored_by_their_best_tempo(spark):
+    rng = np.random.default_rng(18)
+    grid = [101, 106, 111]
+    rows = [(str(i), "midtempo", float(rng.uniform(96, 118)), "8A", sorted(rng.choice(grid, int(rng.integers(1, 4)), replace=False).tolist()), 0.5, 0.5) for i in range(600)]
+    scalars = spark.createDataFrame(rows, "id string, band string, bpm double, camelot string, grid array<int>, intro_rms double, outro_rms double")
+    pairs = matching.candidate_pairs(scalars)
+    shares = [r["count"] for r in pairs.groupBy(F.spark_partition_id()).count().collect()]
+    met = [(a, b) for a in rows for b in rows if a[0] != b[0] and set(a[4]) & set(b[4])]
+    assert sum(shares) == len(met) and len(shares) == 4 and max(shares) < 0.5 * len(met)
+    best = pairs.withColumn("s", X.bpm_score("a_bpm", "b_bpm", X.shared_grid("a_grid", "b_grid"))).select("a_id", "b_id", "s.grid", "s.score")
+    assert best.exceptAll(matching.tempo_scores(pairs)).isEmpty() and matching.tempo_scores(pairs).count() == len(met)
+
+
 def test_interval_and_nearest_joins(spark):
     rng = np.random.default_rng(9)
     spans = lambda n, name: [(f"{name}{i}", str(rng.integers(0, 3)), a := float(rng.integers(-50, 400)), a + float(rng.choice([0, 1, 7, 300]))) for i in range(n)]
