@@ -815,3 +815,34 @@ def test_nodes_are_shuffled_once_for_order_and_twice_for_times(spark):
         assert plan(flat).count("SortMergeJoin") == 2
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def method_sizes(df):
+    """Bytes of the longest method that Spark generates for each part of the plan."""
+    import contextlib
+    import io
+    import re
+
+    with contextlib.redirect_stdout(io.StringIO()) as said:
+        df.explain("codegen")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", said.getvalue())]
+
+
+def test_scoring_is_short_enough_to_be_compiled(spark, monkeypatch):
+    """The JVM interprets methods of more than 8,000 bytes: scoring a pair takes several times as long."""
+    sizes = []
+
+    def noted(df, name):
+        sizes.append((name, method_sizes(df)))
+        return stage(df, name)
+
+    was = {c: spark.conf.get(c) for c in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else the plan is generated part by part as it runs
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(matching, "stage", noted)
+    try:
+        sizes.append(("result", method_sizes(matching.recommend(random_scalars(spark, 300)))))
+    finally:
+        for c, v in was.items():
+            spark.conf.set(c, v)
+    assert len(sizes) > 8 and all(s and max(s) < 8000 for _, s in sizes), sizes
