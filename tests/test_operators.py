@@ -421,6 +421,13 @@ def test_dealt_sides_are_never_broadcast(spark, tmp_path):
     assert pairs and all("SortMergeJoin" in line for line in pairs)
 
 
+def test_rows_are_copied_to_few_blocks(spark):
+    """A row is copied once per block: 1.1 million rows of a band are a few blocks, which a task can hold."""
+    for n in (1000, 20_000, 184_425, 1_106_550):
+        blocks = one(spark, matching._blocks(F.lit(n)).alias("n"))["n"]
+        assert min(12, n / 100) <= blocks <= 17 and n / blocks <= 1 << 16
+
+
 def test_plan_of_recommendations(spark):
     plan = matching.recommend(five(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoop" not in plan and "WindowGroupLimit" in plan
