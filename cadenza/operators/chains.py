@@ -313,12 +313,14 @@ def snap(proposals: DataFrame, markers: DataFrame, beats: DataFrame) -> DataFram
 
 
 def mix_beat_grid(entries: DataFrame, features: DataFrame, totals: DataFrame) -> DataFrame:
-    """``mix_id, beat``: the first track's beats, carried on at its tempo to the end of the mix."""
+    """``mix_id, beat``: the first track's beats, carried on at its tempo to the end of the mix.
+
+    Beats are numbered and told from their numbers, in generated code; no array of a mix's beats is made."""
     first = entries.filter("pos = 0").select("mix_id", "track_id", "offset_s").join(features.select("track_id", "bpm", "beat_grid"), "track_id").join(totals, "mix_id")
-    own = F.expr("transform(beat_grid, b -> b + offset_s)")
-    rows = first.withColumn("own", own).withColumn("last", F.coalesce(F.element_at("own", -1), F.col("offset_s")))
-    more = F.expr("if(total_s - last >= 60.0D / bpm, transform(sequence(1, cast(floor((total_s - last) * bpm / 60.0D) AS int)), k -> last + k * 60.0D / bpm), cast(array() AS array<double>))")
-    return rows.select("mix_id", F.explode(F.concat("own", more)).alias("beat"))
+    rows = first.withColumn("own", F.size("beat_grid")).withColumn("last", F.coalesce(F.get("beat_grid", F.col("own") - 1) + F.col("offset_s"), F.col("offset_s")))
+    rows = rows.withColumn("n", F.col("own") + F.expr("if(total_s - last >= 60.0D / bpm, cast(floor((total_s - last) * bpm / 60.0D) AS int), 0)"))
+    rows = rows.filter("beat_grid IS NOT NULL AND n > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("k"))
+    return rows.select("mix_id", F.when(F.col("k") < F.col("own"), F.get("beat_grid", F.col("k")) + F.col("offset_s")).otherwise(F.expr("last + (k - own + 1) * 60.0D / bpm")).alias("beat"))
 
 
 def delete_and_heal(chain: DataFrame, deletes: DataFrame, markers: DataFrame) -> DataFrame:

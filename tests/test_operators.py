@@ -853,3 +853,12 @@ def test_scoring_is_short_enough_to_be_compiled(spark, monkeypatch):
         for c, v in was.items():
             spark.conf.set(c, v)
     assert len(sizes) > 8 and all(s and max(s) < 8000 for _, s in sizes), sizes
+
+
+def test_beats_of_a_mix_end_with_it(spark):
+    """The rest of a mix is as many whole beats as fit; a beat that rounding makes a little less than whole adds none."""
+    short = next(b / 10 for b in range(700, 1800) if (60.0 / (b / 10)) * (b / 10) / 60.0 < 1)
+    entries = spark.createDataFrame([(m, 0, m, 1.0 if m == "a" else 0.0) for m in "abcd"], "mix_id string, pos int, track_id string, offset_s double")
+    tracks = spark.createDataFrame([("a", 120.0, [0.0, 0.5]), ("b", short, []), ("c", 120.0, []), ("d", 120.0, None)], "track_id string, bpm double, beat_grid array<double>")
+    totals = spark.createDataFrame([("a", 2.6), ("b", 60.0 / short), ("c", 0.4), ("d", 9.0)], "mix_id string, total_s double")
+    assert sorted(tuple(r) for r in chains.mix_beat_grid(entries, tracks, totals).collect()) == [("a", 1.0), ("a", 1.5), ("a", 2.0), ("a", 2.5)]
